@@ -103,11 +103,20 @@ def clinical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def raw_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+# Fixed values of the two fixture deliveries used to exercise ingest: the
+# first holds visits/labs dated before CUTOFF_1, the second those from
+# CUTOFF_2 on (the overlap re-delivers rows, i.e. updates); both deliver
+# every patient.
+CUTOFF_1 = "1998-01-01"
+CUTOFF_2 = "1997-07-01"
+
+
+def raw_sheets(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The same tables as a text workbook would deliver them: every cell a
     string, dates as ``dd/MM/yyyy`` for visits (a second date format), the
-    adherence flag as ``si``/``no``. Used to drive ingest (Q6)."""
-    t = clinical_tables(spark, sf_dir)
+    adherence flag as ``si``/``no``, plus ``_fila`` (row order in the sheet).
+    Used to drive ingest (Q6)."""
+    t = tables or clinical_tables(spark, sf_dir)
     p = t["paciente"].select(
         *[F.col(c).cast("string").alias(c) for c in t["paciente"].columns if c != "adherencia_12m"],
         F.when(F.col("adherencia_12m"), F.lit("si")).otherwise(F.lit("no")).alias("adherencia_12m"),
@@ -119,4 +128,18 @@ def raw_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ]
     )
     l = t["laboratorio"].select(*[F.col(n).cast("string").alias(n) for n in t["laboratorio"].columns])
-    return {"paciente": p, "consulta": c, "laboratorio": l}
+    out = {"paciente": p, "consulta": c, "laboratorio": l}
+    keys = {"paciente": "id_paciente", "consulta": "id_consulta", "laboratorio": "id_lab"}
+    return {n: df.withColumn("_fila", F.substring(keys[n], 2, 30).cast("long")) for n, df in out.items()}
+
+
+def raw_deliveries(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Two overlapping deliveries covering the whole tables (see CUTOFF_*)."""
+    t = clinical_tables(spark, sf_dir)
+    first = dict(t)
+    first["consulta"] = t["consulta"].where(F.col("fecha_consulta") < F.lit(CUTOFF_1).cast("date"))
+    first["laboratorio"] = t["laboratorio"].where(F.col("fecha_muestra") < F.lit(CUTOFF_1).cast("date"))
+    second = dict(t)
+    second["consulta"] = t["consulta"].where(F.col("fecha_consulta") >= F.lit(CUTOFF_2).cast("date"))
+    second["laboratorio"] = t["laboratorio"].where(F.col("fecha_muestra") >= F.lit(CUTOFF_2).cast("date"))
+    return raw_sheets(spark, sf_dir, first), raw_sheets(spark, sf_dir, second)
