@@ -104,5 +104,7 @@ SQL.update(
         "i1_parse_consulta": parse_consulta(),
         "i8_pk_duplicates": pk_duplicates(),
         "i9_fk_orphans": fk_orphans(),
+        # T1 streams the same two deliveries; the table must equal Q6's
+        "t1_stream_ingest_consulta": final_table("consulta"),
     }
 )

@@ -34,7 +34,50 @@ class IngestResult:
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[name].schema)
+    """An empty table with the declared schema (a local relation, which the
+    optimizer folds away in the first upsert)."""
+    fields = TABLES[name].schema.fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def ingest_table(
+    raw: DataFrame,
+    name: str,
+    base: DataFrame,
+    parents: DataFrame | None = None,
+    order_col: str = ROW_ORDER,
+    formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
+    compat: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One sheet into one table: returns (merged table, stats row, errors).
+
+    ``parents`` is the (merged) patient table for child sheets."""
+    spec = TABLES[name]
+    if order_col not in raw.columns:
+        raw = raw.withColumn(order_col, F.monotonically_increasing_id())
+    good, bad = split_valid(parse_sheet(raw, spec, formats, compat), spec)
+    table_errors = bad
+    if spec.parent_key:
+        if parents is None:
+            raise ValueError(f"{name} necesita la tabla de pacientes")
+        keys = parents.select(F.col("id_paciente").alias(spec.parent_key), F.lit(True).alias("_padre"))
+        # one left join flags both outcomes: kept rows and orphans
+        flagged = good.join(keys, spec.parent_key, "left")
+        orphans = quarantine_rows(
+            flagged.where(F.col("_padre").isNull()),
+            spec,
+            F.array(F.format_string("id_paciente: paciente inexistente (%s)", F.col(spec.parent_key))),
+        )
+        table_errors = bad.unionByName(orphans)
+        good = flagged.where(F.col("_padre")).drop("_padre")
+    good = dedupe_last(good, spec.key, order_col).select(*spec.columns)
+    merged = upsert(base, good, spec.key)
+    counts = upsert_stats(base, good, spec.key)
+    n_err = table_errors.agg(F.count(F.lit(1)).alias("errores"))
+    stats = counts.select(F.lit(name).alias("tabla"), "insertados", "actualizados").join(
+        n_err.select(F.lit(name).alias("tabla"), "errores"), "tabla"
+    )
+    return merged, stats, table_errors
 
 
 def ingest(
@@ -57,35 +100,10 @@ def ingest(
     merged: dict[str, DataFrame] = {}
     stats, errors = [], []
     for name in ORDER:
-        spec = TABLES[name]
-        raw = batch[name]
-        if order_col not in raw.columns:
-            raw = raw.withColumn(order_col, F.monotonically_increasing_id())
-        good, bad = split_valid(parse_sheet(raw, spec, formats, compat), spec)
-        n_bad = [bad]
-        if spec.parent_key:
-            parents = merged["paciente"].select(F.col("id_paciente").alias(spec.parent_key), F.lit(True).alias("_padre"))
-            flagged = good.join(parents, spec.parent_key, "left")
-            orphans = flagged.where(F.col("_padre").isNull())
-            n_bad.append(
-                quarantine_rows(
-                    orphans,
-                    spec,
-                    F.array(F.format_string("id_paciente: paciente inexistente (%s)", F.col(spec.parent_key))),
-                )
-            )
-            good = flagged.where(F.col("_padre")).drop("_padre")
-        good = dedupe_last(good, spec.key, order_col).select(*spec.columns)
-        merged[name] = upsert(base[name], good, spec.key)
-        table_errors = n_bad[0] if len(n_bad) == 1 else n_bad[0].unionByName(n_bad[1])
-        errors.append(table_errors)
-        counts = upsert_stats(base[name], good, spec.key)
-        n_err = table_errors.agg(F.count(F.lit(1)).alias("errores"))
-        stats.append(
-            counts.select(F.lit(name).alias("tabla"), "insertados", "actualizados").join(
-                n_err.select(F.lit(name).alias("tabla"), "errores"), "tabla"
-            )
-        )
+        m, st, err = ingest_table(batch[name], name, base[name], merged.get("paciente"), order_col, formats, compat)
+        merged[name] = m
+        stats.append(st)
+        errors.append(err)
     all_stats = stats[0].unionByName(stats[1]).unionByName(stats[2])
     all_errors = errors[0].unionByName(errors[1]).unionByName(errors[2])
     return IngestResult(merged, all_stats, all_errors)
