@@ -56,7 +56,9 @@ def parse_sheet(
         if f.name not in raw.columns:
             continue
         src = F.col(f.name)
-        present = src.isNotNull() & (F.trim(src.cast("string")) != F.lit(""))
+        # Empty text and the text form of NaN are missing values
+        txt = F.lower(F.trim(src.cast("string")))
+        present = src.isNotNull() & (txt != F.lit("")) & (txt != F.lit("nan"))
         if not f.nullable:
             reasons.append(
                 F.when(~present, F.lit(f"{f.name}: valor requerido ausente")).when(

@@ -37,12 +37,16 @@ def start_monitor_stream(
     watermark: str = "10 minutes",
     available_now: bool = False,
     output_mode: str = "append",
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """``append`` (default) emits a window once the watermark passes its end
     into a Parquet sink. ``complete`` rewrites the whole (small: one row per
     window and version) result on every trigger through ``foreachBatch``,
     which also shows the still-open windows of a bounded run."""
-    log = spark.readStream.schema(PREDICTION_LOG).option("recursiveFileLookup", True).json(log_dir)
+    reader = spark.readStream.schema(PREDICTION_LOG).option("recursiveFileLookup", True)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    log = reader.json(log_dir)
     metrics = window_metrics(log, window, watermark).select(
         F.col("ventana.start").alias("inicio"), F.col("ventana.end").alias("fin"), "*"
     ).drop("ventana")
