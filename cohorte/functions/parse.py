@@ -1,6 +1,11 @@
 """Parsing of raw text cells (I1-I5). Every parser returns NULL on failure
 instead of raising, so a bad cell sends its row to quarantine (I6) rather
-than failing the job."""
+than failing the job.
+
+Each parser exists as SQL expression text (``*_sql``) and as a Column
+(``F.expr`` of that text): a whole sheet is then parsed by one
+``selectExpr`` call instead of one driver round trip per expression node.
+"""
 
 from __future__ import annotations
 
@@ -22,50 +27,125 @@ DEFAULT_DATE_FORMATS: tuple[str, ...] = (
 TRUE_WORDS: tuple[str, ...] = ("true", "1", "yes", "si", "sí")
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def q(name: str) -> str:
+    """Quote a column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit_sql(text: str) -> str:
+    """A SQL string literal (double-quoted, so single quotes need no escape)."""
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def _s(c: str) -> str:
+    return f"CAST({q(c)} AS STRING)"
+
+
+def format_shape(fmt: str) -> str:
+    """A regular expression for the text shape of a datetime pattern
+    (``dd/MM/yyyy`` -> ``^\\d{1,2}/\\d{1,2}/\\d{4}$``)."""
+    import re
 
+    out, i = [], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1 : j]))
+            i = j + 1
+            continue
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        run = j - i
+        if ch.isalpha():
+            out.append(r"\d{4}" if ch in "yu" and run >= 4 else r"\d{1,%d}" % max(run, 2))
+        else:
+            out.append(re.escape(fmt[i:j]))
+        i = j
+    return "^" + "".join(out) + "$"
 
-def parse_date(c: Column | str, formats: tuple[str, ...] = DEFAULT_DATE_FORMATS) -> Column:
-    """First format that parses wins; NULL when none does."""
-    c = _col(c)
-    s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats])
 
+def parse_date_sql(c: str, formats: tuple[str, ...] = DEFAULT_DATE_FORMATS) -> str:
+    """First format that parses wins; NULL when none does.
 
-def parse_bool(c: Column | str) -> Column:
-    """NULL -> false; numeric text -> value != 0; text in TRUE_WORDS -> true;
-    anything else false."""
-    c = _col(c).cast("string")
-    as_num = c.try_cast("double")
-    as_num = F.when(F.isnan(as_num), F.lit(0.0)).otherwise(as_num)
-    word = F.lower(c).isin(*TRUE_WORDS)
-    return F.coalesce(F.when(as_num.isNotNull(), as_num != 0).otherwise(word), F.lit(False))
+    Each format is tried only when the text has its shape: a failed parse
+    costs an exception inside the JVM, a regular-expression test does not."""
+    s = f"trim({_s(c)})"
+    tries = [
+        f"CASE WHEN {s} RLIKE {lit_sql(format_shape(f))} THEN to_date(try_to_timestamp({s}, {lit_sql(f)})) END"
+        for f in formats
+    ]
+    return "coalesce(" + ", ".join(tries) + ")"
 
 
-def parse_int(c: Column | str) -> Column:
-    """``int(x)`` truncates a float; junk or NaN -> NULL."""
-    d = _col(c).cast("string").try_cast("double")
-    d = F.when(F.isnan(d), F.lit(None)).otherwise(d)
-    return d.try_cast("int")
+# numbers as the text cast accepts them, plus NaN/Infinity spellings
+_NUMBER_SHAPE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))[dDfF]?\s*$"
 
 
-def parse_double(c: Column | str) -> Column:
+def _try_double(c: str) -> str:
+    """``try_cast`` guarded by a shape test (no exception per junk value)."""
+    return f"CASE WHEN {_s(c)} RLIKE {lit_sql(_NUMBER_SHAPE)} THEN try_cast({_s(c)} AS DOUBLE) END"
+
+
+def parse_bool_sql(c: str) -> str:
+    """NULL -> false; numeric text -> value != 0 (NaN -> false); text in
+    TRUE_WORDS -> true; anything else false."""
+    d = _try_double(c)
+    words = ", ".join(lit_sql(w) for w in TRUE_WORDS)
+    return (
+        f"coalesce(CASE WHEN {d} IS NOT NULL THEN (NOT isnan({d}) AND {d} <> 0) "
+        f"ELSE lower({_s(c)}) IN ({words}) END, false)"
+    )
+
+
+def parse_double_sql(c: str) -> str:
     """I4: optional double; NaN and junk -> NULL."""
-    d = _col(c).cast("string").try_cast("double")
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    d = _try_double(c)
+    return f"CASE WHEN isnan({d}) THEN CAST(NULL AS DOUBLE) ELSE {d} END"
 
 
-def optional_text(c: Column | str) -> Column:
+def parse_int_sql(c: str, type_name: str = "INT") -> str:
+    """``int(x)`` truncates a float; junk, NaN or overflow -> NULL."""
+    return f"try_cast({parse_double_sql(c)} AS {type_name})"
+
+
+def optional_text_sql(c: str) -> str:
     """I4: optional text; NULL and the text form of NaN stay NULL."""
-    s = _col(c).cast("string")
-    return F.when(s.isNull() | (F.lower(s) == "nan"), F.lit(None).cast("string")).otherwise(s)
+    return f"CASE WHEN {_s(c)} IS NULL OR lower({_s(c)}) = 'nan' THEN CAST(NULL AS STRING) ELSE {_s(c)} END"
 
 
-def required_text(c: Column | str, compat: bool = False) -> Column:
+def required_text_sql(c: str, compat: bool = False) -> str:
     """Required text. NULL stays NULL (the NOT NULL check quarantines the
     row). ``compat=True`` reproduces the reference's ``str(NaN)`` = ``"nan"``."""
-    s = _col(c).cast("string")
-    if compat:
-        return F.coalesce(s, F.lit("nan"))
-    return s
+    return f"coalesce({_s(c)}, 'nan')" if compat else _s(c)
+
+
+def _name(c: Column | str) -> str:
+    if not isinstance(c, str):
+        raise TypeError("parsers take a column name")
+    return c
+
+
+def parse_date(c: str, formats: tuple[str, ...] = DEFAULT_DATE_FORMATS) -> Column:
+    return F.expr(parse_date_sql(_name(c), formats))
+
+
+def parse_bool(c: str) -> Column:
+    return F.expr(parse_bool_sql(_name(c)))
+
+
+def parse_int(c: str) -> Column:
+    return F.expr(parse_int_sql(_name(c)))
+
+
+def parse_double(c: str) -> Column:
+    return F.expr(parse_double_sql(_name(c)))
+
+
+def optional_text(c: str) -> Column:
+    return F.expr(optional_text_sql(_name(c)))
+
+
+def required_text(c: str, compat: bool = False) -> Column:
+    return F.expr(required_text_sql(_name(c), compat))

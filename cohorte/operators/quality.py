@@ -9,12 +9,14 @@ from pyspark.sql import types as T
 
 from cohorte.functions.parse import (
     DEFAULT_DATE_FORMATS,
-    optional_text,
-    parse_bool,
-    parse_date,
-    parse_double,
-    parse_int,
-    required_text,
+    lit_sql,
+    optional_text_sql,
+    parse_bool_sql,
+    parse_date_sql,
+    parse_double_sql,
+    parse_int_sql,
+    q,
+    required_text_sql,
 )
 from cohorte.schemas import TableSpec
 
@@ -24,20 +26,21 @@ REASONS = "_motivos"
 SINGULAR = {"paciente": "paciente", "consulta": "consulta", "laboratorio": "laboratorio"}
 
 
-def _parser(f: T.StructField, formats: tuple[str, ...], compat: bool) -> Column:
-    c = F.col(f.name)
+def _parser_sql(f: T.StructField, formats: tuple[str, ...], compat: bool) -> str:
     t = f.dataType
     if isinstance(t, T.DateType):
-        return parse_date(c, formats)
+        return parse_date_sql(f.name, formats)
     if isinstance(t, T.BooleanType):
-        return parse_bool(c)
-    if isinstance(t, (T.IntegerType, T.LongType)):
-        return parse_int(c).cast(t)
+        return parse_bool_sql(f.name)
+    if isinstance(t, T.IntegerType):
+        return parse_int_sql(f.name, "INT")
+    if isinstance(t, T.LongType):
+        return parse_int_sql(f.name, "BIGINT")
     if isinstance(t, T.DoubleType):
-        return parse_double(c)
+        return parse_double_sql(f.name)
     if f.nullable:
-        return optional_text(c)
-    return required_text(c, compat)
+        return optional_text_sql(f.name)
+    return required_text_sql(f.name, compat)
 
 
 def parse_sheet(
@@ -48,36 +51,37 @@ def parse_sheet(
 ) -> DataFrame:
     """I1-I5 + I10: cast every raw cell to the declared type and collect the
     reasons a row cannot be stored (unparseable value, missing required
-    value) in an array column. Nothing fails; nothing is dropped."""
+    value) in an array column. Nothing fails; nothing is dropped.
+
+    Built as SQL expression text and sent in one ``selectExpr``."""
     cols, reasons = [], []
     for f in spec.schema.fields:
-        parsed = _parser(f, formats, compat)
-        cols.append(parsed.alias(f.name))
+        parsed = _parser_sql(f, formats, compat)
+        cols.append(f"{parsed} AS {q(f.name)}")
         if f.name not in raw.columns:
             continue
-        src = F.col(f.name)
+        src = f"CAST({q(f.name)} AS STRING)"
         # Empty text and the text form of NaN are missing values
-        txt = F.lower(F.trim(src.cast("string")))
-        present = src.isNotNull() & (txt != F.lit("")) & (txt != F.lit("nan"))
+        present = f"({src} IS NOT NULL AND lower(trim({src})) NOT IN ('', 'nan'))"
+        invalid = f"format_string({lit_sql(f.name + ': valor no válido ' + chr(39) + '%s' + chr(39))}, {src})"
         if not f.nullable:
             reasons.append(
-                F.when(~present, F.lit(f"{f.name}: valor requerido ausente")).when(
-                    parsed.isNull(), F.format_string(f"{f.name}: valor no válido '%s'", src.cast("string"))
-                )
+                f"CASE WHEN NOT {present} THEN {lit_sql(f.name + ': valor requerido ausente')} "
+                f"WHEN ({parsed}) IS NULL THEN {invalid} END"
             )
         elif not isinstance(f.dataType, T.StringType):
-            reasons.append(
-                F.when(present & parsed.isNull(), F.format_string(f"{f.name}: valor no válido '%s'", src.cast("string")))
-            )
-    extra = [c for c in raw.columns if c not in spec.columns]
-    return raw.select(*cols, *[F.col(c) for c in extra], F.array_compact(F.array(*reasons)).alias(REASONS))
+            reasons.append(f"CASE WHEN {present} AND ({parsed}) IS NULL THEN {invalid} END")
+    extra = [q(c) for c in raw.columns if c not in spec.columns]
+    arr = f"array_compact(array({', '.join(reasons)}))" if reasons else "CAST(array() AS ARRAY<STRING>)"
+    return raw.selectExpr(*cols, *extra, f"{arr} AS {REASONS}")
 
 
 def split_valid(parsed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Good rows (declared columns only) and quarantined rows
     ``(tabla, clave, motivos, mensaje)``."""
-    good = parsed.where(F.size(REASONS) == 0).select(*spec.columns, *[c for c in parsed.columns if c not in spec.columns and c != REASONS])
-    bad = quarantine_rows(parsed.where(F.size(REASONS) > 0), spec, F.col(REASONS))
+    extra = [c for c in parsed.columns if c not in spec.columns and c != REASONS]
+    good = parsed.where(f"size({REASONS}) = 0").select(*spec.columns, *extra)
+    bad = quarantine_rows(parsed.where(f"size({REASONS}) > 0"), spec, F.col(REASONS))
     return good, bad
 
 
@@ -92,8 +96,8 @@ def dedupe_last(df: DataFrame, key: str, order_col: str) -> DataFrame:
     (last wins). An aggregate (``max_by``) rather than a window, so the rows
     of a hot key are combined map-side before the shuffle."""
     others = [c for c in df.columns if c != key]
-    packed = F.struct(*[F.col(c) for c in others])
-    return df.groupBy(key).agg(F.max_by(packed, F.col(order_col)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
+    packed = f"max_by(struct({', '.join(q(c) for c in others)}), {q(order_col)}) AS _r"
+    return df.groupBy(key).agg(F.expr(packed)).selectExpr(q(key), *[f"_r.{q(c)} AS {q(c)}" for c in others])
 
 
 def pk_duplicates(df: DataFrame, key: str) -> DataFrame:

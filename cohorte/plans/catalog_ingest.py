@@ -3,6 +3,8 @@ fixture tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,18 @@ from cohorte.operators.quality import REASONS, fk_orphans, parse_sheet, pk_dupli
 from cohorte.plans.ingest import ORDER, IngestResult, ingest
 from cohorte.plans.registry import register
 from cohorte.schemas import TABLES
+from cohorte.session import scratch_path
 from cohorte.sources.fixtures import raw_deliveries, raw_sheets
+from cohorte.sources.tables import version_id
 
 
 def two_deliveries(spark: SparkSession, sf_dir: str) -> IngestResult:
+    """Both deliveries into a fresh versioned store in the shared
+    checkpoint folder (versions 1 and 2)."""
+    root = scratch_path(spark, f"ingest-{uuid.uuid4().hex[:12]}")
     d1, d2 = raw_deliveries(spark, sf_dir)
-    first = ingest(d1)
-    return ingest(d2, base=first.tables)
+    first = ingest(d1, table_root=root, version=version_id(1))
+    return ingest(d2, base=first.tables, table_root=root, version=version_id(2))
 
 
 def _final(name: str):

@@ -12,6 +12,8 @@ Everything is one lazy plan per table; the only shuffles are on the key
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ from cohorte.functions.parse import DEFAULT_DATE_FORMATS
 from cohorte.operators.quality import dedupe_last, parse_sheet, quarantine_rows, split_valid
 from cohorte.operators.upsert import upsert, upsert_stats
 from cohorte.schemas import TABLES
+from cohorte.sources.tables import read_version, write_version
 
 ORDER = ("paciente", "consulta", "laboratorio")
 ROW_ORDER = "_fila"
@@ -33,6 +36,16 @@ class IngestResult:
     errors: DataFrame
 
 
+def _stager(spark: SparkSession, root: str, name: str, version: str) -> Callable[[DataFrame], DataFrame]:
+    path = os.path.join(root, "_staging", name, f"version={version}")
+
+    def run(df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    return run
+
+
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
     """An empty table with the declared schema (a local relation, which the
     optimizer folds away in the first upsert)."""
@@ -48,28 +61,36 @@ def ingest_table(
     order_col: str = ROW_ORDER,
     formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
     compat: bool = False,
+    materialise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One sheet into one table: returns (merged table, stats row, errors).
 
-    ``parents`` is the (merged) patient table for child sheets."""
+    ``parents`` is the (merged) patient table for child sheets. When
+    ``materialise`` is given, the parsed and FK-flagged batch is written once
+    through it, and the merge, the statistics and the quarantine all read
+    that copy instead of parsing the batch again."""
     spec = TABLES[name]
     if order_col not in raw.columns:
         raw = raw.withColumn(order_col, F.monotonically_increasing_id())
-    good, bad = split_valid(parse_sheet(raw, spec, formats, compat), spec)
-    table_errors = bad
+    parsed = parse_sheet(raw, spec, formats, compat)
     if spec.parent_key:
         if parents is None:
             raise ValueError(f"{name} necesita la tabla de pacientes")
         keys = parents.select(F.col("id_paciente").alias(spec.parent_key), F.lit(True).alias("_padre"))
         # one left join flags both outcomes: kept rows and orphans
-        flagged = good.join(keys, spec.parent_key, "left")
+        parsed = parsed.join(keys, spec.parent_key, "left")
+    if materialise is not None:
+        parsed = materialise(parsed)
+    good, bad = split_valid(parsed, spec)
+    table_errors = bad
+    if spec.parent_key:
         orphans = quarantine_rows(
-            flagged.where(F.col("_padre").isNull()),
+            good.where(F.col("_padre").isNull()),
             spec,
             F.array(F.format_string("id_paciente: paciente inexistente (%s)", F.col(spec.parent_key))),
         )
         table_errors = bad.unionByName(orphans)
-        good = flagged.where(F.col("_padre")).drop("_padre")
+        good = good.where(F.col("_padre")).drop("_padre")
     good = dedupe_last(good, spec.key, order_col).select(*spec.columns)
     merged = upsert(base, good, spec.key)
     counts = upsert_stats(base, good, spec.key)
@@ -86,9 +107,16 @@ def ingest(
     order_col: str = ROW_ORDER,
     formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
     compat: bool = False,
+    table_root: str | None = None,
+    version: str | None = None,
 ) -> IngestResult:
     """Merge one batch of raw sheets into ``base`` (empty tables if None).
 
+    With ``table_root`` every merged table is written as version
+    ``version`` of the versioned store and read back before the next sheet
+    uses it: the children's FK check and the caller then read the written
+    table instead of recomputing the upsert, and the lineage is cut.
+
     ``order_col`` orders rows inside the batch (last wins for a repeated
     key). When a sheet lacks it, the scan order is used
     (``monotonically_increasing_id``, stable for the same input files)."""
@@ -100,7 +128,15 @@ def ingest(
     merged: dict[str, DataFrame] = {}
     stats, errors = [], []
     for name in ORDER:
-        m, st, err = ingest_table(batch[name], name, base[name], merged.get("paciente"), order_col, formats, compat)
+        stage = None
+        if table_root is not None:
+            if version is None:
+                raise ValueError("version is required with table_root")
+            stage = _stager(spark, table_root, name, version)
+        m, st, err = ingest_table(batch[name], name, base[name], merged.get("paciente"), order_col, formats, compat, stage)
+        if table_root is not None:
+            write_version(m, table_root, name, version)
+            m = read_version(spark, table_root, name, version)
         merged[name] = m
         stats.append(st)
         errors.append(err)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the fixture mapping (FIXTURES.md section 3).
@@ -35,72 +35,75 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _pick(index: Column, values: list[str]) -> Column:
-    expr = F.when(index == 0, F.lit(values[0]))
-    for i, v in enumerate(values[1:], start=1):
-        expr = expr.when(index == i, F.lit(v))
-    return expr
+def _pick_sql(index: str, values: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {index} {arms} END"
 
 
-def _epoch_plus(days: Column) -> Column:
-    return F.date_add(F.lit(EPOCH).cast("date"), days.cast("int"))
+def _epoch_plus_sql(days: str) -> str:
+    return f"date_add(DATE'{EPOCH}', CAST({days} AS INT))"
 
 
+# The projections are SQL expression text: one call to the JVM per
+# projection instead of one per expression node.
 def paciente_from_customer(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    return customer.select(
-        F.concat(F.lit("P"), k.cast("string")).alias("id_paciente"),
-        F.when(k % 2 == 0, F.lit("F")).otherwise(F.lit(" m ")).alias("sexo"),
-        F.when(k % 11 == 5, F.lit(None)).otherwise(18 + k % 73).cast("int").alias("edad"),
-        F.when(k % 17 == 0, F.lit(None))
-        .when(k % 5 == 0, F.lit("rural"))
-        .otherwise(F.lit("URBANA "))
-        .alias("zona_residencia"),
-        _epoch_plus(k % 900).alias("fecha_dx"),
-        F.col("c_mktsegment").alias("tipo_cancer"),
-        _pick(k % 4, ESTADIO_BY_MOD4).alias("estadio"),
-        F.when(k % 23 == 0, F.lit(None))
-        .otherwise(_pick(F.col("c_nationkey") % 3, ASEGURADORA_BY_NATION_MOD3))
-        .alias("aseguradora"),
-        (F.col("c_acctbal") > 2000).alias("adherencia_12m"),
+    k = "c_custkey"
+    return customer.selectExpr(
+        f"concat('P', CAST({k} AS STRING)) AS id_paciente",
+        f"CASE WHEN {k} % 2 = 0 THEN 'F' ELSE ' m ' END AS sexo",
+        f"CAST(CASE WHEN {k} % 11 = 5 THEN NULL ELSE 18 + {k} % 73 END AS INT) AS edad",
+        f"CASE WHEN {k} % 17 = 0 THEN NULL WHEN {k} % 5 = 0 THEN 'rural' ELSE 'URBANA ' END AS zona_residencia",
+        f"{_epoch_plus_sql(f'{k} % 900')} AS fecha_dx",
+        "c_mktsegment AS tipo_cancer",
+        f"{_pick_sql(f'{k} % 4', ESTADIO_BY_MOD4)} AS estadio",
+        f"CASE WHEN {k} % 23 = 0 THEN NULL ELSE {_pick_sql('c_nationkey % 3', ASEGURADORA_BY_NATION_MOD3)} END AS aseguradora",
+        "c_acctbal > 2000 AS adherencia_12m",
     )
 
 
 def consulta_from_orders(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    return orders.where(F.col("o_custkey") % 10 != 3).select(
-        F.concat(F.lit("C"), k.cast("string")).alias("id_consulta"),
-        F.col("o_orderdate").cast("date").alias("fecha_consulta"),
-        F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("motivo"),
-        F.col("o_orderpriority").alias("prioridad"),
-        F.concat(F.lit("E"), (k % 7).cast("string")).alias("especialista"),
-        F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("id_paciente"),
+    k = "o_orderkey"
+    return orders.where("o_custkey % 10 <> 3").selectExpr(
+        f"concat('C', CAST({k} AS STRING)) AS id_consulta",
+        "CAST(o_orderdate AS DATE) AS fecha_consulta",
+        f"CASE WHEN {k} % 4 = 0 THEN NULL ELSE o_orderstatus END AS motivo",
+        "o_orderpriority AS prioridad",
+        f"concat('E', CAST({k} % 7 AS STRING)) AS especialista",
+        "concat('P', CAST(o_custkey AS STRING)) AS id_paciente",
     )
 
 
 def laboratorio_from_events(events: DataFrame) -> DataFrame:
-    k = F.col("event_id")
-    tipo = F.lit(None).cast("string")
-    for ev, name in TIPO_PRUEBA_BY_EVENT.items():
-        tipo = F.when(F.col("event_type") == ev, F.lit(name)).otherwise(tipo)
-    return events.select(
-        F.concat(F.lit("L"), k.cast("string")).alias("id_lab"),
-        _epoch_plus((k * 7) % 1500).alias("fecha_muestra"),
-        tipo.alias("tipo_prueba"),
-        F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("event_type")).alias("resultado"),
-        F.when(k % 2 == 0, F.lit(None)).otherwise(F.col("value") * 10).alias("resultado_numerico"),
-        F.when(k % 10 == 0, F.lit(None)).otherwise(F.lit("ng/ml")).alias("unidad"),
-        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("id_paciente"),
+    k = "event_id"
+    arms = " ".join(f"WHEN '{ev}' THEN '{name}'" for ev, name in TIPO_PRUEBA_BY_EVENT.items())
+    return events.selectExpr(
+        f"concat('L', CAST({k} AS STRING)) AS id_lab",
+        f"{_epoch_plus_sql(f'({k} * 7) % 1500')} AS fecha_muestra",
+        f"CASE event_type {arms} END AS tipo_prueba",
+        f"CASE WHEN {k} % 3 = 0 THEN NULL ELSE event_type END AS resultado",
+        f"CASE WHEN {k} % 2 = 0 THEN NULL ELSE value * 10 END AS resultado_numerico",
+        f"CASE WHEN {k} % 10 = 0 THEN NULL ELSE 'ng/ml' END AS unidad",
+        "concat('P', CAST(user_id AS STRING)) AS id_paciente",
     )
 
 
+_PLANS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def clinical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three clinical tables over the driver's parquet files (lazy)."""
-    return {
-        "paciente": paciente_from_customer(read_table(spark, sf_dir, "customer")),
-        "consulta": consulta_from_orders(read_table(spark, sf_dir, "orders")),
-        "laboratorio": laboratorio_from_events(read_table(spark, sf_dir, "events")),
-    }
+    """The three clinical tables over the driver's parquet files (lazy).
+
+    The lazy plans are memoised per session and folder: building them is
+    pure driver work, and a DataFrame is an immutable plan, so reusing it
+    holds no data and changes no result."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _PLANS:
+        _PLANS[key] = {
+            "paciente": paciente_from_customer(read_table(spark, sf_dir, "customer")),
+            "consulta": consulta_from_orders(read_table(spark, sf_dir, "orders")),
+            "laboratorio": laboratorio_from_events(read_table(spark, sf_dir, "events")),
+        }
+    return dict(_PLANS[key])
 
 
 # Fixed values of the two fixture deliveries used to exercise ingest: the

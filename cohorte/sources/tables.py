@@ -47,6 +47,10 @@ def write_version(df: DataFrame, root: str, name: str, version: str) -> str:
     return path
 
 
+def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
+    return spark.read.schema(TABLES[name].schema).parquet(os.path.join(root, name, f"version={version}"))
+
+
 def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     versions = list_versions(spark, root, name)
     if not versions:
