@@ -447,3 +447,21 @@ class IQRWinsoriserModel(Model, _Json, DefaultParamsReadable, DefaultParamsWrita
             out = out.unionByName(p)
         w = Window.partitionBy("campo").orderBy("valor")
         return out.withColumn("orden", F.row_number().over(w)).where(F.col("orden") <= k).select("campo", "orden", "valor")
+
+
+# --------------------------------------------------------------------------
+# C14
+# --------------------------------------------------------------------------
+
+
+def fill_residual_missing(df: DataFrame) -> DataFrame:
+    """C14: NULL/NaN left in numeric columns of the feature table become 0
+    (a safety net; the feature query already emits none). Lazy: no count
+    is forced here."""
+    cols = numeric_columns(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fixed = {}
+    for c in cols:
+        x = nan_to_null(F.col(c)) if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.col(c)
+        fixed[c] = F.coalesce(x, F.lit(0)).cast(types[c])
+    return df.withColumns(fixed) if fixed else df

@@ -73,12 +73,35 @@ def load_sheets(spark: SparkSession, path: str, fmt: str = "csv") -> dict[str, D
     return out
 
 
+def table_ddl(name: str, location: str) -> str:
+    """``CREATE TABLE`` text for a clinical table (constraints are the
+    checks of :mod:`cohorte.operators.quality`, not DDL)."""
+    spec = TABLES[name]
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}" for f in spec.schema.fields)
+    return f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet LOCATION '{os.path.join(location, name)}'"
+
+
+def create_tables(spark: SparkSession, location: str) -> list[str]:
+    """Create the three tables in the session catalog."""
+    for name in TABLES:
+        spark.sql(table_ddl(name, location))
+    return list(TABLES)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    for name in reversed(list(TABLES)):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def write_feature_csv(df: DataFrame, folder: str, run_ts: str) -> dict:
     """The feature dataset as header CSV under
     ``<folder>/dataset_modelado_<run_ts>``; returns path, rows and a
     description (the row count is a cheap aggregate over the written
     files, not a second computation of the features)."""
+    from cohorte.operators.clean import fill_residual_missing
+
     path = os.path.join(folder, f"dataset_modelado_{run_ts}")
+    df = fill_residual_missing(df)
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
     n = df.sparkSession.read.option("header", True).csv(path).count()
     return {
