@@ -46,7 +46,8 @@ IMPUTE_DEFAULTS: dict[str, Any] = {
     "resultado_numerico": 0.0,
 }
 HIGH_NULL_RATE = 20.0
-EXACT_LIMIT = 50_000_000
+# exact percentile keeps a value->count map in one final task per column
+EXACT_LIMIT = 10_000_000
 
 
 def text_columns(df: DataFrame, exclude: list[str] | tuple[str, ...] = ()) -> list[str]:

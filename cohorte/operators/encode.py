@@ -19,12 +19,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_VOCABULARY = 100_000
+# a vocabulary becomes a literal map inside generated code: keep it small;
+# larger category sets go through vocabulary() and a join
+MAX_VOCABULARY = 10_000
 
 
-def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """M1 as a DataFrame: (campo, valor, codigo) with codes in sorted order.
-    The row_number runs per column over *distinct* values only."""
+def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = [
         df.select(F.lit(c).alias("campo"), F.col(c).cast("string").alias("valor")).where(F.col("valor").isNotNull())
         for c in columns
@@ -32,8 +32,15 @@ def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
     vals = parts[0]
     for p in parts[1:]:
         vals = vals.unionByName(p)
+    return vals.distinct()
+
+
+def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """M1 as a DataFrame: (campo, valor, codigo) with codes in sorted order.
+    The row_number runs per column over its *distinct* values, i.e. over a
+    category vocabulary (see ``LabelVocabulary`` for the size check)."""
     w = Window.partitionBy("campo").orderBy("valor")
-    return vals.distinct().withColumn("codigo", (F.row_number().over(w) - 1).cast("int"))
+    return _distinct_values(df, columns).withColumn("codigo", (F.row_number().over(w) - 1).cast("int"))
 
 
 class LabelVocabulary(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -50,14 +57,17 @@ class LabelVocabulary(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, df: DataFrame) -> "LabelVocabularyModel":
         cols = self.getOrDefault(self.inputCols)
         limit = self.getOrDefault(self.maxVocabulary)
-        vocab = vocabulary(df, cols)
-        sizes = {r["campo"]: r["n"] for r in vocab.groupBy("campo").agg(F.count(F.lit(1)).alias("n")).collect()}
+        values = _distinct_values(df, cols).persist()
+        # size first (one number per column), values only when bounded
+        sizes = {r["campo"]: r["n"] for r in values.groupBy("campo").agg(F.count(F.lit(1)).alias("n")).collect()}
         too_big = [c for c, n in sizes.items() if n > limit]
         if too_big:
+            values.unpersist()
             raise ValueError(f"vocabulario demasiado grande para {too_big}: use vocabulary() y un join")
         mapping: dict[str, list[str]] = {c: [] for c in cols}
-        for r in vocab.orderBy("campo", "codigo").collect():  # size checked above
+        for r in values.orderBy("campo", "valor").collect():  # size checked above
             mapping[r["campo"]].append(r["valor"])
+        values.unpersist()
         model = LabelVocabularyModel(vocabularies=json.dumps(mapping))
         return self._copyValues(model)
 
