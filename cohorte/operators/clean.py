@@ -185,11 +185,20 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("campo", "valor")
 
 
+# Fitted quantiles are kept to this many decimals: interpolation between two
+# order statistics is computed differently by different engines (Spark
+# gives 356.32500000000005 where others give 356.325), and the bounds must
+# not depend on that last bit.
+QUANTILE_DIGITS = 9
+
+
 def _quantile_exprs(c: str, probs: list[float], approx: bool) -> Any:
     col = nan_to_null(F.col(c).cast("double"))
     if approx:
-        return F.percentile_approx(col, probs, 100000)
-    return F.percentile(col, F.array(*[F.lit(p) for p in probs]))
+        q = F.percentile_approx(col, probs, 100000)
+    else:
+        q = F.percentile(col, F.array(*[F.lit(p) for p in probs]))
+    return F.transform(q, lambda v: round_to(v, QUANTILE_DIGITS))
 
 
 class AdaptiveImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):

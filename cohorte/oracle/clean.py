@@ -54,7 +54,7 @@ def fills_cte(table: str) -> str:
             mode = f"(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
             parts.append(f"SELECT '{table}' AS tabla, '{c}' AS campo, {mode} AS valor_texto, CAST(NULL AS DOUBLE) AS valor_numerico, 'moda' AS estrategia FROM {stats} s WHERE s.pct > 0 AND s.pct < 20")
         else:
-            med = f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM {src})"
+            med = f"(SELECT ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.5), 9) FROM {src})"
             parts.append(
                 f"SELECT '{table}' AS tabla, '{c}' AS campo, CAST(NULL AS VARCHAR) AS valor_texto, CASE WHEN s.pct < 20 THEN {med} ELSE 0.0 END AS valor_numerico, "
                 f"CASE WHEN s.pct < 20 THEN 'mediana' ELSE 'cero' END AS estrategia FROM {stats} s WHERE s.pct > 0"
@@ -83,7 +83,10 @@ def bounds_cte(table: str) -> str:
     spec, keys, text, num, other = _kinds(table)
     parts = []
     for c in num:
-        q = f"SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM i_{table} WHERE {c} IS NOT NULL HAVING COUNT(*) > 0"
+        q = (
+            f"SELECT ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.25), 9) AS q1, ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.75), 9) AS q3 "
+            f"FROM i_{table} WHERE {c} IS NOT NULL HAVING COUNT(*) > 0"
+        )
         parts.append(
             f"SELECT '{table}' AS tabla, '{c}' AS campo, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS limite_inferior, "
             f"q3 + 1.5 * (q3 - q1) AS limite_superior FROM ({q})"
