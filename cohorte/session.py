@@ -20,6 +20,13 @@ DEFAULT_CONF: dict[str, str] = {
     # let AQE turn a sort-merge join into a broadcast join only when the
     # *measured* side is below this bound; nothing is broadcast on a guess
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # shuffle partitions are sized by AQE from the data: start from a high
+    # spark.sql.shuffle.partitions on a cluster (input bytes / 128 MB) and
+    # let adjacent small partitions coalesce to ~128 MB
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # a partition 5x the median and over 256 MB counts as skewed and is split
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
