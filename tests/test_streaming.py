@@ -56,3 +56,38 @@ def test_monitor_drops_late_rows(spark, scratch):
     got = {r["inicio"].time().isoformat(): r["solicitudes"] for r in spark.read.parquet(out).collect()}
     assert "09:50:00" not in got  # later than the watermark: dropped
     assert got.get("10:00:00") in (None, 2)  # emitted once the watermark passed 10:05
+
+
+def test_monitor_stream_equals_batch_on_in_order_input(spark, scratch):
+    log = os.path.join(scratch, "log")
+    batches = [[(10, 0), (10, 1)], [(10, 6), (10, 7)], [(10, 12)]]
+    for i, times in enumerate(batches):
+        _log_rows(spark, times).coalesce(1).write.mode("overwrite").json(os.path.join(log, f"b{i}"))
+    out = os.path.join(scratch, "out")
+    q = start_monitor_stream(spark, log, out, os.path.join(scratch, "chk"), available_now=True,
+                             output_mode="complete", max_files_per_trigger=1)
+    q.awaitTermination()
+    streamed = sorted((r["inicio"], r["solicitudes"], r["tasa_exito"]) for r in spark.read.parquet(out).collect())
+    all_rows = _log_rows(spark, [t for b in batches for t in b])
+    batch = sorted((r["ventana"]["start"], r["solicitudes"], r["tasa_exito"]) for r in window_metrics(all_rows).collect())
+    assert streamed == batch
+
+
+def test_scoring_stream_equals_batch(spark, scratch):
+    from cohorte.plans.catalog_ml import feature_table
+    from cohorte.plans.scoring import score_requests
+    from cohorte.plans.training import train
+    from cohorte.streaming.scoring import REQUEST_SCHEMA, start_scoring_stream
+
+    f = feature_table(spark, "/root/testdata/sf0.001").withColumn("tipo_modelo", F.lit("neural_network"))
+    model = train(f, "neural_network").model
+    reqs = f.select(*[c.name for c in REQUEST_SCHEMA.fields])
+    reqs.repartition(3).write.json(os.path.join(scratch, "req"))
+    q = start_scoring_stream(spark, model, "v1", os.path.join(scratch, "req"), os.path.join(scratch, "log"),
+                             os.path.join(scratch, "chk"), available_now=True)
+    q.awaitTermination()
+    streamed = spark.read.schema(PREDICTION_LOG).option("recursiveFileLookup", True).json(os.path.join(scratch, "log"))
+    key = lambda r: (r["success"], r["prediction"], round(r["probability"], 9))
+    batch = score_requests(model, reqs, "v1")
+    assert sorted(map(key, streamed.collect())) == sorted(map(key, batch.collect()))
+    assert streamed.where("inference_time_ms IS NULL").count() == 0
