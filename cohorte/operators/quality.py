@@ -26,9 +26,11 @@ REASONS = "_motivos"
 SINGULAR = {"paciente": "paciente", "consulta": "consulta", "laboratorio": "laboratorio"}
 
 
-def _parser_sql(f: T.StructField, formats: tuple[str, ...], compat: bool) -> str:
+def _parser_sql(f: T.StructField, formats: tuple[str, ...], compat: bool, source: T.DataType | None = None) -> str:
     t = f.dataType
     if isinstance(t, T.DateType):
+        if isinstance(source, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return f"CAST({q(f.name)} AS DATE)"  # typed sheet (e.g. Parquet): no text round trip
         return parse_date_sql(f.name, formats)
     if isinstance(t, T.BooleanType):
         return parse_bool_sql(f.name)
@@ -55,8 +57,9 @@ def parse_sheet(
 
     Built as SQL expression text and sent in one ``selectExpr``."""
     cols, reasons = [], []
+    source_types = {f.name: f.dataType for f in raw.schema.fields}
     for f in spec.schema.fields:
-        parsed = _parser_sql(f, formats, compat)
+        parsed = _parser_sql(f, formats, compat, source_types.get(f.name))
         cols.append(f"{parsed} AS {q(f.name)}")
         if f.name not in raw.columns:
             continue

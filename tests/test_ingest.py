@@ -1,3 +1,5 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from cohorte.operators.quality import dedupe_last, fk_orphans, pk_duplicates
@@ -74,3 +76,29 @@ def test_missing_sheet_is_an_error(spark):
 
     with pytest.raises(ValueError):
         ingest({"paciente": spark.createDataFrame([], P_COLS)})
+
+
+def test_typed_sheet_dates_and_compat(spark):
+    from datetime import date, datetime
+
+    from cohorte.operators.quality import parse_sheet
+    from cohorte.schemas import TABLES
+
+    raw = spark.createDataFrame(
+        [("C1", datetime(2020, 2, 1, 10, 30, 15, 123456), None, "Alta", "E1", "P1")],
+        "id_consulta string, fecha_consulta timestamp, motivo string, prioridad string, especialista string, id_paciente string",
+    )
+    r = parse_sheet(raw, TABLES["consulta"]).first()
+    assert r["fecha_consulta"] == date(2020, 2, 1) and r["_motivos"] == ["motivo: valor requerido ausente"]
+    r2 = parse_sheet(raw, TABLES["consulta"], compat=True).first()
+    assert r2["motivo"] == "nan"  # str(NaN) as the reference stores it
+
+
+def test_compat_normalises_ids(spark):
+    from cohorte.plans.cleaning import clean_table
+
+    df = spark.createDataFrame([(" p1 ", "f", 30, None, date(2020, 1, 1), "mama", "i", "x", True)],
+                               "id_paciente string, sexo string, edad int, zona_residencia string, fecha_dx date, "
+                               "tipo_cancer string, estadio string, aseguradora string, adherencia_12m boolean")
+    assert clean_table(df, "paciente").cleaned().first()["id_paciente"] == " p1 "
+    assert clean_table(df, "paciente", compat=True).cleaned().first()["id_paciente"] == "P1"
