@@ -18,7 +18,7 @@ from cohorte.plans import queries as Q
 from cohorte.plans.registry import register
 from cohorte.plans.scoring import score_requests, validate_requests
 from cohorte.plans.training import KEY, TrainingResult, prepare, score, train
-from cohorte.schemas import CATEGORICAL_FEATURES, ENCODED_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
+from cohorte.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES
 from cohorte.session import scratch_path
 from cohorte.sources.fixtures import AS_OF, clinical_tables
 from cohorte.sources.logs import append_log, last_predictions, read_log

@@ -12,11 +12,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorte.functions.labels import as_of_lit, days_between, months_back
+from cohorte.functions.labels import as_of_lit, days_between
 from cohorte.functions.numeric import round_to
 from cohorte.functions.text import harmonise_key, normalise_text
 from cohorte.operators.metrics import confusion, metric_columns
-from cohorte.operators.rollup import KEY, visit_rollup
+from cohorte.operators.rollup import KEY
 
 # Early stages (X10), adherence goal (X9), treatment-delay
 # goal in days (X11), abandonment horizon in months (X13), rollback ratio

@@ -1,7 +1,5 @@
 from datetime import date
 
-from pyspark.sql import functions as F
-
 from cohorte.functions.numeric import clip, round_to
 from cohorte.functions.parse import parse_bool, parse_date, parse_double, parse_int
 from cohorte.functions.text import harmonise_key, normalise_text

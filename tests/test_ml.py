@@ -10,7 +10,6 @@ from cohorte.plans.catalog_ml import feature_table
 from cohorte.plans.kpis import rollback_decision
 from cohorte.plans.scoring import score_requests
 from cohorte.plans.training import build_pipeline, train
-from cohorte.schemas import MODEL_REGISTRY
 from cohorte.sources.logs import append_log, last_predictions, malformed_count, read_log
 from cohorte.sources.registry import load_latest, new_version, save_model
 

@@ -1,8 +1,6 @@
 import os
-from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohorte.operators.clean import fill_residual_missing
 from cohorte.operators.encode import hash_bucket
