@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.functions.parse import DEFAULT_DATE_FORMATS
-from cohorte.operators.quality import dedupe_last, parse_sheet, quarantine_rows, split_valid
+from cohorte.operators.quality import REASONS, dedupe_last, parse_sheet, quarantine_rows, split_valid
 from cohorte.operators.upsert import upsert, upsert_stats
 from cohorte.schemas import TABLES
 from cohorte.sources.tables import read_version, write_version
@@ -79,8 +79,12 @@ def ingest_table(
         keys = parents.select(F.col("id_paciente").alias(spec.parent_key), F.lit(True).alias("_padre"))
         # one left join flags both outcomes: kept rows and orphans
         parsed = parsed.join(keys, spec.parent_key, "left")
+    n_keys = None
     if materialise is not None:
         parsed = materialise(parsed)
+        # rows that may be stored: an upper bound of the batch's keys, read
+        # from the staged copy; it decides whether the upsert may broadcast
+        n_keys = parsed.where(f"size({REASONS}) = 0").count()
     good, bad = split_valid(parsed, spec)
     table_errors = bad
     if spec.parent_key:
@@ -92,8 +96,8 @@ def ingest_table(
         table_errors = bad.unionByName(orphans)
         good = good.where(F.col("_padre")).drop("_padre")
     good = dedupe_last(good, spec.key, order_col).select(*spec.columns)
-    merged = upsert(base, good, spec.key)
-    counts = upsert_stats(base, good, spec.key)
+    merged = upsert(base, good, spec.key, n_keys)
+    counts = upsert_stats(base, good, spec.key, n_keys)
     n_err = table_errors.agg(F.count(F.lit(1)).alias("errores"))
     stats = counts.select(F.lit(name).alias("tabla"), "insertados", "actualizados").join(
         n_err.select(F.lit(name).alias("tabla"), "errores"), "tabla"

@@ -102,3 +102,19 @@ def test_compat_normalises_ids(spark):
                                "tipo_cancer string, estadio string, aseguradora string, adherencia_12m boolean")
     assert clean_table(df, "paciente").cleaned().first()["id_paciente"] == " p1 "
     assert clean_table(df, "paciente", compat=True).cleaned().first()["id_paciente"] == "P1"
+
+
+def test_upsert_broadcasts_small_batch_keys(spark):
+    from cohorte.operators.upsert import upsert_stats
+
+    base = spark.range(5000).selectExpr("concat('K', id) AS k", "id AS v")
+    batch = spark.createDataFrame([("K1", 10), ("K9999", 11)], "k string, v long")
+    plan = upsert(base, batch, "k", n_keys=2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert "SortMergeJoin" not in plan
+    got = sorted(map(tuple, upsert(base, batch, "k", n_keys=2).where("k in ('K1', 'K2', 'K9999')").collect()))
+    assert got == [("K1", 10), ("K2", 2), ("K9999", 11)]
+    st = upsert_stats(base, batch, "k", n_keys=2).first()
+    assert (st["insertados"], st["actualizados"]) == (1, 1)
+    st2 = upsert_stats(base, batch, "k").first()  # no bound known: planner's choice, same numbers
+    assert (st2["insertados"], st2["actualizados"]) == (1, 1)
