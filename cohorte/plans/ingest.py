@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohorte.functions.parse import DEFAULT_DATE_FORMATS
 from cohorte.operators.quality import REASONS, dedupe_last, parse_sheet, quarantine_rows, split_valid
-from cohorte.operators.upsert import upsert, upsert_stats
+from cohorte.operators.upsert import BROADCAST_KEYS, upsert, upsert_stats
 from cohorte.schemas import TABLES
 from cohorte.sources.tables import read_version, write_version
 
@@ -53,6 +53,22 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def _existing_parents(batch: DataFrame, parents: DataFrame, fk: str, n_rows: int | None) -> DataFrame:
+    """Parent keys of the batch that exist, flagged ``_padre``.
+
+    The patient table is large and the batch's distinct parent keys are
+    few: when the batch is bounded (``n_rows`` <= BROADCAST_KEYS), its
+    distinct keys are broadcast into a semi-join with the patient table, so
+    the patient table is scanned but never shuffled; the found keys (no
+    more than the batch's) are broadcast back. Otherwise the planner joins."""
+    keys = parents.select(F.col("id_paciente").alias(fk))
+    if n_rows is not None and n_rows <= BROADCAST_KEYS:
+        wanted = batch.select(fk).where(F.col(fk).isNotNull()).distinct()
+        found = keys.join(F.broadcast(wanted), fk, "left_semi")
+        return F.broadcast(found.withColumn("_padre", F.lit(True)))
+    return keys.withColumn("_padre", F.lit(True))
+
+
 def ingest_table(
     raw: DataFrame,
     name: str,
@@ -66,25 +82,24 @@ def ingest_table(
     """One sheet into one table: returns (merged table, stats row, errors).
 
     ``parents`` is the (merged) patient table for child sheets. When
-    ``materialise`` is given, the parsed and FK-flagged batch is written once
-    through it, and the merge, the statistics and the quarantine all read
-    that copy instead of parsing the batch again."""
+    ``materialise`` is given, the parsed batch is written once through it,
+    and the FK check, the merge, the statistics and the quarantine all read
+    that copy instead of parsing the batch again; its row count then bounds
+    the broadcasts of the FK check and of the upsert."""
     spec = TABLES[name]
     if order_col not in raw.columns:
         raw = raw.withColumn(order_col, F.monotonically_increasing_id())
     parsed = parse_sheet(raw, spec, formats, compat)
-    if spec.parent_key:
-        if parents is None:
-            raise ValueError(f"{name} necesita la tabla de pacientes")
-        keys = parents.select(F.col("id_paciente").alias(spec.parent_key), F.lit(True).alias("_padre"))
-        # one left join flags both outcomes: kept rows and orphans
-        parsed = parsed.join(keys, spec.parent_key, "left")
     n_keys = None
     if materialise is not None:
         parsed = materialise(parsed)
         # rows that may be stored: an upper bound of the batch's keys, read
         # from the staged copy; it decides whether the upsert may broadcast
         n_keys = parsed.where(f"size({REASONS}) = 0").count()
+    if spec.parent_key:
+        if parents is None:
+            raise ValueError(f"{name} necesita la tabla de pacientes")
+        parsed = parsed.join(_existing_parents(parsed, parents, spec.parent_key, n_keys), spec.parent_key, "left")
     good, bad = split_valid(parsed, spec)
     table_errors = bad
     if spec.parent_key:
