@@ -141,6 +141,19 @@ class TextNormaliser(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         )
 
 
+def examples_map(examples: DataFrame) -> DataFrame:
+    """C3 in the reference's shape: one row per column with
+    ``ejemplos_cambios`` as a map old -> new. Built from the at most k rows
+    per column of :meth:`TextNormaliser.examples`, so the collect is bounded."""
+    ordered = F.array_sort(F.collect_list(F.struct("orden", "valor_original", "valor_normalizado")))
+    return examples.groupBy("campo").agg(
+        F.map_from_arrays(
+            F.transform(ordered, lambda e: e["valor_original"]),
+            F.transform(ordered, lambda e: e["valor_normalizado"]),
+        ).alias("ejemplos_cambios")
+    )
+
+
 # --------------------------------------------------------------------------
 # C4 - C7
 # --------------------------------------------------------------------------
@@ -475,3 +488,11 @@ def fill_residual_missing(df: DataFrame) -> DataFrame:
         x = nan_to_null(F.col(c)) if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.col(c)
         fixed[c] = F.coalesce(x, F.lit(0)).cast(types[c])
     return df.withColumns(fixed) if fixed else df
+
+
+def outlier_lists(values: DataFrame) -> DataFrame:
+    """C10 in the reference's shape: ``valores_outliers`` as an ascending
+    list per column, from the at most 20 rows per column of
+    :meth:`IQRWinsoriserModel.outlier_values` (bounded collect)."""
+    ordered = F.array_sort(F.collect_list(F.struct("orden", "valor")))
+    return values.groupBy("campo").agg(F.transform(ordered, lambda e: e["valor"]).alias("valores_outliers"))

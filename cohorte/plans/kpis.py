@@ -90,10 +90,16 @@ def patients_by_type(paciente: DataFrame) -> DataFrame:
     return paciente.groupBy("tipo_cancer").agg(F.count(F.lit(1)).alias("pacientes"))
 
 
-def visits_by_month(consulta: DataFrame) -> DataFrame:
+def _distinct(c: str, approx: bool) -> Column:
+    """A4: exact distinct count, or the HyperLogLog++ sketch (mergeable,
+    bounded memory per group, ~2 % error) when ``approx``."""
+    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+
+
+def visits_by_month(consulta: DataFrame, approx: bool = False) -> DataFrame:
     """X5b."""
     m = F.trunc("fecha_consulta", "month").alias("mes")
-    return consulta.groupBy(m).agg(F.count(F.lit(1)).alias("consultas"), F.count_distinct(KEY).alias("pacientes"))
+    return consulta.groupBy(m).agg(F.count(F.lit(1)).alias("consultas"), _distinct(KEY, approx).alias("pacientes"))
 
 
 def lab_means_by_month(laboratorio: DataFrame) -> DataFrame:
@@ -141,10 +147,10 @@ def time_to_treatment(
     )
 
 
-def visits_by_specialist(consulta: DataFrame) -> DataFrame:
+def visits_by_specialist(consulta: DataFrame, approx: bool = False) -> DataFrame:
     """X12."""
     return consulta.groupBy("especialista").agg(
-        F.count(F.lit(1)).alias("consultas"), F.count_distinct(KEY).alias("pacientes")
+        F.count(F.lit(1)).alias("consultas"), _distinct(KEY, approx).alias("pacientes")
     )
 
 

@@ -103,3 +103,15 @@ def test_null_rates_counts_nan(spark):
     df = _frame(spark, [(float("nan"),), (None,), (1.0,), (2.0,)], "x double")
     r = null_rates(df).first()
     assert r["valores_nulos"] == 2 and r["porcentaje"] == 50.0
+
+
+def test_reference_shaped_reports(spark):
+    from cohorte.operators.clean import examples_map, outlier_lists
+
+    df = _frame(spark, [("b ",), ("a ",), ("A",), ("c ",)], "t string")
+    m = examples_map(TextNormaliser().examples(df, k=2)).first()
+    assert m["ejemplos_cambios"] == {"a ": "A", "b ": "B"}
+    vals = [1.0, 2.0, 2.5, 3.0, 4.0, 100.0, -50.0, 200.0]
+    xdf = _frame(spark, [(v,) for v in vals], "x double")
+    model = IQRWinsoriser().fit(xdf)
+    assert outlier_lists(model.outlier_values(xdf)).first()["valores_outliers"] == [-50.0, 100.0, 200.0]
