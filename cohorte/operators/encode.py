@@ -35,12 +35,19 @@ def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return vals.distinct()
 
 
-def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
+def vocabulary(df: DataFrame, columns: list[str], max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
     """M1 as a DataFrame: (campo, valor, codigo) with codes in sorted order.
-    The row_number runs per column over its *distinct* values, i.e. over a
-    category vocabulary (see ``LabelVocabulary`` for the size check)."""
+
+    The numbering is a row_number per column over its distinct values, i.e.
+    one task per column; the size of every vocabulary is checked first (one
+    small job), so that task holds at most ``max_vocabulary`` rows."""
+    values = _distinct_values(df, columns)
+    sizes = values.groupBy("campo").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per column
+    too_big = [r["campo"] for r in sizes if r["n"] > max_vocabulary]
+    if too_big:
+        raise ValueError(f"vocabulario demasiado grande para {too_big}")
     w = Window.partitionBy("campo").orderBy("valor")
-    return _distinct_values(df, columns).withColumn("codigo", (F.row_number().over(w) - 1).cast("int"))
+    return values.withColumn("codigo", (F.row_number().over(w) - 1).cast("int"))
 
 
 class LabelVocabulary(Estimator, DefaultParamsReadable, DefaultParamsWritable):
