@@ -226,6 +226,16 @@ def population_stability(expected: DataFrame, actual: DataFrame, columns: list[s
     return out
 
 
+def drift_against_log(train_features: DataFrame, log: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
+    """X17 as described: PSI of each numeric model input between the
+    training data and the requests recorded in the prediction log."""
+    from cohorte.schemas import NUMERIC_FEATURES
+
+    cols = columns or NUMERIC_FEATURES
+    served = log.where(F.col("success")).select("input_features.*").select(*cols)
+    return population_stability(train_features.select(*cols), served, cols, bins)
+
+
 def rollback_decision(registry: DataFrame, metric: str = "test_f1_score", ratio: float = ROLLBACK_RATIO) -> DataFrame:
     """Per model type, compare the newest version with the previous
     one; roll back when new < ratio * previous."""

@@ -93,3 +93,17 @@ def test_rollback_decision(spark):
     reg = spark.createDataFrame(rows, "model_type string, version string, trained_at timestamp, metrics map<string,double>")
     got = {r["model_type"]: (r["revertir"], r["version_servida"]) for r in rollback_decision(reg).collect()}
     assert got == {"xgboost": (True, "v1"), "neural_network": (False, "v2")}
+
+
+def test_drift_against_log(spark):
+    from cohorte.plans.kpis import drift_against_log
+    from cohorte.plans.training import prepare
+
+    f = prepare(feature_table(spark, SF))
+    res = train(feature_table(spark, SF), "neural_network")
+    log = score_requests(res.model, f.withColumn("tipo_modelo", F.lit("neural_network")), "v1", at=datetime(2024, 1, 1))
+    psi = {r["campo"]: r["psi"] for r in drift_against_log(f, log, ["edad", "count_consultas"]).collect()}
+    assert set(psi) == {"edad", "count_consultas"}
+    assert all(abs(v) < 1e-9 for v in psi.values())  # same population: no drift
+    shifted = log.withColumn("input_features", F.col("input_features").withField("edad", F.col("input_features.edad") + 40))
+    assert {r["campo"]: r["psi"] for r in drift_against_log(f, shifted, ["edad"]).collect()}["edad"] > 1.0
