@@ -12,8 +12,10 @@ handful of numbers per column to the driver. Reports are separate methods
 that return DataFrames.
 
 Scale notes: exact quantiles (``percentile``) keep a value->count map per
-column, which is fine up to ``exact_limit`` non-null values; above it the
-stages switch to ``percentile_approx`` (documented deviation). Modes are
+column, which is fine up to ``exact_limit`` rows; above it the stages switch
+to ``percentile_approx`` (documented deviation). The imputer knows the row
+count from its null-rate pass; the winsoriser uses the optimizer's estimate
+(no extra pass over the data). Modes are
 computed as a distributed ``groupBy(column, value)`` + top-1 per column,
 never as an in-memory map of all values.
 """
@@ -69,6 +71,25 @@ def _stack(df: DataFrame, cols: list[str], value_type: str = "string") -> DataFr
     ).select("s.campo", "s.valor")
 
 
+def estimated_rows(df: DataFrame) -> int:
+    """Row count estimated by the optimizer from file sizes (no job): the
+    exact row count when statistics hold one, else bytes / row width. A
+    source without size statistics reports Spark's default size; then the
+    rows are counted (one job)."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    rows = stats.rowCount()
+    if rows.isDefined():
+        return int(str(rows.get()))
+    size = int(str(stats.sizeInBytes()))
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
+    if size >= unknown:
+        return df.count()
+    width = max(1, int(df._jdf.schema().defaultSize()))
+    # file sizes are compressed: assume 10x so the estimate errs towards the
+    # approximate (bounded-memory) quantiles rather than the exact map
+    return size * 10 // width
+
+
 class _Json(Params):
     """Helper for JSON-valued params (fitted state that must persist)."""
 
@@ -367,19 +388,16 @@ class IQRWinsoriser(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         cols = numeric_columns(df, self.getOrDefault(self.exclude))
         bounds: dict[str, dict[str, float]] = {}
         if cols:
-            # exact first; the row count decides whether approx is needed
-            row = df.agg(
-                F.count(F.lit(1)).alias("_n"),
-                *[F.count(nan_to_null(F.col(c).cast("double"))).alias(f"_c_{c}") for c in cols],
-            ).first()
-            approx = row["_n"] > self.getOrDefault(self.exactLimit)
-            live = [c for c in cols if row[f"_c_{c}"] > 0]
-            if live:
-                q = df.agg(*[_quantile_exprs(c, [0.25, 0.75], approx).alias(c) for c in live]).first()
-                for c in live:
-                    q1, q3 = float(q[c][0]), float(q[c][1])
-                    iqr = q3 - q1
-                    bounds[c] = {"q1": q1, "q3": q3, "iqr": iqr, "inferior": q1 - k * iqr, "superior": q3 + k * iqr}
+            # one pass: the planner's row estimate (no job) picks exact or
+            # approximate quartiles; a column without values yields NULL
+            approx = estimated_rows(df) > self.getOrDefault(self.exactLimit)
+            q = df.agg(*[_quantile_exprs(c, [0.25, 0.75], approx).alias(c) for c in cols]).first()
+            for c in cols:
+                if q[c] is None or q[c][0] is None:
+                    continue
+                q1, q3 = float(q[c][0]), float(q[c][1])
+                iqr = q3 - q1
+                bounds[c] = {"q1": q1, "q3": q3, "iqr": iqr, "inferior": q1 - k * iqr, "superior": q3 + k * iqr}
         return self._copyValues(IQRWinsoriserModel(bounds=json.dumps(bounds)))
 
 
