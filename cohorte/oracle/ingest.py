@@ -106,5 +106,6 @@ SQL.update(
         "i9_fk_orphans": fk_orphans(),
         # T1 streams the same two deliveries; the table must equal Q6's
         "t1_stream_ingest_consulta": final_table("consulta"),
+        "t1_stream_ingest_laboratorio": final_table("laboratorio"),
     }
 )

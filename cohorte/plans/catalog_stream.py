@@ -48,6 +48,12 @@ def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_latest(spark, streamed_tables(spark, sf_dir), "consulta")
 
 
+@register("t1_stream_ingest_laboratorio")
+def _t1l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = streamed_tables(spark, sf_dir, names=("paciente", "laboratorio"))
+    return read_latest(spark, root, "laboratorio")
+
+
 def scored_log(spark: SparkSession, sf_dir: str) -> str:
     run = _run_dir(spark, "t2")
     res = trained(spark, sf_dir, "xgboost")
