@@ -58,3 +58,15 @@ def test_hash_bucket_and_version(spark):
 def test_minimum_size_guard(spark):
     with pytest.raises(ValueError):
         train(feature_table(spark, SF).limit(5), "neural_network")
+
+
+def test_jdbc_bucket_predicates_cover_every_row():
+    import duckdb
+
+    from cohorte.sources.jdbc import bucket_predicates
+
+    preds = bucket_predicates("id_paciente", 4, hash_sql="hash({key})")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT 'P' || i AS id_paciente FROM range(1000) r(i)")
+    counts = [con.execute(f"SELECT COUNT(*) FROM t WHERE {p}").fetchall()[0][0] for p in preds]
+    assert sum(counts) == 1000 and all(c > 0 for c in counts)
