@@ -26,21 +26,21 @@ def _run_dir(spark: SparkSession, what: str) -> str:
 
 
 def streamed_tables(spark: SparkSession, sf_dir: str, names=("paciente", "consulta")) -> str:
-    """Land both deliveries as CSV files and stream them table by table
-    (one file per micro-batch, so the second delivery upserts)."""
+    """Land the two deliveries one after the other and let the stream of
+    each sheet pick them up, as uploads arrive in time: after a delivery
+    lands, the stream resumes from its checkpoint and ingests only the new
+    files. Files keep their natural partitioning (no single-task write)."""
     run = _run_dir(spark, "t1")
-    d1, d2 = raw_deliveries(spark, sf_dir)
-    for i, d in enumerate((d1, d2)):
+    tables = os.path.join(run, "tablas")
+    for i, delivery in enumerate(raw_deliveries(spark, sf_dir)):
         for n in names:
-            d[n].coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(run, "landing", n, f"entrega={i}"))
-    for n in names:
-        # flatten: the stream reads files directly under its landing folder
-        q = start_upload_stream(
-            spark, n, os.path.join(run, "landing", n, "*"), os.path.join(run, "tablas"),
-            os.path.join(run, "_chk", n), available_now=True, max_files_per_trigger=1,
-        )
-        q.awaitTermination()
-    return os.path.join(run, "tablas")
+            delivery[n].write.mode("overwrite").option("header", True).csv(os.path.join(run, "landing", n, f"entrega={i}"))
+        for n in names:  # patients first: children are checked against them
+            q = start_upload_stream(
+                spark, n, os.path.join(run, "landing", n, "*"), tables, os.path.join(run, "_chk", n), available_now=True,
+            )
+            q.awaitTermination()
+    return tables
 
 
 @register("t1_stream_ingest_consulta")
