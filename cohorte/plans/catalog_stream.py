@@ -58,7 +58,7 @@ def scored_log(spark: SparkSession, sf_dir: str) -> str:
     run = _run_dir(spark, "t2")
     res = trained(spark, sf_dir, "xgboost")
     reqs = requests(spark, sf_dir).select(*[f.name for f in REQUEST_SCHEMA.fields])
-    reqs.repartition(4).write.mode("overwrite").json(os.path.join(run, "solicitudes"))
+    reqs.write.mode("overwrite").json(os.path.join(run, "solicitudes"))
     q = start_scoring_stream(
         spark, res.model, "stream-v1", os.path.join(run, "solicitudes"), os.path.join(run, "log"),
         os.path.join(run, "_chk"), available_now=True,
