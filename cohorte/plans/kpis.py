@@ -66,9 +66,13 @@ def split_by(paciente: DataFrame, by: str, dims: tuple[str, ...]) -> DataFrame:
 def recently_active(paciente: DataFrame, consulta: DataFrame, laboratorio: DataFrame, as_of: date | str | None, days: int = 90) -> DataFrame:
     """Patients with a visit or a lab in the ``days`` before ``as_of``."""
     since = F.date_sub(as_of_lit(as_of), days)
+    # distinct first: a hot patient's recent rows collapse map-side, so the
+    # semi-join's build side holds each patient once (AQE cannot split a
+    # skewed build side)
     touched = (
         consulta.where(F.col("fecha_consulta") >= since).select(KEY)
         .unionByName(laboratorio.where(F.col("fecha_muestra") >= since).select(KEY))
+        .distinct()
     )
     return paciente.join(touched, KEY, "left_semi")
 
