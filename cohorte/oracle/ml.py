@@ -1,4 +1,4 @@
-"""Oracle SQL for the SQL-expressible ML steps."""
+"""Oracle SQL for the SQL-expressible ML steps (M1-M4, A16/A17, I12, M12 outcomes)."""
 
 from __future__ import annotations
 
@@ -76,8 +76,22 @@ SELECT n, tp, fp, tn, fn,
        ROUND((SELECT auc FROM auc), 4) AS auc
 FROM rates"""
 
+NON_NEGATIVE = ["count_consultas", "dias_desde_diagnostico", "count_laboratorios", "avg_resultado_numerico",
+                "avg_biopsia", "avg_vph", "avg_marcador_ca125", "avg_psa", "avg_colonoscopia"]
+REASONS = ", ".join(
+    ["CASE WHEN edad IS NULL THEN 'edad: requerido' END", "CASE WHEN edad < 0 OR edad > 120 THEN 'edad: fuera de rango 0-120' END"]
+    + [f"CASE WHEN COALESCE({c}, 0.0) < 0 THEN '{c}: debe ser >= 0' END" for c in NON_NEGATIVE]
+)
+M12 = f"""
+SELECT success, error_message, COUNT(*) AS solicitudes,
+       COUNT(*) FILTER (WHERE success) AS con_prediccion_valida
+FROM (SELECT msg = '' AS success, NULLIF(msg, '') AS error_message
+      FROM (SELECT concat_ws('; ', {REASONS}) AS msg FROM ft))
+GROUP BY success, error_message"""
+
 SQL.update(
     {
+        "m12_log_outcomes": with_fixtures(M12, FEATURE_TABLE_CTES),
         "m1_label_vocabulary": with_fixtures("SELECT campo, valor, codigo FROM vocab", CTES),
         "m2_encoded_features": with_fixtures("SELECT * FROM enc", CTES),
         "m3_split": with_fixtures("SELECT id_paciente, adherencia_12m, conjunto FROM ft JOIN split USING (id_paciente)", CTES),

@@ -142,3 +142,15 @@ def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"prediction-log-{os.getpid()}-{datetime.now().strftime('%H%M%S%f')}")
     append_log(rows, path)
     return last_predictions(read_log(spark, path), 1000).drop("fecha")
+
+
+@register("m12_log_outcomes")
+def _m12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 outcomes of scoring every patient: requests per (success, error
+    message) and how many carry a valid 0/1 prediction (failures carry -1).
+    Deterministic although the probabilities are not."""
+    rows = _m11(spark, sf_dir)
+    return rows.groupBy("success", "error_message").agg(
+        F.count(F.lit(1)).alias("solicitudes"),
+        F.count_if(F.col("prediction").isin(0, 1)).alias("con_prediccion_valida"),
+    )
