@@ -92,6 +92,8 @@ GROUP BY success, error_message"""
 SQL.update(
     {
         "m12_log_outcomes": with_fixtures(M12, FEATURE_TABLE_CTES),
+        # the streamed log (T2) must have the same outcomes as batch scoring
+        "t2_stream_outcomes": with_fixtures(M12, FEATURE_TABLE_CTES),
         "m1_label_vocabulary": with_fixtures("SELECT campo, valor, codigo FROM vocab", CTES),
         "m2_encoded_features": with_fixtures("SELECT * FROM enc", CTES),
         "m3_split": with_fixtures("SELECT id_paciente, adherencia_12m, conjunto FROM ft JOIN split USING (id_paciente)", CTES),

@@ -73,6 +73,16 @@ def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PREDICTION_LOG).option("recursiveFileLookup", True).json(log)
 
 
+@register("t2_stream_outcomes")
+def _t2o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per outcome of the streamed log: must equal batch M12."""
+    log = spark.read.schema(PREDICTION_LOG).option("recursiveFileLookup", True).json(scored_log(spark, sf_dir))
+    return log.groupBy("success", "error_message").agg(
+        F.count(F.lit(1)).alias("solicitudes"),
+        F.count_if(F.col("prediction").isin(0, 1)).alias("con_prediccion_valida"),
+    )
+
+
 @register("t3_stream_monitor")
 def _t3(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = scored_log(spark, sf_dir)
