@@ -9,6 +9,7 @@ Layout
 - ``cohorte.plans``       the business queries and jobs built from operators
 - ``cohorte.sources``     readers, writers and the test-table adapter
 - ``cohorte.streaming``   Structured Streaming versions of ingest/scoring/monitoring
+- ``cohorte.oracle``      independent DuckDB SQL for every SQL-checkable registered query
 """
 
 __version__ = "0.1.0"
