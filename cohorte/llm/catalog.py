@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohorte.llm.common import table
 from cohorte.llm.near_dups import near_duplicates
+from cohorte.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +18,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates,)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    spans = F.transform("passages", lambda p: F.concat_ws(":", p["start"], p["end"]))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.array_join(spans, ",").alias("passages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op4_toxicity)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

@@ -55,22 +55,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin (len(texts) + 1)."""
-    raw = b"\n".join(texts).lower() + b"\n"
-    buf = np.frombuffer(raw, dtype=np.uint8)
-    space = _SPACE[buf]
+def word_spans(texts: list[bytes], space_of: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, where their words start and end, and where each text begins (len(texts) + 1)."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    space = space_of[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=prefix[1:])
-    words = mix((prefix[ends] - prefix[starts]) * down[starts])
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-    return words, np.searchsorted(starts, offsets)
+    return buf, edge[0::2], edge[1::2], offsets
+
+
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Sums of byte codes times powers of the base, for :func:`hash_between`."""
+    up, _ = powers(len(buf) + 1)
+    prefix = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=prefix[1:])
+    return prefix
+
+
+def hash_between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings ``starts:ends`` of the buffer summed in ``prefix``."""
+    _, down = powers(len(prefix))
+    return mix((prefix[ends] - prefix[starts]) * down[starts])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, and where each text's words begin (len(texts) + 1)."""
+    buf, starts, ends, offsets = word_spans([t.lower() for t in texts])
+    return hash_between(prefix_sums(buf), starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
@@ -79,17 +93,21 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
     With fewer than ``k`` words the whole sequence is the one shingle; no
     words, or no text, give an empty set.
     """
-    part: list[bytes] = []
-    size = 0
-    for t in texts:
-        t = t or b""
-        if part and size + len(t) > CHUNK:
-            yield from _sets(part, k)
-            part, size = [], 0
-        part.append(t)
+    whole = [t or b"" for t in texts]
+    for a, b in chunks(whole):
+        yield from _sets(whole[a:b], k)
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``texts`` of about CHUNK bytes."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > CHUNK:
+            yield first, i
+            first, size = i, 0
         size += len(t)
-    if part:
-        yield from _sets(part, k)
+    if texts:
+        yield first, len(texts)
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
