@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.llm.common import table
+from cohorte.llm import mixing
+from cohorte.llm.decontaminate import contamination
 from cohorte.llm.near_dups import near_duplicates
+from cohorte.llm.personal_data import personal_data
 from cohorte.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +27,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.array_join(spans, ",").alias("passages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op4_toxicity)}
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op10_decontamination)}
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_mixing": mixing.SQL}
