@@ -56,17 +56,20 @@ def template(raw: Column) -> Column:
     def number(x: Column) -> Column:
         return x.between("0", ":") | x.isin(NUMBER_WORDS)
 
-    def token(x: Column, i: Column) -> Column:
-        after = (i > 0) & number(F.get(raw, i - 1)) & x.isin(UNITS)
-        return F.when(x < "0", NAME).when(number(x), NUMBER).when(after, UNIT).otherwise(x)
+    def token(x: Column, before: Column) -> Column:
+        return F.when(x < "0", NAME).when(number(x), NUMBER).when(number(before) & x.isin(UNITS), UNIT).otherwise(x)
 
-    return F.transform(raw, token)
+    # the word before comes by zip_with: a lambda that names ``raw`` could have
+    # the whole tokenisation put into it, for every word
+    return F.zip_with(raw, F.slice(F.concat(F.array(F.lit("")), raw), F.lit(1), F.size(raw)), token)
 
 
 def _windows(rows: DataFrame, key: str, k: int) -> DataFrame:
     """``key, at, window`` (hash) and the raw tokens of each window of ``k`` tokens."""
-    tokens = rows.select(key, "raw", "template").filter(F.size("template") >= k)
-    placed = tokens.select(key, "raw", "template", F.explode(F.sequence(F.lit(0), F.size("template") - k)).alias("at"))
+    # outer: Spark would put a filter on the generated arrays below the tokenisation and tokenise twice;
+    # the window of the null row matches nothing
+    starts = F.when(F.size("template") >= k, F.sequence(F.lit(0), F.size("template") - k))
+    placed = rows.select(key, "raw", "template", F.explode_outer(starts).alias("at"))
     return placed.select(key, "at", "raw", F.xxhash64(F.lit(k), *(F.get("template", F.col("at") + j) for j in range(k))).alias("window"), "template")
 
 
@@ -77,8 +80,8 @@ def _tokens(rows: DataFrame, key: str) -> DataFrame:
 
 def _benchmark(items: DataFrame) -> DataFrame:
     """Windows of the items that may be evidence: ``item_id, n_tokens, k, from, window, item_raw, item_template``."""
-    tokens = _tokens(items.filter("item_id IS NOT NULL"), "item_id").filter(F.size("template") >= SHORT)
-    tokens = tokens.withColumn("k", F.least(F.size("template"), F.lit(K)))
+    tokens = written(_tokens(items.filter("item_id IS NOT NULL"), "item_id"), "items")
+    tokens = tokens.withColumn("k", F.least(F.size("template"), F.lit(K))).filter(F.col("k") >= SHORT)
     parts = []
     for k in range(SHORT, K + 1):
         rows = _windows(tokens.filter(F.col("k") == k), "item_id", k)
