@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from cohorte.llm.common import table
 from cohorte.llm import mixing
 from cohorte.llm.decontaminate import contamination
+from cohorte.llm.licences import licences
 from cohorte.llm.near_dups import near_duplicates
+from cohorte.llm.neighbours import nearest
 from cohorte.llm.personal_data import personal_data
 from cohorte.llm.toxicity import toxicity
 
@@ -35,11 +37,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op7_licences, op9_nearest_neighbours, op10_decontamination)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {"op5_mixing": mixing.SQL}

@@ -132,9 +132,9 @@ WITH d AS (
 ), total AS (SELECT sum(source_size) AS t FROM s),
 -- the level: raise the share of a unit of weight until nobody above its cap is left out
 trial AS (
-  SELECT c.source, (t - coalesce(sum(o.source_size * 3) FILTER (o.source_size * c.w < c.source_size * o.w), 0)) AS words,
+  SELECT c.source, (any_value(t) - coalesce(sum(o.source_size * 3) FILTER (o.source_size * c.w < c.source_size * o.w), 0)) AS words,
          sum(o.w) FILTER (o.source_size * c.w >= c.source_size * o.w) AS units, any_value(c.source_size) AS source_size, any_value(c.w) AS w
-  FROM s c CROSS JOIN s o CROSS JOIN total GROUP BY ALL
+  FROM s c CROSS JOIN s o CROSS JOIN total GROUP BY c.source
 ), trials AS (SELECT source, words, units, source_size, w FROM trial),
 level AS (
   SELECT words, units FROM trials WHERE words * w <= source_size * 3 * units
