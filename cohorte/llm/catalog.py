@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohorte.llm.common import table
 from cohorte.llm import mixing
 from cohorte.llm.decontaminate import contamination
+from cohorte.llm.html_text import extract
 from cohorte.llm.licences import licences
 from cohorte.llm.near_dups import near_duplicates
 from cohorte.llm.neighbours import nearest
@@ -19,6 +20,10 @@ from cohorte.llm.toxicity import toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op7_licences, op9_nearest_neighbours, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op7_licences, op9_nearest_neighbours, op10_decontamination)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {"op5_mixing": mixing.SQL}
