@@ -15,6 +15,7 @@ from cohorte.llm.licences import licences
 from cohorte.llm.near_dups import near_duplicates
 from cohorte.llm.neighbours import nearest
 from cohorte.llm.personal_data import personal_data
+from cohorte.llm.quality import quality
 from cohorte.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -54,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op7_licences, op9_nearest_neighbours, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op9_nearest_neighbours, op10_decontamination)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {"op5_mixing": mixing.SQL}
