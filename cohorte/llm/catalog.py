@@ -16,6 +16,7 @@ from cohorte.llm.near_dups import near_duplicates
 from cohorte.llm.neighbours import nearest
 from cohorte.llm.personal_data import personal_data
 from cohorte.llm.quality import quality
+from cohorte.llm.secret_scan import secrets
 from cohorte.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,10 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op9_nearest_neighbours, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op8_secrets, op9_nearest_neighbours, op10_decontamination)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {"op5_mixing": mixing.SQL}

@@ -25,8 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohorte.llm.common import crc_bucket
 from cohorte.llm.segments import evidence, karlin_lambda, maximal_segments
@@ -237,3 +239,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
         "passages",
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents predicted toxic; texts are scored where they are read, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel.fit(docs, training_labels(labels)))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.scored(batch.select(["doc_id", "text"])).column("score")
+            yield batch.filter(pc.less(scores, THRESHOLD))
+
+    return docs.mapInArrow(kept, T.StructType(docs.schema.fields))
