@@ -36,7 +36,7 @@ _BRACKETED = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(at|dot|@|\.|punkt|punto|point|ar
 _BRACKET = re.compile(r"[(\[{<]\s{0,3}(?:at|dot|@|\.|punkt|punto|point|arroba)\s{0,3}[)\]}>]", re.I)
 _AT = {"at", "@", "arroba"}
 #: name at host dot tld, all in words.
-_SPOKEN = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}(\s{1,3}at\s{1,3})[A-Za-z0-9-]{1,63}((?:\.[A-Za-z0-9-]{1,63}){0,4}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]{1,63}){1,5})(?![\w-])", re.I)
+_SPOKEN = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}(\s{1,3}at\s{1,3})[A-Za-z0-9-]{1,63}((?:\.[A-Za-z0-9-]{1,63}){0,4}(?:\s{1,3}dot\s{1,3}(?!dot(?!\w))[A-Za-z0-9-]{1,63}){1,5})(?![\w-])", re.I)
 _DOT_WORD = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s{1,3}(?:dot|point)\s{1,3}(?=[0-9])", re.I)
 _DIGITS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))

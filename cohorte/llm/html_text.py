@@ -223,7 +223,7 @@ def _container(nodes: list[Node], root: Node) -> list[Node]:
         up = up.parent
     if best.tag in ("body", "html", "#root", "main") or best.parent is None:
         return [best]
-    floor = max(10.0, 0.2 * worth(best))
+    floor = 0.2 * worth(best)
     out = []
     for x in best.parent.items:
         if not isinstance(x, Node) or x.marked:

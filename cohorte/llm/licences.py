@@ -136,8 +136,10 @@ def rules() -> list[Rule]:
         for v in versions:
             own, full = f"{label}-{v if '.' in v else v + '.0'}", name + _version(v)
             out.append(_rule(own, 60, keys, full))
-            out.append(_rule(own + "-or-later", 70, keys, rf"{full}{GAP}+or{GAP}+(?:any{GAP}+)?(?:\(at{GAP}+your{GAP}+option\){GAP}+any{GAP}+)?later(?:{GAP}+version)?"))
-            out += [_rule(own, 65, keys, f"{_words(s)}{GAP}+{full}") for s in STATEMENTS]
+            later = rf"{GAP}+or{GAP}+(?:\(?at{GAP}+your{GAP}+option\)?{GAP}+)?(?:any{GAP}+)?later(?:{GAP}+version)?"
+            out.append(_rule(own + "-or-later", 70, keys, full + later))
+            for s in STATEMENTS:
+                out += [_rule(own, 65, keys, f"{_words(s)}{GAP}+{full}"), _rule(own + "-or-later", 72, keys, f"{_words(s)}{GAP}+{full}{later}")]
             out.append(_rule(own, 95, "spdx", rf"spdx-license-identifier:{GAP}*{label}-{v.replace('.', '[.]')}(?:\.0)?(?:-only|\+)?"))
             out.append(_rule(own, 80, "opensource", rf"opensource\.org/licenses/{label}-{v.replace('.', '[.]')}(?:\.0)?"))
             out.append(_rule(own, 80, label, rf"(?:gnu|apache|mozilla|eclipse)\.org/[a-z/-]*licenses?/(?:old-licenses/)?(?:license-)?(?:{label}-)?{v.replace('.', '[.]')}(?:\.0)?"))
