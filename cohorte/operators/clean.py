@@ -11,13 +11,10 @@ run unchanged on batch and streaming DataFrames. Fitting only ever brings a
 handful of numbers per column to the driver. Reports are separate methods
 that return DataFrames.
 
-Scale notes: exact quantiles (``percentile``) keep a value->count map per
-column, which is fine up to ``exact_limit`` rows; above it the stages switch
-to ``percentile_approx`` (documented deviation). The imputer knows the row
-count from its null-rate pass; the winsoriser uses the optimizer's estimate
-(no extra pass over the data). Modes are
-computed as a distributed ``groupBy(column, value)`` + top-1 per column,
-never as an in-memory map of all values.
+Scale notes: medians and quartiles are exact at any size
+(:mod:`cohorte.operators.order_stats`: counts per value in ranges of the
+value). Modes are computed as a distributed ``groupBy(column, value)`` + top-1
+per column, never as an in-memory map of all values.
 """
 
 from __future__ import annotations
@@ -35,6 +32,7 @@ from pyspark.sql import types as T
 
 from cohorte.functions.numeric import clip, nan_to_null, round_to
 from cohorte.functions.text import normalise_text
+from cohorte.operators.order_stats import exact_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -48,8 +46,12 @@ IMPUTE_DEFAULTS: dict[str, Any] = {
     "resultado_numerico": 0.0,
 }
 HIGH_NULL_RATE = 20.0
-# exact percentile keeps a value->count map in one final task per column
-EXACT_LIMIT = 10_000_000
+# Action texts of the missing-value report.
+ACTION_TEXT = "Imputados con '{value}' ({nulls} registros)"
+ACTION_ZERO = "Imputados con 0 ({nulls} registros) - alta tasa de faltantes ({pct:.1f}%)"
+ACTION_MEDIAN = "Imputados con mediana ({value:.2f}) - {nulls} registros"
+ACTION_LEFT = "No imputado (categórico) - porcentaje alto ({pct:.2f}%). Requiere análisis manual"
+ACTION_NONE = "No requiere imputación - sin valores faltantes"
 
 
 def text_columns(df: DataFrame, exclude: list[str] | tuple[str, ...] = ()) -> list[str]:
@@ -71,25 +73,6 @@ def _stack(df: DataFrame, cols: list[str], value_type: str = "string") -> DataFr
     ).select("s.campo", "s.valor")
 
 
-def estimated_rows(df: DataFrame) -> int:
-    """Row count estimated by the optimizer from file sizes (no job): the
-    exact row count when statistics hold one, else bytes / row width. A
-    source without size statistics reports Spark's default size; then the
-    rows are counted (one job)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    rows = stats.rowCount()
-    if rows.isDefined():
-        return int(str(rows.get()))
-    size = int(str(stats.sizeInBytes()))
-    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
-    if size >= unknown:
-        return df.count()
-    width = max(1, int(df._jdf.schema().defaultSize()))
-    # file sizes are compressed: assume 10x so the estimate errs towards the
-    # approximate (bounded-memory) quantiles rather than the exact map
-    return size * 10 // width
-
-
 class _Json(Params):
     """Helper for JSON-valued params (fitted state that must persist)."""
 
@@ -226,13 +209,8 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
 QUANTILE_DIGITS = 9
 
 
-def _quantile_exprs(c: str, probs: list[float], approx: bool) -> Any:
-    col = nan_to_null(F.col(c).cast("double"))
-    if approx:
-        q = F.percentile_approx(col, probs, 100000)
-    else:
-        q = F.percentile(col, F.array(*[F.lit(p) for p in probs]))
-    return F.transform(q, lambda v: round_to(v, QUANTILE_DIGITS))
+def _quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, list[float]]:
+    return {c: [round(v, QUANTILE_DIGITS) for v in q] for c, q in exact_quantiles(df, probs).items()}
 
 
 class AdaptiveImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -243,12 +221,11 @@ class AdaptiveImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     defaults = Param(Params._dummy(), "defaults", "JSON {column: default}", TypeConverters.toString)
     threshold = Param(Params._dummy(), "threshold", "high-null-rate boundary in %", TypeConverters.toFloat)
     exclude = Param(Params._dummy(), "exclude", "columns never imputed", TypeConverters.toListString)
-    exactLimit = Param(Params._dummy(), "exactLimit", "rows above which medians are approximate", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, defaults: str | None = None, threshold: float = HIGH_NULL_RATE, exclude: list[str] | None = None, exactLimit: int = EXACT_LIMIT):
+    def __init__(self, defaults: str | None = None, threshold: float = HIGH_NULL_RATE, exclude: list[str] | None = None):
         super().__init__()
-        self._setDefault(defaults=json.dumps(IMPUTE_DEFAULTS), threshold=HIGH_NULL_RATE, exclude=[], exactLimit=EXACT_LIMIT)
+        self._setDefault(defaults=json.dumps(IMPUTE_DEFAULTS), threshold=HIGH_NULL_RATE, exclude=[])
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "AdaptiveImputerModel":
@@ -283,11 +260,8 @@ class AdaptiveImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             for r in column_modes(df, need_mode).collect():  # one row per column
                 fill[r["campo"]], strategy[r["campo"]] = r["valor"], "moda"
         if need_median:
-            approx = total > self.getOrDefault(self.exactLimit)
-            row = df.agg(*[_quantile_exprs(c, [0.5], approx)[0].alias(c) for c in need_median]).first()
-            for c in need_median:
-                if row[c] is not None:
-                    fill[c], strategy[c] = float(row[c]), "mediana"
+            for c, (median,) in _quantiles(df, {c: [0.5] for c in need_median}).items():
+                fill[c], strategy[c] = float(median), "mediana"
         stats = {c: {"nulos": rates[c]["valores_nulos"], "porcentaje": rates[c]["porcentaje"]} for c in cols if rates[c]["valores_nulos"]}
         model = AdaptiveImputerModel(
             fillValues=json.dumps(fill), strategies=json.dumps(strategy), stats=json.dumps(stats), total=int(total)
@@ -303,7 +277,6 @@ class AdaptiveImputerModel(Model, _Json, DefaultParamsReadable, DefaultParamsWri
     defaults = AdaptiveImputer.defaults
     threshold = AdaptiveImputer.threshold
     exclude = AdaptiveImputer.exclude
-    exactLimit = AdaptiveImputer.exactLimit
 
     @keyword_only
     def __init__(self, fillValues: str = "{}", strategies: str = "{}", stats: str = "{}", total: int = 0):
@@ -342,24 +315,18 @@ class AdaptiveImputerModel(Model, _Json, DefaultParamsReadable, DefaultParamsWri
         spark = spark or SparkSession.getActiveSession()
         fill, strat, stats = self.fill_values(), self._get_json(self.strategies), self._get_json(self.stats)
         total = self.getOrDefault(self.total)
+        texts = {"moda": ACTION_TEXT, "cero": ACTION_ZERO, "mediana": ACTION_MEDIAN}
         rows = []
         for c, s in stats.items():
-            nulls, pct = s["nulos"], s["porcentaje"]
-            if c in fill and fill[c] is not None:
-                left = 0
-                if isinstance(fill[c], str):
-                    action = f"Imputados con '{fill[c]}' ({nulls} registros)"
-                elif pct >= self.getOrDefault("threshold"):
-                    action = f"Imputados con 0 ({nulls} registros) - alta tasa de faltantes ({pct:.1f}%)"
-                else:
-                    action = f"Imputados con mediana ({float(fill[c]):.2f}) - {nulls} registros"
-            elif pct >= self.getOrDefault("threshold"):
-                left = nulls
-                action = f"No imputado (categórico) - porcentaje alto ({pct:.2f}%). Requiere análisis manual"
+            how, value = strat.get(c, "sin_imputar"), fill.get(c)
+            if how == "defecto":  # a fixed default reads like the fill of its kind
+                high = s["porcentaje"] >= self.getOrDefault("threshold")
+                how_text = ACTION_TEXT if isinstance(value, str) else ACTION_ZERO if high else ACTION_MEDIAN
             else:
-                left = nulls
-                action = "No requiere imputación - sin valores faltantes"
-            rows.append((c, int(total), int(left), round(left / total * 100, 2) if total else 0.0, action, strat.get(c, "sin_imputar")))
+                how_text = texts.get(how, ACTION_LEFT if s["porcentaje"] >= self.getOrDefault("threshold") else ACTION_NONE)
+            left = s["nulos"] if value is None else 0
+            action = how_text.format(value=value, nulls=s["nulos"], pct=s["porcentaje"])
+            rows.append((c, int(total), int(left), round(left / total * 100, 2) if total else 0.0, action, how))
         schema = "campo string, total_registros long, valores_faltantes long, porcentaje_faltante double, recomendacion string, estrategia string"
         return spark.createDataFrame(rows, schema)
 
@@ -375,12 +342,11 @@ class IQRWinsoriser(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
     multiplier = Param(Params._dummy(), "multiplier", "IQR multiplier", TypeConverters.toFloat)
     exclude = Param(Params._dummy(), "exclude", "columns never clipped", TypeConverters.toListString)
-    exactLimit = Param(Params._dummy(), "exactLimit", "rows above which quartiles are approximate", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, multiplier: float = 1.5, exclude: list[str] | None = None, exactLimit: int = EXACT_LIMIT):
+    def __init__(self, multiplier: float = 1.5, exclude: list[str] | None = None):
         super().__init__()
-        self._setDefault(multiplier=1.5, exclude=[], exactLimit=EXACT_LIMIT)
+        self._setDefault(multiplier=1.5, exclude=[])
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "IQRWinsoriserModel":
@@ -388,14 +354,7 @@ class IQRWinsoriser(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         cols = numeric_columns(df, self.getOrDefault(self.exclude))
         bounds: dict[str, dict[str, float]] = {}
         if cols:
-            # one pass: the planner's row estimate (no job) picks exact or
-            # approximate quartiles; a column without values yields NULL
-            approx = estimated_rows(df) > self.getOrDefault(self.exactLimit)
-            q = df.agg(*[_quantile_exprs(c, [0.25, 0.75], approx).alias(c) for c in cols]).first()
-            for c in cols:
-                if q[c] is None or q[c][0] is None:
-                    continue
-                q1, q3 = float(q[c][0]), float(q[c][1])
+            for c, (q1, q3) in _quantiles(df, {c: [0.25, 0.75] for c in cols}).items():
                 iqr = q3 - q1
                 bounds[c] = {"q1": q1, "q3": q3, "iqr": iqr, "inferior": q1 - k * iqr, "superior": q3 + k * iqr}
         return self._copyValues(IQRWinsoriserModel(bounds=json.dumps(bounds)))
@@ -405,7 +364,6 @@ class IQRWinsoriserModel(Model, _Json, DefaultParamsReadable, DefaultParamsWrita
     bounds = Param(Params._dummy(), "bounds", "JSON {column: {q1,q3,iqr,inferior,superior}}", TypeConverters.toString)
     multiplier = IQRWinsoriser.multiplier
     exclude = IQRWinsoriser.exclude
-    exactLimit = IQRWinsoriser.exactLimit
 
     @keyword_only
     def __init__(self, bounds: str = "{}"):
@@ -475,17 +433,13 @@ class IQRWinsoriserModel(Model, _Json, DefaultParamsReadable, DefaultParamsWrita
         b = self.get_bounds()
         if not b:
             return df.sparkSession.createDataFrame([], "campo string, orden int, valor double")
-        parts = []
+        # one scan for all columns: a column's value is kept where it lies outside its bounds
+        cells = []
         for c, v in b.items():
             x = nan_to_null(F.col(c).cast("double"))
-            parts.append(
-                df.select(F.lit(c).alias("campo"), x.alias("valor")).where(
-                    (F.col("valor") < F.lit(v["inferior"])) | (F.col("valor") > F.lit(v["superior"]))
-                )
-            )
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+            outside = (x < F.lit(v["inferior"])) | (x > F.lit(v["superior"]))
+            cells.append(F.when(outside, F.struct(F.lit(c).alias("campo"), x.alias("valor"))))
+        out = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.campo", "s.valor")
         w = Window.partitionBy("campo").orderBy("valor")
         return out.withColumn("orden", F.row_number().over(w)).where(F.col("orden") <= k).select("campo", "orden", "valor")
 

@@ -7,18 +7,18 @@ positive outscores a random negative with ties counted half:
 
     AUC = sum_s pos(s) * (neg(< s) + neg(s) / 2) / (P * N)
 
-``neg(< s)`` is a running sum over the distinct scores. Scores are rounded
-to ``score_digits`` decimals first, which bounds the number of distinct
-scores (and so the single ordered window) to 10**digits + 1 rows whatever
-the data size.
+``neg(< s)`` is a running sum over the distinct scores, made per range of
+scores plus the sums of the ranges before
+(:mod:`cohorte.operators.order_stats`): exact, and no task holds all scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohorte.functions.numeric import round_to, safe_ratio
+from cohorte.operators.order_stats import RANGE, below, range_offsets, written_ranges
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -31,19 +31,15 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
     )
 
 
-def auc_frame(df: DataFrame, label: str = "label", score: str = "probability", score_digits: int = 6) -> DataFrame:
+def auc_frame(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
     """One row ``auc`` (NULL when only one class is present)."""
     y = F.col(label).cast("int")
-    s = round_to(F.col(score).cast("double"), score_digits)
-    per = df.groupBy(s.alias("s")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return cum.agg(
-        F.when(
-            (F.sum("pos") > 0) & (F.sum("neg") > 0),
-            F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg")),
-        ).alias("auc")
-    )
+    per = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    ranged = written_ranges(per, "s")
+    placed = ranged.withColumn("_bajo", below(ranged, [], "s", "neg")).join(range_offsets(ranged, [], "neg"), RANGE)
+    area = F.col("pos") * (F.col("_antes") + F.col("_bajo") + F.col("neg") / 2.0)
+    both = (F.sum("pos") > 0) & (F.sum("neg") > 0)
+    return placed.agg(F.when(both, F.sum(area) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def metric_columns(tp: Column, fp: Column, tn: Column, fn: Column, digits: int = 4) -> list[Column]:

@@ -49,7 +49,7 @@ cm AS (
   FROM sc
 ),
 per AS (
-  SELECT ROUND(probability, 6) AS s, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label = 0) AS neg
+  SELECT probability AS s, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label = 0) AS neg
   FROM sc GROUP BY 1
 ),
 cum AS (
