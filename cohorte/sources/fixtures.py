@@ -2,9 +2,9 @@
 
 The mapping is the one written down in FIXTURES.md section 3. It is a pure
 projection of whole tables (no sampling, no id subsets): every customer is a
-patient, every order of a patient is a visit (orders of customers whose key
-ends in 3 are left out so that the "never visited" branch exists), every
-event is a lab result. The views are deliberately dirtier than the DDL
+patient, every order is a visit (those of customers whose key ends in 3 name a
+patient that does not exist, so there are patients without visits and visits
+without a patient), every event is a lab result. The views are deliberately dirtier than the DDL
 (stray spaces, mixed case, NULLs in NOT NULL columns) so cleaning and
 quarantine have work to do.
 """
@@ -63,13 +63,13 @@ def paciente_from_customer(customer: DataFrame) -> DataFrame:
 
 def consulta_from_orders(orders: DataFrame) -> DataFrame:
     k = "o_orderkey"
-    return orders.where("o_custkey % 10 <> 3").selectExpr(
+    return orders.selectExpr(
         f"concat('C', CAST({k} AS STRING)) AS id_consulta",
         "CAST(o_orderdate AS DATE) AS fecha_consulta",
         f"CASE WHEN {k} % 4 = 0 THEN NULL ELSE o_orderstatus END AS motivo",
         "o_orderpriority AS prioridad",
         f"concat('E', CAST({k} % 7 AS STRING)) AS especialista",
-        "concat('P', CAST(o_custkey AS STRING)) AS id_paciente",
+        "concat(CASE WHEN o_custkey % 10 = 3 THEN 'P-' ELSE 'P' END, CAST(o_custkey AS STRING)) AS id_paciente",
     )
 
 
