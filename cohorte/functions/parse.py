@@ -88,15 +88,14 @@ def _try_double(c: str) -> str:
     return f"CASE WHEN {_s(c)} RLIKE {lit_sql(_NUMBER_SHAPE)} THEN try_cast({_s(c)} AS DOUBLE) END"
 
 
-def parse_bool_sql(c: str) -> str:
-    """NULL -> false; numeric text -> value != 0 (NaN -> false); text in
-    TRUE_WORDS -> true; anything else false."""
-    d = _try_double(c)
+def parse_bool_sql(c: str, numeric: bool = False) -> str:
+    """NULL -> false. A text cell is true if it is one of TRUE_WORDS, as it
+    stands but for case; a cell of a ``numeric`` column if it is neither 0 nor NaN."""
+    if numeric:
+        d = f"CAST({q(c)} AS DOUBLE)"
+        return f"coalesce(NOT isnan({d}) AND {d} <> 0, false)"
     words = ", ".join(lit_sql(w) for w in TRUE_WORDS)
-    return (
-        f"coalesce(CASE WHEN {d} IS NOT NULL THEN (NOT isnan({d}) AND {d} <> 0) "
-        f"ELSE lower({_s(c)}) IN ({words}) END, false)"
-    )
+    return f"coalesce(lower({_s(c)}) IN ({words}), false)"
 
 
 def parse_double_sql(c: str) -> str:
@@ -131,8 +130,8 @@ def parse_date(c: str, formats: tuple[str, ...] = DEFAULT_DATE_FORMATS) -> Colum
     return F.expr(parse_date_sql(_name(c), formats))
 
 
-def parse_bool(c: str) -> Column:
-    return F.expr(parse_bool_sql(_name(c)))
+def parse_bool(c: str, numeric: bool = False) -> Column:
+    return F.expr(parse_bool_sql(_name(c), numeric))
 
 
 def parse_int(c: str) -> Column:

@@ -33,7 +33,7 @@ def _parser_sql(f: T.StructField, formats: tuple[str, ...], compat: bool, source
             return f"CAST({q(f.name)} AS DATE)"  # typed sheet (e.g. Parquet): no text round trip
         return parse_date_sql(f.name, formats)
     if isinstance(t, T.BooleanType):
-        return parse_bool_sql(f.name)
+        return parse_bool_sql(f.name, isinstance(source, T.NumericType))
     if isinstance(t, T.IntegerType):
         return parse_int_sql(f.name, "INT")
     if isinstance(t, T.LongType):
@@ -67,6 +67,8 @@ def parse_sheet(
         # Empty text and the text form of NaN are missing values
         present = f"({src} IS NOT NULL AND lower(trim({src})) NOT IN ('', 'nan'))"
         invalid = f"format_string({lit_sql(f.name + ': valor no válido ' + chr(39) + '%s' + chr(39))}, {src})"
+        if compat and not f.nullable and isinstance(f.dataType, T.StringType):
+            continue  # I3, compat: a missing text is stored as "nan", so nothing is wrong with the row
         if not f.nullable:
             reasons.append(
                 f"CASE WHEN NOT {present} THEN {lit_sql(f.name + ': valor requerido ausente')} "
@@ -114,17 +116,3 @@ def fk_orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str | N
     parent_key = parent_key or fk
     keys = parent.select(F.col(parent_key).alias(fk))
     return child.join(keys, fk, "left_anti")
-
-
-def with_parent(child: DataFrame, parent: DataFrame, fk: str, parent_key: str | None = None) -> DataFrame:
-    """Child rows whose parent exists (left-semi join)."""
-    parent_key = parent_key or fk
-    return child.join(parent.select(F.col(parent_key).alias(fk)), fk, "left_semi")
-
-
-def not_null_violations(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Rows with a NULL in a required column (typed tables)."""
-    cond = None
-    for c in spec.required:
-        cond = F.col(c).isNull() if cond is None else (cond | F.col(c).isNull())
-    return df.where(cond)

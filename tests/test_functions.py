@@ -25,10 +25,12 @@ def test_normalise_is_idempotent(spark):
 
 
 def test_parse_bool(spark):
-    # No trim; numeric text != 0; NULL -> False
-    vals = ["true", "1", "yes", "si", "sí", "SI", " si", "no", None, "2", "0", "nan", "x"]
+    # A text cell has to be one of the words, untrimmed; NULL -> False
+    vals = ["true", "1", "yes", "si", "sí", "SI", " si", "no", None, "2", "0", "nan", "x", " 1 ", "1d"]
     got = [r[0] for r in _one_col(spark, vals).select(parse_bool("x")).collect()]
-    assert got == [True, True, True, True, True, True, False, False, False, True, False, False, False]
+    assert got == [True] * 6 + [False] * 9
+    numbers = spark.createDataFrame([(1.0,), (2.0,), (0.0,), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in numbers.select(parse_bool("x", numeric=True)).collect()] == [True, True, False, False, False]
 
 
 def test_parse_date_formats(spark):

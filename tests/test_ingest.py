@@ -91,7 +91,8 @@ def test_typed_sheet_dates_and_compat(spark):
     r = parse_sheet(raw, TABLES["consulta"]).first()
     assert r["fecha_consulta"] == date(2020, 2, 1) and r["_motivos"] == ["motivo: valor requerido ausente"]
     r2 = parse_sheet(raw, TABLES["consulta"], compat=True).first()
-    assert r2["motivo"] == "nan"  # str(NaN) as the reference stores it
+    assert r2["motivo"] == "nan"  # the text of a missing cell, as it is stored in this mode
+    assert r2["_motivos"] == []  # so the row is stored, not quarantined
 
 
 def test_compat_normalises_ids(spark):
