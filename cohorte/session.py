@@ -62,12 +62,15 @@ def get_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it (a shared file system path); only when it is unset,
-    as in local tests, a private scratch folder is created.
+    A cluster names it (a shared file system path). Only a ``local`` master
+    may leave it unset: there a private scratch folder is created. Elsewhere
+    each executor would write to its own disk, so that is an error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cohorte-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
