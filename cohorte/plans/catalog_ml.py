@@ -37,12 +37,12 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LabelVocabulary(inputCols=CATEGORICAL_FEATURES).fit(data).transform(data)
 
 
-_MODELS: dict[tuple[str, str], TrainingResult] = {}
+_MODELS: dict[tuple[str, str, str], TrainingResult] = {}
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str) -> TrainingResult:
-    """Train once per (data, kind) within a process."""
-    key = (sf_dir, kind)
+    """Train once per (session, data, kind)."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         _MODELS[key] = train(feature_table(spark, sf_dir), kind)
     return _MODELS[key]

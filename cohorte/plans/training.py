@@ -115,9 +115,13 @@ def train(features: DataFrame, model_type: str, test_fraction: float = 0.2, seed
     data = prepare(features).checkpoint(eager=True)
     if data.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"Dataset muy pequeño para entrenar (mínimo {MIN_ROWS} registros)")
-    train_df, test_df = train_test(data, KEY, test_fraction, seed)
+    # the vocabulary is that of all rows (a category may be absent from the train part)
     start = time.time()
-    model = build_pipeline(model_type).fit(train_df)
+    enc, *rest = build_pipeline(model_type).getStages()
+    encoder = enc.fit(data)
+    train_df, test_df = train_test(data, KEY, test_fraction, seed)
+    fitted = Pipeline(stages=rest).fit(encoder.transform(train_df))
+    model = PipelineModel(stages=[encoder, *fitted.stages])
     seconds = time.time() - start
     m_train = evaluate(model, train_df).first().asDict()
     m_test = evaluate(model, test_df).first().asDict()
