@@ -52,29 +52,28 @@ def score_requests(
     """M11 + M12: validate, score the valid rows, and return one
     prediction-log row per request. Failures get prediction -1 and
     probability 0.0. ``request_id`` is a hash of (version, key, time), so a
-    re-executed task writes the same ids."""
+    re-executed task writes the same ids. One projection: a rejected request
+    passes through the model as well, its score is not used. The log holds the
+    inputs as they were sent."""
     at = at or datetime.now(timezone.utc).replace(tzinfo=None)
-    checked = validate_requests(requests)
-    ok = checked.where(F.size("motivos") == 0)
-    bad = checked.where(F.size("motivos") > 0)
-    scored = score(model, prepare(ok).withColumn("label", F.lit(0.0)))
-    ts = F.lit(at).cast("timestamp")
-    rid = F.sha2(F.concat_ws("|", F.lit(model_version), F.col(request_key).cast("string"), ts.cast("string")), 256)
-    inputs = F.struct(
+    sent = F.struct(
         *[F.col(c).cast("double").alias(c) for c in NUMERIC_FEATURES],
         *[F.col(c).cast("string").alias(c) for c in CATEGORICAL_FEATURES],
         F.col("tipo_modelo").alias("tipo_modelo"),
     )
-    ms = F.lit(inference_ms).cast("double")
-    good_rows = scored.select(
-        ts.alias("timestamp"), rid.alias("request_id"), F.lit(model_version).alias("model_version"),
-        F.col("prediccion").cast("int").alias("prediction"), F.col("probabilidad").alias("probability"),
-        ms.alias("inference_time_ms"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error_message"),
-        inputs.alias("input_features"),
-    )
-    bad_rows = bad.select(
-        ts.alias("timestamp"), rid.alias("request_id"), F.lit(model_version).alias("model_version"),
-        F.lit(-1).alias("prediction"), F.lit(0.0).alias("probability"), ms.alias("inference_time_ms"),
-        F.lit(False).alias("success"), F.array_join("motivos", "; ").alias("error_message"), inputs.alias("input_features"),
+    checked = validate_requests(requests.withColumn("_enviado", sent))
+    scored = score(model, prepare(checked).withColumn("label", F.lit(0.0)))
+    ok = F.size("motivos") == 0
+    ts = F.lit(at).cast("timestamp")
+    rid = F.sha2(F.concat_ws("|", F.lit(model_version), F.col(request_key).cast("string"), ts.cast("string")), 256)
+    return scored.select(
+        ts.alias("timestamp"),
+        rid.alias("request_id"),
+        F.lit(model_version).alias("model_version"),
+        F.when(ok, F.col("prediccion").cast("int")).otherwise(-1).alias("prediction"),
+        F.when(ok, F.col("probabilidad")).otherwise(0.0).alias("probability"),
+        F.lit(inference_ms).cast("double").alias("inference_time_ms"),
+        ok.alias("success"),
+        F.when(~ok, F.array_join("motivos", "; ")).alias("error_message"),
+        F.col("_enviado").alias("input_features"),
     )
-    return good_rows.unionByName(bad_rows)
