@@ -3,13 +3,18 @@
 A table is never overwritten in place (a job may be reading it): every
 write goes to ``<root>/<table>/version=<id>`` and readers take the greatest
 complete version (one with ``_SUCCESS``). Version ids are zero-padded so
-that text order is numeric order. A re-run of the same version id replaces
-only that folder, which makes a re-delivered stream batch idempotent.
+that text order is numeric order.
+
+A stream batch takes its version id from the store (:func:`plan_version`), is
+written to a folder of its own and published by a rename; the version carries
+its origin (stream and batch), so a batch that is delivered again is recognised
+and changes nothing.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +52,49 @@ def write_version(df: DataFrame, root: str, name: str, version: str) -> str:
     return path
 
 
+ORIGIN = "_origen"
+
+
+def origin_of(spark: SparkSession, root: str, name: str, version: str) -> str | None:
+    """What :func:`publish_version` recorded with a version."""
+    fs, p, jvm = _fs(spark, os.path.join(root, name, f"version={version}", ORIGIN))
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def plan_version(spark: SparkSession, root: str, name: str, origin: str) -> tuple[str, str | None, bool]:
+    """The version that ``origin`` writes, the version below it, and whether
+    it is there already. A replay comes soon after what it repeats, so the
+    newest versions are looked at first."""
+    versions = list_versions(spark, root, name)
+    for i in range(len(versions) - 1, -1, -1):
+        if origin_of(spark, root, name, versions[i]) == origin:
+            return versions[i], versions[i - 1] if i else None, True
+    return version_id(int(versions[-1]) + 1 if versions else 1), versions[-1] if versions else None, False
+
+
+def publish_version(df: DataFrame, root: str, name: str, version: str, origin: str) -> str:
+    """Write ``df`` beside the versions, then make it one by a rename."""
+    spark = df.sparkSession
+    path = os.path.join(root, name, f"version={version}")
+    draft = os.path.join(root, name, f"_borrador-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(draft)
+    fs, p, jvm = _fs(spark, os.path.join(draft, ORIGIN))
+    out = fs.create(p)
+    try:
+        out.write(bytearray(origin.encode("utf-8")))
+    finally:
+        out.close()
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)):
+        raise RuntimeError(f"version {version} of {name} was published meanwhile")
+    return path
+
+
 def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
     return spark.read.schema(TABLES[name].schema).parquet(os.path.join(root, name, f"version={version}"))
 
@@ -104,6 +152,7 @@ def write_feature_csv(df: DataFrame, folder: str, run_ts: str) -> dict:
     df = fill_residual_missing(df)
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
     n = df.sparkSession.read.option("header", True).csv(path).count()
+    # The answer's keys and description
     return {
         "ruta_archivo": path,
         "total_registros": n,

@@ -3,10 +3,11 @@
 Each table has a landing folder of CSV files (all-text declared schema).
 ``foreachBatch`` runs the batch ingest step for that table (parse,
 quarantine, dedupe, FK check, upsert) against the newest table version and
-writes the result as version ``batch_id`` of the table plus the batch's
-quarantined rows. Writing a version folder is an overwrite of that folder
-only, so a re-delivered batch (same ``batch_id`` after a failure) leaves the
-same table: the sink is idempotent.
+publishes the result as the store's next version, plus the batch's quarantined
+rows. The version carries the stream (its checkpoint folder) and the batch id: a
+batch that is delivered again after a failure finds its version published and
+does nothing, so it never reads the version it writes. Ids come from the store,
+so streams and batch jobs may share it.
 
 Patients must be streamed before their children (FK check against the
 current patient version), exactly as the batch ingest orders the sheets.
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cohorte.plans.ingest import ROW_ORDER, empty_table, ingest_table
 from cohorte.schemas import TABLES, raw_schema
-from cohorte.sources.tables import read_latest, version_id, write_version
+from cohorte.sources.tables import plan_version, publish_version, read_latest, read_version
 from pyspark.sql import types as T
 
 
@@ -30,20 +31,22 @@ def landing_schema(name: str) -> T.StructType:
     return T.StructType(s.fields + [T.StructField(ROW_ORDER, T.LongType(), True)])
 
 
-def _merge_batch(spark: SparkSession, name: str, table_root: str, errors_root: str, order_col: str):
+def _merge_batch(spark: SparkSession, name: str, table_root: str, errors_root: str, order_col: str, stream: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        base = read_latest(spark, table_root, name)
-        if base is None:
-            base = empty_table(spark, name)
+        origin = f"{stream}#{batch_id}"
+        version, below, done = plan_version(spark, table_root, name, origin)
+        if done:
+            return
+        base = empty_table(spark, name) if below is None else read_version(spark, table_root, name, below)
         parents = read_latest(spark, table_root, "paciente") if TABLES[name].parent_key else None
         if TABLES[name].parent_key and parents is None:
             parents = empty_table(spark, "paciente")
         merged, _, errors = ingest_table(batch, name, base, parents, order_col)
-        version = version_id(batch_id + 1)
-        write_version(merged, table_root, name, version)
+        # errors first: publishing the version is what ends the batch
         errors.select("tabla", "clave", "mensaje").write.mode("overwrite").parquet(
             os.path.join(errors_root, name, f"batch={version}")
         )
+        publish_version(merged, table_root, name, version, origin)
 
     return run
 
@@ -63,7 +66,7 @@ def start_upload_stream(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(landing)
     writer = stream.writeStream.foreachBatch(
-        _merge_batch(spark, name, table_root, os.path.join(table_root, "_errores"), order_col)
+        _merge_batch(spark, name, table_root, os.path.join(table_root, "_errores"), order_col, os.path.abspath(checkpoint) if "://" not in checkpoint else checkpoint)
     ).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -1,10 +1,12 @@
 import os
+
+import pytest
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from cohorte.schemas import PREDICTION_LOG
-from cohorte.sources.tables import list_versions, read_latest
+from cohorte.sources.tables import list_versions, read_latest, version_id, write_version
 from cohorte.streaming.monitor import start_monitor_stream, window_metrics
 from cohorte.streaming.uploads import _merge_batch, landing_schema, start_upload_stream
 
@@ -24,7 +26,7 @@ def test_upload_stream_and_redelivery(spark, scratch):
     first = sorted(map(tuple, read_latest(spark, tables, "paciente").collect()))
     assert [r[0] for r in first] == ["P1", "P2"]
     # the same micro-batch delivered again (e.g. after a failure) leaves the same table
-    merge = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila")
+    merge = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila", os.path.join(scratch, "chk"))
     batch = _patients(spark, rows)
     merge(batch, 0)
     merge(batch, 0)
@@ -32,6 +34,32 @@ def test_upload_stream_and_redelivery(spark, scratch):
     assert len(list_versions(spark, tables, "paciente")) == 1
 
 
+@pytest.mark.parametrize("threshold", ["-1", "64m"])
+def test_redelivery_on_a_large_base_and_shared_store(spark, scratch, threshold):
+    """A batch on a table much larger than itself, written by a batch job before; twice; with and without broadcast joins."""
+    base = spark.range(200_000).selectExpr(
+        "concat('P', id) AS id_paciente", "'F' AS sexo", "40 AS edad", "'x' AS zona_residencia", "DATE'2020-01-01' AS fecha_dx",
+        "'Mama' AS tipo_cancer", "'I' AS estadio", "'X' AS aseguradora", "true AS adherencia_12m",
+    )
+    tables = os.path.join(scratch, "tablas")
+    write_version(base, tables, "paciente", version_id(7))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        merge = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila", "s1")
+        batch = _patients(spark, [(f"N{i}", "F", "40", None, "2020-01-05", "Mama", "I", "X", "si", i) for i in range(10)])
+        for batch_id in (0, 0, 1):
+            merge(batch, batch_id)
+            assert read_latest(spark, tables, "paciente").count() == 200_010
+        assert list_versions(spark, tables, "paciente") == [version_id(i) for i in (7, 8, 9)]
+        # a stream with a checkpoint of its own, and a batch of bad rows only
+        other = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila", "s2")
+        other(_patients(spark, [(None, None, "x", None, "never", None, None, None, None, 0)] * 3), 0)
+        assert read_latest(spark, tables, "paciente").count() == 200_010
+        assert spark.read.parquet(os.path.join(tables, "_errores", "paciente", f"batch={version_id(10)}")).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def _log_rows(spark, times):
     rows = [(datetime(2024, 1, 1, *t), f"r{i}", "v1", 1, 0.9, 5.0, True, None, None) for i, t in enumerate(times)]
     return spark.createDataFrame(rows, PREDICTION_LOG)
