@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed bound: batch keys broadcast at most (string keys of ~20 bytes make
-# this a few hundred MB per executor).
-BROADCAST_KEYS = 10_000_000
+# this about 100 MB as a hash relation).
+BROADCAST_KEYS = 1_000_000
 
 
 def _keys(batch: DataFrame, key: str, n_keys: int | None, limit: int) -> DataFrame:

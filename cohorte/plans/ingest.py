@@ -93,9 +93,9 @@ def ingest_table(
     n_keys = None
     if materialise is not None:
         parsed = materialise(parsed)
-        # rows that may be stored: an upper bound of the batch's keys, read
-        # from the staged copy; it decides whether the upsert may broadcast
-        n_keys = parsed.where(f"size({REASONS}) = 0").count()
+        # all staged rows, bad ones too: an upper bound of the keys and of the
+        # parent keys that may be broadcast
+        n_keys = parsed.count()
     if spec.parent_key:
         if parents is None:
             raise ValueError(f"{name} necesita la tabla de pacientes")
