@@ -5,6 +5,7 @@ from __future__ import annotations
 from cohorte.oracle import AS_OF, SQL, with_fixtures
 from cohorte.oracle.clean import norm
 from cohorte.oracle.core import FEATURE_TABLE_CTES
+from cohorte.schemas import NUMERIC_FEATURES
 
 EARLY = f"CASE WHEN ({norm('estadio')}) IN ('I', 'Ii') THEN 1.0 ELSE 0.0 END"
 
@@ -90,7 +91,7 @@ SELECT id_paciente, fuente, categoria, COUNT(*) AS n FROM (
   UNION ALL SELECT id_paciente, 'tipo_prueba', tipo_prueba FROM laboratorio) GROUP BY 1, 2, 3"""
 )
 
-PSI_COLS = ["edad", "count_consultas", "count_laboratorios", "avg_resultado_numerico"]
+PSI_COLS = list(NUMERIC_FEATURES)
 
 
 def psi_sql() -> str:
@@ -133,6 +134,21 @@ SELECT c.campo, c.valor, c.clave, k.canonico, c.n FROM counts c JOIN (
     )
 
 
+def harmonised_sql() -> str:
+    cols = ["sexo", "zona_residencia", "estadio", "aseguradora"]
+    key = "lower(" + FOLD.format(x="regexp_replace(valor, '^\\s+|\\s+$', '', 'g')") + ")"
+    stacked = " UNION ALL ".join(f"SELECT '{c}' AS campo, {c} AS valor FROM paciente WHERE {c} IS NOT NULL" for c in cols)
+    joins = " ".join(f"LEFT JOIN palabras w_{c} ON w_{c}.campo = '{c}' AND w_{c}.valor = p.{c}" for c in cols)
+    return with_fixtures(
+        f"SELECT p.id_paciente, {', '.join(f'w_{c}.canonico AS {c}' for c in cols)} FROM paciente p {joins}",
+        f"""
+usos AS (SELECT campo, valor, count(*) AS n, {key} AS clave FROM ({stacked}) GROUP BY campo, valor),
+palabras AS (
+  SELECT campo, u.valor, {norm("first_value(u.valor) OVER (PARTITION BY campo, clave ORDER BY n DESC, u.valor)")} AS canonico FROM usos u
+)""",
+    )
+
+
 X21 = with_fixtures(
     "SELECT sha256('cohorte-demo-salt' || id_paciente) AS id_paciente, sexo, edad, zona_residencia, fecha_dx, tipo_cancer, "
     "estadio, aseguradora, adherencia_12m FROM paciente"
@@ -158,6 +174,7 @@ SQL.update(
         "x14_service_use": X14,
         "x17_feature_drift": psi_sql(),
         "x19_harmonisation_map": harmonisation_sql(),
+        "x19_harmonised_patients": harmonised_sql(),
         "x21_anonymised_patients": X21,
     }
 )

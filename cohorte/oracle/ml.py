@@ -89,8 +89,33 @@ FROM (SELECT msg = '' AS success, NULLIF(msg, '') AS error_message
       FROM (SELECT concat_ws('; ', {REASONS}) AS msg FROM ft))
 GROUP BY success, error_message"""
 
+LOG = """
+registro AS (
+  SELECT TIMESTAMP '2001-08-01 12:00:00' + INTERVAL 7 SECOND * CAST(substr(id_paciente, 2) AS BIGINT) AS hora, id_paciente AS request_id,
+         edad IS NOT NULL AS success, count_consultas / (count_consultas + 10.0) AS p
+  FROM ft
+)"""
+LOG_TAIL = """
+SELECT strftime(hora, '%Y-%m-%d %H:%M:%S') AS hora, request_id, CASE WHEN NOT success THEN -1 WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction,
+       round(CASE WHEN success THEN p ELSE 0 END, 6) AS probability, success
+FROM registro ORDER BY registro.hora DESC LIMIT 1000"""
+# windows of five minutes that end no later than ten minutes before the last row
+LOG_WINDOWS = """
+SELECT strftime(inicio, '%Y-%m-%d %H:%M:%S') AS inicio, 'regla-1' AS model_version, count(*) AS solicitudes,
+       round(avg(p) FILTER (success), 6) AS probabilidad_media, round(avg(success::INTEGER), 6) AS tasa_exito
+FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, hora) AS inicio FROM registro) AS v
+WHERE v.inicio + INTERVAL 5 MINUTE <= (SELECT max(hora) FROM registro) - INTERVAL 10 MINUTE
+GROUP BY v.inicio"""
+
 SQL.update(
     {
+        "s5_feature_csv": with_fixtures("SELECT * REPLACE (coalesce(edad, 0) AS edad) FROM ft", FEATURE_TABLE_CTES),
+        "s7_log_tail": with_fixtures(LOG_TAIL, FEATURE_TABLE_CTES + "," + LOG),
+        "t3_stream_windows": with_fixtures(LOG_WINDOWS, FEATURE_TABLE_CTES + "," + LOG),
+        "x20_rule_quality": with_fixtures(
+            "SELECT n, accuracy, precision, recall, f1_score, balanced_accuracy, accuracy < 0.7 AS alerta_accuracy, f1_score < 0.7 AS alerta_f1_score FROM (" + A16 + ")",
+            FEATURE_TABLE_CTES + "," + BASELINE,
+        ),
         "m12_log_outcomes": with_fixtures(M12, FEATURE_TABLE_CTES),
         # the streamed log (T2) must have the same outcomes as batch scoring
         "t2_stream_outcomes": with_fixtures(M12, FEATURE_TABLE_CTES),

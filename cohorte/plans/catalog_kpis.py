@@ -10,6 +10,7 @@ from cohorte.plans import kpis as K
 from cohorte.plans.catalog_ml import feature_table, trained
 from cohorte.plans.registry import register
 from cohorte.plans.training import KEY, prepare, score
+from cohorte.schemas import NUMERIC_FEATURES
 from cohorte.sources.fixtures import AS_OF, clinical_tables
 
 SALT = "cohorte-demo-salt"
@@ -103,8 +104,7 @@ def _x15(spark, sf_dir):
 @register("x17_feature_drift")
 def _x17(spark, sf_dir):
     train_df, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
-    cols = ["edad", "count_consultas", "count_laboratorios", "avg_resultado_numerico"]
-    return K.population_stability(train_df, test_df, cols)
+    return K.population_stability(train_df, test_df, NUMERIC_FEATURES)
 
 
 @register("x19_harmonisation_map")
@@ -112,6 +112,21 @@ def _x19(spark, sf_dir):
     return K.harmonisation_map(_t(spark, sf_dir)["paciente"], ["sexo", "zona_residencia", "estadio", "aseguradora", "tipo_cancer"])
 
 
+@register("x19_harmonised_patients")
+def _x19h(spark, sf_dir):
+    return K.harmonised(_t(spark, sf_dir)["paciente"], ["sexo", "zona_residencia", "estadio", "aseguradora"]).select(
+        "id_paciente", "sexo", "zona_residencia", "estadio", "aseguradora"
+    )
+
+
+@register("x20_rule_quality")
+def _x20r(spark, sf_dir):
+    """X20 with the rule score (visits / (visits + 10)) instead of a model."""
+    f = feature_table(spark, sf_dir)
+    p = F.col("count_consultas") / (F.col("count_consultas") + F.lit(10.0))
+    return K.live_quality(f.select(KEY, (p > 0.5).cast("int").alias("prediccion")), f)
+
+
 @register("x20_live_quality")
 def _x20(spark, sf_dir):
     res = trained(spark, sf_dir, "xgboost")

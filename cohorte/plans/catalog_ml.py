@@ -4,6 +4,7 @@ feature table derived from the fixture tables."""
 from __future__ import annotations
 
 import os
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,12 @@ from cohorte.plans import queries as Q
 from cohorte.plans.registry import register
 from cohorte.plans.scoring import score_requests, validate_requests
 from cohorte.plans.training import KEY, TrainingResult, prepare, score, train
-from cohorte.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES
+from cohorte.schemas import CATEGORICAL_FEATURES, FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
 from cohorte.session import scratch_path
 from cohorte.sources.fixtures import AS_OF, clinical_tables
 from cohorte.sources.logs import append_log, last_predictions, read_log
 from cohorte.sources.registry import load_latest, new_version, save_model
+from cohorte.sources.tables import latest_feature_csv, write_feature_csv
 
 SCORING_TIME = datetime(2001, 8, 1, 12, 0, 0)
 
@@ -144,6 +146,49 @@ def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_predictions(read_log(spark, path), 1000).drop("fecha")
 
 
+def rule_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction-log rows of a rule score (visits / (visits + 10)), one a
+    patient, seven seconds apart by the number in the patient's id."""
+    f = feature_table(spark, sf_dir)
+    p = F.col("count_consultas") / (F.col("count_consultas") + F.lit(10.0))
+    ok = F.col("edad").isNotNull()
+    seconds = F.substring(KEY, 2, 20).cast("long") * 7
+    return f.select(
+        F.timestamp_seconds(F.unix_timestamp(F.lit(SCORING_TIME)) + seconds).alias("timestamp"),
+        F.col(KEY).alias("request_id"),
+        F.lit("regla-1").alias("model_version"),
+        F.when(ok, (p > 0.5).cast("int")).otherwise(-1).alias("prediction"),
+        F.when(ok, p).otherwise(0.0).alias("probability"),
+        (seconds % 50).cast("double").alias("inference_time_ms"),
+        ok.alias("success"),
+        F.when(~ok, F.lit("edad: requerido")).alias("error_message"),
+        F.struct(
+            *(F.col(c).cast("double").alias(c) for c in NUMERIC_FEATURES), *(F.col(c) for c in CATEGORICAL_FEATURES), F.lit("regla").alias("tipo_modelo")
+        ).alias("input_features"),
+    )
+
+
+def written_rule_log(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, f"rule-log-{uuid.uuid4().hex[:12]}")
+    append_log(rule_log(spark, sf_dir), path)
+    return path
+
+
+@register("s7_log_tail")
+def _s7t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6, S7, O7 on distinct times: the newest 1000 rows of a written log."""
+    tail = last_predictions(read_log(spark, written_rule_log(spark, sf_dir)), 1000)
+    return tail.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("hora"), "request_id", "prediction", round_to("probability", 6).alias("probability"), "success")
+
+
+@register("s5_feature_csv")
+def _s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table written as CSV, and the newest one read."""
+    folder = scratch_path(spark, f"features-{uuid.uuid4().hex[:12]}")
+    write_feature_csv(feature_table(spark, sf_dir), folder, "20010801_120000")
+    return latest_feature_csv(spark, folder, FEATURES)
+
+
 @register("m12_log_outcomes")
 def _m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12 outcomes of scoring every patient: requests per (success, error

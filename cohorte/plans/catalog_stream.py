@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorte.plans.catalog_ml import requests, trained
+from cohorte.plans.catalog_ml import requests, trained, written_rule_log, written_rule_log
 from cohorte.plans.registry import register
 from cohorte.schemas import PREDICTION_LOG
 from cohorte.session import scratch_path
@@ -96,3 +96,18 @@ def _t3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "inicio", "fin", "model_version", "solicitudes", "probabilidad_media", "tasa_exito", "tasa_positivos",
         F.col("latencia_mediana_ms"),
     )
+
+
+@register("t3_stream_windows")
+def _t3w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 in append mode on a log with spread times: the windows that the
+    watermark closes (state of closed windows is dropped)."""
+    run = _run_dir(spark, "t3w")
+    q = start_monitor_stream(
+        spark, written_rule_log(spark, sf_dir), os.path.join(run, "metricas"), os.path.join(run, "_chk"), window="5 minutes", watermark="10 minutes", available_now=True
+    )
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(run, "metricas")).select(
+        F.date_format("inicio", "yyyy-MM-dd HH:mm:ss").alias("inicio"), "model_version", "solicitudes",
+        F.round("probabilidad_media", 6).alias("probabilidad_media"), F.round("tasa_exito", 6).alias("tasa_exito"),
+    )

@@ -199,35 +199,27 @@ def population_stability(expected: DataFrame, actual: DataFrame, columns: list[s
     at ``eps``."""
     rng = expected.agg(*[x for c in columns for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"), F.max(F.col(c).cast("double")).alias(f"hi_{c}"))])
 
-    parts = []
     r = rng.first()  # two numbers per column reach the driver
-    for c in columns:
-        lo, hi = r[f"lo_{c}"], r[f"hi_{c}"]
-        width = (hi - lo) / bins if hi is not None and hi > lo else None
-
-        def bucket(x: Column) -> Column:
-            if width is None:
-                return F.lit(0)
-            b = F.floor((x - F.lit(lo)) / F.lit(width)).cast("int")
-            return F.when(b < 0, 0).when(b >= bins, bins - 1).otherwise(b)
-
-        def shares(df: DataFrame, name: str) -> DataFrame:
-            x = F.col(c).cast("double")
-            counted = df.where(x.isNotNull()).groupBy(bucket(x).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            # at most ``bins`` rows: the share needs their total
-            tot = F.sum("n").over(Window.partitionBy())
-            return counted.select("bin", (F.col("n") / tot).alias(name))
-
-        e, a = shares(expected, "e"), shares(actual, "a")
-        allbins = expected.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-        j = allbins.join(e, "bin", "left").join(a, "bin", "left")
-        ee = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(eps))
-        aa = F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(eps))
-        parts.append(j.agg(F.lit(c).alias("campo"), round_to(F.sum((aa - ee) * F.log(aa / ee)), 6).alias("psi")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        """Every value's bin, all columns in one pass."""
+        out = []
+        for c in columns:
+            x, lo, hi = F.col(c).cast("double"), r[f"lo_{c}"], r[f"hi_{c}"]
+            bucket = F.lit(0)
+            if hi is not None and hi > lo:
+                bucket = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(0)), F.lit(bins - 1))
+            out.append(F.when(x.isNotNull(), F.struct(F.lit(c).alias("campo"), bucket.cast("int").alias("bin"))))
+        return df.select(F.explode(F.array_compact(F.array(*out))).alias("s")).select("s.campo", "s.bin", F.lit(side).alias("lado"))
+
+    both = cells(expected, "e").union(cells(actual, "a"))
+    counts = both.groupBy("campo", "bin").agg(*(F.count_if(F.col("lado") == k).alias(k) for k in ("e", "a")))
+    per = Window.partitionBy("campo")  # at most ``bins`` rows a column
+    share = lambda k: F.greatest(F.coalesce(F.col(k) / F.nullif(F.sum(k).over(per), F.lit(0)), F.lit(0.0)), F.lit(eps))
+    shares = counts.select("campo", share("e").alias("e"), share("a").alias("a"))  # a bin empty on both sides adds 0
+    psi = shares.groupBy("campo").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
+    names = expected.sparkSession.createDataFrame([(c,) for c in columns], "campo string")
+    return names.join(psi, "campo", "left").select("campo", round_to(F.coalesce("psi", F.lit(0.0)), 6).alias("psi"))
 
 
 def drift_against_log(train_features: DataFrame, log: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
@@ -274,6 +266,17 @@ def harmonisation_map(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.join(canon, ["campo", "clave"]).select("campo", "valor", "clave", "canonico", "n")
 
 
+def harmonised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """X19 applied: every value of ``columns`` in the canonical spelling of its
+    variants. The map has one row per variant; it is joined, not collected."""
+    words = harmonisation_map(df, columns)
+    out = df
+    for c in columns:
+        own = words.where(F.col("campo") == c).select(F.col("valor").alias("_valor"), F.col("canonico").alias("_canonico"))
+        out = out.join(own, F.col(c).cast("string") == F.col("_valor"), "left").withColumn(c, F.col("_canonico")).drop("_valor", "_canonico")
+    return out
+
+
 def live_quality(scored: DataFrame, labels: DataFrame, key: str = KEY, thresholds: dict | None = None) -> DataFrame:
     """Scored requests joined to the labels known later (by key) ->
     A16 metrics and an alert flag per threshold."""

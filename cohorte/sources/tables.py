@@ -150,7 +150,9 @@ def write_feature_csv(df: DataFrame, folder: str, run_ts: str) -> dict:
 
     path = os.path.join(folder, f"dataset_modelado_{run_ts}")
     df = fill_residual_missing(df)
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    # the writer would strip texts otherwise
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, encoding="UTF-8", **whole).csv(path)
     n = df.sparkSession.read.option("header", True).csv(path).count()
     # The answer's keys and description
     return {
