@@ -9,10 +9,10 @@
    the least one (a star, not all pairs). Links are confirmed on full sets,
    read again for the classes that need them.
 4. A band key whose classes are not all connected yet may hide further links
-   between components. Those classes are joined on shingles instead: ordered
-   by how many of them hold a shingle (a sketch of fixed size), two sets of
-   the wanted similarity share one of their rarest shingles, and only pairs of
-   different components are made. Heavily edited copies of one text have rare
+   between components. Those classes are joined on shingles instead: read in
+   one order, rare shingles first, two sets of the wanted similarity share one
+   of their first shingles (prefix and position filter), and only pairs of
+   different components are made. Heavily edited copies of one text have
    shingles of their own, so a large group of them makes few pairs.
 5. Connected components of all links.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorte.llm.common import bounded_broadcast, dropped, written
@@ -44,8 +44,8 @@ K = 5
 BANDS, ROWS = 24, 6
 #: Links need PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 85
-#: Counters of the sketch that orders shingles by frequency.
-SKETCH = 1 << 18
+#: Columns of 64 parity bits that a set is compared by before it is read in full.
+PARITY = 8
 #: Ids broadcast at most (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -87,12 +87,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             asked = part.column("h1").to_pylist()
             sets = list(shingle_sets(_bytes(part.column("text")), K))
-            found = [(h, s.tobytes()) for h, s in zip(asked, sets, strict=True) if len(s) and _digest(s)[0] == h]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["h1", "shingles"])
+            found = [(h, s.view(np.int64)) for h, s in zip(asked, sets, strict=True) if len(s) and _digest(s)[0] == h]
+            ends = np.cumsum([0, *(len(s) for _, s in found)], dtype=np.int32)
+            values = pa.array(np.concatenate([np.empty(0, np.int64), *(s for _, s in found)]))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["h1", "shingles"])
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, sorted as unsigned numbers, are to be linked."""
     if len(x) > len(y):
         x, y = y, x
     if 100 * len(x) < PERCENT * len(y):
@@ -102,10 +104,16 @@ def similar(a: bytes, b: bytes) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    at, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return (values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-        good = [i for i in range(len(a)) if similar(x[i], y[i])]
+        a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+        x, y = (_lists(batch.column(c)) for c in ("x", "y"))
+        good = [i for i in range(len(a)) if similar(next(x), next(y))]
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
 
@@ -121,64 +129,50 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     asked = written(classes.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("rep").alias("rep")), "asked")
     small = bounded_broadcast(asked.withColumnRenamed("rep", "doc_id"), asked.count(), BROADCAST_IDS)
     # a repeated document gives its set more than once; links are made distinct later
-    out = written(docs.select("doc_id", "text").join(small, "doc_id").select("h1", "text").mapInArrow(_full_sets, "h1 long, shingles binary"), "sets")
+    out = written(docs.select("doc_id", "text").join(small, "doc_id").select("h1", "text").mapInArrow(_full_sets, "h1 long, shingles array<long>"), "sets")
     dropped(asked)
     return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.int64)
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set, which slots hold an odd number of its shingles (64 slots a column)."""
+    slots = 64 * PARITY
     for batch in batches:
-        for b in batch.column("shingles").to_pylist():
-            total += np.bincount((np.frombuffer(b, np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(b) > SKETCH else 0
-            if len(b) <= SKETCH:
-                np.add.at(total, (np.frombuffer(b, np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-
-def rarest(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which any set of the wanted similarity holds one.
-
-    With intersection i and union u, i >= p * u implies i >= p * |set|, so
-    another such set misses at most |set| - ceil(p * |set|) of these.
-    """
-    n = len(shingles)
-    need = n - -(-PERCENT * n // 100) + 1
-    order = np.lexsort((shingles, counts[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)]))
-    return shingles[order[:need]]
+        bits = np.zeros((batch.num_rows, slots), np.uint8)
+        for row, s in zip(bits, _lists(batch.column("shingles")), strict=True):
+            row[:] = np.bincount((mix(s) % np.uint64(slots)).astype(np.int64), minlength=slots) & 1
+        words = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("h1"), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(PARITY))], names=["h1", *(f"odd{i}" for i in range(PARITY))])
 
 
 def _rare_links(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of classes of different components that share a rare shingle."""
-    spark = active.sparkSession
-    held = sets.join(active, "h1")
-    rows = held.select("shingles").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SKETCH rows at most
-    counts = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        counts[r.slot] = r.n
-    shared = spark.sparkContext.broadcast(counts)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c = batch.column("h1").to_pylist(), batch.column("component").to_pylist()
-            full = [np.frombuffer(b, np.uint64) for b in batch.column("shingles").to_pylist()]
-            rare = [rarest(s, shared.value).view(np.int64) for s in full]
-            sizes = [len(r) for r in rare]
-            empty = np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([empty, *rare])), *(pa.array(np.repeat(np.array(v, np.int64), sizes)) for v in (h, c, [len(s) for s in full]))],
-                names=["shingle", "h1", "component", "size"],
-            )
-
-    posted = written(held.select("h1", "component", "shingles").mapInArrow(prefixes, "shingle long, h1 long, component long, size long"), "rare")
+    """Pairs ``a, b`` of classes of different components that share a rare shingle.
+
+    All sets are read in one order of shingles: first those that can't join two
+    components, then by how many sets hold one. Let o be the overlap of a linked
+    pair and i, j the places of its first common shingle; then at most n - i and
+    m - j shingles are common, and (100 + PERCENT) * o >= PERCENT * (n + m).
+    Shingles fall into slots by their hash; a slot that one set fills an odd and
+    the other an even number of times holds a shingle that isn't common.
+    """
+    odd = [f"odd{i}" for i in range(PARITY)]
+    active = active.join(sets.mapInArrow(_parities, "h1 long, " + ", ".join(f"{c} long" for c in odd)), "h1")
+    held = sets.join(active, "h1").select("h1", "component", *odd, F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("shingle"))
+    count = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("shingle", "k")
+    own = Window.partitionBy("h1")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "shingle")) - 1
+    posted = held.join(count, "shingle").withColumn("place", place).filter(F.lit(100) * (F.col("size") - F.col("place")) >= F.lit(PERCENT) * F.col("size")).drop("k")
+    posted = written(posted, "posted")
     per = posted.groupBy("shingle", "component").agg(F.count("*").alias("k"))
     top = per.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     # outside the largest component of a shingle: its members meet all others'
-    few = posted.join(top, "shingle").filter("component <> top").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("h1", "component", "size")))
-    near = (F.col("component") != F.col("component_")) & (F.lit(100) * F.least("size", "size_") >= F.lit(PERCENT) * F.greatest("size", "size_"))
+    few = posted.join(top, "shingle").filter("component <> top").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("h1", "component", "size", "place", *odd)))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in odd), F.lit(0))
+    common = F.least(F.col("size") - F.col("place"), F.col("size_") - F.col("place_"))
+    need = F.lit(PERCENT) * (F.col("size") + F.col("size_"))
+    near = (F.col("component") != F.col("component_")) & (F.lit(100 + PERCENT) * common >= need) & (F.lit(100 + PERCENT) * (F.col("size") + F.col("size_") - apart) >= need * 2)
     pairs = few.join(posted, (few.shingle == posted.shingle) & near)
-    return pairs.select(F.least("h1", "h1_").alias("a"), F.greatest("h1", "h1_").alias("b")).distinct()
+    return written(pairs.select(F.least("h1", "h1_").alias("a"), F.greatest("h1", "h1_").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,7 +193,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.join(first.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("component", "h1").alias("component"))
     apart = labelled.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("band")
     active = written(labelled.join(apart, "band", "left_semi").select("h1", "component").distinct(), "active")
-    pairs = _rare_links(active, sets).join(stars, ["a", "b"], "left_anti")
+    rare = _rare_links(active, sets)
+    pairs = rare.join(stars, ["a", "b"], "left_anti")
     more = written(_links(pairs, sets).distinct(), "confirmed")
     every = links.union(more)
     parts = components(every)
