@@ -3,9 +3,9 @@
 1. Words are counted by the number of documents that hold them: in all
    documents (the prior) and in labelled toxic and clean ones. Counters are
    hashed to SLOTS places, so the model has one size however large the corpus.
-2. A word's score is the lower bound of its log-odds between the classes under
-   Dirichlet priors: its share in all documents, and what its first bytes
-   (PREFIX) say, for word forms that the labels don't cover.
+2. A word's score is the lower bound of its log-odds of standing in a toxic
+   document, under a Dirichlet prior made of its share in all documents; or that
+   of its first bytes (PREFIX), for word forms that the labels don't cover.
 3. A linear scan finds every maximal scoring segment of a text.
 4. Extreme-value theory says how often a text of that length without toxic
    words reaches such scores; a document's evidence is its best sum statistic.
@@ -37,11 +37,13 @@ from cohorte.llm.shingles import chunks, hash_between, prefix_sums, word_spans
 #: Labelled rows that the model learns from, about, at most.
 SAMPLE = 50_000
 SLOTS = 1 << 18
-PREFIX = 5
-#: Documents' worth of prior from the word's share in all documents, and from its prefix.
-PRIOR, FORMS, FLAT = 20.0, 2.0, 0.5
+PREFIX = 4
+#: Documents' worth of prior from the word's share in all documents, and a flat one.
+PRIOR, FLAT = 20.0, 0.5
 #: Standard deviations off the log-odds; cost of a word; scores are kept in thousandths.
-DOUBT, COST, UNIT = 2.0, 0.1, 1000
+DOUBT, COST, UNIT = 1.5, 0.1, 1000
+#: Evidence beyond this says no more.
+ENOUGH = 20.0
 THRESHOLD = 0.3
 
 _BREAK = np.ones(256, bool)
@@ -91,19 +93,29 @@ def _counter(label_of: dict[int, int]) -> Callable:
 def word_scores(word, form, n, own: int | None = None) -> np.ndarray:
     """Scores, in thousandths, of words given by slot; ``own`` takes out a labelled document's own counts."""
     every, toxic, clean = n
-    a, b = toxic[word].astype(float), clean[word].astype(float)
-    fa, fb = toxic[SLOTS + form].astype(float), clean[SLOTS + form].astype(float)
-    docs, na, nb = every[-1], float(toxic[-1]), float(clean[-1])
     if own is not None:
-        a, fa, na = a - own, fa - own, na - own
-        b, fb, nb = b - (1 - own), fb - (1 - own), nb - (1 - own)
-    share = PRIOR * every[word] / max(docs, 1)
-    a = a + FORMS * fa / (fa + fb + 1) + share + FLAT
-    b = b + FORMS * fb / (fa + fb + 1) + share + FLAT
-    odds = np.log(a / (na + PRIOR)) - np.log(b / (nb + PRIOR))
-    sure = DOUBT * np.sqrt(1 / a + 1 / b)
-    score = np.sign(odds) * np.maximum(np.abs(odds) - sure, 0)
-    return np.rint(UNIT * (np.clip(score, -2, 6) - COST)).astype(np.int64)
+        toxic, clean = (toxic, own), (clean, 1 - own)
+    else:
+        toxic, clean = (toxic, 0), (clean, 0)
+    share = PRIOR / max(every[-1], 1)
+
+    # a word has to be toxic more often than not, also where toxic documents are the rule
+    rule = max(0.0, np.log((toxic[0][-1] - toxic[1] + 1) / (clean[0][-1] - clean[1] + 1)))
+
+    def score(place: np.ndarray) -> np.ndarray:
+        prior = share * every[place] + FLAT
+        a = toxic[0][place] - toxic[1] + prior
+        b = clean[0][place] - clean[1] + prior
+        odds = np.log(a / b) - rule
+        return np.sign(odds) * np.maximum(np.abs(odds) - DOUBT * np.sqrt(1 / a + 1 / b), 0)
+
+    own_score, form_score = score(word), score(SLOTS + form)
+    best = np.where(own_score < 0, own_score, np.maximum(own_score, form_score))
+    # documents are counted, so a word is evidence once a text, however often it is repeated
+    again = np.ones(len(word), bool)
+    again[np.unique(word, return_index=True)[1]] = False
+    best[again] = np.minimum(best[again], 0)
+    return np.rint(UNIT * (np.clip(best, -2, 6) - COST)).astype(np.int64)
 
 
 def _examples(label_of, counts) -> Callable:
@@ -204,7 +216,7 @@ class ToxicityModel:
     def probability(self, segments: list[float], n: int) -> float:
         if not self.line:
             return 0.0
-        x = evidence(segments, n, self.lam, self.k)
+        x = min(evidence(segments, n, self.lam, self.k), ENOUGH)
         return float(1 / (1 + np.exp(-np.clip(self.line[0] + self.line[1] * x, -30, 30))))
 
 
@@ -220,7 +232,7 @@ def calibrated(rows: list[tuple[int, int, list[int]]]) -> tuple[float, float, tu
     docs = [(y, n, [v / UNIT for v in s]) for y, n, s in rows if y >= 0]
     null = [(n, max(s, default=0.0)) for y, n, s in docs if not y and n]
     k = len(null) / max(sum(n * np.exp(-lam * s) for n, s in null), 1e-9)  # maximum likelihood, given lambda
-    x = np.array([evidence(s, n, lam, k) for _, n, s in docs])
+    x = np.array([min(evidence(s, n, lam, k), ENOUGH) for _, n, s in docs])
     return lam, k, _logistic(x, np.array([float(y) for y, _, _ in docs]))
 
 
