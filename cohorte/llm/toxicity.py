@@ -12,7 +12,8 @@
    A logistic curve fitted on labelled rows maps evidence to a probability.
 
 Labels are read from at most about SAMPLE labelled rows, picked by a hash of
-the id; counts of the prior and scores cover every document. Label tables may
+the id, of which a group of copies counts once; counts of the prior and scores
+cover every document. Label tables may
 repeat a document (the larger label counts) or hold nulls (ignored). Null and
 empty texts have no words: their score is that of no evidence. Without labels
 of both classes every score is 0. Rows without ``doc_id`` are scored and count
@@ -32,12 +33,14 @@ from pyspark.sql import types as T
 
 from cohorte.llm.common import crc_bucket
 from cohorte.llm.segments import evidence, karlin_lambda, maximal_segments
-from cohorte.llm.shingles import chunks, hash_between, prefix_sums, word_spans
+from cohorte.llm.shingles import chunks, hash_between, prefix_sums, shingle_sets, word_spans
 
 #: Labelled rows that the model learns from, about, at most.
 SAMPLE = 50_000
 SLOTS = 1 << 18
-PREFIX = 4
+PREFIX = 5
+#: Labelled documents with the same least shingle of so many words are one example.
+COPY = 5
 #: Documents' worth of prior from the word's share in all documents, and a flat one.
 PRIOR, FLAT = 20.0, 0.5
 #: Standard deviations off the log-odds; cost of a word; scores are kept in thousandths.
@@ -70,6 +73,14 @@ class Words:
                 yield word[s], form[s], starts[s] - offsets[i], ends[s] - offsets[i]
 
 
+def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of each text's shingles of COPY words: near copies mostly share it."""
+    for batch in batches:
+        texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+        least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingle_sets(texts, COPY)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(least, pa.int64())], names=["doc_id", "y", "least"])
+
+
 def _counter(label_of: dict[int, int]) -> Callable:
     """Counts documents by slot: in all, toxic and clean ones; prefixes after words."""
 
@@ -171,11 +182,17 @@ class ToxicityModel:
         """Learn from ``labels`` (doc_id, toxic) all of which may be used."""
         sc = docs.sparkSession.sparkContext
         known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
+        known = known.select(F.col("doc_id").cast("long"), "y")
         rows = known.count()
         if rows > sample:  # a share of the ids, so about SAMPLE rows are collected
             known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / rows))
-        label_of = sc.broadcast({r.doc_id: r.y for r in known.collect()})
         texts = docs.select("doc_id", "text")
+        # SAMPLE rows at most from here on; a group of copies is one example
+        least = texts.join(F.broadcast(known), "doc_id").mapInArrow(_least_shingles, "doc_id long, y int, least long").collect()
+        first: dict[tuple[int, int], int] = {}
+        for r in least:
+            first[r.least, r.y] = min(first.get((r.least, r.y), r.doc_id), r.doc_id)
+        label_of = sc.broadcast({i: y for (_, y), i in first.items()})
         summed = texts.mapInArrow(_counter(label_of), "slot long, every long, toxic long, clean long").groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("every", "toxic", "clean")))
         n = np.zeros((3, 2 * SLOTS + 1), np.int32)
         for batch in summed.toArrow().to_batches():  # at most 2 * SLOTS + 1 rows
