@@ -35,8 +35,14 @@ INVISIBLE = "­​‌‍⁠﻿"
 _BRACKETED = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(at|dot|@|\.|punkt|punto|point|arroba)\s{0,3}[)\]}>]\s{0,3}", re.I)
 _BRACKET = re.compile(r"[(\[{<]\s{0,3}(?:at|dot|@|\.|punkt|punto|point|arroba)\s{0,3}[)\]}>]", re.I)
 _AT = {"at", "@", "arroba"}
-#: name at host dot tld, all in words.
-_SPOKEN = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}(\s{1,3}at\s{1,3})[A-Za-z0-9-]{1,63}((?:\.[A-Za-z0-9-]{1,63}){0,4}(?:\s{1,3}dot\s{1,3}(?!dot(?!\w))[A-Za-z0-9-]{1,63}){1,5})(?![\w-])", re.I)
+#: The same between underscores, and as character references.
+_LINKED = re.compile(r"_(at|dot)_", re.I)
+_REFERENCE = re.compile(r"&#(?:0{0,3}(64|46)|[xX]0{0,3}(40|2[eE]));?")
+#: Letters that imitate digits, in a run with real ones or as a part after a dot.
+_LOOKALIKE = re.compile(r"(?<![A-Za-z0-9])(?:(?=[OolI]*[0-9])[0-9OolI]{1,32}|(?<=\.)[OolI]{1,3})(?![A-Za-z0-9])")
+_BESIDE = re.compile(r"[0-9][OolI]|[OolI][0-9]|[0-9.][OolI](?![A-Za-z])")
+#: name at host dot tld, in words; or only the dots are.
+_SPOKEN = re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+.-]{1,64}((?:\s{1,3}dot\s{1,3}[A-Za-z0-9_%+-]{1,64}){0,3})(\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}((?:\.[A-Za-z0-9-]{1,63}){0,4}(?:\s{1,3}dot\s{1,3}(?!dot(?!\w))[A-Za-z0-9-]{1,63}){1,5})(?![\w-])", re.I)
 _DOT_WORD = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s{1,3}(?:dot|point)\s{1,3}(?=[0-9])", re.I)
 _DIGITS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -119,18 +125,29 @@ def normalised(text: str) -> Tape | None:
     bracketed = _BRACKET.search(text)
     spoken = ("dot" in low or "point" in low) and _POINTS.search(low)
     spelled = _spelled(low)
-    if not (odd or bracketed or spoken or spelled):
+    linked = "_dot_" in low and "_at_" in low
+    reference = "&#" in text
+    lookalike = _BESIDE.search(text)
+    if not (odd or bracketed or spoken or spelled or linked or reference or lookalike):
         return None
     tape = Tape.of(text)
     if odd:
         tape = tape.replaced([(i, i + 1, plain(c)) for i, c in enumerate(text) if c in odd])
+    if reference:
+        tape = tape.replaced([(*m.span(), "@" if m[1] == "64" or m[2] == "40" else ".") for m in _REFERENCE.finditer(tape.text)])
+    if linked:
+        tape = tape.replaced([(*m.span(), "@" if m[1].lower() == "at" else ".") for m in _LINKED.finditer(tape.text)])
+    if lookalike:
+        digits = str.maketrans("OolI", "0011")
+        tape = tape.replaced([(i, i + 1, tape.text[i].translate(digits)) for m in _LOOKALIKE.finditer(tape.text) for i in range(*m.span()) if tape.text[i] in "OolI"])
     if odd or bracketed:
         tape = tape.replaced([(m.start(), m.end(), "@" if m[1].lower() in _AT else ".") for m in _BRACKETED.finditer(tape.text)])
     if odd or spoken:
         signs: list[tuple[int, int, str]] = []
         for m in _SPOKEN.finditer(tape.text):
-            signs.append((*m.span(1), "@"))
-            signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(2))]
+            signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(1))]
+            signs.append((*m.span(2), "@"))
+            signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(3))]
         tape = tape.replaced(signs)
         tape = tape.replaced([(*m.span(), ".") for m in _NUMBER_DOT.finditer(tape.text)])
     if odd or spelled:

@@ -33,6 +33,12 @@ def test_disguises_map_back_to_the_source():
         "ip 192[.]168[.]1[.]7 x": ("ip", "192[.]168[.]1[.]7"),
         "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ": ("email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
         "a jоhn@exаmple.com": ("email", "jоhn@exаmple.com"),  # Cyrillic o and a
+        "x john dot doe at example dot com y": ("email", "john dot doe at example dot com"),
+        "x john.doe@example dot co dot uk y": ("email", "john.doe@example dot co dot uk"),
+        "x john_at_example_dot_com y": ("email", "john_at_example_dot_com"),
+        "x john&#64;example&#46;com y": ("email", "john&#64;example&#46;com"),
+        "host 192.168.O.l up": ("ip", "192.168.O.l"),
+        "pay 4111 1111 1111 111l now": ("card", "4111 1111 1111 111l"),
         "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨": ("phone", "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨"),
     }
     for text, (kind, span) in cases.items():
@@ -41,7 +47,7 @@ def test_disguises_map_back_to_the_source():
 
 
 def test_clean_texts_have_no_disguise():
-    for text in ("we met at noon dot dot dot", "un un un un un un un un un", "one two three", "the dot at the point", "été à noël"):
+    for text in ("we met at noon dot dot dot", "un un un un un un un un un", "one two three", "the dot at the point", "created_at_utc.time", "I1 and O2 or l3, 10l", "été à noël"):
         assert disguised(text, []) == []
     assert normalised("plain words") is None
 
