@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.llm.common import table
-from cohorte.llm import mixing
+from cohorte.llm import decontaminate, mixing, near_dups, neighbours
 from cohorte.llm.decontaminate import contamination
 from cohorte.llm.html_text import extract
 from cohorte.llm.licences import licences
@@ -67,4 +67,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op8_secrets, op9_nearest_neighbours, op10_decontamination)}
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {"op5_mixing": mixing.SQL}
+SQL: dict[str, str] = {
+    "op2_near_duplicates": near_dups.SQL,
+    "op5_mixing": mixing.SQL,
+    "op9_nearest_neighbours": neighbours.SQL,
+    "op10_decontamination": decontaminate.SQL,
+}

@@ -132,3 +132,59 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a passage of an item."""
     hit = written(leaks(docs, items).select("doc_id").distinct(), "leaks")
     return docs.join(bounded_broadcast(hit, hit.count(), BROADCAST_WINDOWS), "doc_id", "left_anti")
+
+
+def _sql() -> str:
+    """The same result in DuckDB SQL: tokens as rows, windows as lists of them."""
+    numbers, units = (", ".join(f"'{w}'" for w in words) for words in (NUMBER_WORDS, UNITS))
+
+    def tokens(name: str, key: str, table: str) -> str:
+        return f"""
+{name}_raw AS (
+  SELECT {key}, row_number() OVER () AS r, regexp_extract_all(
+    lower(regexp_replace(coalesce(text, ''), '([\\p{{Ll}}\\p{{N}},;] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')),
+    '\\x01?\\p{{L}}[\\p{{L}}\\p{{N}}''’]*|[0-9]+(?:[.,:/][0-9]+)*[\\p{{L}}%]*') AS words
+  FROM {table} WHERE {key} IS NOT NULL
+), {name}_word AS (
+  SELECT {key}, r, len(words) AS n, generate_subscripts(words, 1) AS i, unnest(words) AS x FROM {name}_raw
+), {name}_kind AS (
+  SELECT *, (x BETWEEN '0' AND ':') OR x IN ({numbers}) AS number FROM {name}_word
+), {name}_token AS (
+  SELECT *, CASE WHEN x < '0' THEN chr(1) WHEN number THEN chr(2)
+                 WHEN lag(number) OVER (PARTITION BY r ORDER BY i) AND x IN ({units}) THEN chr(3) ELSE x END AS y FROM {name}_kind
+), {name}_window AS (
+  SELECT {key}, r, n, i, list(y) OVER w AS slots, list(x) OVER w AS raw
+  FROM {name}_token WINDOW w AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING)
+)"""
+
+    return f"""
+WITH sizes AS (SELECT unnest(range({SHORT}, {K + 1})) AS k),
+{tokens("d", "doc_id", "documents")}, {tokens("b", "item_id", "benchmark")},
+bench AS (
+  SELECT item_id, n, i, least(n, {K}) AS k, slots[1:least(n, {K})] AS slots, raw[1:least(n, {K})] AS raw
+  FROM b_window WHERE n >= {SHORT} AND i <= n - least(n, {K}) + 1
+), evidence AS (
+  SELECT DISTINCT * FROM bench WHERE len([s FOR s IN slots IF s >= '0']) >= ceil({LITERAL} * k)
+), hit AS (
+  SELECT d.doc_id, e.item_id, e.n, e.k, e.i AS j, d.i - e.i AS diagonal, unnest(range(e.k)) AS o, e.slots, e.raw AS a, d.raw[1:e.k] AS b
+  FROM evidence e JOIN sizes ON sizes.k = e.k
+  JOIN (SELECT doc_id, i, raw, sizes.k, slots[1:sizes.k] AS slots FROM d_window CROSS JOIN sizes WHERE len(slots) >= sizes.k) d ON d.k = e.k AND d.slots = e.slots
+), cell AS (
+  SELECT DISTINCT doc_id, item_id, n, diagonal, j + o AS place, slots[o + 1] AS slot, a[o + 1] AS a, b[o + 1] AS b FROM hit
+), passage AS (
+  SELECT doc_id, item_id, n, diagonal, count(DISTINCT place) AS words,
+         count(DISTINCT slot || a || chr(9) || b) FILTER (slot < '0') AS pairs,
+         count(DISTINCT slot || a) FILTER (slot < '0') AS froms, count(DISTINCT slot || b) FILTER (slot < '0') AS tos
+  FROM cell GROUP BY ALL
+), leak AS (
+  SELECT doc_id, item_id, max(words) AS words FROM passage
+  WHERE words >= least({RUN}, n) AND pairs = froms AND pairs = tos GROUP BY ALL
+), doc AS (
+  SELECT doc_id, list_sort(list(item_id)) AS items, max(words) AS words FROM leak GROUP BY ALL
+)
+SELECT documents.doc_id, doc.doc_id IS NOT NULL AS contaminated, coalesce(len(items), 0) AS n_items,
+       coalesce(array_to_string(items, ','), '') AS items, coalesce(words, 0) AS words
+FROM documents LEFT JOIN doc USING (doc_id)"""
+
+
+SQL = _sql()

@@ -177,7 +177,7 @@ def _rare_links(active: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``, others are ignored):
-    ``doc_id, n_shingles, component_id, kept, n_links`` (links confirmed for its class)."""
+    ``doc_id, n_shingles, component_id, kept``."""
     base = written(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signed")
     named = base.filter("doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -196,14 +196,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rare = _rare_links(active, sets)
     pairs = rare.join(stars, ["a", "b"], "left_anti")
     more = written(_links(pairs, sets).distinct(), "confirmed")
-    every = links.union(more)
-    parts = components(every)
+    parts = components(links.union(more))
 
-    degree = every.select(F.col("a").alias("h1")).union(every.select(F.col("b").alias("h1"))).groupBy("h1").agg(F.count("*").alias("n_links"))
     placed = classes.join(parts.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "n", "rep", F.coalesce("component", "h1").alias("part"))
     least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    of_class = placed.join(least, "part").join(degree, "h1", "left").select("h1", "h2", "n", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    of_class = written(of_class, "of_class")
+    of_class = written(placed.join(least, "part").select("h1", "h2", "n", "component_id"), "of_class")
     found = base.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = found.select(
@@ -211,7 +208,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     dropped(classes, members, stars, sets, links, active, more)
     return out
@@ -227,3 +223,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     single = docs.join(once, "doc_id", "left_semi")
     repeated = docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.union(repeated).union(docs.filter("doc_id IS NULL"))
+
+
+#: The same groups in DuckDB SQL, by comparing all documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN size p ON p.doc_id = a.doc_id JOIN size q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT DISTINCT doc_id AS x, doc_id AS y FROM words UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(d.doc_id = component_id, false) AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.x = d.doc_id"""
