@@ -449,6 +449,13 @@ class IQRWinsoriserModel(Model, _Json, DefaultParamsReadable, DefaultParamsWrita
 # --------------------------------------------------------------------------
 
 
+def residual_counts(df: DataFrame) -> list:
+    """C14: how many numeric cells of each column are NULL or NaN (aggregates)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    nan = lambda c: F.isnan(c) if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.lit(False)
+    return [F.count_if(F.col(c).isNull() | nan(c)).alias(c) for c in numeric_columns(df)]
+
+
 def fill_residual_missing(df: DataFrame) -> DataFrame:
     """C14: NULL/NaN left in numeric columns of the feature table become 0
     (a safety net; the feature query already emits none). Lazy: no count

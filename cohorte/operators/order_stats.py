@@ -88,6 +88,8 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, l
 
 def _ranks(p: float, n: int) -> tuple[int, int, float]:
     position = p * (n - 1)
+    if abs(position - round(position)) < 1e-6:  # p may have been made from a rank
+        position = round(position)
     low = math.floor(position)
     return low, math.ceil(position), position - low
 

@@ -122,6 +122,11 @@ SQL.update(
         "m1_label_vocabulary": with_fixtures("SELECT campo, valor, codigo FROM vocab", CTES),
         "m2_encoded_features": with_fixtures("SELECT * FROM enc", CTES),
         "m3_split": with_fixtures("SELECT id_paciente, adherencia_12m, conjunto FROM ft JOIN split USING (id_paciente)", CTES),
+        "m3_exact_split": with_fixtures(
+            "SELECT id_paciente, adherencia_12m, CASE WHEN row_number() OVER (PARTITION BY adherencia_12m ORDER BY substr(md5(id_paciente || ':42'), 1, 12)) "
+            "<= floor(count(*) OVER (PARTITION BY adherencia_12m) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS conjunto FROM ft",
+            FEATURE_TABLE_CTES,
+        ),
         "m4_scaler_stats": with_fixtures(M4_PARTS, CTES),
         "a16_a17_baseline_metrics": with_fixtures(A16, FEATURE_TABLE_CTES + "," + BASELINE),
         "i12_scoring_validation": with_fixtures(

@@ -14,7 +14,7 @@ from cohorte.functions.numeric import round_to
 from cohorte.operators.encode import LabelVocabulary, vocabulary
 from cohorte.operators.metrics import classification_metrics
 from cohorte.operators.scale import PopulationScaler
-from cohorte.operators.split import assign_split, train_test
+from cohorte.operators.split import assign_exact_split, assign_split, train_test
 from cohorte.plans import queries as Q
 from cohorte.plans.registry import register
 from cohorte.plans.scoring import score_requests, validate_requests
@@ -65,6 +65,11 @@ def _m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_split(feature_table(spark, sf_dir).select(KEY, "adherencia_12m"), KEY, 0.2, 42)
 
 
+@register("m3_exact_split")
+def _m3e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_exact_split(feature_table(spark, sf_dir).select(KEY, "adherencia_12m"), KEY, "adherencia_12m", 0.2, 42)
+
+
 @register("m4_scaler_stats")
 def _m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     train_df, _ = train_test(encoded(spark, sf_dir), KEY, 0.2, 42)

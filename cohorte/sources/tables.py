@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from cohorte.schemas import TABLES, raw_schema
 
@@ -146,18 +148,24 @@ def write_feature_csv(df: DataFrame, folder: str, run_ts: str) -> dict:
     ``<folder>/dataset_modelado_<run_ts>``; returns path, rows and a
     description (the row count is a cheap aggregate over the written
     files, not a second computation of the features)."""
-    from cohorte.operators.clean import fill_residual_missing
+    from cohorte.operators.clean import fill_residual_missing, residual_counts
 
     path = os.path.join(folder, f"dataset_modelado_{run_ts}")
-    df = fill_residual_missing(df)
+    # counted while the files are written, no pass of its own
+    seen = Observation()
+    df = fill_residual_missing(df.observe(seen, F.count(F.lit(1)).alias("_filas"), *residual_counts(df)))
     # the writer would strip texts otherwise
     whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.mode("overwrite").options(header=True, encoding="UTF-8", **whole).csv(path)
     n = df.sparkSession.read.option("header", True).csv(path).count()
+    residual = {c: k for c, k in seen.get.items() if k and c != "_filas"}
+    if residual:
+        warnings.warn(f"valores numéricos faltantes reemplazados por 0: {residual}", stacklevel=2)
     # The answer's keys and description
     return {
         "ruta_archivo": path,
         "total_registros": n,
+        "faltantes_reemplazados": residual,
         "descripcion": f"Dataset consolidado con {n} pacientes. Incluye: datos demográficos, clínicos, "
         "conteos de consultas/laboratorios, y promedios de resultados por tipo de prueba.",
     }

@@ -27,8 +27,10 @@ def test_load_sheets_and_missing_sheet(spark, scratch):
 
 def test_feature_csv_sink_and_latest(spark, scratch):
     f = feature_table(spark, SF)
-    out = write_feature_csv(f, scratch, "20240101_000000")
+    with pytest.warns(UserWarning, match="edad"):
+        out = write_feature_csv(f, scratch, "20240101_000000")
     assert out["total_registros"] == f.count()
+    assert out["faltantes_reemplazados"] == {"edad": f.where("edad IS NULL").count()}
     write_feature_csv(f.limit(3), scratch, "20240102_000000")
     latest = latest_feature_csv(spark, scratch, FEATURES)
     assert latest.count() == 3 and latest.columns == FEATURES.fieldNames()
