@@ -92,7 +92,10 @@ class LabelVocabularyModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return json.loads(self.getOrDefault(self.vocabularies))
 
     def code(self, column: str) -> Column:
-        values = self.get_vocabularies()[column]
+        """The column's code; F14's hash code if the model has no vocabulary for it."""
+        values = self.get_vocabularies().get(column)
+        if values is None:
+            return hash_bucket(column)
         if not values:
             return F.lit(0)
         lookup = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
@@ -101,8 +104,10 @@ class LabelVocabularyModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         sfx = self.getOrDefault(self.suffix)
-        out = df.withColumns({f"{c}{sfx}": self.code(c) for c in self.get_vocabularies()})
-        for c, folder in json.loads(self.getOrDefault(self.tables)).items():
+        joined_later = json.loads(self.getOrDefault(self.tables))
+        plain = [c for c in dict.fromkeys([*self.get_vocabularies(), *self.getOrDefault(self.inputCols)]) if c not in joined_later]
+        out = df.withColumns({f"{c}{sfx}": self.code(c) for c in plain})
+        for c, folder in joined_later.items():
             words = df.sparkSession.read.schema("campo string, valor string, codigo int").parquet(folder).where(F.col("campo") == c)
             words = words.select(F.col("valor").alias("_valor"), F.col("codigo").alias("_codigo"))
             joined = out.join(words, F.col(c).cast("string") == F.col("_valor"), "left")

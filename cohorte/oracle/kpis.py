@@ -94,7 +94,7 @@ SELECT id_paciente, fuente, categoria, COUNT(*) AS n FROM (
 PSI_COLS = list(NUMERIC_FEATURES)
 
 
-def psi_sql() -> str:
+def psi_sql(served: str = "conjunto = 'test'") -> str:
     parts = []
     for c in PSI_COLS:
         x = f"CAST(COALESCE(CAST({c} AS DOUBLE), 0.0) AS DOUBLE)"
@@ -106,7 +106,7 @@ def psi_sql() -> str:
                  * LN(GREATEST(COALESCE(a.s, 0.0), 1e-4) / GREATEST(COALESCE(e.s, 0.0), 1e-4))), 6) AS psi
 FROM range(10) b(bin)
 LEFT JOIN (SELECT b, COUNT(*) / SUM(COUNT(*)) OVER () AS s FROM (SELECT {binned} AS b FROM ft JOIN split USING (id_paciente), (SELECT MIN({x.replace(c, 'f2.' + c)}) AS lo, MAX({x.replace(c, 'f2.' + c)}) AS hi FROM ft f2 JOIN split s2 USING (id_paciente) WHERE s2.conjunto = 'train') r WHERE conjunto = 'train') GROUP BY b) e ON e.b = b.bin
-LEFT JOIN (SELECT b, COUNT(*) / SUM(COUNT(*)) OVER () AS s FROM (SELECT {binned} AS b FROM ft JOIN split USING (id_paciente), (SELECT MIN({x.replace(c, 'f2.' + c)}) AS lo, MAX({x.replace(c, 'f2.' + c)}) AS hi FROM ft f2 JOIN split s2 USING (id_paciente) WHERE s2.conjunto = 'train') r WHERE conjunto = 'test') GROUP BY b) a ON a.b = b.bin"""
+LEFT JOIN (SELECT b, COUNT(*) / SUM(COUNT(*)) OVER () AS s FROM (SELECT {binned} AS b FROM ft JOIN split USING (id_paciente), (SELECT MIN({x.replace(c, 'f2.' + c)}) AS lo, MAX({x.replace(c, 'f2.' + c)}) AS hi FROM ft f2 JOIN split s2 USING (id_paciente) WHERE s2.conjunto = 'train') r WHERE {served}) GROUP BY b) a ON a.b = b.bin"""
         )
     split = """
 split AS (
@@ -173,6 +173,7 @@ SQL.update(
         "x13_abandonment": X13,
         "x14_service_use": X14,
         "x17_feature_drift": psi_sql(),
+        "x17_drift_against_log": psi_sql("edad IS NOT NULL"),
         "x19_harmonisation_map": harmonisation_sql(),
         "x19_harmonised_patients": harmonised_sql(),
         "x21_anonymised_patients": X21,

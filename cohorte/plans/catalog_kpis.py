@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cohorte.operators.split import train_test
 from cohorte.plans import kpis as K
-from cohorte.plans.catalog_ml import feature_table, trained
+from cohorte.plans.catalog_ml import feature_table, trained, written_rule_log
 from cohorte.plans.registry import register
 from cohorte.plans.training import KEY, prepare, score
 from cohorte.schemas import NUMERIC_FEATURES
 from cohorte.sources.fixtures import AS_OF, clinical_tables
+from cohorte.sources.logs import read_log
 
 SALT = "cohorte-demo-salt"
 
@@ -107,6 +108,12 @@ def _x17(spark, sf_dir):
     return K.population_stability(train_df, test_df, NUMERIC_FEATURES)
 
 
+@register("x17_drift_against_log")
+def _x17l(spark, sf_dir):
+    train_df, _ = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
+    return K.drift_against_log(train_df, read_log(spark, written_rule_log(spark, sf_dir)))
+
+
 @register("x19_harmonisation_map")
 def _x19(spark, sf_dir):
     return K.harmonisation_map(_t(spark, sf_dir)["paciente"], ["sexo", "zona_residencia", "estadio", "aseguradora", "tipo_cancer"])

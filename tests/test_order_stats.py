@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 from cohorte.operators.clean import IQRWinsoriser
-from cohorte.operators.encode import LabelVocabulary, vocabulary
+from cohorte.operators.encode import LabelVocabulary, LabelVocabularyModel, hash_bucket, vocabulary
 from cohorte.operators.metrics import auc_frame
 from cohorte.operators.order_stats import exact_quantiles
 
@@ -56,3 +56,10 @@ def test_a_large_vocabulary_is_joined(spark, scratch):
     got = {r["big"]: (r["big_encoded"], r["small_encoded"]) for r in model.transform(new).collect()}
     assert got == {"v7": (order["v7"], 1), "v19999": (order["v19999"], 2), "unseen": (0, 0), None: (0, 0)}
     assert model.transform(df).count() == 40_001
+
+
+def test_without_a_vocabulary_the_hash_code_stands_in(spark):
+    model = LabelVocabularyModel(vocabularies='{"a": ["x", "y"]}')
+    model.set(model.inputCols, ["a", "b"])
+    row = model.transform(spark.createDataFrame([("y", "k")], "a string, b string")).withColumn("h", hash_bucket("b")).first()
+    assert row["a_encoded"] == 1 and row["b_encoded"] == row["h"]
