@@ -156,13 +156,13 @@ def _rare_links(active: DataFrame, sets: DataFrame) -> DataFrame:
     the other an even number of times holds a shingle that isn't common.
     """
     odd = [f"odd{i}" for i in range(PARITY)]
-    active = active.join(sets.mapInArrow(_parities, "h1 long, " + ", ".join(f"{c} long" for c in odd)), "h1")
-    held = sets.join(active, "h1").select("h1", "component", *odd, F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("shingle"))
+    held = sets.join(active, "h1").select("h1", "component", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("shingle"))
     count = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("shingle", "k")
     own = Window.partitionBy("h1")
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "shingle")) - 1
     posted = held.join(count, "shingle").withColumn("place", place).filter(F.lit(100) * (F.col("size") - F.col("place")) >= F.lit(PERCENT) * F.col("size")).drop("k")
-    posted = written(posted, "posted")
+    parities = sets.join(active, "h1", "left_semi").mapInArrow(_parities, "h1 long, " + ", ".join(f"{c} long" for c in odd))
+    posted = written(posted.join(parities, "h1"), "posted")  # the few rows that are left carry the parities
     per = posted.groupBy("shingle", "component").agg(F.count("*").alias("k"))
     top = per.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     # outside the largest component of a shingle: its members meet all others'
@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
     dropped(classes, members, stars, sets, links, active, more)
+    out._reads = (base, of_class)
     return out
 
 
@@ -218,8 +219,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows without ``doc_id`` stay; a document that the table repeats stays once.
     """
-    kept = written(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    once, often = kept.filter("copies = 1").select("doc_id"), kept.filter("copies > 1").select("doc_id")
+    found = near_duplicates(docs)
+    kept = written(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
+    dropped(*found._reads)
+    count = kept.count()
+    once, often = (bounded_broadcast(kept.filter(c).select("doc_id"), count, BROADCAST_IDS) for c in ("copies = 1", "copies > 1"))
     single = docs.join(once, "doc_id", "left_semi")
     repeated = docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.union(repeated).union(docs.filter("doc_id IS NULL"))
