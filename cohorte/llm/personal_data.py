@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohorte.llm.common import sliced
 from cohorte.llm.deobfuscate import LEAST_WORDS, normalised
 
 KINDS = ("email", "ip", "card", "phone")
@@ -111,7 +112,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         counts, digests, every, added = [], [], [], []
         for text in batch.column("text").to_pylist():
             base = identifiers(text or "")
@@ -149,7 +150,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t if t is None else redact(t) for t in batch.column("text").to_pylist()]
             new = {"text": pa.array(texts, batch.schema.field("text").type)}
             if "n_chars" in names:

@@ -24,7 +24,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohorte.llm.common import crc_bucket, written
+from cohorte.llm.common import crc_bucket, sliced, written
 from cohorte.llm.shingles import chunks, hash_between, prefix_sums, word_spans
 
 #: Labelled rows trained on, about, at most.
@@ -105,7 +105,7 @@ def _recorded(batch: pa.RecordBatch) -> list[int | None]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = list(features(batch.column("text").to_pylist(), _recorded(batch)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("label"), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
@@ -154,7 +154,7 @@ class QualityModel:
         shared = docs.sparkSession.sparkContext.broadcast(self)
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 for a in range(0, batch.num_rows, 500):
                     part = batch.slice(a, 500)
                     found = list(features(part.column("text").to_pylist(), _recorded(part)))

@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohorte.llm.common import written
+from cohorte.llm.common import sliced, written
 from cohorte.llm.shingles import chunks, hash_between, prefix_sums, word_spans
 
 #: Findings trained on, about, at most.
@@ -89,7 +89,7 @@ def _slots(buf_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Place -> documents with the word; after those, pairs of symbols; last, the documents."""
     total = np.zeros(SLOTS + SYMBOLS * SYMBOLS + 1, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
         for a, b in chunks(texts):
             slots, at = _slots(texts[a:b])
@@ -189,7 +189,7 @@ def clear_label(value: str, rule: str, f: list[float]) -> int | None:
 def _found(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for a, b, rule in candidates(text or ""):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorte.llm.common import crc_bucket
+from cohorte.llm.common import crc_bucket, sliced
 from cohorte.llm.segments import evidence, karlin_lambda, maximal_segments
 from cohorte.llm.shingles import chunks, hash_between, prefix_sums, shingle_sets, word_spans
 
@@ -75,7 +75,7 @@ class Words:
 
 def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least hash of each text's shingles of COPY words: near copies mostly share it."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
         least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingle_sets(texts, COPY)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(least, pa.int64())], names=["doc_id", "y", "least"])
@@ -87,7 +87,7 @@ def _counter(label_of: dict[int, int]) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = label_of.value
         n = np.zeros((3, 2 * SLOTS + 1), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("doc_id").to_pylist()
             for i, (word, form, _, _) in zip(ids, Words(batch.column("text").to_pylist()), strict=True):
                 held = np.concatenate((np.unique(word), SLOTS + np.unique(form), [2 * SLOTS]))
@@ -135,7 +135,7 @@ def _examples(label_of, counts) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, n = label_of.value, counts.value
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             label, words, values = [], [], []
             ids = batch.column("doc_id").to_pylist()
             for i, (word, form, _, _) in zip(ids, Words(batch.column("text").to_pylist()), strict=True):
@@ -213,7 +213,7 @@ class ToxicityModel:
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 yield model.scored(batch)
 
         return docs.select("doc_id", "text").mapInArrow(scored, schema)
@@ -275,7 +275,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel.fit(docs, training_labels(labels)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = shared.value.scored(batch.select(["doc_id", "text"])).column("score")
             yield batch.filter(pc.less(scores, THRESHOLD))
 
