@@ -1,14 +1,15 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-1. One pass over all documents counts character transitions inside words and, by
-   hashed place, the documents that hold a word (the dictionary). Both tables
-   have a fixed size.
-2. A second pass finds candidates (known formats, values assigned to telling
-   names, long tokens with digits) and describes each by its length, character
-   classes and transitions, dictionary coverage, whether it is part of a path or
-   address, and the words around it.
-3. A random forest, trained by Spark on about SAMPLE labelled findings at most,
-   scores every candidate.
+1. One pass over all documents finds candidates (known formats, values assigned
+   to telling names, long tokens with digits).
+2. A second pass counts character transitions inside words and, for each word
+   that stands in a candidate, the distinct texts that hold it outside of
+   candidates (the dictionary, a table that grows with these words). Copies of a
+   text count once, so a copied secret is no dictionary word.
+3. Each candidate is described by its length, character classes and transitions,
+   dictionary coverage, whether it is part of a path or address, and the words
+   around it. A random forest, trained by Spark on about SAMPLE labelled findings
+   at most, scores every candidate.
 
 Labelled findings may be given (``doc_id, start, end, is_secret``). Without
 them, clear cases stand in: a known format or an assigned value that is no
@@ -24,24 +25,31 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohorte.llm.common import sliced, written
+from cohorte.llm.common import dropped, sliced, written
 from cohorte.llm.shingles import chunks, hash_between, prefix_sums, word_spans
 
 #: Findings trained on, about, at most.
 SAMPLE = 20_000
-SLOTS = 1 << 18
-#: A word is in the dictionary if its place occurs in this share of documents, and twice.
+#: Places by which words that stand in no candidate are left out before the shuffle; more words cost shuffle, not exactness.
+PLACES = 1 << 23
+#: Texts that a task remembers to skip their copies; the shuffle finds the others.
+SEEN = 1 << 18
+#: A word is in the dictionary if this share of the distinct texts holds it, and two.
 COMMON = 2e-4
 THRESHOLD = 0.5
 SYMBOLS = 40  # letters, digits, four kinds of others
+#: Stands for the word whose count is that of the distinct texts.
+DOCUMENTS = SYMBOLS * SYMBOLS
 
 # Published token formats, telling names, usual placeholders.
 FORMATS = (
@@ -80,52 +88,115 @@ _SPLIT = np.ones(256, bool)
 _SPLIT[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 
-def _slots(buf_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Dictionary places of the letter runs of the texts, and where each text's begin."""
-    buf, starts, ends, offsets = word_spans([t.lower() for t in buf_texts], _SPLIT)
-    return (hash_between(prefix_sums(buf), starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64), np.searchsorted(starts, offsets)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letter runs of the texts, and where each text's begin."""
+    buf, starts, ends, offsets = word_spans([t.lower() for t in texts], _SPLIT)
+    return hash_between(prefix_sums(buf), starts, ends), np.searchsorted(starts, offsets)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Place -> documents with the word; after those, pairs of symbols; last, the documents."""
-    total = np.zeros(SLOTS + SYMBOLS * SYMBOLS + 1, np.int64)
-    for batch in sliced(batches):
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-        for a, b in chunks(texts):
-            slots, at = _slots(texts[a:b])
-            for i in range(b - a):
-                total[np.unique(slots[at[i] : at[i + 1]])] += 1
-            code = _SYMBOL[np.frombuffer(b"\n".join(texts[a:b]), np.uint8)]
-            inside = (code[:-1] < 36) & (code[1:] < 36)
-            total[SLOTS:-1] += np.bincount((code[:-1] * SYMBOLS + code[1:])[inside], minlength=SYMBOLS * SYMBOLS)
-        total[-1] += len(texts)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+def _value_words(value: str) -> tuple[list[str], np.ndarray]:
+    """Letter runs of a value and their hashes."""
+    words = _WORDS.findall(value)
+    return words, _words(["\n".join(words).encode()])[0]
+
+
+def _place(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def _wanted(found: DataFrame) -> np.ndarray:
+    """Whether a place has a word that stands in a candidate."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = [_place(_value_words(v)[1]) for v in batch.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)) if out else np.empty(0, np.int64))], names=["place"])
+
+    out = np.zeros(PLACES, bool)
+    for batch in found.select("value").mapInArrow(places, "place long").distinct().toArrow().to_batches():  # PLACES rows at most
+        out[batch.column(0).to_numpy()] = True
+    return out
+
+
+def _outside(text: str) -> str:
+    """The text without its candidates."""
+    spans = candidates(text)
+    if not spans:
+        return text
+    ends = [0, *(b for _, b, _ in spans)]
+    return "\n".join(text[a:b] for a, b in zip(ends, [*(a for a, _, _ in spans), len(text)], strict=True))
+
+
+def _counted(shared):
+    """``word, text, n``: a wanted word in a text; under DOCUMENTS the text itself; under a pair of symbols its number in the task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = np.unpackbits(shared.value).view(bool), set()
+        pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+
+        def batch_of(words: np.ndarray, texts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (words, texts, n)], names=["word", "text", "n"])
+
+        for batch in sliced(batches):
+            texts, digests = [], []
+            for t in batch.column("text").to_pylist():
+                raw = (t or "").encode("utf-8", "replace")
+                digest = int.from_bytes(blake2b(raw, digest_size=8).digest())
+                if len(seen) >= SEEN:
+                    seen.clear()
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    texts.append(_outside(t or "").encode("utf-8", "replace"))
+                code = _SYMBOL[np.frombuffer(raw, np.uint8)]
+                inside = (code[:-1] < 36) & (code[1:] < 36)
+                pairs += np.bincount((code[:-1] * SYMBOLS + code[1:])[inside], minlength=SYMBOLS * SYMBOLS)
+            for a, b in chunks(texts):
+                words, at = _words(texts[a:b])
+                keep = wanted[_place(words)]
+                of = np.repeat(np.arange(b - a), np.diff(at))[keep]
+                hashes = words[keep]
+                order = np.lexsort((hashes, of))
+                hashes, of = hashes[order], of[order]
+                first = np.ones(len(of), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+                digest = np.array(digests[a:b], np.uint64)
+                words = np.concatenate([hashes[first], np.full(b - a, DOCUMENTS, np.uint64)])
+                yield batch_of(words, np.concatenate([digest[of[first]], digest]), np.ones(len(words), np.int64))
+        at = np.flatnonzero(pairs)
+        yield batch_of(at, np.full(len(at), TaskContext.get().partitionId()), pairs[at])
+
+    return rows
 
 
 class Corpus:
     """Transition log-probabilities and the dictionary."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        pairs = counts[SLOTS:-1].reshape(SYMBOLS, SYMBOLS) + 0.5
+    def __init__(self, pairs: np.ndarray, known: np.ndarray) -> None:
+        pairs = pairs.reshape(SYMBOLS, SYMBOLS) + 0.5
         self.transitions = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-        self.known = counts[:SLOTS] >= max(2, COMMON * counts[-1])
+        self.known = np.sort(known)
 
     @classmethod
-    def of(cls, docs: DataFrame) -> Corpus:
-        counts = np.zeros(SLOTS + SYMBOLS * SYMBOLS + 1, np.int64)
-        summed = docs.select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        for batch in summed.toArrow().to_batches():  # a fixed number of rows at most
-            counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-        return cls(counts)
+    def of(cls, docs: DataFrame, found: DataFrame) -> Corpus:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_wanted(found)))
+        each = docs.select("text").mapInArrow(_counted(wanted), "word long, text long, n long").groupBy("word", "text").agg(F.max("n").alias("n"))
+        counts = written(each.groupBy("word").agg(F.sum("n").alias("n")), "dictionary")
+        fixed = np.zeros(DOCUMENTS + 1, np.int64)
+        for r in counts.filter(F.col("word").between(0, DOCUMENTS)).collect():  # a fixed number of rows at most
+            fixed[r.word] = r.n
+        # at most 1 / COMMON times the words of a text on average
+        known = counts.filter((F.col("n") >= max(2, COMMON * int(fixed[-1]))) & ~F.col("word").between(0, DOCUMENTS)).select("word").toArrow()
+        dropped(counts)
+        return cls(fixed[:-1], known.column(0).to_numpy().view(np.uint64))
 
     def coverage(self, value: str) -> float:
         """Share of the value's characters in dictionary words."""
-        words = [w.encode() for w in _WORDS.findall(value)]
-        if not words:
+        words, hashes = _value_words(value)
+        if not words or not len(self.known):
             return 0.0
-        slots, _ = _slots(words)
-        return sum(len(w) for w, s in zip(words, slots, strict=True) if self.known[s]) / len(value)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return sum(len(w) for w, k in zip(words, self.known[at] == hashes, strict=True) if k) / len(value)
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -149,8 +220,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def describe(text: str, a: int, b: int, rule: str, corpus: Corpus) -> list[float]:
-    value, before, after = text[a:b], text[max(0, a - 80) : a], text[b : b + 40]
+def describe(value: str, before: str, after: str, rule: str, corpus: Corpus) -> list[float]:
     raw = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
     code = _SYMBOL[raw]
     share = np.unique(raw, return_counts=True)[1] / len(raw)
@@ -177,34 +247,46 @@ def describe(text: str, a: int, b: int, rule: str, corpus: Corpus) -> list[float
 
 def clear_label(value: str, rule: str, f: list[float]) -> int | None:
     """1 or 0 for a finding that is clear by itself."""
-    if _PLACEHOLDER.search(value) or f[FEATURES.index("dictionary")] > 0.6:
+    if _PLACEHOLDER.search(value):
         return 0
     if rule not in ("assigned", "long_token"):
         return 1
+    if f[FEATURES.index("dictionary")] > 0.6:
+        return 0
     if rule == "assigned":
         return 1 if f[FEATURES.index("entropy")] >= 2.5 and f[FEATURES.index("digits")] > 0 else None
     return None if f[FEATURES.index("telling_near")] else 0
 
 
-def _found(shared):
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates with the characters before and after."""
+    for batch in sliced(batches):
+        out = []
+        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            out += [(i, a, b, rule, text[a:b], text[max(0, a - 80) : a], text[b : b + 40]) for a, b, rule in candidates(text or "")]
+        kinds = (*[pa.int64()] * 3, *[pa.string()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "end", "rule", "value", "before", "after"])
+
+
+def _described(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = shared.value
         for batch in sliced(batches):
-            out = []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for a, b, rule in candidates(text or ""):
-                    f = describe(text, a, b, rule, corpus)
-                    out.append((i, a, b, rule, clear_label(text[a:b], rule, f), f))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "end", "rule", "clear", "features"])
+            value, before, after, rule = (batch.column(c).to_pylist() for c in ("value", "before", "after", "rule"))
+            f = [describe(v, x, y, r, corpus) for v, x, y, r in zip(value, before, after, rule, strict=True)]
+            clear = [clear_label(v, r, x) for v, r, x in zip(value, rule, f, strict=True)]
+            columns = [*(batch.column(c) for c in ("doc_id", "start", "end", "rule")), pa.array(clear, pa.int32()), pa.array(f, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "rule", "clear", "features"])
 
     return rows
 
 
 def secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """One row a candidate: ``doc_id, start, end, rule, score`` (0 to 1) and ``is_secret``."""
-    corpus = docs.sparkSession.sparkContext.broadcast(Corpus.of(docs))
-    found = written(docs.select("doc_id", "text").mapInArrow(_found(corpus), "doc_id long, start long, end long, rule string, clear int, features array<double>"), "findings")
+    spans = written(docs.select("doc_id", "text").mapInArrow(_found, "doc_id long, start long, end long, rule string, value string, before string, after string"), "spans")
+    corpus = docs.sparkSession.sparkContext.broadcast(Corpus.of(docs, spans))
+    found = written(spans.mapInArrow(_described(corpus), "doc_id long, start long, end long, rule string, clear int, features array<double>"), "findings")
+    dropped(spans)
     if findings is None:
         labelled = found.filter("clear IS NOT NULL").withColumn("label", F.col("clear").cast("double"))
     else:

@@ -1,6 +1,6 @@
 import random
 
-from cohorte.llm.secret_scan import candidates, secrets
+from cohorte.llm.secret_scan import Corpus, candidates, secrets
 
 
 def made(n):
@@ -57,3 +57,24 @@ def test_given_findings(spark):
 
 def test_empty(no_docs):
     assert secrets(no_docs).count() == 0
+
+
+def test_copied_secrets_are_no_dictionary_words(spark):
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tokens = ["ghp_" + "".join(rng.choice(chars) for _ in range(36)) for _ in range(20)]
+    fill = lambda i: f"plain words of document number {i} and path /usr/local/lib/python3/site-{i}"
+    # groups of exact copies, and near copies that differ outside of the secret
+    rows = [(40 * k + c, f"{fill(k)} uses {t} here" + f" copy {c}" * (c % 2)) for k, t in enumerate(tokens) for c in range(6)] + [(10_000 + i, fill(i)) for i in range(100)]
+    got = secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert {text[r.doc_id][r.start : r.end] for r in got if r.is_secret} == set(tokens)
+    assert all(r.is_secret for r in got if r.rule == "github_token")
+
+
+def test_dictionary_counts_texts_once_and_no_candidates(spark):
+    rows = [(i, f"qwzzyx stands in one text {i % 2 * 'x'} password = alphabet9 bicycle") for i in range(40)] + [(90, "bicycle"), (91, "alphabet")]
+    docs = spark.createDataFrame([(i, t.replace("qwzzyx", "qwzzyx" if i % 2 else "other")) for i, t in rows], "doc_id long, text string")
+    found = spark.createDataFrame([("qwzzyx1",), ("bicycle1",), ("alphabet9",), ("password",)], "value string")
+    corpus = Corpus.of(docs, found)
+    assert [corpus.coverage(w) for w in ("qwzzyx", "bicycle", "alphabet", "password")] == [0.0, 1.0, 0.0, 1.0]
