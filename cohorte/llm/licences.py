@@ -1,9 +1,10 @@
 """Licence scans with ordered signature rules.
 
 A few hundred regexes (names with versions, statements, SPDX tags, addresses,
-sentences of the licence texts) are made from the tables below. A text without
-any of the GATE words is skipped; in the others a rule runs only where its
-keyword occurs. A detection is an interval of the text; it is suppressed by one
+sentences of the licence texts) are made from the tables below. Each rule has a
+core, the name or phrase that its every match holds; the cores are looked for
+where a keyword of their rules occurs, and a rule runs only where its core and
+its own keyword do. A detection is an interval of the text; it is suppressed by one
 of higher priority that holds it or lies in it, and by a longer one of its own
 priority that holds it.
 
@@ -108,6 +109,8 @@ class Rule:
     priority: int
     keywords: tuple[str, ...]
     regex: str
+    #: Part of every match, from a word's beginning on; other rules may share it.
+    core: str
 
 
 def _words(text: str) -> str:
@@ -115,8 +118,8 @@ def _words(text: str) -> str:
     return text.replace(" ?", f"{GAP}*").replace(" ", f"{GAP}+")
 
 
-def _rule(label: str, priority: int, keywords: str, text: str) -> Rule:
-    return Rule(label, priority, tuple(keywords.split("|")), f"(?i)(?<!{IN_WORD})(?:{text})(?!{IN_WORD})")
+def _rule(label: str, priority: int, keywords: str, text: str, core: str | None = None) -> Rule:
+    return Rule(label, priority, tuple(keywords.split("|")), f"(?i)(?<!{IN_WORD})(?:{text})(?!{IN_WORD})", core or text)
 
 
 def _version(v: str) -> str:
@@ -128,21 +131,23 @@ def _version(v: str) -> str:
 def rules() -> list[Rule]:
     """All rules, made from the tables: a tag outranks a statement, that a versioned name, that a bare name."""
     out: list[Rule] = []
+    spdx, opensource, creative = "spdx-license-identifier:", r"opensource\.org/licenses/", r"creativecommons\.org/licenses/"
+    owner = r"(?:gnu|apache|mozilla|eclipse)\.org/"
     for label, names, keys, versions in FAMILIES:
         name = "(?:" + "|".join(_words(n) for n in names) + ")"
         out.append(_rule(label, 30, keys, name))
-        out += [_rule(label, 50, keys, f"{_words(s)}{GAP}+{name}") for s in STATEMENTS]
-        out.append(_rule(label, 90, "spdx", rf"spdx-license-identifier:{GAP}*{label}"))
+        out += [_rule(label, 50, keys, f"{_words(s)}{GAP}+{name}", name) for s in STATEMENTS]
+        out.append(_rule(label, 90, "spdx", rf"{spdx}{GAP}*{label}", spdx))
         for v in versions:
             own, full = f"{label}-{v if '.' in v else v + '.0'}", name + _version(v)
-            out.append(_rule(own, 60, keys, full))
+            out.append(_rule(own, 60, keys, full, name))
             later = rf"{GAP}+or{GAP}+(?:\(?at{GAP}+your{GAP}+option\)?{GAP}+)?(?:any{GAP}+)?later(?:{GAP}+version)?"
-            out.append(_rule(own + "-or-later", 70, keys, full + later))
+            out.append(_rule(own + "-or-later", 70, keys, full + later, name))
             for s in STATEMENTS:
-                out += [_rule(own, 65, keys, f"{_words(s)}{GAP}+{full}"), _rule(own + "-or-later", 72, keys, f"{_words(s)}{GAP}+{full}{later}")]
-            out.append(_rule(own, 95, "spdx", rf"spdx-license-identifier:{GAP}*{label}-{v.replace('.', '[.]')}(?:\.0)?(?:-only|\+)?"))
-            out.append(_rule(own, 80, "opensource", rf"opensource\.org/licenses/{label}-{v.replace('.', '[.]')}(?:\.0)?"))
-            out.append(_rule(own, 80, label, rf"(?:gnu|apache|mozilla|eclipse)\.org/[a-z/-]*licenses?/(?:old-licenses/)?(?:license-)?(?:{label}-)?{v.replace('.', '[.]')}(?:\.0)?"))
+                out += [_rule(own, 65, keys, f"{_words(s)}{GAP}+{full}", name), _rule(own + "-or-later", 72, keys, f"{_words(s)}{GAP}+{full}{later}", name)]
+            out.append(_rule(own, 95, "spdx", rf"{spdx}{GAP}*{label}-{v.replace('.', '[.]')}(?:\.0)?(?:-only|\+)?", spdx))
+            out.append(_rule(own, 80, "opensource", rf"{opensource}{label}-{v.replace('.', '[.]')}(?:\.0)?", opensource))
+            out.append(_rule(own, 80, label, rf"{owner}[a-z/-]*licenses?/(?:old-licenses/)?(?:license-)?(?:{label}-)?{v.replace('.', '[.]')}(?:\.0)?", owner))
     for parts in CC_PARTS:
         short = f"cc{GAP}+" + f"{GAP}*".join(parts.split("-"))
         long = f"creative{GAP}+commons{GAP}+" + f"{GAP}+".join(_words(CC_WORDS[p]) for p in parts.split("-"))
@@ -150,22 +155,34 @@ def rules() -> list[Rule]:
         out.append(_rule(label, 40 + len(parts), "cc|creative", f"(?:{short}|{long})"))
         for v in CC_VERSIONS:
             number = v.replace(".", "[.]")
-            out.append(_rule(f"{label}-{v}", 60 + len(parts), "cc|creative", f"(?:{short}|{long})(?:{GAP}+international|{GAP}+unported|{GAP}+licen[cs]e)*{GAP}*{number}"))
-            out.append(_rule(f"{label}-{v}", 80 + len(parts), "creativecommons", rf"creativecommons\.org/licenses/{parts}/{number}"))
-            out.append(_rule(f"{label}-{v}", 95, "spdx", rf"spdx-license-identifier:{GAP}*cc-{parts}-{number}"))
+            out.append(_rule(f"{label}-{v}", 60 + len(parts), "cc|creative", f"(?:{short}|{long})(?:{GAP}+international|{GAP}+unported|{GAP}+licen[cs]e)*{GAP}*{number}", f"(?:{short}|{long})"))
+            out.append(_rule(f"{label}-{v}", 80 + len(parts), "creativecommons", rf"{creative}{parts}/{number}", creative))
+            out.append(_rule(f"{label}-{v}", 95, "spdx", rf"{spdx}{GAP}*cc-{parts}-{number}", spdx))
     out += [_rule(label, 75, key, _words(text)) for label, key, text in SENTENCES]
     return out
 
 
-#: Without one of these, lower-cased, a text has no detection.
-GATE = ("licen", "cc", "gpl", "gnu", "spdx", "copyright", "creative", "permission", "redistribut", "public domain", "rights reserved", "proprietary", "bsd", "wtfpl", "merchantability", "noninfringement", "misrepresented", "agreed to in", "advertising materials", "neither the name")
-_LICENCE = f"(?i)(?:licen[cs]|(?<!{IN_WORD})(?:cc{GAP}+by|cc0|l?gpl|agpl|bsd|wtfpl|spdx)(?!{IN_WORD})|creative{GAP}+commons|permission{GAP}+(?:is|to)|redistribut|public{GAP}+domain|rights{GAP}+reserved|proprietary{GAP}+and|merchantability|noninfringement|misrepresented|agreed{GAP}+to{GAP}+in|advertising{GAP}+materials|neither{GAP}+the)"
+#: What the rules' matches begin with or hold, and the keywords of its rules: without one of them, lower-cased, it is not looked for.
+CORES = {c: tuple(dict.fromkeys(k for r in rules() if r.core == c for k in r.keywords)) for c in dict.fromkeys(r.core for r in rules())}
 
 
-def _detections(text: Column, low: Column) -> Column:
+def _cores(text: Column, low: Column) -> Column:
+    """Numbers of the cores in the text; only their rules can match."""
+
+    def one(i: int, core: str, keywords: tuple[str, ...]) -> Column:
+        may = F.lit(False)
+        for k in keywords:
+            may = may | F.contains(low, F.lit(k))
+        return F.when(may & F.rlike(text, F.lit(f"(?i)(?<!{IN_WORD})(?:{core})")), F.lit(i))
+
+    return F.array_compact(F.array(*(one(i, c, ks) for i, (c, ks) in enumerate(CORES.items()))))
+
+
+def _detections(text: Column, low: Column, cores: Column) -> Column:
     """Intervals that the rules find: label, priority, first character, end."""
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.regex).alias("regex")) for r in rules()))
-    run = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(low, k)) & F.rlike(text, r["regex"]))
+    number = {c: i for i, c in enumerate(CORES)}
+    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.regex).alias("regex"), F.lit(number[r.core]).alias("core")) for r in rules()))
+    run = F.filter(table, lambda r: F.array_contains(cores, r["core"]) & F.exists(r["keywords"], lambda k: F.contains(low, k)) & F.rlike(text, r["regex"]))
 
     def places(r: Column) -> Column:
         hits, between = F.regexp_extract_all(text, r["regex"], F.lit(0)), F.split(text, r["regex"], -1)
@@ -207,12 +224,9 @@ def licences(docs: DataFrame) -> DataFrame:
     text, low = F.col("text"), F.col("low")
     word = F.lit(f"{IN_WORD}+")
     may = F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by")))
-    gate = F.lit(False)
-    for g in GATE:
-        gate = gate | F.contains(low, F.lit(g))
     counted = {f"k_{label}": F.when(may, F.regexp_count(text, F.lit(rx))).otherwise(0) for label, rx in BASE.items()}
     empty = F.array().cast("array<struct<label:string,priority:int,start:int,end:int>>")
-    rows = rows.select("doc_id", "text", "low", F.regexp_count(text, word).cast("long").alias("n_words"), *(c.alias(n) for n, c in counted.items()), (gate & F.rlike(text, F.lit(_LICENCE))).alias("gate"))
+    rows = rows.select("doc_id", "text", "low", F.regexp_count(text, word).cast("long").alias("n_words"), *(c.alias(n) for n, c in counted.items()), _cores(text, low).alias("cores"))
     n_base = sum((F.col(n) for n in counted), F.lit(0)).cast("long")
     before_first = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(ANY_BASE)) - 1)
     before_last = F.regexp_extract(text, "(?s)^(.*)" + ANY_BASE, 1)
@@ -223,7 +237,7 @@ def licences(docs: DataFrame) -> DataFrame:
         F.when(n_base > 0, F.regexp_count(before_first, word)).cast("long").alias("first_word"),
         F.when(n_base > 0, F.regexp_count(before_last, word)).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"k_{label}") > 0, F.lit(label)) for label in BASE)))).alias("base"),
-        F.when(F.col("gate"), _detections(text, low)).otherwise(empty).alias("found"),
+        F.when(F.size("cores") > 0, _detections(text, low, F.col("cores"))).otherwise(empty).alias("found"),
     )
     rows = rows.withColumn("detections", F.when(F.size("found") > 0, _kept(F.col("found"))).otherwise(empty))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda d: d["label"]))))

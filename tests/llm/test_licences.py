@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from cohorte.llm.licences import PHRASES, licences, rules
+from cohorte.llm.licences import CORES, PHRASES, licences, rules
 
 
 def base(text):
@@ -52,3 +52,32 @@ def test_tables(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in licences(docs).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(texts[r.doc_id])
+
+
+UNGATED = [
+    ("released under GPLv3", "gpl-3.0"),
+    ("GNU GPLv2", "gpl-2.0"),
+    ("LGPLv2.1 or later", "lgpl-2.1-or-later"),
+    ("MPL 2.0", "mpl-2.0"),
+    ("EPL-2.0", "epl-2.0"),
+    ("0BSD", "0bsd"),
+    ("CDDL 1.1, EUPL 1.2, LPPL 1.3, ODbL 1.0", "cddl-1.1,eupl-1.2,lppl-1.3,odbl-1.0"),
+    ("GFDL1.3 and ASL 2.0 and CeCILL", "apache-2.0,cecill,gfdl-1.3"),
+    ("all rights\n * reserved", "proprietary"),
+    ("unless required by applicable law or agreed\n  to\n  in writing", "apache-2.0"),
+    ("neither\n   the name of the owner may be used to endorse or promote products", "bsd-3-clause"),
+    ("dedicated to the public\ndomain", "public-domain"),
+    ("the examples comply with simple replacement of gnus", ""),
+]
+
+
+def test_the_rules_alone_decide(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(UNGATED)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences(rows).collect()}
+    for i, (text, want) in enumerate(UNGATED):
+        assert set(want.split(",")) <= set(got[i].labels.split(",")) and bool(want) == bool(got[i].labels), (text, got[i].labels)
+
+
+def test_cores_follow_from_the_rules():
+    for r in rules():
+        assert r.core in r.regex and set(r.keywords) <= set(CORES[r.core])
