@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from cohorte.llm.common import table
 from cohorte.llm import decontaminate, mixing, near_dups, neighbours
+from cohorte.llm import prefix_trie as trie
 from cohorte.llm.decontaminate import contamination
 from cohorte.llm.html_text import extract
 from cohorte.llm.licences import licences
 from cohorte.llm.near_dups import near_duplicates
 from cohorte.llm.neighbours import nearest
 from cohorte.llm.personal_data import personal_data
+from cohorte.llm.prefix_trie import prefix_trie
 from cohorte.llm.quality import quality
 from cohorte.llm.secret_scan import secrets
 from cohorte.llm.toxicity import toxicity
@@ -64,7 +66,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op8_secrets, op9_nearest_neighbours, op10_decontamination)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op8_secrets, op9_nearest_neighbours, op10_decontamination, op11_prefix_trie)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
@@ -72,4 +78,5 @@ SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op9_nearest_neighbours": neighbours.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_prefix_trie": trie.SQL,
 }
