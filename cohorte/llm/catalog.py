@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.llm.common import table
-from cohorte.llm import decontaminate, mixing, near_dups, neighbours
+from cohorte.llm import decontaminate, host_rules, mixing, near_dups, neighbours
 from cohorte.llm import prefix_trie as trie
 from cohorte.llm.decontaminate import contamination
+from cohorte.llm.host_rules import host_quality
 from cohorte.llm.html_text import extract
 from cohorte.llm.licences import licences
 from cohorte.llm.near_dups import near_duplicates
@@ -20,6 +21,7 @@ from cohorte.llm.prefix_trie import prefix_trie
 from cohorte.llm.quality import quality
 from cohorte.llm.secret_scan import secrets
 from cohorte.llm.toxicity import toxicity
+from cohorte.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +72,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op8_secrets, op9_nearest_neighbours, op10_decontamination, op11_prefix_trie)}
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_personal_data, op4_toxicity, op5_mixing, op6_quality, op7_licences, op8_secrets, op9_nearest_neighbours, op10_decontamination, op11_prefix_trie, op12_host_rules, op13_whitening)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
@@ -79,4 +89,5 @@ SQL: dict[str, str] = {
     "op9_nearest_neighbours": neighbours.SQL,
     "op10_decontamination": decontaminate.SQL,
     "op11_prefix_trie": trie.SQL,
+    "op12_host_rules": host_rules.SQL,
 }
