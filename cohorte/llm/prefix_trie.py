@@ -146,6 +146,8 @@ def _turns(conversations: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
         F.monotonically_increasing_id().alias("copy"),  # spreads equal rows over ranges
     )
+    # written first: finding the ranges reads the rows once more, and texts are to be hashed once
+    rows = written(rows, "hashed")
     sorted_rows = in_order(rows, "block", "own", "conv_id", "turn", "g", "copy")
     return sorted_rows.select("conv_id", "block", "own", "g", "words").mapInArrow(
         _numbered, "part int, conv_id long, block long, own boolean, idx long, nb long, g binary, words long"
