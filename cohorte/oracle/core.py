@@ -73,7 +73,15 @@ def _mean(words: tuple[str, ...]) -> str:
     return f"round(coalesce(list_avg([x.valor FOR x IN m.pruebas IF ({named}) AND x.valor IS NOT NULL]), 0), 2)"
 
 
-FEATURE_TABLE_CTES = f"""
+def _exact_mean(words: tuple[str, ...]) -> str:
+    """The same over results as decimals, whose sum has no rounding."""
+    named = " OR ".join(f"contains(x.tipo, '{w}')" for w in words) or "true"
+    values = f"[x.valor::DECIMAL(28, 9) FOR x IN m.pruebas IF ({named}) AND x.valor IS NOT NULL]"
+    return f"round(coalesce(list_sum({values})::DOUBLE / nullif(len({values}), 0), 0), 2)"
+
+
+def feature_table_ctes(mean) -> str:
+    return f"""
 mediciones AS (
   SELECT id_paciente, count(*) AS n, list({{'tipo': lower(tipo_prueba), 'valor': resultado_numerico}}) AS pruebas
   FROM laboratorio GROUP BY id_paciente
@@ -81,13 +89,15 @@ mediciones AS (
 ft AS (
   SELECT p.id_paciente, sexo, edad, ifnull(zona_residencia, 'Desconocida') AS zona_residencia, tipo_cancer, estadio, aseguradora,
          ifnull(a.n, 0) AS count_consultas, date_diff('day', fecha_dx, {AS_OF})::INTEGER AS dias_desde_diagnostico,
-         ifnull(m.n, 0) AS count_laboratorios, {_mean(())} AS avg_resultado_numerico,
-         {", ".join(f"{_mean(words)} AS avg_{name}" for name, words in BUCKETS.items())},
+         ifnull(m.n, 0) AS count_laboratorios, {mean(())} AS avg_resultado_numerico,
+         {", ".join(f"{mean(words)} AS avg_{name}" for name, words in BUCKETS.items())},
          ifnull(adherencia_12m, false)::INTEGER AS adherencia_12m
   FROM paciente p LEFT JOIN asistencia a USING (id_paciente) LEFT JOIN mediciones m USING (id_paciente)
   WHERE NOT (sexo IS NULL OR tipo_cancer IS NULL OR estadio IS NULL OR aseguradora IS NULL)
 )"""
 
+FEATURE_TABLE_CTES = feature_table_ctes(_mean)
+Q4_EXACT = with_fixtures("FROM ft", feature_table_ctes(_exact_mean))
 Q4_FEATURES = with_fixtures("FROM ft", FEATURE_TABLE_CTES)
 
 

@@ -3,7 +3,9 @@ and foreign key, two overlapping deliveries, last delivery wins."""
 
 from __future__ import annotations
 
-from cohorte.oracle import SQL, with_fixtures
+import re
+
+from cohorte.oracle import FIXTURE_CTES, SQL, core, with_fixtures
 from cohorte.schemas import TABLES
 
 CUT1 = "DATE '1998-01-01'"
@@ -94,6 +96,17 @@ def fk_orphans() -> str:
     return with_fixtures(" UNION ALL ".join(parts), CTES)
 
 
+def over_ingested(sql: str) -> str:
+    """A query of the clinical tables, over the rows of them that ingest keeps."""
+    out = sql
+    for t, v in (("paciente", "vp"), ("consulta", "vc"), ("laboratorio", "vl")):
+        head, tail = out[: len(_HEAD)], out[len(_HEAD) :]
+        out = head + re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {v}", tail)
+    return out.replace(_HEAD, _HEAD + "," + CTES, 1)
+
+
+_HEAD = "WITH " + FIXTURE_CTES
+
 SQL.update(
     {
         "q6_ingest_paciente": final_table("paciente"),
@@ -104,6 +117,11 @@ SQL.update(
         "i1_parse_consulta": parse_consulta(),
         "i8_pk_duplicates": pk_duplicates(),
         "i9_fk_orphans": fk_orphans(),
+        # the summaries follow the deliveries step by step; they add results up as decimals
+        "q1_summary_gap": over_ingested(core.Q1_LAB_DX_GAP),
+        "q2_summary_inactive": over_ingested(core.Q2_INACTIVE),
+        "q3_summary_dashboard": over_ingested(core.Q3_DASHBOARD),
+        "q4_summary_features": over_ingested(core.Q4_EXACT),
         # T1 streams the same two deliveries; the table must equal Q6's
         "t1_stream_ingest_consulta": final_table("consulta"),
         "t1_stream_ingest_laboratorio": final_table("laboratorio"),

@@ -107,8 +107,47 @@ FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, hora) AS inicio FROM registro) AS
 WHERE v.inicio + INTERVAL 5 MINUTE <= (SELECT max(hora) FROM registro) - INTERVAL 10 MINUTE
 GROUP BY v.inicio"""
 
+# the tenth of the rows that came after the rest is late where its window had been closed
+LOG_LATE = """
+SELECT CASE WHEN tarde THEN 'tardia' ELSE 'ventana' END AS clase, strftime(inicio, '%Y-%m-%d %H:%M:%S') AS inicio, 'regla-1' AS model_version,
+       count(*) AS solicitudes, CASE WHEN NOT tarde THEN round(avg(p) FILTER (success), 6) END AS probabilidad_media,
+       v.inicio + INTERVAL 5 MINUTE <= (SELECT max(hora) FROM registro) - INTERVAL 10 MINUTE AS cerrada
+FROM (
+  SELECT *, atrasada AND inicio + INTERVAL 5 MINUTE <= max(hora) FILTER (NOT atrasada) OVER () - INTERVAL 10 MINUTE AS tarde
+  FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, hora) AS inicio, CAST(substr(request_id, 2) AS BIGINT) % 10 = 3 AS atrasada FROM registro)
+) AS v GROUP BY v.tarde, v.inicio"""
+LOG_SESSIONS = """
+SELECT strftime(min(hora), '%Y-%m-%d %H:%M:%S') AS primera, strftime(max(hora), '%Y-%m-%d %H:%M:%S') AS ultima, 'regla-1' AS model_version,
+       count(*) AS solicitudes, count_if(success) AS con_exito
+FROM (
+  SELECT *, sum(empieza) OVER (ORDER BY hora) AS sesion
+  FROM (SELECT *, CASE WHEN hora - lag(hora) OVER (ORDER BY hora) <= INTERVAL 10 SECOND THEN 0 ELSE 1 END AS empieza FROM registro)
+) GROUP BY sesion"""
+# labels in time: for five patients in seven
+LIVE = """
+SELECT n, sin_etiqueta, round((tp + tn) / n, 4) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1_score,
+       round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 4) AS balanced_accuracy,
+       (tp + tn) / n < 0.7 AS alerta_accuracy, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) < 0.7 AS alerta_f1_score
+FROM (
+  SELECT count_if(known) AS n, count_if(NOT known) AS sin_etiqueta, count_if(known AND yes AND y = 1) AS tp, count_if(known AND yes AND y = 0) AS fp,
+         count_if(known AND NOT yes AND y = 0) AS tn, count_if(known AND NOT yes AND y = 1) AS fn
+  FROM (
+    SELECT CAST(substr(request_id, 2) AS BIGINT) % 7 > 1 AS known, p > 0.5 AS yes, adherencia_12m AS y
+    FROM registro JOIN ft ON id_paciente = request_id WHERE success
+  )
+)"""
+# two streams score every request once each
+SHARED = f"""
+SELECT v AS model_version, count(*) AS solicitudes, count(*) AS distintas, count_if(msg = '') AS con_exito
+FROM (SELECT concat_ws('; ', {REASONS}) AS msg FROM ft), (VALUES ('v1'), ('v2')) AS versions(v) GROUP BY v"""
+
 SQL.update(
     {
+        "t2_shared_log": with_fixtures(SHARED, FEATURE_TABLE_CTES),
+        "t3_windows_and_late": with_fixtures(LOG_LATE, FEATURE_TABLE_CTES + "," + LOG),
+        "t3_sessions": with_fixtures(LOG_SESSIONS, FEATURE_TABLE_CTES + "," + LOG),
+        "x20_stream_quality": with_fixtures(LIVE, FEATURE_TABLE_CTES + "," + LOG),
         "s5_feature_csv": with_fixtures("SELECT * REPLACE (coalesce(edad, 0) AS edad) FROM ft", FEATURE_TABLE_CTES),
         "s7_log_tail": with_fixtures(LOG_TAIL, FEATURE_TABLE_CTES + "," + LOG),
         "t3_stream_windows": with_fixtures(LOG_WINDOWS, FEATURE_TABLE_CTES + "," + LOG),

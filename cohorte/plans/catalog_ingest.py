@@ -9,26 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.operators.quality import REASONS, fk_orphans, parse_sheet, pk_duplicates, split_valid
-from cohorte.plans.ingest import ORDER, IngestResult, ingest
+from cohorte.plans import queries as Q
+from cohorte.plans.ingest import ORDER, Delivery, deliver
 from cohorte.plans.registry import register
+from cohorte.plans.summaries import read_summaries, rollup_of
 from cohorte.schemas import TABLES
 from cohorte.session import scratch_path
-from cohorte.sources.fixtures import raw_deliveries, raw_sheets
-from cohorte.sources.tables import version_id
+from cohorte.sources.fixtures import AS_OF, raw_deliveries, raw_sheets
+from cohorte.sources.tables import read_latest
 
+#: Cells of the fixture's tables, which are small.
+CELLS = 8
 
-def two_deliveries(spark: SparkSession, sf_dir: str) -> IngestResult:
-    """Both deliveries into a fresh versioned store in the shared
-    checkpoint folder (versions 1 and 2)."""
+
+def two_deliveries(spark: SparkSession, sf_dir: str, summaries: bool | None = None) -> tuple[str, Delivery]:
+    """Both deliveries into a fresh store in the shared checkpoint folder."""
     root = scratch_path(spark, f"ingest-{uuid.uuid4().hex[:12]}")
     d1, d2 = raw_deliveries(spark, sf_dir)
-    first = ingest(d1, table_root=root, version=version_id(1))
-    return ingest(d2, base=first.tables, table_root=root, version=version_id(2))
+    deliver(spark, root, d1, n_cells=CELLS, summaries=summaries)
+    return root, deliver(spark, root, d2, n_cells=CELLS)
 
 
 def _final(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return two_deliveries(spark, sf_dir).tables[name]
+        return read_latest(spark, two_deliveries(spark, sf_dir)[0], name)
 
     return run
 
@@ -39,12 +43,43 @@ for _n in ORDER:
 
 @register("q6_ingest_stats")
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_deliveries(spark, sf_dir).stats
+    return two_deliveries(spark, sf_dir)[1].stats_rows()
 
 
 @register("i6_quarantine")
 def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_deliveries(spark, sf_dir).errors.select("tabla", "clave", "mensaje")
+    return two_deliveries(spark, sf_dir)[1].errors()
+
+
+def _summarised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patients and both summaries, rolled up delivery by delivery."""
+    root, _ = two_deliveries(spark, sf_dir, summaries=True)
+    resumen, dias = read_summaries(spark, root)
+    return read_latest(spark, root, "paciente"), resumen, dias
+
+
+@register("q1_summary_gap")
+def _q1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, resumen, _ = _summarised(spark, sf_dir)
+    return Q.gap_of(p, resumen.where("primera_fecha_lab IS NOT NULL").select("id_paciente", "primera_fecha_lab"))
+
+
+@register("q2_summary_inactive")
+def _q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, resumen, _ = _summarised(spark, sf_dir)
+    return Q.inactive_of(p, resumen.select("id_paciente", "ultima_consulta", F.col("count_consultas").alias("total_consultas")), AS_OF, 90)
+
+
+@register("q3_summary_dashboard")
+def _q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, resumen, dias = _summarised(spark, sf_dir)
+    return Q.dashboard_of(p, rollup_of(resumen, dias, AS_OF, 6))
+
+
+@register("q4_summary_features")
+def _q4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, resumen, _ = _summarised(spark, sf_dir)
+    return Q.features_of(p, rollup_of(resumen), AS_OF)
 
 
 @register("i1_parse_consulta")

@@ -8,13 +8,17 @@ checked against the *merged* patient table. Per table:
 
 Everything is one lazy plan per table; the only shuffles are on the key
 (de-duplication, upsert) and on ``id_paciente`` (foreign-key check).
+
+:func:`deliver` ingests into the keyed store: it reads and writes only the cells
+that the batch falls into, and one commit makes all its tables visible at once.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from cohorte.functions.parse import DEFAULT_DATE_FORMATS
 from cohorte.operators.quality import REASONS, dedupe_last, parse_sheet, quarantine_rows, split_valid
 from cohorte.operators.upsert import BROADCAST_KEYS, upsert, upsert_stats
+from cohorte.plans.summaries import PATIENTS, summary_changes
 from cohorte.schemas import TABLES
-from cohorte.sources.tables import read_version, write_version
+from cohorte.sources import store
+from cohorte.sources.store import DEFAULT_CELLS, Snapshot, Work, version_id
 
 ORDER = ("paciente", "consulta", "laboratorio")
 ROW_ORDER = "_fila"
@@ -36,16 +42,6 @@ class IngestResult:
     errors: DataFrame
 
 
-def _stager(spark: SparkSession, root: str, name: str, version: str) -> Callable[[DataFrame], DataFrame]:
-    path = os.path.join(root, "_staging", name, f"version={version}")
-
-    def run(df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    return run
-
-
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
     """An empty table with the declared schema (a local relation, which the
     optimizer folds away in the first upsert)."""
@@ -126,15 +122,9 @@ def ingest(
     order_col: str = ROW_ORDER,
     formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
     compat: bool = False,
-    table_root: str | None = None,
-    version: str | None = None,
 ) -> IngestResult:
-    """Merge one batch of raw sheets into ``base`` (empty tables if None).
-
-    With ``table_root`` every merged table is written as version
-    ``version`` of the versioned store and read back before the next sheet
-    uses it: the children's FK check and the caller then read the written
-    table instead of recomputing the upsert, and the lineage is cut.
+    """Merge one batch of raw sheets into ``base`` (empty tables if None), as
+    lazy plans; :func:`deliver` is the form that writes.
 
     ``order_col`` orders rows inside the batch (last wins for a repeated
     key). When a sheet lacks it, the scan order is used
@@ -147,18 +137,131 @@ def ingest(
     merged: dict[str, DataFrame] = {}
     stats, errors = [], []
     for name in ORDER:
-        stage = None
-        if table_root is not None:
-            if version is None:
-                raise ValueError("version is required with table_root")
-            stage = _stager(spark, table_root, name, version)
-        m, st, err = ingest_table(batch[name], name, base[name], merged.get("paciente"), order_col, formats, compat, stage)
-        if table_root is not None:
-            write_version(m, table_root, name, version)
-            m = read_version(spark, table_root, name, version)
+        m, st, err = ingest_table(batch[name], name, base[name], merged.get("paciente"), order_col, formats, compat)
         merged[name] = m
         stats.append(st)
         errors.append(err)
     all_stats = stats[0].unionByName(stats[1]).unionByName(stats[2])
     all_errors = errors[0].unionByName(errors[1]).unionByName(errors[2])
     return IngestResult(merged, all_stats, all_errors)
+
+
+STAGED = "_preparado"
+ERRORS = "_errores"
+STATS_SCHEMA = "tabla string, insertados long, actualizados long, errores long"
+
+
+@dataclass
+class Delivery:
+    """What a delivery did: its version, per table (insertados, actualizados, errores), where its bad rows are."""
+
+    version: str
+    stats: dict[str, dict[str, int]]
+    errors_path: str | None
+    replayed: bool = False
+    spark: SparkSession | None = field(default=None, repr=False)
+
+    def stats_rows(self) -> DataFrame:
+        return self.spark.createDataFrame([(t, s["insertados"], s["actualizados"], s["errores"]) for t, s in self.stats.items()], STATS_SCHEMA)
+
+    def errors(self) -> DataFrame:
+        return self.spark.read.schema("tabla string, clave string, mensaje string").parquet(self.errors_path)
+
+
+def _staged(df: DataFrame, folder: str, name: str) -> DataFrame:
+    path = os.path.join(folder, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deliver(
+    spark: SparkSession,
+    root: str,
+    sheets: dict[str, DataFrame],
+    order_col: str = ROW_ORDER,
+    formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
+    compat: bool = False,
+    stream: tuple[str, int] | None = None,
+    n_cells: int = DEFAULT_CELLS,
+    summaries: bool | None = None,
+) -> Delivery:
+    """Q6 into the keyed store: some or all sheets, parents first, one commit.
+
+    Every sheet is parsed once and staged. Children are checked against the
+    patients of this delivery and of the cells that their parent keys fall
+    into. Good rows are merged into the cells of their keys; the tables, the
+    patient summaries and the quarantined rows become visible together. The
+    summaries are kept up if the store has them (None), or from now on (True). A
+    stream's batch that was committed before changes nothing."""
+    names = [n for n in ORDER if n in sheets]
+    now = store.latest(spark, root)
+    if stream and now.streams.get(stream[0], -1) >= stream[1]:
+        return _replayed(spark, now)
+    run = uuid.uuid4().hex[:12]
+    folder = os.path.join(root, STAGED, run)
+    parsed, rows = {}, {}
+    for name in names:
+        raw = sheets[name] if order_col in sheets[name].columns else sheets[name].withColumn(order_col, F.monotonically_increasing_id())
+        parsed[name] = _staged(parse_sheet(raw, TABLES[name], formats, compat), folder, name)
+        rows[name] = parsed[name].count()  # bounds the keys and parent keys
+
+    def work(at: Snapshot) -> Work:
+        attempt = os.path.join(folder, uuid.uuid4().hex[:8])
+        changes, reads, errors, stats, good_rows = [], {}, [], {}, {}
+        for name in names:
+            spec = TABLES[name]
+            good, bad = split_valid(parsed[name], spec)
+            if spec.parent_key:
+                good, orphans, cells = _checked(spark, root, at, good, spec, rows[name], good_rows.get("paciente"))
+                bad = bad.unionByName(orphans)
+                if cells is not None:
+                    reads["paciente"] = reads.get("paciente", set()) | cells
+            good = _staged(dedupe_last(good, spec.key, order_col).select(*spec.columns), attempt, name)
+            bad = _staged(bad.select("tabla", "clave", "mensaje"), attempt, f"errores-{name}")
+            good_rows[name] = (good, rows[name])
+            n_good = good.count()
+            stats[name] = {"insertados": 0, "actualizados": 0, "errores": bad.count()}
+            errors.append(bad)
+            if n_good or name not in at.tables:
+                change = store.merge(good, root, name, at, (spec.key,), rows[name], n_cells)
+                changes.append(change)
+                stats[name] |= {"insertados": change.inserted, "actualizados": change.updated}
+        out = Work(changes, reads, {"estadisticas": stats})
+        if summaries or (summaries is None and PATIENTS in at.tables):
+            more = summary_changes(spark, root, at, good_rows, n_cells)
+            out.changes += more.changes
+            for name, cells in more.reads.items():
+                out.reads[name] = None if cells is None or out.reads.get(name, set()) is None else out.reads.get(name, set()) | cells
+        all_errors = errors[0]
+        for e in errors[1:]:
+            all_errors = all_errors.unionByName(e)
+        out.info["errores"] = os.path.join(ERRORS, *(names if len(names) == 1 else ()), f"batch={uuid.uuid4().hex[:12]}")
+        all_errors.write.parquet(os.path.join(root, out.info["errores"]))
+        return out
+
+    at, done = store.transact(spark, root, work, stream)
+    fs, p, _ = store._fs(spark, folder)
+    fs.delete(p, True)
+    return _replayed(spark, at) if done is None else Delivery(version_id(at.version), at.info["estadisticas"], os.path.join(root, at.info["errores"]), False, spark)
+
+
+def _replayed(spark: SparkSession, at: Snapshot) -> Delivery:
+    return Delivery(version_id(at.version), {}, None, True, spark)
+
+
+def _checked(
+    spark: SparkSession, root: str, at: Snapshot, good: DataFrame, spec, n_rows: int, patients: tuple[DataFrame, int] | None
+) -> tuple[DataFrame, DataFrame, set[int] | None]:
+    """I9 on the store: rows with a parent, orphans as quarantined rows, and the patient cells that were read."""
+    key = spec.parent_key
+    keys = patients[0].select("id_paciente") if patients else None
+    cells = None
+    if "paciente" in at.tables:
+        cells = store.touched_cells(good, [key], at.tables["paciente"].n_cells)
+        stored = store.read(spark, root, "paciente", at, cells).select("id_paciente")
+        keys = stored if keys is None else keys.unionByName(stored).distinct()
+    if keys is None:
+        keys = empty_table(spark, "paciente").select("id_paciente")
+    flagged = good.join(_existing_parents(good, keys, key, n_rows), key, "left")
+    orphans = quarantine_rows(flagged.where(F.col("_padre").isNull()), spec, F.array(F.format_string("id_paciente: paciente inexistente (%s)", F.col(key))))
+    return flagged.where(F.col("_padre")).drop("_padre"), orphans, cells

@@ -1,8 +1,9 @@
 """Batch jobs: the reference's HTTP endpoints re-aimed as Spark jobs.
 
 Every job reads and writes the versioned table store (see
-:mod:`cohorte.sources.tables`), so jobs can run on different clusters and a
-failed job leaves the previous version in place.
+:mod:`cohorte.sources.store`): all tables of a job appear in one commit, so jobs
+can run on different clusters, and a failed job leaves the previous version of
+all tables in place.
 
     python -m cohorte.plans.jobs ingest   --sheets DIR --store ROOT
     python -m cohorte.plans.jobs clean    --store ROOT
@@ -10,6 +11,7 @@ failed job leaves the previous version in place.
     python -m cohorte.plans.jobs train    --features DIR --models ROOT --kind xgboost
     python -m cohorte.plans.jobs score    --features DIR --models ROOT --kind xgboost --log DIR
     python -m cohorte.plans.jobs report   --store ROOT --out DIR [--as-of YYYY-MM-DD]
+    python -m cohorte.plans.jobs vacuum   --store ROOT [--keep 2] [--min-age-hours 24]
 """
 
 from __future__ import annotations
@@ -24,60 +26,54 @@ from pyspark.sql import functions as F
 
 from cohorte.plans import queries as Q
 from cohorte.plans.cleaning import clean_all, combined_report, summary
-from cohorte.plans.ingest import ORDER, ingest
+from cohorte.plans.ingest import ORDER, deliver
 from cohorte.plans.scoring import score_requests
+from cohorte.plans.summaries import PATIENTS, rebuilt
 from cohorte.plans.training import train
 from cohorte.schemas import FEATURES
 from cohorte.sources.logs import append_log
 from cohorte.sources.registry import load_latest, new_version, save_model
-from cohorte.sources.tables import (
-    latest_feature_csv,
-    list_versions,
-    load_sheets,
-    read_latest,
-    version_id,
-    write_feature_csv,
-    write_version,
-)
+from cohorte.sources import store as keyed
+from cohorte.sources.tables import latest_feature_csv, load_sheets, read_all, version_id, write_feature_csv
+from cohorte.schemas import TABLES
 
 
-def _next_version(spark: SparkSession, store: str) -> str:
-    current = [int(v) for n in ORDER for v in list_versions(spark, store, n)]
-    return version_id(max(current, default=0) + 1)
-
-
-def _current(spark: SparkSession, store: str) -> dict | None:
-    tables = {n: read_latest(spark, store, n) for n in ORDER}
-    return None if any(v is None for v in tables.values()) else tables
-
-
-def ingest_job(spark: SparkSession, sheets: str, store: str, fmt: str = "csv") -> dict:
-    """Upload endpoint -> one new version of the three tables, plus the
-    batch's statistics and quarantined rows next to it."""
-    version = _next_version(spark, store)
-    res = ingest(load_sheets(spark, sheets, fmt), base=_current(spark, store), table_root=store, version=version)
-    res.errors.select("tabla", "clave", "mensaje").write.mode("overwrite").parquet(
-        os.path.join(store, "_errores", f"version={version}")
-    )
-    stats = {r["tabla"]: r.asDict() for r in res.stats.collect()}  # three rows
-    return {"version": version, "estadisticas": stats}
+def ingest_job(spark: SparkSession, sheets: str, store: str, fmt: str = "csv", n_cells: int = keyed.DEFAULT_CELLS, summaries: bool | None = None) -> dict:
+    """Upload endpoint -> one new version of the three tables, with the
+    batch's statistics and quarantined rows."""
+    res = deliver(spark, store, load_sheets(spark, sheets, fmt), n_cells=n_cells, summaries=summaries)
+    stats = {t: {"tabla": t} | s for t, s in res.stats.items()}
+    return {"version": res.version, "estadisticas": stats, "errores": res.errors_path}
 
 
 def clean_job(spark: SparkSession, store: str) -> dict:
-    """Cleaning endpoint -> cleaned tables as a new version + reports."""
-    tables = _current(spark, store)
-    if tables is None:
-        raise FileNotFoundError(f"no hay tablas en {store}")
-    version = _next_version(spark, store)
-    runs = clean_all(tables)
-    for name, run in runs.items():
-        write_version(run.cleaned(), store, name, version)
+    """Cleaning endpoint -> cleaned tables as one new version + reports."""
+    runs = {}
+
+    def work(at: keyed.Snapshot) -> keyed.Work:
+        tables = {n: keyed.read(spark, store, n, at, schema=TABLES[n].schema) for n in ORDER}
+        if any(t is None for t in tables.values()):
+            raise FileNotFoundError(f"no hay tablas en {store}")
+        runs.clear()
+        runs.update(clean_all(tables))
+        changes = [keyed.replace(run.cleaned().select(*TABLES[n].columns), store, n, (TABLES[n].key,), at.tables[n].n_cells) for n, run in runs.items()]
+        if PATIENTS in at.tables:
+            cleaned = {c.name: keyed.read(spark, store, c.name, keyed.Snapshot(0, {c.name: c.table})) for c in changes}
+            changes += rebuilt(spark, store, cleaned, at.tables[PATIENTS].n_cells)
+        return keyed.Work(changes, {n: None for n in ORDER})
+
+    at, _ = keyed.transact(spark, store, work)
+    version = version_id(at.version)
     rep_dir = os.path.join(store, "_reportes", f"version={version}")
     combined_report(runs).write.mode("overwrite").parquet(os.path.join(rep_dir, "combinado"))
     summary(runs).write.mode("overwrite").parquet(os.path.join(rep_dir, "resumen"))
     return {"version": version, "reportes": rep_dir}
 
 
+def _current(spark: SparkSession, store: str) -> dict | None:
+    return read_all(spark, store)
+
+
 def features_job(spark: SparkSession, store: str, out: str, as_of: str | None = None) -> dict:
     """Dataset endpoint -> timestamped CSV feature dataset."""
     t = _current(spark, store)
@@ -121,10 +117,12 @@ def report_job(spark: SparkSession, store: str, out: str, as_of: str | None = No
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="cohorte.plans.jobs")
-    ap.add_argument("job", choices=["ingest", "clean", "features", "train", "score", "report"])
+    ap.add_argument("job", choices=["ingest", "clean", "features", "train", "score", "report", "vacuum"])
     for opt in ("--sheets", "--store", "--out", "--features", "--models", "--log", "--as-of"):
         ap.add_argument(opt)
     ap.add_argument("--kind", default="xgboost")
+    ap.add_argument("--keep", type=int, default=2)
+    ap.add_argument("--min-age-hours", type=float, default=24.0)
     ap.add_argument("--format", default="csv")
     a = ap.parse_args(argv)
     from cohorte.session import get_session
@@ -140,6 +138,8 @@ def main(argv: list[str] | None = None) -> None:
         out = train_job(spark, a.features, a.models, a.kind)
     elif a.job == "score":
         out = score_job(spark, a.features, a.models, a.kind, a.log)
+    elif a.job == "vacuum":
+        out = keyed.vacuum(spark, a.store, a.keep, a.min_age_hours)
     else:
         out = report_job(spark, a.store, a.out, a.as_of)
     print(json.dumps(out, default=str, ensure_ascii=False))

@@ -43,7 +43,11 @@ PATIENT_COLUMNS = [
 def lab_dx_gap(paciente: DataFrame, laboratorio: DataFrame, ordered: bool = True) -> DataFrame:
     """Q1: days between diagnosis and the first lab sample, with a
     consistency message (no lab / diagnosis dated before the first lab)."""
-    labs = laboratorio.groupBy(KEY).agg(F.min("fecha_muestra").alias("primera_fecha_lab"))
+    return gap_of(paciente, laboratorio.groupBy(KEY).agg(F.min("fecha_muestra").alias("primera_fecha_lab")), ordered)
+
+
+def gap_of(paciente: DataFrame, labs: DataFrame, ordered: bool = True) -> DataFrame:
+    """Q1 from one row per patient with labs (``primera_fecha_lab``)."""
     gap = days_between("fecha_dx", "primera_fecha_lab")
     out = paciente.select(*PATIENT_COLUMNS).join(labs, KEY, "left").select(
         *PATIENT_COLUMNS,
@@ -67,6 +71,11 @@ def inactive_patients(
         F.max("fecha_consulta").alias("ultima_consulta"),
         F.count("id_consulta").alias("total_consultas"),
     )
+    return inactive_of(paciente, visits, as_of, days, ordered)
+
+
+def inactive_of(paciente: DataFrame, visits: DataFrame, as_of: date | str | None = None, days: int = 90, ordered: bool = True) -> DataFrame:
+    """Q2 from one row per patient with visits (``ultima_consulta, total_consultas``)."""
     idle = days_between(as_of_lit(as_of), "ultima_consulta")
     out = (
         paciente.select(*PATIENT_COLUMNS)
@@ -102,7 +111,11 @@ def dashboard_by_type(
     same numbers without materialising the fan-out. ``promedio_edad_paciente``
     is the plain per-patient mean.
     """
-    r = patient_rollup(consulta, laboratorio, as_of=as_of, months=months)
+    return dashboard_of(paciente, patient_rollup(consulta, laboratorio, as_of=as_of, months=months), ordered)
+
+
+def dashboard_of(paciente: DataFrame, r: DataFrame, ordered: bool = True) -> DataFrame:
+    """Q3 from a roll-up per patient (with ``consultas_recientes``)."""
     j = paciente.select(KEY, "tipo_cancer", "edad").join(r, KEY, "left")
     w = F.greatest(F.coalesce("n_visit_rows", F.lit(0)), F.lit(1)) * F.greatest(
         F.coalesce("n_lab_rows", F.lit(0)), F.lit(1)
@@ -135,7 +148,13 @@ def feature_table(
     ordered: bool = True,
 ) -> DataFrame:
     """Q4: one row per patient, 16 model columns (plus ``id_paciente``)."""
-    r = patient_rollup(consulta, laboratorio, as_of=as_of, buckets=buckets)
+    return features_of(paciente, patient_rollup(consulta, laboratorio, as_of=as_of, buckets=buckets), as_of, buckets, keep_id, ordered)
+
+
+def features_of(
+    paciente: DataFrame, r: DataFrame, as_of: date | str | None = None, buckets=TEST_BUCKETS, keep_id: bool = True, ordered: bool = True
+) -> DataFrame:
+    """Q4 from a roll-up per patient."""
     p = paciente.dropna(subset=REQUIRED_FOR_FEATURES)
     cols = [
         F.col("sexo"),

@@ -1,111 +1,53 @@
-"""Versioned table store (S3) and sheet loading.
+"""Versioned tables (S3) and sheet loading.
 
-A table is never overwritten in place (a job may be reading it): every
-write goes to ``<root>/<table>/version=<id>`` and readers take the greatest
-complete version (one with ``_SUCCESS``). Version ids are zero-padded so
-that text order is numeric order.
-
-A stream batch takes its version id from the store (:func:`plan_version`), is
-written to a folder of its own and published by a rename; the version carries
-its origin (stream and batch), so a batch that is delivered again is recognised
-and changes nothing.
+The clinical tables live in the keyed store (:mod:`cohorte.sources.store`): one
+chain of versions for all tables of a root, each made by one commit. A table is
+never overwritten in place; readers take the newest version.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 import warnings
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.schemas import TABLES, raw_schema
+from cohorte.sources import store
+from cohorte.sources.store import DEFAULT_CELLS, _fs, version_id
 
-VERSION_WIDTH = 20
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
-
-def version_id(n: int) -> str:
-    return str(n).zfill(VERSION_WIDTH)
+def list_versions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Versions in which a table was written, oldest first."""
+    out, before = [], None
+    for v in store.versions(spark, root):
+        now = store.snapshot(spark, root, v).tables.get(name)
+        if now is not None and now != before:
+            out.append(version_id(v))
+        before = now
+    return out
 
 
-def list_versions(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Complete versions of a table, oldest first (a directory listing)."""
-    fs, p, jvm = _fs(spark, os.path.join(root, name))
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if st.isDirectory() and n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(n.split("=", 1)[1])
-    return sorted(out)
-
-
-def write_version(df: DataFrame, root: str, name: str, version: str) -> str:
-    path = os.path.join(root, name, f"version={version}")
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-ORIGIN = "_origen"
-
-
-def origin_of(spark: SparkSession, root: str, name: str, version: str) -> str | None:
-    """What :func:`publish_version` recorded with a version."""
-    fs, p, jvm = _fs(spark, os.path.join(root, name, f"version={version}", ORIGIN))
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def plan_version(spark: SparkSession, root: str, name: str, origin: str) -> tuple[str, str | None, bool]:
-    """The version that ``origin`` writes, the version below it, and whether
-    it is there already. A replay comes soon after what it repeats, so the
-    newest versions are looked at first."""
-    versions = list_versions(spark, root, name)
-    for i in range(len(versions) - 1, -1, -1):
-        if origin_of(spark, root, name, versions[i]) == origin:
-            return versions[i], versions[i - 1] if i else None, True
-    return version_id(int(versions[-1]) + 1 if versions else 1), versions[-1] if versions else None, False
-
-
-def publish_version(df: DataFrame, root: str, name: str, version: str, origin: str) -> str:
-    """Write ``df`` beside the versions, then make it one by a rename."""
+def write_version(df: DataFrame, root: str, name: str, version: str, n_cells: int = DEFAULT_CELLS) -> None:
+    """``df`` as the whole table ``name`` in a version that must be above all others."""
     spark = df.sparkSession
-    path = os.path.join(root, name, f"version={version}")
-    draft = os.path.join(root, name, f"_borrador-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(draft)
-    fs, p, jvm = _fs(spark, os.path.join(draft, ORIGIN))
-    out = fs.create(p)
-    try:
-        out.write(bytearray(origin.encode("utf-8")))
-    finally:
-        out.close()
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)):
-        raise RuntimeError(f"version {version} of {name} was published meanwhile")
-    return path
+    store.transact(spark, root, lambda _: store.Work([store.replace(df, root, name, (TABLES[name].key,), n_cells)]), version=int(version))
 
 
-def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
-    return spark.read.schema(TABLES[name].schema).parquet(os.path.join(root, name, f"version={version}"))
+def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame | None:
+    return store.read(spark, root, name, store.snapshot(spark, root, int(version)), schema=TABLES[name].schema)
 
 
 def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    versions = list_versions(spark, root, name)
-    if not versions:
-        return None
-    return spark.read.schema(TABLES[name].schema).parquet(os.path.join(root, name, f"version={versions[-1]}"))
+    return store.read(spark, root, name, store.latest(spark, root), schema=TABLES[name].schema)
+
+
+def read_all(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
+    """The three tables of one version; None where one of them is missing."""
+    at = store.latest(spark, root)
+    tables = {n: store.read(spark, root, n, at, schema=TABLES[n].schema) for n in TABLES}
+    return None if any(v is None for v in tables.values()) else tables
 
 
 def load_sheets(spark: SparkSession, path: str, fmt: str = "csv") -> dict[str, DataFrame]:

@@ -2,9 +2,10 @@
 
 Requests arrive as JSON files (feature-table columns plus ``tipo_modelo``).
 The model is loaded once when the query starts. Each micro-batch is
-validated (I12), scored (M11) and written as log rows (M12) into the
-batch's own folder, so a replayed batch overwrites instead of duplicating.
-The batch wall time divided by its row count is recorded as
+validated (I12), scored (M11) and added to the log (M12) as one batch that is
+named by the stream (its checkpoint folder) and the batch number: a replayed
+batch adds nothing, and a stream with a new checkpoint, as for a new model, adds
+to the same log. The batch wall time divided by its row count is recorded as
 ``inference_time_ms``.
 """
 
@@ -21,29 +22,35 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cohorte.plans.scoring import score_requests
-from cohorte.schemas import FEATURES, PREDICTION_LOG
+from cohorte.schemas import FEATURES
+from cohorte.sources.logs import append_log, has_batch, stream_batch
 
 REQUEST_SCHEMA = T.StructType(
     [f for f in FEATURES.fields if f.name != "adherencia_12m"] + [T.StructField("tipo_modelo", T.StringType(), True)]
 )
 
 
-def _score_batch(model: PipelineModel, version: str, log_root: str):
+def _score_batch(model: PipelineModel, version: str, log_root: str, stream: str):
     def run(batch: DataFrame, batch_id: int) -> None:
+        name = stream_batch(stream, batch_id)
+        if has_batch(batch.sparkSession, log_root, name):
+            return
         start = time.time()
         at = datetime.now(timezone.utc).replace(tzinfo=None)
         rows = score_requests(model, batch, version, at=at).persist()
         n = rows.count()
         ms = (time.time() - start) * 1000.0 / max(n, 1)
-        out = rows.withColumn("inference_time_ms", F.lit(ms)).withColumn("fecha", F.to_date("timestamp"))
-        out.select(*[f.name for f in PREDICTION_LOG.fields], "fecha").write.mode("overwrite").partitionBy("fecha").json(
-            os.path.join(log_root, f"batch={batch_id:012d}")
-        )
+        append_log(rows.withColumn("inference_time_ms", F.lit(ms)), log_root, name)
         rows.unpersist()
 
     return run
 
 
+def stream_id(checkpoint: str) -> str:
+    """What tells a stream from others: its checkpoint folder."""
+    return checkpoint if "://" in checkpoint else os.path.abspath(checkpoint)
+
+
 def start_scoring_stream(
     spark: SparkSession,
     model: PipelineModel,
@@ -54,7 +61,7 @@ def start_scoring_stream(
     available_now: bool = False,
 ) -> StreamingQuery:
     stream = spark.readStream.schema(REQUEST_SCHEMA).json(requests_dir)
-    writer = stream.writeStream.foreachBatch(_score_batch(model, model_version, log_root)).option(
+    writer = stream.writeStream.foreachBatch(_score_batch(model, model_version, log_root, stream_id(checkpoint))).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

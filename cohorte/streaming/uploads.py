@@ -1,13 +1,12 @@
 """Continuous ingest of uploaded sheets with Structured Streaming.
 
 Each table has a landing folder of CSV files (all-text declared schema).
-``foreachBatch`` runs the batch ingest step for that table (parse,
-quarantine, dedupe, FK check, upsert) against the newest table version and
-publishes the result as the store's next version, plus the batch's quarantined
-rows. The version carries the stream (its checkpoint folder) and the batch id: a
-batch that is delivered again after a failure finds its version published and
-does nothing, so it never reads the version it writes. Ids come from the store,
-so streams and batch jobs may share it.
+``foreachBatch`` runs the batch ingest for that table (parse, quarantine,
+dedupe, FK check, merge) into the keyed store: a micro-batch reads and writes
+only the cells that its keys fall into, whatever the size of the table. Its
+commit carries the stream (its checkpoint folder) and the batch id, so a batch
+that is delivered again does nothing. Streams and batch jobs can share a store;
+commits that touch different cells don't disturb each other.
 
 Patients must be streamed before their children (FK check against the
 current patient version), exactly as the batch ingest orders the sheets.
@@ -20,9 +19,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from cohorte.plans.ingest import ROW_ORDER, empty_table, ingest_table
+from cohorte.plans.ingest import ROW_ORDER, deliver
 from cohorte.schemas import TABLES, raw_schema
-from cohorte.sources.tables import plan_version, publish_version, read_latest, read_version
+from cohorte.sources.store import DEFAULT_CELLS
 from pyspark.sql import types as T
 
 
@@ -31,22 +30,9 @@ def landing_schema(name: str) -> T.StructType:
     return T.StructType(s.fields + [T.StructField(ROW_ORDER, T.LongType(), True)])
 
 
-def _merge_batch(spark: SparkSession, name: str, table_root: str, errors_root: str, order_col: str, stream: str):
+def _merge_batch(spark: SparkSession, name: str, table_root: str, order_col: str, stream: str, n_cells: int = DEFAULT_CELLS):
     def run(batch: DataFrame, batch_id: int) -> None:
-        origin = f"{stream}#{batch_id}"
-        version, below, done = plan_version(spark, table_root, name, origin)
-        if done:
-            return
-        base = empty_table(spark, name) if below is None else read_version(spark, table_root, name, below)
-        parents = read_latest(spark, table_root, "paciente") if TABLES[name].parent_key else None
-        if TABLES[name].parent_key and parents is None:
-            parents = empty_table(spark, "paciente")
-        merged, _, errors = ingest_table(batch, name, base, parents, order_col)
-        # errors first: publishing the version is what ends the batch
-        errors.select("tabla", "clave", "mensaje").write.mode("overwrite").parquet(
-            os.path.join(errors_root, name, f"batch={version}")
-        )
-        publish_version(merged, table_root, name, version, origin)
+        deliver(spark, table_root, {name: batch}, order_col, stream=(stream, batch_id), n_cells=n_cells)
 
     return run
 
@@ -60,13 +46,14 @@ def start_upload_stream(
     available_now: bool = False,
     order_col: str = ROW_ORDER,
     max_files_per_trigger: int | None = None,
+    n_cells: int = DEFAULT_CELLS,
 ) -> StreamingQuery:
     reader = spark.readStream.schema(landing_schema(name)).option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(landing)
     writer = stream.writeStream.foreachBatch(
-        _merge_batch(spark, name, table_root, os.path.join(table_root, "_errores"), order_col, os.path.abspath(checkpoint) if "://" not in checkpoint else checkpoint)
+        _merge_batch(spark, name, table_root, order_col, os.path.abspath(checkpoint) if "://" not in checkpoint else checkpoint, n_cells)
     ).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

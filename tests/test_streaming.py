@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from cohorte.schemas import PREDICTION_LOG
+from cohorte.sources.store import latest
 from cohorte.sources.tables import list_versions, read_latest, version_id, write_version
 from cohorte.streaming.monitor import start_monitor_stream, window_metrics
 from cohorte.streaming.uploads import _merge_batch, landing_schema, start_upload_stream
@@ -26,7 +27,7 @@ def test_upload_stream_and_redelivery(spark, scratch):
     first = sorted(map(tuple, read_latest(spark, tables, "paciente").collect()))
     assert [r[0] for r in first] == ["P1", "P2"]
     # the same micro-batch delivered again (e.g. after a failure) leaves the same table
-    merge = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila", os.path.join(scratch, "chk"))
+    merge = _merge_batch(spark, "paciente", tables, "_fila", os.path.join(scratch, "chk"))
     batch = _patients(spark, rows)
     merge(batch, 0)
     merge(batch, 0)
@@ -45,17 +46,18 @@ def test_redelivery_on_a_large_base_and_shared_store(spark, scratch, threshold):
     write_version(base, tables, "paciente", version_id(7))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        merge = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila", "s1")
+        merge = _merge_batch(spark, "paciente", tables, "_fila", "s1")
         batch = _patients(spark, [(f"N{i}", "F", "40", None, "2020-01-05", "Mama", "I", "X", "si", i) for i in range(10)])
         for batch_id in (0, 0, 1):
             merge(batch, batch_id)
             assert read_latest(spark, tables, "paciente").count() == 200_010
         assert list_versions(spark, tables, "paciente") == [version_id(i) for i in (7, 8, 9)]
         # a stream with a checkpoint of its own, and a batch of bad rows only
-        other = _merge_batch(spark, "paciente", tables, os.path.join(tables, "_errores"), "_fila", "s2")
+        other = _merge_batch(spark, "paciente", tables, "_fila", "s2")
         other(_patients(spark, [(None, None, "x", None, "never", None, None, None, None, 0)] * 3), 0)
         assert read_latest(spark, tables, "paciente").count() == 200_010
-        assert spark.read.parquet(os.path.join(tables, "_errores", "paciente", f"batch={version_id(10)}")).count() == 3
+        last = latest(spark, tables)
+        assert last.version == 10 and spark.read.parquet(os.path.join(tables, last.info["errores"])).count() == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
