@@ -74,6 +74,16 @@ FROM paciente p LEFT JOIN (
   FROM consulta c JOIN paciente p2 ON c.id_paciente = p2.id_paciente
   WHERE c.fecha_consulta >= p2.fecha_dx GROUP BY c.id_paciente) f ON f.id_paciente = p.id_paciente"""
 )
+# the last result before each visit, no more than a year old
+X11_LAST_LAB = with_fixtures(
+    """
+SELECT c.id_consulta, c.id_paciente, c.fecha_consulta, CASE WHEN cerca THEN m.valor END AS ultimo_resultado, CASE WHEN cerca THEN m.dia END AS fecha_resultado,
+       CASE WHEN cerca THEN date_diff('day', m.dia, c.fecha_consulta)::INTEGER END AS dias_desde_resultado
+FROM consulta c ASOF LEFT JOIN dias m ON m.id_paciente = c.id_paciente AND m.dia <= c.fecha_consulta,
+     LATERAL (SELECT date_diff('day', m.dia, c.fecha_consulta) <= 365 AS cerca)""",
+    """
+dias AS (SELECT id_paciente, fecha_muestra AS dia, min(resultado_numerico) AS valor FROM laboratorio WHERE resultado_numerico IS NOT NULL GROUP BY ALL)""",
+)
 X12 = with_fixtures(
     "SELECT especialista, COUNT(*) AS consultas, COUNT(DISTINCT id_paciente) AS pacientes FROM consulta GROUP BY especialista"
 )
@@ -169,6 +179,7 @@ SQL.update(
         "x9_adherence_goal": X9,
         "x10_early_stage_share": X10,
         "x11_time_to_treatment": X11,
+        "x11_visits_with_last_lab": X11_LAST_LAB,
         "x12_visits_by_specialist": X12,
         "x13_abandonment": X13,
         "x14_service_use": X14,

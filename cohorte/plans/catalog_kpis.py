@@ -80,6 +80,12 @@ def _x11(spark, sf_dir):
     return K.time_to_treatment(t["paciente"], t["consulta"])
 
 
+@register("x11_visits_with_last_lab")
+def _x11l(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return K.visits_with_last_lab(t["consulta"], t["laboratorio"], within_days=365)
+
+
 @register("x12_visits_by_specialist")
 def _x12(spark, sf_dir):
     return K.visits_by_specialist(_t(spark, sf_dir)["consulta"])

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorte.functions.labels import as_of_lit, days_between
-from cohorte.functions.numeric import round_to
-from cohorte.functions.text import harmonise_key, normalise_text
+from cohorte.functions.numeric import nan_to_null, round_to
+from cohorte.functions.text import contains_any, harmonise_key, normalise_text
+from cohorte.operators.asof import BACKWARD, FORWARD, asof_join
 from cohorte.operators.metrics import confusion, metric_columns
 from cohorte.operators.rollup import KEY
 
@@ -139,18 +140,30 @@ def time_to_treatment(
     with a reason in ``reasons`` only, when given)."""
     v = consulta if reasons is None else consulta.where(F.col("motivo").isin(*reasons))
     dx = paciente.select(KEY, "fecha_dx")
-    first = (
-        v.select(KEY, "fecha_consulta").join(dx, KEY)
-        .where(F.col("fecha_consulta") >= F.col("fecha_dx"))
-        .groupBy(KEY).agg(F.min("fecha_consulta").alias("primera_consulta"))
-    )
+    out = asof_join(dx, v.select(KEY, "fecha_consulta"), KEY, "fecha_dx", "fecha_consulta", {"fecha_consulta": "primera_consulta"}, FORWARD)
     days = days_between("primera_consulta", "fecha_dx")
-    return dx.join(first, KEY, "left").select(
+    return out.select(
         KEY, "fecha_dx", "primera_consulta", days.alias("dias_a_tratamiento"),
         F.coalesce(days < goal_days, F.lit(False)).alias("dentro_meta"),
     )
 
 
+def visits_with_last_lab(consulta: DataFrame, laboratorio: DataFrame, test: tuple[str, ...] = (), within_days: int | None = None) -> DataFrame:
+    """Each visit with the patient's last numeric result on or before its day
+    (of tests that name a word of ``test``, when given): what the specialist
+    could know. Of several results of a day the least counts."""
+    value = nan_to_null("resultado_numerico")
+    labs = laboratorio.where(value.isNotNull())
+    if test:
+        labs = labs.where(contains_any("tipo_prueba", test))
+    labs = labs.select(KEY, "fecha_muestra", value.alias("resultado_numerico"))
+    out = asof_join(
+        consulta.select("id_consulta", KEY, "fecha_consulta"), labs, KEY, "fecha_consulta", "fecha_muestra",
+        {"resultado_numerico": "ultimo_resultado", "fecha_muestra": "fecha_resultado"}, BACKWARD, within_days,
+    )
+    return out.withColumn("dias_desde_resultado", days_between("fecha_consulta", "fecha_resultado"))
+
+
 def visits_by_specialist(consulta: DataFrame, approx: bool = False) -> DataFrame:
     """X12."""
     return consulta.groupBy("especialista").agg(
