@@ -159,6 +159,56 @@ palabras AS (
     )
 
 
+NUM = "CAST(substr(id_paciente, 2) AS BIGINT)"
+SPELLED = f"""
+escritos AS (
+  SELECT id_paciente,
+         CASE WHEN {NUM} % 3 = 0 THEN CASE sexo WHEN 'F' THEN 'Femenino' ELSE 'MASCULINO' END WHEN {NUM} % 41 = 1 THEN 'femenimo' WHEN {NUM} % 43 = 1 THEN 'masc.' ELSE sexo END AS sexo,
+         CASE WHEN {NUM} % 37 = 2 THEN 'urbna' WHEN {NUM} % 53 = 3 THEN 'Rurál ' ELSE zona_residencia END AS zona_residencia,
+         estadio,
+         CASE WHEN {NUM} % 47 = 4 THEN 'Subsidiada' WHEN {NUM} % 59 = 5 THEN 'Contributvo' WHEN {NUM} % 61 = 6 THEN 'esp' ELSE aseguradora END AS aseguradora
+  FROM paciente
+)"""
+VARIANT_COLS = ["sexo", "zona_residencia", "estadio", "aseguradora"]
+
+
+def variants_sql(body: str) -> str:
+    """Pairs of spellings compared one with another, groups by recursion."""
+    stacked = " UNION ALL ".join(f"SELECT '{c}' AS campo, {c} AS valor FROM escritos WHERE {c} IS NOT NULL" for c in VARIANT_COLS)
+    key = "lower(" + FOLD.format(x="regexp_replace(valor, '^\\s+|\\s+$', '', 'g')") + ")"
+    ctes = SPELLED + f""",
+usos AS (SELECT campo, valor, count(*) AS n, {key} AS clave FROM ({stacked}) GROUP BY campo, valor),
+forma AS (SELECT campo, clave, sum(n) AS n, regexp_replace(clave, '\\.$', '') AS texto FROM usos GROUP BY campo, clave),
+errata AS (
+  SELECT a.campo, a.clave AS x, b.clave AS y FROM forma a JOIN forma b USING (campo)
+  WHERE least(len(a.clave), len(b.clave)) >= 5 AND 10 * a.n <= b.n AND levenshtein(a.clave, b.clave) = 1 AND NOT regexp_matches(a.clave || b.clave, '[0-9]')
+),
+alcanza AS (
+  SELECT campo, clave AS x, clave AS y FROM forma
+  UNION
+  SELECT r.campo, r.x, CASE WHEN r.y = e.x THEN e.y ELSE e.x END FROM alcanza r JOIN errata e ON r.campo = e.campo AND r.y IN (e.x, e.y)
+),
+grupo AS (SELECT campo, x AS clave, min(y) AS grupo FROM alcanza GROUP BY campo, x),
+empieza AS (
+  SELECT a.campo, a.clave AS breve, b.clave AS larga, len(b.texto) AS largo, g.grupo
+  FROM forma a JOIN forma b ON a.campo = b.campo AND len(b.texto) > len(a.texto) AND starts_with(b.texto, a.texto)
+  JOIN grupo g ON g.campo = b.campo AND g.clave = b.clave
+  WHERE len(a.texto) <= 4 AND regexp_full_match(a.texto, '[\\p{{L}}]+')
+),
+breve AS (
+  SELECT campo, breve, min(grupo) AS grupo FROM empieza e WHERE NOT EXISTS (FROM empieza o WHERE o.campo = e.campo AND o.breve = e.larga)
+  GROUP BY campo, breve HAVING count(DISTINCT grupo) = 1 AND max(largo) >= 5
+),
+palabra AS (
+  SELECT u.*, coalesce(b.grupo, g.grupo) AS grupo, b.breve IS NOT NULL AS es_breve
+  FROM usos u JOIN grupo g USING (campo, clave) LEFT JOIN breve b ON b.campo = u.campo AND b.breve = u.clave
+),
+mapa AS (
+  SELECT campo, valor, n, clave, {norm("first_value(valor) OVER (PARTITION BY campo, grupo ORDER BY es_breve, n DESC, valor)")} AS canonico FROM palabra
+)"""
+    return with_fixtures(body, ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 X21 = with_fixtures(
     "SELECT sha256('cohorte-demo-salt' || id_paciente) AS id_paciente, sexo, edad, zona_residencia, fecha_dx, tipo_cancer, "
     "estadio, aseguradora, adherencia_12m FROM paciente"
@@ -187,6 +237,11 @@ SQL.update(
         "x17_drift_against_log": psi_sql("edad IS NOT NULL"),
         "x19_harmonisation_map": harmonisation_sql(),
         "x19_harmonised_patients": harmonised_sql(),
+        "x19_variant_map": variants_sql("FROM mapa"),
+        "x19_unified_patients": variants_sql(
+            f"SELECT p.id_paciente, {', '.join(f'w_{c}.canonico AS {c}' for c in VARIANT_COLS)} FROM escritos p "
+            + " ".join(f"LEFT JOIN mapa w_{c} ON w_{c}.campo = '{c}' AND w_{c}.valor = p.{c}" for c in VARIANT_COLS)
+        ),
         "x21_anonymised_patients": X21,
     }
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorte.operators.split import train_test
+from cohorte.operators.variants import variant_map
 from cohorte.plans import kpis as K
 from cohorte.plans.catalog_ml import feature_table, trained, written_rule_log
 from cohorte.plans.registry import register
@@ -132,6 +133,31 @@ def _x19h(spark, sf_dir):
     )
 
 
+VARIANT_COLUMNS = ["sexo", "zona_residencia", "estadio", "aseguradora"]
+
+
+def spelled_patients(spark, sf_dir):
+    """The fixture's patients as typed by many hands: abbreviations and typing errors by residues of the key."""
+    k = "CAST(substr(id_paciente, 2) AS BIGINT)"
+    return _t(spark, sf_dir)["paciente"].selectExpr(
+        "id_paciente",
+        f"CASE WHEN {k} % 3 = 0 THEN CASE sexo WHEN 'F' THEN 'Femenino' ELSE 'MASCULINO' END WHEN {k} % 41 = 1 THEN 'femenimo' WHEN {k} % 43 = 1 THEN 'masc.' ELSE sexo END AS sexo",
+        f"CASE WHEN {k} % 37 = 2 THEN 'urbna' WHEN {k} % 53 = 3 THEN 'Rurál ' ELSE zona_residencia END AS zona_residencia",
+        "estadio",
+        f"CASE WHEN {k} % 47 = 4 THEN 'Subsidiada' WHEN {k} % 59 = 5 THEN 'Contributvo' WHEN {k} % 61 = 6 THEN 'esp' ELSE aseguradora END AS aseguradora",
+    )
+
+
+@register("x19_variant_map")
+def _x19v(spark, sf_dir):
+    return variant_map(spelled_patients(spark, sf_dir), VARIANT_COLUMNS)
+
+
+@register("x19_unified_patients")
+def _x19u(spark, sf_dir):
+    return K.harmonised(spelled_patients(spark, sf_dir), VARIANT_COLUMNS, variants=True)
+
+
 @register("x20_rule_quality")
 def _x20r(spark, sf_dir):
     """X20 with the rule score (visits / (visits + 10)) instead of a model."""

@@ -16,8 +16,10 @@ from cohorte.functions.labels import as_of_lit, days_between
 from cohorte.functions.numeric import nan_to_null, round_to
 from cohorte.functions.text import contains_any, harmonise_key, normalise_text
 from cohorte.operators.asof import BACKWARD, FORWARD, asof_join
+from cohorte.operators.graph import stored
 from cohorte.operators.metrics import confusion, metric_columns
 from cohorte.operators.rollup import KEY
+from cohorte.operators.variants import unified, variant_map
 
 # Early stages (X10), adherence goal (X9), treatment-delay
 # goal in days (X11), abandonment horizon in months (X13), rollback ratio
@@ -279,15 +281,11 @@ def harmonisation_map(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.join(canon, ["campo", "clave"]).select("campo", "valor", "clave", "canonico", "n")
 
 
-def harmonised(df: DataFrame, columns: list[str]) -> DataFrame:
+def harmonised(df: DataFrame, columns: list[str], variants: bool = False) -> DataFrame:
     """X19 applied: every value of ``columns`` in the canonical spelling of its
-    variants. The map has one row per variant; it is joined, not collected."""
-    words = harmonisation_map(df, columns)
-    out = df
-    for c in columns:
-        own = words.where(F.col("campo") == c).select(F.col("valor").alias("_valor"), F.col("canonico").alias("_canonico"))
-        out = out.join(own, F.col(c).cast("string") == F.col("_valor"), "left").withColumn(c, F.col("_canonico")).drop("_valor", "_canonico")
-    return out
+    variants, with ``variants`` also typing errors and abbreviations
+    (:mod:`cohorte.operators.variants`). The map is made once for all columns."""
+    return unified(df, columns, variant_map(df, columns) if variants else stored(harmonisation_map(df, columns), "mapa"))
 
 
 def live_quality(scored: DataFrame, labels: DataFrame, key: str = KEY, thresholds: dict | None = None) -> DataFrame:
