@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohorte.functions.dates import ColumnFormats, date_sql, infer_formats
 from cohorte.functions.parse import (
     DEFAULT_DATE_FORMATS,
     lit_sql,
@@ -26,11 +27,18 @@ REASONS = "_motivos"
 SINGULAR = {"paciente": "paciente", "consulta": "consulta", "laboratorio": "laboratorio"}
 
 
-def _parser_sql(f: T.StructField, formats: tuple[str, ...], compat: bool, source: T.DataType | None = None) -> str:
+#: Formats tried on every date column, or the inferred ones of each column.
+Formats = tuple[str, ...] | dict[str, ColumnFormats]
+TYPED_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _parser_sql(f: T.StructField, formats: Formats, compat: bool, source: T.DataType | None = None) -> str:
     t = f.dataType
     if isinstance(t, T.DateType):
-        if isinstance(source, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if isinstance(source, TYPED_DATES):
             return f"CAST({q(f.name)} AS DATE)"  # typed sheet (e.g. Parquet): no text round trip
+        if isinstance(formats, dict):
+            return date_sql(f.name, formats[f.name])
         return parse_date_sql(f.name, formats)
     if isinstance(t, T.BooleanType):
         return parse_bool_sql(f.name, isinstance(source, T.NumericType))
@@ -48,7 +56,7 @@ def _parser_sql(f: T.StructField, formats: tuple[str, ...], compat: bool, source
 def parse_sheet(
     raw: DataFrame,
     spec: TableSpec,
-    formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
+    formats: Formats = DEFAULT_DATE_FORMATS,
     compat: bool = False,
 ) -> DataFrame:
     """I1-I5 + I10: cast every raw cell to the declared type and collect the
@@ -81,6 +89,12 @@ def parse_sheet(
     return raw.selectExpr(*cols, *extra, f"{arr} AS {REASONS}")
 
 
+def sheet_formats(raw: DataFrame, spec: TableSpec, month_first: bool = False) -> dict[str, ColumnFormats]:
+    """The formats of a sheet's date columns that arrive as text (one pass over the sheet)."""
+    kinds = {f.name: f.dataType for f in raw.schema.fields}
+    return infer_formats(raw, [c for c in spec.date_columns if c in kinds and not isinstance(kinds[c], TYPED_DATES)], month_first)
+
+
 def split_valid(parsed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Good rows (declared columns only) and quarantined rows
     ``(tabla, clave, motivos, mensaje)``."""

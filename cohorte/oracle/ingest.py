@@ -107,6 +107,28 @@ def over_ingested(sql: str) -> str:
 
 _HEAD = "WITH " + FIXTURE_CTES
 
+# day-first and month-first tell apart where the day is beyond the 12th
+INFERRED_FORMATS = with_fixtures(
+    """
+SELECT campo, estado, formatos, celdas, legibles, indecisas FROM (
+  SELECT 'dia_primero' AS campo, 'unico' AS estado, 'dd/MM/yyyy' AS formatos, count(*) AS celdas, count(*) AS legibles, 0 AS indecisas FROM consulta
+  UNION ALL SELECT 'mes_primero', 'unico', 'MM/dd/yyyy', count(*), count(*), 0 FROM consulta
+  UNION ALL SELECT 'mezclado', 'mezclado', 'dd/MM/yyyy|MM/dd/yyyy', count(*), count_if(d > 12 OR d = m), count_if(d <= 12 AND d <> m) FROM partes
+  UNION ALL SELECT 'ambiguo', 'ambiguo', 'dd-MM-yyyy', count(*), count(*), 0 FROM consulta
+  UNION ALL SELECT 'ilegible', 'ilegible', 'yyyyMMdd', count_if(id_consulta NOT LIKE '%2'), count_if(id_consulta NOT LIKE '%1' AND id_consulta NOT LIKE '%2'), 0 FROM consulta
+  UNION ALL SELECT 'varios', 'varios', 'yyyy/MM/dd dd.MM.yyyy', count(*), count(*), 0 FROM consulta
+)""",
+    "partes AS (SELECT *, day(fecha_consulta) AS d, month(fecha_consulta) AS m FROM consulta)",
+)
+INFERRED_DATES = with_fixtures(
+    """
+SELECT id_consulta, fecha_consulta AS dia_primero, fecha_consulta AS mes_primero,
+       CASE WHEN day(fecha_consulta) > 12 OR day(fecha_consulta) = month(fecha_consulta) THEN fecha_consulta END AS mezclado,
+       date_trunc('month', fecha_consulta)::DATE AS ambiguo,
+       CASE WHEN id_consulta NOT LIKE '%1' AND id_consulta NOT LIKE '%2' THEN fecha_consulta END AS ilegible, fecha_consulta AS varios
+FROM consulta"""
+)
+
 SQL.update(
     {
         "q6_ingest_paciente": final_table("paciente"),
@@ -115,6 +137,8 @@ SQL.update(
         "q6_ingest_stats": stats(),
         "i6_quarantine": quarantine(),
         "i1_parse_consulta": parse_consulta(),
+        "i1_inferred_formats": INFERRED_FORMATS,
+        "i1_inferred_dates": INFERRED_DATES,
         "i8_pk_duplicates": pk_duplicates(),
         "i9_fk_orphans": fk_orphans(),
         # the summaries follow the deliveries step by step; they add results up as decimals

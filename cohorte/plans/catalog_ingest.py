@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohorte.functions.dates import infer_formats, parsed_dates, report
 from cohorte.operators.quality import REASONS, fk_orphans, parse_sheet, pk_duplicates, split_valid
 from cohorte.plans import queries as Q
 from cohorte.plans.ingest import ORDER, Delivery, deliver
@@ -15,7 +16,7 @@ from cohorte.plans.registry import register
 from cohorte.plans.summaries import read_summaries, rollup_of
 from cohorte.schemas import TABLES
 from cohorte.session import scratch_path
-from cohorte.sources.fixtures import AS_OF, raw_deliveries, raw_sheets
+from cohorte.sources.fixtures import AS_OF, clinical_tables, raw_deliveries, raw_sheets
 from cohorte.sources.tables import read_latest
 
 #: Cells of the fixture's tables, which are small.
@@ -89,6 +90,36 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(*TABLES["consulta"].columns, F.array_join(REASONS, "; ").alias("motivos"))
 
 
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's dates as sheets of different writers would have them, one column each."""
+    t = clinical_tables(spark, sf_dir)
+    d, month_first = "fecha_consulta", "date_format(fecha_consulta, 'MM/dd/yyyy')"
+    return t["consulta"].selectExpr(
+        "id_consulta",
+        f"date_format({d}, 'dd/MM/yyyy') AS dia_primero",
+        f"{month_first} AS mes_primero",
+        f"CASE WHEN id_consulta LIKE '%7' THEN {month_first} ELSE date_format({d}, 'dd/MM/yyyy') END AS mezclado",
+        f"date_format(trunc({d}, 'MM'), 'dd-MM-yyyy') AS ambiguo",
+        f"CASE WHEN id_consulta LIKE '%1' THEN 'ayer' WHEN id_consulta LIKE '%2' THEN NULL ELSE date_format({d}, 'yyyyMMdd') END AS ilegible",
+        f"CASE WHEN id_consulta LIKE '%3' THEN date_format({d}, 'yyyy/MM/dd') ELSE date_format({d}, 'dd.MM.yyyy') END AS varios",
+    )
+
+
+WRITTEN = ["dia_primero", "mes_primero", "mezclado", "ambiguo", "ilegible", "varios"]
+
+
+@register("i1_inferred_formats")
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infer_formats(written_dates(spark, sf_dir), WRITTEN)
+    return report(spark, found).withColumn("formatos", F.array_join("formatos", " "))
+
+
+@register("i1_inferred_dates")
+def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = written_dates(spark, sf_dir)
+    return parsed_dates(raw, infer_formats(raw, WRITTEN))
+
+
 @register("i8_pk_duplicates")
 def _dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     d1, d2 = raw_deliveries(spark, sf_dir)

@@ -23,8 +23,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohorte.functions.dates import ColumnFormats
 from cohorte.functions.parse import DEFAULT_DATE_FORMATS
-from cohorte.operators.quality import REASONS, dedupe_last, parse_sheet, quarantine_rows, split_valid
+from cohorte.operators.quality import REASONS, dedupe_last, parse_sheet, quarantine_rows, sheet_formats, split_valid
 from cohorte.operators.upsert import BROADCAST_KEYS, upsert, upsert_stats
 from cohorte.plans.summaries import PATIENTS, summary_changes
 from cohorte.schemas import TABLES
@@ -146,6 +147,8 @@ def ingest(
     return IngestResult(merged, all_stats, all_errors)
 
 
+#: Value of ``formats``: infer them.
+INFER = "inferir"
 STAGED = "_preparado"
 ERRORS = "_errores"
 STATS_SCHEMA = "tabla string, insertados long, actualizados long, errores long"
@@ -159,6 +162,7 @@ class Delivery:
     stats: dict[str, dict[str, int]]
     errors_path: str | None
     replayed: bool = False
+    formats: dict[str, ColumnFormats] = field(default_factory=dict)
     spark: SparkSession | None = field(default=None, repr=False)
 
     def stats_rows(self) -> DataFrame:
@@ -179,7 +183,7 @@ def deliver(
     root: str,
     sheets: dict[str, DataFrame],
     order_col: str = ROW_ORDER,
-    formats: tuple[str, ...] = DEFAULT_DATE_FORMATS,
+    formats: tuple[str, ...] | str = DEFAULT_DATE_FORMATS,
     compat: bool = False,
     stream: tuple[str, int] | None = None,
     n_cells: int = DEFAULT_CELLS,
@@ -192,17 +196,24 @@ def deliver(
     into. Good rows are merged into the cells of their keys; the tables, the
     patient summaries and the quarantined rows become visible together. The
     summaries are kept up if the store has them (None), or from now on (True). A
-    stream's batch that was committed before changes nothing."""
+    stream's batch that was committed before changes nothing.
+
+    ``formats=INFER`` takes the date format of each column from the whole column
+    (:mod:`cohorte.functions.dates`); what was found is in the delivery."""
     names = [n for n in ORDER if n in sheets]
     now = store.latest(spark, root)
     if stream and now.streams.get(stream[0], -1) >= stream[1]:
         return _replayed(spark, now)
     run = uuid.uuid4().hex[:12]
     folder = os.path.join(root, STAGED, run)
-    parsed, rows = {}, {}
+    parsed, rows, found = {}, {}, {}
     for name in names:
         raw = sheets[name] if order_col in sheets[name].columns else sheets[name].withColumn(order_col, F.monotonically_increasing_id())
-        parsed[name] = _staged(parse_sheet(raw, TABLES[name], formats, compat), folder, name)
+        own = formats
+        if formats == INFER:
+            own = sheet_formats(raw, TABLES[name])
+            found |= {f"{name}.{c}": f for c, f in own.items()}
+        parsed[name] = _staged(parse_sheet(raw, TABLES[name], own, compat), folder, name)
         rows[name] = parsed[name].count()  # bounds the keys and parent keys
 
     def work(at: Snapshot) -> Work:
@@ -226,7 +237,7 @@ def deliver(
                 change = store.merge(good, root, name, at, (spec.key,), rows[name], n_cells)
                 changes.append(change)
                 stats[name] |= {"insertados": change.inserted, "actualizados": change.updated}
-        out = Work(changes, reads, {"estadisticas": stats})
+        out = Work(changes, reads, {"estadisticas": stats, "formatos": {c: [f.state, *f.formats, *("|".join(p) for p in f.undecided)] for c, f in found.items()}})
         if summaries or (summaries is None and PATIENTS in at.tables):
             more = summary_changes(spark, root, at, good_rows, n_cells)
             out.changes += more.changes
@@ -242,11 +253,11 @@ def deliver(
     at, done = store.transact(spark, root, work, stream)
     fs, p, _ = store._fs(spark, folder)
     fs.delete(p, True)
-    return _replayed(spark, at) if done is None else Delivery(version_id(at.version), at.info["estadisticas"], os.path.join(root, at.info["errores"]), False, spark)
+    return _replayed(spark, at) if done is None else Delivery(version_id(at.version), at.info["estadisticas"], os.path.join(root, at.info["errores"]), False, found, spark)
 
 
 def _replayed(spark: SparkSession, at: Snapshot) -> Delivery:
-    return Delivery(version_id(at.version), {}, None, True, spark)
+    return Delivery(version_id(at.version), {}, None, True, {}, spark)
 
 
 def _checked(

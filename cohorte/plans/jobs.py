@@ -24,9 +24,10 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from cohorte.functions.parse import DEFAULT_DATE_FORMATS
 from cohorte.plans import queries as Q
 from cohorte.plans.cleaning import clean_all, combined_report, summary
-from cohorte.plans.ingest import ORDER, deliver
+from cohorte.plans.ingest import INFER, ORDER, deliver
 from cohorte.plans.scoring import score_requests
 from cohorte.plans.summaries import PATIENTS, rebuilt
 from cohorte.plans.training import train
@@ -38,12 +39,12 @@ from cohorte.sources.tables import latest_feature_csv, load_sheets, read_all, ve
 from cohorte.schemas import TABLES
 
 
-def ingest_job(spark: SparkSession, sheets: str, store: str, fmt: str = "csv", n_cells: int = keyed.DEFAULT_CELLS, summaries: bool | None = None) -> dict:
+def ingest_job(spark: SparkSession, sheets: str, store: str, fmt: str = "csv", n_cells: int = keyed.DEFAULT_CELLS, summaries: bool | None = None, infer_dates: bool = False) -> dict:
     """Upload endpoint -> one new version of the three tables, with the
     batch's statistics and quarantined rows."""
-    res = deliver(spark, store, load_sheets(spark, sheets, fmt), n_cells=n_cells, summaries=summaries)
+    res = deliver(spark, store, load_sheets(spark, sheets, fmt), n_cells=n_cells, summaries=summaries, formats=INFER if infer_dates else DEFAULT_DATE_FORMATS)
     stats = {t: {"tabla": t} | s for t, s in res.stats.items()}
-    return {"version": res.version, "estadisticas": stats, "errores": res.errors_path}
+    return {"version": res.version, "estadisticas": stats, "errores": res.errors_path, "formatos": {c: f.state for c, f in res.formats.items()}}
 
 
 def clean_job(spark: SparkSession, store: str) -> dict:
@@ -121,6 +122,7 @@ def main(argv: list[str] | None = None) -> None:
     for opt in ("--sheets", "--store", "--out", "--features", "--models", "--log", "--as-of"):
         ap.add_argument(opt)
     ap.add_argument("--kind", default="xgboost")
+    ap.add_argument("--infer-dates", action="store_true")
     ap.add_argument("--keep", type=int, default=2)
     ap.add_argument("--min-age-hours", type=float, default=24.0)
     ap.add_argument("--format", default="csv")
@@ -129,7 +131,7 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = get_session()
     if a.job == "ingest":
-        out = ingest_job(spark, a.sheets, a.store, a.format)
+        out = ingest_job(spark, a.sheets, a.store, a.format, infer_dates=a.infer_dates)
     elif a.job == "clean":
         out = clean_job(spark, a.store)
     elif a.job == "features":
