@@ -142,8 +142,27 @@ SHARED = f"""
 SELECT v AS model_version, count(*) AS solicitudes, count(*) AS distintas, count_if(msg = '') AS con_exito
 FROM (SELECT concat_ws('; ', {REASONS}) AS msg FROM ft), (VALUES ('v1'), ('v2')) AS versions(v) GROUP BY v"""
 
+_BUCKET = "('0x' || substr(md5(id_paciente || ':{seed}'), 1, 8))::BIGINT % 10000"
+TRAIN_TEST = "partes AS (SELECT *, " + _BUCKET.format(seed=42) + " < 2000 AS prueba, " + _BUCKET.format(seed=43) + " < 2000 AS validacion FROM ft)"
+EPOCHS = """
+SELECT e::INTEGER AS epoca, n AS filas_entrenamiento, v AS filas_validacion, true AS aprende
+FROM range(1, 51) AS t(e), (SELECT count_if(NOT validacion) AS n, count_if(validacion) AS v FROM partes WHERE NOT prueba)"""
+MODELS = "(VALUES ('xgboost'), ('neural_network'), ('minibatch')) AS m(modelo)"
+
 SQL.update(
     {
+        "m6_minibatch_epochs": with_fixtures(EPOCHS, FEATURE_TABLE_CTES + "," + TRAIN_TEST),
+        "m5_m6_score_contract": with_fixtures(
+            f"SELECT modelo, id_paciente, adherencia_12m AS label, true AS en_rango, true AS coherente FROM partes, {MODELS} WHERE prueba",
+            FEATURE_TABLE_CTES + "," + TRAIN_TEST,
+        ),
+        "m7_metrics_recomputed": with_fixtures(
+            f"SELECT modelo, count(*) AS n, true AS exactitud_igual, true AS f1_igual FROM partes, {MODELS} WHERE prueba GROUP BY modelo",
+            FEATURE_TABLE_CTES + "," + TRAIN_TEST,
+        ),
+        "m11_score_contract": with_fixtures(
+            f"SELECT success, error_message, '2001-08-01 12:00:00' AS hora, true AS coherente, 64 AS largo_id, solicitudes FROM ({M12})", FEATURE_TABLE_CTES
+        ),
         "t2_shared_log": with_fixtures(SHARED, FEATURE_TABLE_CTES),
         "t3_windows_and_late": with_fixtures(LOG_LATE, FEATURE_TABLE_CTES + "," + LOG),
         "t3_sessions": with_fixtures(LOG_SESSIONS, FEATURE_TABLE_CTES + "," + LOG),

@@ -3,6 +3,7 @@ feature table derived from the fixture tables."""
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from datetime import datetime
@@ -18,7 +19,7 @@ from cohorte.operators.split import assign_exact_split, assign_split, train_test
 from cohorte.plans import queries as Q
 from cohorte.plans.registry import register
 from cohorte.plans.scoring import score_requests, validate_requests
-from cohorte.plans.training import KEY, TrainingResult, prepare, score, train
+from cohorte.plans.training import KEY, LBFGS, MINIBATCH, TrainingResult, evaluate, prepare, score, train
 from cohorte.schemas import CATEGORICAL_FEATURES, FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
 from cohorte.session import scratch_path
 from cohorte.sources.fixtures import AS_OF, clinical_tables
@@ -39,14 +40,14 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LabelVocabulary(inputCols=CATEGORICAL_FEATURES).fit(data).transform(data)
 
 
-_MODELS: dict[tuple[str, str, str], TrainingResult] = {}
+_MODELS: dict[tuple[str, str, str, str], TrainingResult] = {}
 
 
-def trained(spark: SparkSession, sf_dir: str, kind: str) -> TrainingResult:
+def trained(spark: SparkSession, sf_dir: str, kind: str, loop: str = LBFGS) -> TrainingResult:
     """Train once per (session, data, kind)."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, loop)
     if key not in _MODELS:
-        _MODELS[key] = train(feature_table(spark, sf_dir), kind)
+        _MODELS[key] = train(feature_table(spark, sf_dir), kind, loop=loop)
     return _MODELS[key]
 
 
@@ -101,9 +102,9 @@ def _i12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(KEY, (F.size("motivos") == 0).alias("valido"), F.array_join("motivos", "; ").alias("motivos"))
 
 
-def _test_scores(kind: str):
+def _test_scores(kind: str, loop: str = LBFGS):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        res = trained(spark, sf_dir, kind)
+        res = trained(spark, sf_dir, kind, loop)
         _, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
         return score(res.model, test_df).select(KEY, "label", "probabilidad", "prediccion")
 
@@ -114,6 +115,83 @@ register("m5_gbt_test_scores")(_test_scores("xgboost"))
 register("m6_mlp_test_scores")(_test_scores("neural_network"))
 
 
+register("m6_minibatch_test_scores")(_test_scores("neural_network", MINIBATCH))
+
+#: Name in the results -> (type, training).
+MODELS = {"xgboost": ("xgboost", LBFGS), "neural_network": ("neural_network", LBFGS), "minibatch": ("neural_network", MINIBATCH)}
+
+
+@register("m6_minibatch_curve")
+def _m6curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss per epoch on the training and the validation rows."""
+    h = trained(spark, sf_dir, "neural_network", MINIBATCH).history
+    rows = [(e["epoca"], e["perdida"], e["perdida_validacion"], e["exactitud_validacion"]) for e in h]
+    return spark.createDataFrame(rows, "epoca int, perdida double, perdida_validacion double, exactitud_validacion double")
+
+
+@register("m6_minibatch_epochs")
+def _m6epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every epoch saw: rows trained on and measured on, and whether the
+    loss is below that of guessing (ln 2) once half of the epochs are done."""
+    h = trained(spark, sf_dir, "neural_network", MINIBATCH).history
+    rows = [(e["epoca"], e["filas_entrenamiento"], e["filas_validacion"], e["epoca"] <= 25 or e["perdida"] < math.log(2)) for e in h]
+    return spark.createDataFrame(rows, "epoca int, filas_entrenamiento long, filas_validacion long, aprende boolean")
+
+
+@register("m5_m6_score_contract")
+def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every patient of the test part once per model, with its label, a
+    probability, and the prediction that follows from it."""
+    _, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
+    out = None
+    for name, (kind, loop) in MODELS.items():
+        s = score(trained(spark, sf_dir, kind, loop).model, test_df)
+        part = s.select(
+            F.lit(name).alias("modelo"), KEY, F.col("label").cast("int").alias("label"),
+            F.col("probabilidad").between(0, 1).alias("en_rango"),
+            (F.col("prediccion") == (F.col("probabilidad") > 0.5).cast("int")).alias("coherente"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("m7_metrics_recomputed")
+def _m7r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reported test metrics against ones recomputed from written predictions
+    by plain aggregates."""
+    _, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
+    out = None
+    for name, (kind, loop) in MODELS.items():
+        res = trained(spark, sf_dir, kind, loop)
+        path = scratch_path(spark, f"predicciones-{uuid.uuid4().hex[:12]}")
+        score(res.model, test_df).select(F.col("label").cast("int").alias("y"), F.col("probabilidad").alias("p"), F.col("prediccion").alias("c")).write.parquet(path)
+        view = f"predicciones_{name}"
+        spark.read.parquet(path).createOrReplaceTempView(view)
+        m = res.metrics_test
+        f1 = "coalesce(2 * count_if(c = 1 AND y = 1) / nullif(2 * count_if(c = 1 AND y = 1) + count_if(c <> y), 0), 0)"
+        part = spark.sql(
+            f"""
+            SELECT '{name}' AS modelo, count(*) AS n, abs(avg(CAST(c = y AS DOUBLE)) - {m['accuracy']}D) < 1e-4 AS exactitud_igual,
+                   abs({f1} - {m['f1_score']}D) < 1e-4 AS f1_igual
+            FROM {view}"""
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("m11_score_contract")
+def _m11c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request once in the log, valid ones with a probability and a prediction, others with -1 and 0."""
+    rows = _m11(spark, sf_dir)
+    ok = F.col("success")
+    right = F.when(ok, F.col("probability").between(0, 1) & (F.col("prediction") == (F.col("probability") > 0.5).cast("int"))).otherwise(
+        (F.col("prediction") == -1) & (F.col("probability") == 0)
+    )
+    return rows.select(ok.alias("success"), "error_message", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("hora"), right.alias("coherente"), F.length("request_id").alias("largo_id")).groupBy(
+        "success", "error_message", "hora", "coherente", "largo_id"
+    ).agg(F.count(F.lit(1)).alias("solicitudes"))
+
+
 @register("m7_model_metrics")
 def _m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []

@@ -2,7 +2,9 @@
 
 ``prepare`` -> ``LabelVocabulary`` (M1/M2) -> [``PopulationScaler`` (M4)]
 -> ``VectorAssembler`` -> ``GBTClassifier`` (M5) or
-``MultilayerPerceptronClassifier`` (M6). The split (M3) is a hash, the
+``MultilayerPerceptronClassifier`` (M6), or for M6 also the mini-batch
+network of :mod:`cohorte.operators.network` (ReLU, dropout, Adam, a
+validation part). The split (M3) is a hash, the
 metrics (M7) are aggregates, the artefact goes through Spark ML
 persistence plus a registry row (S8/M9).
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from cohorte.functions.numeric import above_threshold
 from cohorte.operators.encode import LabelVocabulary
 from cohorte.operators.metrics import classification_metrics
+from cohorte.operators.network import MiniBatchNetwork
 from cohorte.operators.scale import PopulationScaler
 from cohorte.operators.split import train_test
 from cohorte.schemas import CATEGORICAL_FEATURES, LABEL, MODEL_FEATURES, MODEL_TYPES, NUMERIC_FEATURES
@@ -46,7 +49,11 @@ def prepare(features: DataFrame) -> DataFrame:
     return out.withColumn("label", F.col(LABEL).cast("double")) if LABEL in features.columns else out
 
 
-def build_pipeline(model_type: str) -> Pipeline:
+#: How the network is trained: Spark ML's perceptron, or mini-batches in step.
+LBFGS, MINIBATCH = "lbfgs", "minibatch"
+
+
+def build_pipeline(model_type: str, loop: str = LBFGS) -> Pipeline:
     """The pipeline for a model type; unknown type -> error."""
     if model_type not in MODEL_TYPES:
         raise ValueError(f"tipo de modelo desconocido: {model_type}")
@@ -58,6 +65,10 @@ def build_pipeline(model_type: str) -> Pipeline:
     scaled = [f"{c}_std" for c in MODEL_FEATURES]
     sc = PopulationScaler(inputCols=MODEL_FEATURES, suffix="_std")
     asm = VectorAssembler(inputCols=scaled, outputCol="features")
+    if loop == MINIBATCH:
+        return Pipeline(stages=[enc, sc, asm, MiniBatchNetwork(featuresCol="features", labelCol="label", idCol=KEY)])
+    if loop != LBFGS:
+        raise ValueError(f"entrenamiento desconocido: {loop}")
     clf = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="label", layers=[len(MODEL_FEATURES), *MLP_HIDDEN, 2], **MLP_PARAMS
     )
@@ -82,6 +93,7 @@ class TrainingResult:
     metrics_train: dict
     metrics_test: dict
     architecture: dict = field(default_factory=dict)
+    history: list = field(default_factory=list)
 
     def record(self, version: str) -> dict:
         """M9: the registry row."""
@@ -107,7 +119,7 @@ def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
     return classification_metrics(score(model, df), label="label", score="probabilidad", prediction="prediccion")
 
 
-def train(features: DataFrame, model_type: str, test_fraction: float = 0.2, seed: int = 42) -> TrainingResult:
+def train(features: DataFrame, model_type: str, test_fraction: float = 0.2, seed: int = 42, loop: str = LBFGS) -> TrainingResult:
     """M5/M6/M7/M8: fit on the hash-split train part, evaluate both parts."""
     # materialise the prepared rows once in the shared checkpoint folder:
     # fitting makes several passes, and a lost executor then re-reads the
@@ -117,7 +129,7 @@ def train(features: DataFrame, model_type: str, test_fraction: float = 0.2, seed
         raise ValueError(f"Dataset muy pequeño para entrenar (mínimo {MIN_ROWS} registros)")
     # the vocabulary is that of all rows (a category may be absent from the train part)
     start = time.time()
-    enc, *rest = build_pipeline(model_type).getStages()
+    enc, *rest = build_pipeline(model_type, loop).getStages()
     encoder = enc.fit(data)
     train_df, test_df = train_test(data, KEY, test_fraction, seed)
     fitted = Pipeline(stages=rest).fit(encoder.transform(train_df))
@@ -126,6 +138,11 @@ def train(features: DataFrame, model_type: str, test_fraction: float = 0.2, seed
     m_train = evaluate(model, train_df).first().asDict()
     m_test = evaluate(model, test_df).first().asDict()
     arch = dict(GBT_PARAMS) if model_type == "xgboost" else {"layers": [len(MODEL_FEATURES), *MLP_HIDDEN, 2], **MLP_PARAMS}
+    history = []
+    if model_type != "xgboost" and loop == MINIBATCH:
+        net = rest[-1]
+        arch = {p.name: net.getOrDefault(p) for p in net.params if net.isDefined(p)}
+        history = model.stages[-1].get_history()
     return TrainingResult(
-        model_type, model, int(m_train["n"] + m_test["n"]), int(m_train["n"]), int(m_test["n"]), seconds, m_train, m_test, arch
+        model_type, model, int(m_train["n"] + m_test["n"]), int(m_train["n"]), int(m_test["n"]), seconds, m_train, m_test, arch, history
     )
