@@ -159,6 +159,22 @@ palabras AS (
     )
 
 
+# version after version: served if not below 95 % of the one served before
+X18 = with_fixtures(
+    """
+SELECT t AS model_type, version, turned AS revertida, served AS version_servida, k = max(k) OVER (PARTITION BY t) AS ultima FROM paso""",
+    """
+mes AS (
+  SELECT tipo_cancer AS t, strftime(fecha_dx, '%Y%m') AS version, avg(adherencia_12m::INTEGER) AS m, row_number() OVER (PARTITION BY tipo_cancer ORDER BY strftime(fecha_dx, '%Y%m')) AS k
+  FROM paciente WHERE adherencia_12m IS NOT NULL GROUP BY 1, 2
+),
+paso AS (
+  SELECT t, k, version, false AS turned, version AS served, m AS best FROM mes WHERE k = 1
+  UNION ALL
+  SELECT n.t, n.k, n.version, n.m < 0.95 * p.best, CASE WHEN n.m < 0.95 * p.best THEN p.served ELSE n.version END, CASE WHEN n.m < 0.95 * p.best THEN p.best ELSE n.m END
+  FROM paso p JOIN mes n ON n.t = p.t AND n.k = p.k + 1
+)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
 NUM = "CAST(substr(id_paciente, 2) AS BIGINT)"
 SPELLED = f"""
 escritos AS (
@@ -237,6 +253,7 @@ SQL.update(
         "x17_drift_against_log": psi_sql("edad IS NOT NULL"),
         "x19_harmonisation_map": harmonisation_sql(),
         "x19_harmonised_patients": harmonised_sql(),
+        "x18_served_versions": X18,
         "x19_variant_map": variants_sql("FROM mapa"),
         "x19_unified_patients": variants_sql(
             f"SELECT p.id_paciente, {', '.join(f'w_{c}.canonico AS {c}' for c in VARIANT_COLS)} FROM escritos p "

@@ -121,6 +121,20 @@ def _x17l(spark, sf_dir):
     return K.drift_against_log(train_df, read_log(spark, written_rule_log(spark, sf_dir)))
 
 
+@register("x18_served_versions")
+def _x18(spark, sf_dir):
+    """A training per cancer type and month of diagnosis, its metric the month's
+    adherence rate: which version is served after each."""
+    p = _t(spark, sf_dir)["paciente"].where("adherencia_12m IS NOT NULL")
+    month = F.trunc("fecha_dx", "MM")
+    runs = p.groupBy("tipo_cancer", month.alias("mes")).agg(F.avg(F.col("adherencia_12m").cast("double")).alias("m"))
+    registry = runs.select(
+        F.col("tipo_cancer").alias("model_type"), F.date_format("mes", "yyyyMM").alias("version"), F.col("mes").cast("timestamp").alias("trained_at"),
+        F.create_map(F.lit("test_f1_score"), "m").alias("metrics"),
+    )
+    return K.served_versions(registry)
+
+
 @register("x19_harmonisation_map")
 def _x19(spark, sf_dir):
     return K.harmonisation_map(_t(spark, sf_dir)["paciente"], ["sexo", "zona_residencia", "estadio", "aseguradora", "tipo_cancer"])

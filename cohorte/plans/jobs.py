@@ -33,7 +33,8 @@ from cohorte.plans.summaries import PATIENTS, rebuilt
 from cohorte.plans.training import train
 from cohorte.schemas import FEATURES
 from cohorte.sources.logs import append_log
-from cohorte.sources.registry import load_latest, new_version, save_model
+from cohorte.plans.kpis import served_versions
+from cohorte.sources.registry import load_version, new_version, read_registry, save_model
 from cohorte.sources import store as keyed
 from cohorte.sources.tables import latest_feature_csv, load_sheets, read_all, version_id, write_feature_csv
 from cohorte.schemas import TABLES
@@ -93,9 +94,17 @@ def train_job(spark: SparkSession, features_dir: str, models: str, kind: str) ->
     return {"version": version, "path": path, "metricas_test": res.metrics_test, "segundos": res.train_seconds}
 
 
+def load_served(spark: SparkSession, models: str, kind: str) -> tuple:
+    """The model that X18 says is to be served: not always the newest."""
+    row = served_versions(read_registry(spark, models).where(F.col("model_type") == kind)).where("ultima").first()
+    if row is None:
+        raise FileNotFoundError(f"No hay modelos entrenados de tipo {kind}")
+    return load_version(spark, models, kind, row["version_servida"])
+
+
 def score_job(spark: SparkSession, features_dir: str, models: str, kind: str, log: str) -> dict:
-    """Prediction endpoint re-aimed as batch scoring into the log."""
-    model, entry = load_latest(spark, models, kind)
+    """Prediction endpoint re-aimed as batch scoring into the log (M11, M12), with the version that is served."""
+    model, entry = load_served(spark, models, kind)
     reqs = latest_feature_csv(spark, features_dir, FEATURES).withColumn("tipo_modelo", F.lit(kind))
     append_log(score_requests(model, reqs, entry["version"]), log)
     return {"version": entry["version"], "log": log}

@@ -266,6 +266,27 @@ def rollback_decision(registry: DataFrame, metric: str = "test_f1_score", ratio:
     )
 
 
+def served_versions(registry: DataFrame, metric: str = "test_f1_score", ratio: float = ROLLBACK_RATIO) -> DataFrame:
+    """X18 applied over a registry's whole history: a version is served from its
+    training on unless its metric is below ``ratio`` times that of the version
+    served then. Per type and version: the version served after it
+    (``version_servida``), and whether it was turned back (``revertida``).
+
+    One row per training, in order of time (ties by version); a version without
+    the metric is turned back unless it is the first."""
+    runs = registry.groupBy("model_type").agg(F.array_sort(F.collect_list(F.struct("trained_at", "version", F.col("metrics")[metric].alias("m")))).alias("v"))
+    one = "named_struct('version', x.version, 'revertida', {back}, 'servida', {v}, 'm', {m})"
+    good = f"x.m >= {float(ratio)}D * a[size(a) - 1].m OR (a[size(a) - 1].m IS NULL AND x.m IS NOT NULL)"
+    step = (
+        f"CASE WHEN size(a) = 0 THEN {one.format(back='false', v='x.version', m='x.m')} "
+        f"WHEN coalesce({good}, false) THEN {one.format(back='false', v='x.version', m='x.m')} "
+        f"ELSE {one.format(back='true', v='a[size(a) - 1].servida', m='a[size(a) - 1].m')} END"
+    )
+    empty = "CAST(array() AS ARRAY<STRUCT<version: STRING, revertida: BOOLEAN, servida: STRING, m: DOUBLE>>)"
+    told = runs.select("model_type", F.explode(F.expr(f"aggregate(v, {empty}, (a, x) -> concat(a, array({step})))")).alias("s"), "v")
+    return told.select("model_type", F.col("s.version").alias("version"), F.col("s.revertida").alias("revertida"), F.col("s.servida").alias("version_servida"), (F.element_at("v", -1)["version"] == F.col("s.version")).alias("ultima"))
+
+
 def harmonisation_map(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spelling variants grouped by a stripped, accent-folded,
     lower-case key; the canonical spelling is the most frequent variant

@@ -4,10 +4,15 @@ A trained ``PipelineModel`` is saved with Spark ML persistence under
 ``<root>/<model_type>/<version>``; one row per training run is appended to
 the Parquet table ``<root>/_registry``. The newest model of a type is found
 with ``max_by(path, trained_at)`` on that table, not by listing files.
+
+A vocabulary that is too large for the model's own parameters is a table; it is
+saved inside the model's folder and found relative to it, so a saved model needs
+nothing else and can be moved.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from datetime import datetime, timezone
 
@@ -15,8 +20,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohorte.operators.encode import LabelVocabularyModel
 from cohorte.schemas import MODEL_REGISTRY, MODEL_TYPES
 
+#: Folder of a model's large vocabularies, inside the model's own.
+WORDS = "vocabulario"
+
 
 def registry_path(root: str) -> str:
     return os.path.join(root.rstrip("/"), "_registry")
@@ -32,7 +41,16 @@ def save_model(spark: SparkSession, root: str, model: PipelineModel, record: dic
     if record["model_type"] not in MODEL_TYPES:
         raise ValueError(f"tipo de modelo desconocido: {record['model_type']}")
     path = os.path.join(root.rstrip("/"), record["model_type"], record["version"])
-    model.write().overwrite().save(path)
+    stages, words = [], []
+    for stage in model.stages:
+        if isinstance(stage, LabelVocabularyModel) and (tables := json.loads(stage.getOrDefault(stage.tables))):
+            inside = {c: f"{WORDS}/{len(words)}-{i}" for i, c in enumerate(tables)}
+            words += [(tables[c], c, inside[c]) for c in tables]
+            stage = stage.copy({stage.tables: json.dumps(inside)})
+        stages.append(stage)
+    PipelineModel(stages=stages).write().overwrite().save(path)
+    for folder, c, name in words:
+        spark.read.parquet(folder).where(F.col("campo") == c).write.parquet(os.path.join(path, name))
     row = dict(record, path=path)
     spark.createDataFrame([tuple(row.get(f.name) for f in MODEL_REGISTRY.fields)], MODEL_REGISTRY).write.mode(
         "append"
@@ -53,9 +71,26 @@ def latest_entry(spark: SparkSession, root: str, model_type: str) -> dict:
     return row["r"].asDict()
 
 
+def load_model(path: str) -> PipelineModel:
+    """A saved model, its vocabularies where they lie now."""
+    model = PipelineModel.load(path)
+    for stage in model.stages:
+        if isinstance(stage, LabelVocabularyModel):
+            tables = json.loads(stage.getOrDefault(stage.tables))
+            stage._set(tables=json.dumps({c: os.path.join(path, f) if f.startswith(f"{WORDS}/") else f for c, f in tables.items()}))
+    return model
+
+
 def load_latest(spark: SparkSession, root: str, model_type: str) -> tuple[PipelineModel, dict]:
     entry = latest_entry(spark, root, model_type)
-    return PipelineModel.load(entry["path"]), entry
+    return load_model(entry["path"]), entry
+
+
+def load_version(spark: SparkSession, root: str, model_type: str, version: str) -> tuple[PipelineModel, dict]:
+    row = read_registry(spark, root).where((F.col("model_type") == model_type) & (F.col("version") == version)).first()
+    if row is None:
+        raise FileNotFoundError(f"No hay modelo {model_type} {version}")
+    return load_model(row["path"]), row.asDict()
 
 
 def version_from_path(path_col: str = "path") -> F.Column:
