@@ -10,6 +10,11 @@ be filled consistently: one value of the item always stands for one value of the
 document, and the other way round. A passage counts if it covers RUN words, or
 the whole of a shorter item.
 
+Beside the templates, windows of the lower-cased words and numbers themselves are
+joined in the same pass. A verbatim passage has those whatever stands around it and
+whatever it consists of, so neither the share of literal words nor the context of a
+name can hide it.
+
 Only built-in functions are used. Items under SHORT tokens are no evidence and
 left out; items of SHORT to K - 1 tokens are joined whole. Null and empty texts
 have no windows. Repeated rows of a document or an item count once. Rows without
@@ -64,33 +69,44 @@ def template(raw: Column) -> Column:
     return F.zip_with(raw, F.slice(F.concat(F.array(F.lit("")), raw), F.lit(1), F.size(raw)), token)
 
 
+#: Kinds of windows: template tokens, or the words and numbers themselves.
+TEMPLATE, PLAIN = 0, 1
+
+
+def plain(raw: Column) -> Column:
+    """Raw tokens without the marks of names."""
+    return F.transform(raw, lambda x: F.when(x < "0", F.substring(x, 2, 1 << 30)).otherwise(x))
+
+
 def _windows(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """``key, at, window`` (hash) and the raw tokens of each window of ``k`` tokens."""
+    """``key, at, kind, window`` (hash) of each window of ``k`` tokens, both kinds, with the tokens of the text."""
     # outer: Spark would put a filter on the generated arrays below the tokenisation and tokenise twice;
     # the window of the null row matches nothing
     starts = F.when(F.size("template") >= k, F.sequence(F.lit(0), F.size("template") - k))
-    placed = rows.select(key, "raw", "template", F.explode_outer(starts).alias("at"))
-    return placed.select(key, "at", "raw", F.xxhash64(F.lit(k), *(F.get("template", F.col("at") + j) for j in range(k))).alias("window"), "template")
+    placed = rows.select(key, "raw", "template", "plain", F.explode_outer(starts).alias("at"))
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(k + 100 * kind), *(F.get(c, F.col("at") + j) for j in range(k))).alias("window")) for kind, c in ((TEMPLATE, "template"), (PLAIN, "plain"))]
+    return placed.select(key, "at", "raw", "template", "plain", F.inline(F.array(*kinds)))
 
 
 def _tokens(rows: DataFrame, key: str) -> DataFrame:
     raw = rows.select(key, raw_tokens(F.col("text")).alias("raw"))
-    return raw.select(key, "raw", template(F.col("raw")).alias("template"))
+    return raw.select(key, "raw", template(F.col("raw")).alias("template"), plain(F.col("raw")).alias("plain"))
 
 
 def _benchmark(items: DataFrame) -> DataFrame:
-    """Windows of the items that may be evidence: ``item_id, n_tokens, k, from, window, item_raw, item_template``."""
+    """Windows of the items that may be evidence: ``item_id, n_tokens, k, from, kind, window, item_raw, slots``."""
     tokens = written(_tokens(items.filter("item_id IS NOT NULL"), "item_id"), "items")
     tokens = tokens.withColumn("k", F.least(F.size("template"), F.lit(K))).filter(F.col("k") >= SHORT)
     parts = []
     for k in range(SHORT, K + 1):
         rows = _windows(tokens.filter(F.col("k") == k), "item_id", k)
-        rows = rows.select("item_id", F.size("template").alias("n_tokens"), F.lit(k).alias("k"), F.col("at").alias("from"), "window", F.slice("raw", F.col("at") + 1, k).alias("item_raw"), F.slice("template", F.col("at") + 1, k).alias("slots"))
-        parts.append(rows.filter(F.size(F.filter("slots", lambda x: x >= "0")) >= F.ceil(F.lit(LITERAL * k))))
+        own = F.when(F.col("kind") == TEMPLATE, F.col("template")).otherwise(F.col("plain"))
+        rows = rows.select("item_id", F.size("template").alias("n_tokens"), F.lit(k).alias("k"), F.col("at").alias("from"), "kind", "window", F.slice("raw", F.col("at") + 1, k).alias("item_raw"), F.slice(own, F.col("at") + 1, k).alias("slots"))
+        parts.append(rows.filter((F.col("kind") == PLAIN) | (F.size(F.filter("slots", lambda x: x >= "0")) >= F.ceil(F.lit(LITERAL * k)))))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.dropDuplicates(["item_id", "from", "window"])
+    return out.dropDuplicates(["item_id", "from", "kind", "window"])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,11 +117,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = None
     for k, n in sorted(sizes.items()) or [(K, 0)]:
         probe = bounded_broadcast(bench.filter(F.col("k") == k), n, BROADCAST_WINDOWS)
-        found = _windows(tokens, "doc_id", k).join(probe, "window")
-        found = found.select("doc_id", "item_id", "n_tokens", (F.col("at") - F.col("from")).alias("diagonal"), "from", "k", F.slice("raw", F.col("at") + 1, k).alias("doc_raw"), "item_raw", "slots")
+        placed = _windows(tokens, "doc_id", k)
+        if n > BROADCAST_WINDOWS:  # the join shuffles: windows travel, not whole texts
+            placed = placed.select("doc_id", "at", "kind", "window", F.slice("raw", F.col("at") + 1, k).alias("doc_raw"))
+            found = placed.join(probe, ["kind", "window"])
+        else:
+            found = placed.join(probe, ["kind", "window"]).withColumn("doc_raw", F.slice("raw", F.col("at") + 1, k))
+        found = found.select("doc_id", "item_id", "n_tokens", "kind", (F.col("at") - F.col("from")).alias("diagonal"), "from", "k", "doc_raw", "item_raw", "slots")
         hits = found if hits is None else hits.union(found)
     # bounded by an item's length: one entry a window of the item
-    passages = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.first("n_tokens").alias("n_tokens"), F.collect_set(F.struct("from", "k", "doc_raw", "item_raw", "slots")).alias("windows"))
+    passages = hits.groupBy("doc_id", "item_id", "kind", "diagonal").agg(F.first("n_tokens").alias("n_tokens"), F.collect_set(F.struct("from", "k", "doc_raw", "item_raw", "slots")).alias("windows"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["from"], w["from"] + w["k"] - 1)))))
     cells = F.flatten(F.transform("windows", lambda w: F.zip_with(w["slots"], F.zip_with(w["item_raw"], w["doc_raw"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s, v: F.struct(s.alias("slot"), v["a"].alias("a"), v["b"].alias("b")))))
     filled = F.array_distinct(F.filter(cells, lambda c: c["slot"] < "0"))
@@ -153,7 +174,7 @@ def _sql() -> str:
   SELECT *, CASE WHEN x < '0' THEN chr(1) WHEN number THEN chr(2)
                  WHEN lag(number) OVER (PARTITION BY r ORDER BY i) AND x IN ({units}) THEN chr(3) ELSE x END AS y FROM {name}_kind
 ), {name}_window AS (
-  SELECT {key}, r, n, i, list(y) OVER w AS slots, list(x) OVER w AS raw
+  SELECT {key}, r, n, i, list(y) OVER w AS slots, list(x) OVER w AS raw, list(ltrim(x, chr(1))) OVER w AS plain
   FROM {name}_token WINDOW w AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING)
 )"""
 
@@ -161,18 +182,20 @@ def _sql() -> str:
 WITH sizes AS (SELECT unnest(range({SHORT}, {K + 1})) AS k),
 {tokens("d", "doc_id", "documents")}, {tokens("b", "item_id", "benchmark")},
 bench AS (
-  SELECT item_id, n, i, least(n, {K}) AS k, slots[1:least(n, {K})] AS slots, raw[1:least(n, {K})] AS raw
-  FROM b_window WHERE n >= {SHORT} AND i <= n - least(n, {K}) + 1
+  SELECT item_id, n, i, least(n, {K}) AS k, kind, CASE kind WHEN 0 THEN slots[1:least(n, {K})] ELSE plain[1:least(n, {K})] END AS slots, raw[1:least(n, {K})] AS raw
+  FROM b_window, range(2) AS kinds(kind) WHERE n >= {SHORT} AND i <= n - least(n, {K}) + 1
 ), evidence AS (
-  SELECT DISTINCT * FROM bench WHERE len([s FOR s IN slots IF s >= '0']) >= ceil({LITERAL} * k)
+  SELECT DISTINCT * FROM bench WHERE kind = 1 OR len([s FOR s IN slots IF s >= '0']) >= ceil({LITERAL} * k)
+), placed AS (
+  SELECT doc_id, i, raw, sizes.k, kind, CASE kind WHEN 0 THEN slots[1:sizes.k] ELSE plain[1:sizes.k] END AS slots
+  FROM d_window, sizes, range(2) AS kinds(kind) WHERE len(slots) >= sizes.k
 ), hit AS (
-  SELECT d.doc_id, e.item_id, e.n, e.k, e.i AS j, d.i - e.i AS diagonal, unnest(range(e.k)) AS o, e.slots, e.raw AS a, d.raw[1:e.k] AS b
-  FROM evidence e JOIN sizes ON sizes.k = e.k
-  JOIN (SELECT doc_id, i, raw, sizes.k, slots[1:sizes.k] AS slots FROM d_window CROSS JOIN sizes WHERE len(slots) >= sizes.k) d ON d.k = e.k AND d.slots = e.slots
+  SELECT d.doc_id, e.item_id, e.n, e.k, e.kind, e.i AS j, d.i - e.i AS diagonal, unnest(range(e.k)) AS o, e.slots, e.raw AS a, d.raw[1:e.k] AS b
+  FROM evidence e JOIN placed d ON d.k = e.k AND d.kind = e.kind AND d.slots = e.slots
 ), cell AS (
-  SELECT DISTINCT doc_id, item_id, n, diagonal, j + o AS place, slots[o + 1] AS slot, a[o + 1] AS a, b[o + 1] AS b FROM hit
+  SELECT DISTINCT doc_id, item_id, n, kind, diagonal, j + o AS place, slots[o + 1] AS slot, a[o + 1] AS a, b[o + 1] AS b FROM hit
 ), passage AS (
-  SELECT doc_id, item_id, n, diagonal, count(DISTINCT place) AS words,
+  SELECT doc_id, item_id, n, kind, diagonal, count(DISTINCT place) AS words,
          count(DISTINCT slot || a || chr(9) || b) FILTER (slot < '0') AS pairs,
          count(DISTINCT slot || a) FILTER (slot < '0') AS froms, count(DISTINCT slot || b) FILTER (slot < '0') AS tos
   FROM cell GROUP BY ALL

@@ -17,12 +17,39 @@ def test_reparameterised_items_are_found(spark, messy):
     texts = [(1, ITEM), (2, SAME), (3, TWICE), (4, BAD), (5, GOOD), (6, NUMBERS + " 7 8 9"), (7, "too few words"), (8, "Then: six words are enough evidence here, indeed."), (9, None), (10, ""), (None, ITEM), (2, SAME), (11, "six words are enough")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, words string")
     got = {r.doc_id: (r.contaminated, r["items"]) for r in contamination(docs, bench).collect()}
-    assert got == {1: (True, "1"), 2: (True, "1"), 3: (True, "2"), 4: (False, ""), 5: (True, "2"), 6: (False, ""), 7: (False, ""), 8: (True, "5"), 9: (False, ""), 10: (False, ""), None: (False, ""), 11: (False, "")}
+    assert got == {1: (True, "1"), 2: (True, "1"), 3: (True, "2"), 4: (False, ""), 5: (True, "2"), 6: (True, "3"), 7: (False, ""), 8: (True, "5"), 9: (False, ""), 10: (False, ""), None: (False, ""), 11: (False, "")}
     left = decontaminated(docs, bench)
-    assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 4, 6, 7, 9, 10, 11]
+    assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 4, 7, 9, 10, 11]
     assert contamination(messy, bench).count() == messy.count()
 
 
+def test_verbatim_copies_are_found_wherever_they_stand(spark):
+    capital = "What is the capital of France"
+    dense = "Anna 3 Omar 4 Paris 5 Kim 6 Rome 7 Lena 8 Oslo 9 Bern 10 Jan 11 Lima 12 Ida 13 Cork 14"
+    tale = " ".join(f"word{i} goes" for i in range(9)) + " on. " + ITEM
+    bench = items(spark, [(1, capital), (2, dense), (3, tale), (4, NUMBERS)])
+    texts = [
+        (1, f"the question is {capital} and so on"),
+        (2, f"1 {capital.upper()}"),
+        (3, "in\n  WHAT is\tthe capital of  France?"),
+        (4, f"x {dense} y"),
+        (5, "before " + " ".join(tale.split()[10:24]) + " after"),  # 14 words of a longer item
+        (6, "before " + " ".join(tale.split()[10:21]) + " after"),  # 11 words
+        (7, "What is the capital in France"),
+        (8, " ".join(str(i) for i in range(59, -1, -1))),
+    ]
+    got = {r.doc_id: r["items"] for r in contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {1: "1", 2: "1", 3: "1", 4: "2", 5: "3", 6: "", 7: "", 8: ""}
+
+
+def test_shuffled_join_gives_the_same(spark, monkeypatch):
+    bench = items(spark, [(1, ITEM), (2, TWICE), (3, NUMBERS)])
+    docs = spark.createDataFrame([(1, ITEM), (2, SAME), (3, GOOD), (4, BAD), (5, NUMBERS)], "doc_id long, text string")
+    want = sorted(map(tuple, contamination(docs, bench).collect()))
+    monkeypatch.setattr("cohorte.llm.decontaminate.BROADCAST_WINDOWS", 0)
+    assert sorted(map(tuple, contamination(docs, bench).collect())) == want
+
+
 def test_empty(spark, messy, no_docs):
     none = items(spark, [])
     assert contamination(no_docs, none).count() == 0
