@@ -20,6 +20,7 @@ per column, never as an in-memory map of all values.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark import keyword_only
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from cohorte.functions.numeric import clip, nan_to_null, round_to
 from cohorte.functions.text import normalise_text
-from cohorte.operators.order_stats import exact_quantiles
+from cohorte.operators.order_stats import exact_quantiles, quantiles_of_ranges, written_ranges
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -229,12 +230,18 @@ class AdaptiveImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "AdaptiveImputerModel":
-        defaults = json.loads(self.getOrDefault(self.defaults))
-        thr = self.getOrDefault(self.threshold)
         excl = set(self.getOrDefault(self.exclude))
         cols = [c for c in df.columns if c not in excl]
         types = {f.name: f.dataType for f in df.schema.fields}
         rates = {r["campo"]: r.asDict() for r in null_rates(df, cols).collect()}  # one row per column
+        modes = lambda need: {r["campo"]: r["valor"] for r in column_modes(df, need).collect()}
+        medians = lambda need: {c: q[0] for c, q in _quantiles(df, {c: [0.5] for c in need}).items()}
+        return self._chosen(rates, types, cols, modes, medians)
+
+    def _chosen(self, rates: dict[str, dict], types: dict[str, T.DataType], cols: list[str], modes: Callable, medians: Callable) -> "AdaptiveImputerModel":
+        """The model for null rates; ``modes`` and ``medians`` are asked once, for the columns that need one."""
+        defaults = json.loads(self.getOrDefault(self.defaults))
+        thr = self.getOrDefault(self.threshold)
         total = next(iter(rates.values()))["total_registros"] if rates else 0
         fill: dict[str, Any] = {}
         strategy: dict[str, str] = {}
@@ -256,12 +263,12 @@ class AdaptiveImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
                 fill[c], strategy[c] = 0.0, "cero"
             else:
                 strategy[c] = "sin_imputar"
-        if need_mode:
-            for r in column_modes(df, need_mode).collect():  # one row per column
-                fill[r["campo"]], strategy[r["campo"]] = r["valor"], "moda"
-        if need_median:
-            for c, (median,) in _quantiles(df, {c: [0.5] for c in need_median}).items():
-                fill[c], strategy[c] = float(median), "mediana"
+        found = modes(need_mode) if need_mode else {}
+        middle = medians(need_median) if need_median else {}
+        for c, v in found.items():
+            fill[c], strategy[c] = v, "moda"
+        for c, v in middle.items():
+            fill[c], strategy[c] = float(v), "mediana"
         stats = {c: {"nulos": rates[c]["valores_nulos"], "porcentaje": rates[c]["porcentaje"]} for c in cols if rates[c]["valores_nulos"]}
         model = AdaptiveImputerModel(
             fillValues=json.dumps(fill), strategies=json.dumps(strategy), stats=json.dumps(stats), total=int(total)
@@ -350,16 +357,58 @@ class IQRWinsoriser(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "IQRWinsoriserModel":
-        k = self.getOrDefault(self.multiplier)
         cols = numeric_columns(df, self.getOrDefault(self.exclude))
+        return self._chosen(_quantiles(df, {c: [0.25, 0.75] for c in cols}) if cols else {})
+
+    def _chosen(self, quartiles: dict[str, list[float]]) -> "IQRWinsoriserModel":
+        k = self.getOrDefault(self.multiplier)
         bounds: dict[str, dict[str, float]] = {}
-        if cols:
-            for c, (q1, q3) in _quantiles(df, {c: [0.25, 0.75] for c in cols}).items():
-                iqr = q3 - q1
-                bounds[c] = {"q1": q1, "q3": q3, "iqr": iqr, "inferior": q1 - k * iqr, "superior": q3 + k * iqr}
+        for c, (q1, q3) in quartiles.items():
+            iqr = q3 - q1
+            bounds[c] = {"q1": q1, "q3": q3, "iqr": iqr, "inferior": q1 - k * iqr, "superior": q3 + k * iqr}
         return self._copyValues(IQRWinsoriserModel(bounds=json.dumps(bounds)))
 
 
+def fit_together(df: DataFrame, imputer: AdaptiveImputer, winsoriser: IQRWinsoriser) -> tuple[AdaptiveImputerModel, "IQRWinsoriserModel"]:
+    """C5 and C8 fitted on the same rows: what the two ``fit`` calls give, from two
+    passes over them.
+
+    The first counts missing cells. The second counts each value of the columns
+    that need a mode, a median or quartiles, once, into ranges. Quartiles after
+    imputation follow from the same counts, as the fill adds its value so many times."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    excl = set(imputer.getOrDefault(imputer.exclude))
+    cols = [c for c in df.columns if c not in excl]
+    rates = {r["campo"]: r.asDict() for r in null_rates(df, cols).collect()}  # one row per column
+    numeric = numeric_columns(df, winsoriser.getOrDefault(winsoriser.exclude))
+    held: dict[str, DataFrame] = {}
+
+    def counts(texts: list[str]) -> DataFrame:
+        if "n" not in held:
+            null = F.lit(None)
+            cells = [F.struct(F.lit(c).alias("campo"), null.cast("string").alias("texto"), nan_to_null(F.col(c).cast("double")).alias("valor")) for c in numeric]
+            cells += [F.struct(F.lit(c).alias("campo"), F.col(c).cast("string").alias("texto"), null.cast("double").alias("valor")) for c in texts]
+            rows = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("texto IS NOT NULL OR valor IS NOT NULL")
+            held["n"] = written_ranges(rows.groupBy("campo", "valor", "texto").agg(F.count(F.lit(1)).alias("n")), "campo", "valor", "texto")
+        return held["n"]
+
+    def modes(need: list[str]) -> dict[str, str]:
+        rows = counts(need).where("texto IS NOT NULL").groupBy("campo").agg(F.min_by("texto", F.struct(-F.col("n"), "texto")).alias("valor"))
+        return {r["campo"]: r["valor"] for r in rows.collect()}  # one row per column
+
+    def quantiles(probs: dict[str, list[float]], extra: dict[str, tuple[float, int]] | None = None) -> dict[str, list[float]]:
+        found = quantiles_of_ranges(counts([]).where("valor IS NOT NULL"), probs, extra)
+        return {c: [round(v, QUANTILE_DIGITS) for v in q] for c, q in found.items()}
+
+    fills = imputer._chosen(rates, types, cols, modes, lambda need: {c: q[0] for c, q in quantiles({c: [0.5] for c in need}).items()})
+    added = {}
+    for c, v in fills.fill_values().items():
+        if c in numeric and v is not None:
+            # an integer column gets its fill rounded half to even
+            added[c] = (float(round(float(v))) if isinstance(types[c], INTEGRAL_TYPES) else float(v), rates[c]["valores_nulos"])
+    return fills, winsoriser._chosen(quantiles({c: [0.25, 0.75] for c in numeric}, added) if numeric else {})
+
+
 class IQRWinsoriserModel(Model, _Json, DefaultParamsReadable, DefaultParamsWritable):
     bounds = Param(Params._dummy(), "bounds", "JSON {column: {q1,q3,iqr,inferior,superior}}", TypeConverters.toString)
     multiplier = IQRWinsoriser.multiplier

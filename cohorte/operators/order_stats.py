@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,31 +60,54 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, l
     cells = [F.struct(F.lit(c).alias("campo"), nan_to_null(F.col(c).cast("double")).alias("valor")) for c in probs]
     stacked = df.select(F.explode(F.array(*cells)).alias("s")).select("s.campo", "s.valor")
     counts = stacked.where("valor IS NOT NULL").groupBy("campo", "valor").agg(F.count(F.lit(1)).alias("n"))
-    ranged = written_ranges(counts, "campo", "valor")
+    return quantiles_of_ranges(written_ranges(counts, "campo", "valor"), probs)
+
+
+def quantiles_of_ranges(ranged: DataFrame, probs: dict[str, list[float]], extra: dict[str, tuple[float, int]] | None = None) -> dict[str, list[float]]:
+    """The same from counts (``campo, valor, n``) in ranges. ``extra`` adds a value
+    that many times to a column: the ranks after it move up, nothing is counted again."""
+    extra = {c: x for c, x in (extra or {}).items() if c in probs and x[1]}
     ranges = range_offsets(ranged, ["campo"], "n").collect()  # one row per column and range
     total = {r["campo"]: r["_total"] for r in ranges}
-    ranks = {c: sorted({k for p in ps for k in _ranks(p, total[c])[:2]}) for c, ps in probs.items() if c in total}
+    below_it, upto_it = dict.fromkeys(extra, 0), dict.fromkeys(extra, 0)
+    if extra:
+        at = [(c, x[0], F.col("campo") == c) for c, x in extra.items()]
+        sums = [F.coalesce(F.sum(F.when(mine & (F.col("valor") < v), F.col("n"))), F.lit(0)).alias(f"l{i}") for i, (_, v, mine) in enumerate(at)]
+        sums += [F.coalesce(F.sum(F.when(mine & (F.col("valor") <= v), F.col("n"))), F.lit(0)).alias(f"u{i}") for i, (_, v, mine) in enumerate(at)]
+        r = ranged.agg(*sums).first()
+        for i, (c, _, _) in enumerate(at):
+            below_it[c], upto_it[c] = r[f"l{i}"], r[f"u{i}"]
+
+    size = {c: total.get(c, 0) + extra.get(c, (0, 0))[1] for c in probs}
+
+    def place(c: str, rank: int) -> int | None:
+        """Rank among the counted values; None for the added one."""
+        if c not in extra or rank < below_it[c]:
+            return rank
+        return rank - extra[c][1] if rank >= upto_it[c] + extra[c][1] else None
+
+    ranks = {c: sorted({q for p in ps for k in _ranks(p, size[c])[:2] if (q := place(c, k)) is not None}) for c, ps in probs.items() if size[c]}
     # only the ranges that hold a wanted rank are read again
     wanted = []
     ends = dict.fromkeys(total, 0)
     for r in sorted(ranges, key=lambda r: r[RANGE], reverse=True):
         campo, start, end = r["campo"], r["_antes"], ends[r["campo"]] or total[r["campo"]]
-        wanted += [(campo, r[RANGE], start, k) for k in ranks[campo] if start <= k < end]
+        wanted += [(campo, r[RANGE], start, k) for k in ranks.get(campo, ()) if start <= k < end]
         ends[campo] = start
-    if not wanted:
-        return {}
-    spark = df.sparkSession
-    asked = spark.createDataFrame(wanted, f"campo string, {RANGE} int, _antes long, rango_buscado long")  # two per quantile
-    some = F.col(RANGE).isin(sorted({w[1] for w in wanted}))
-    placed = ranged.where(some).withColumn("_bajo", below(ranged, ["campo"], "valor", "n"))
-    first = F.col("_antes") + F.col("_bajo")
-    hit = placed.join(asked, ["campo", RANGE]).where((first <= F.col("rango_buscado")) & (F.col("rango_buscado") < first + F.col("n")))
-    value = {(r["campo"], r["rango_buscado"]): r["valor"] for r in hit.collect()}  # two per quantile
-    out = {}
-    for c, ps in probs.items():
-        if c in total:
-            out[c] = [_between(value, c, p, total[c]) for p in ps]
-    return out
+    value: dict[tuple[str, int], float] = {}
+    if wanted:
+        asked = ranged.sparkSession.createDataFrame(wanted, f"campo string, {RANGE} int, _antes long, rango_buscado long")  # two per quantile
+        some = F.col(RANGE).isin(sorted({w[1] for w in wanted}))
+        placed = ranged.where(some).withColumn("_bajo", below(ranged, ["campo"], "valor", "n"))
+        first = F.col("_antes") + F.col("_bajo")
+        hit = placed.join(asked, ["campo", RANGE]).where((first <= F.col("rango_buscado")) & (F.col("rango_buscado") < first + F.col("n")))
+        value = {(r["campo"], r["rango_buscado"]): r["valor"] for r in hit.collect()}  # two per quantile
+
+    def at_rank(c: str, rank: int) -> float:
+        q = place(c, rank)
+        return extra[c][0] if q is None else value[c, q]
+
+    return {c: [_between(lambda k: at_rank(c, k), p, size[c]) for p in ps] for c, ps in probs.items() if size[c]}
 
 
 def _ranks(p: float, n: int) -> tuple[int, int, float]:
@@ -94,6 +118,6 @@ def _ranks(p: float, n: int) -> tuple[int, int, float]:
     return low, math.ceil(position), position - low
 
 
-def _between(value: dict[tuple[str, int], float], campo: str, p: float, n: int) -> float:
+def _between(value: Callable[[int], float], p: float, n: int) -> float:
     low, high, share = _ranks(p, n)
-    return value[campo, low] * (1 - share) + value[campo, high] * share if share else value[campo, low]
+    return value(low) * (1 - share) + value(high) * share if share else value(low)

@@ -20,6 +20,7 @@ from cohorte.operators.clean import (
     IQRWinsoriser,
     IQRWinsoriserModel,
     TextNormaliser,
+    fit_together,
 )
 from cohorte.schemas import TABLES
 
@@ -109,7 +110,10 @@ class CleaningRun:
 
 
 def clean_table(df: DataFrame, table: str, compat: bool = False, multiplier: float = 1.5) -> CleaningRun:
-    return CleaningRun(table, df, cleaning_pipeline(table, compat, multiplier).fit(df))
+    normaliser, imputer, winsoriser = cleaning_pipeline(table, compat, multiplier).getStages()
+    # what the pipeline's fit gives, with the two fits sharing their counts
+    fitted = fit_together(normaliser.transform(df), imputer, winsoriser)
+    return CleaningRun(table, df, PipelineModel(stages=[normaliser, *fitted]))
 
 
 def clean_all(tables: dict[str, DataFrame], compat: bool = False) -> dict[str, CleaningRun]:

@@ -115,3 +115,31 @@ def test_reference_shaped_reports(spark):
     xdf = _frame(spark, [(v,) for v in vals], "x double")
     model = IQRWinsoriser().fit(xdf)
     assert outlier_lists(model.outlier_values(xdf)).first()["valores_outliers"] == [-50.0, 100.0, 200.0]
+
+
+def test_fits_together_equal_fits_one_after_the_other(spark):
+    import random
+
+    from cohorte.operators.clean import AdaptiveImputer, IQRWinsoriser, fit_together
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        miss = lambda share, v: None if rng.random() < share else v
+        rows = [
+            (
+                f"k{i}", miss(0.1, rng.choice("abc")), miss(0.4, rng.choice("xy")), miss(0.15, rng.randrange(9)), miss(0.1, rng.gauss(0, 5)),
+                miss(0.5, rng.choice([float("nan"), 1.5, -2.0, 7.0])), rng.random(), None, miss(0.3, rng.gauss(3, 1)),
+            )
+            for i in range(rng.choice([1, 7, 150]))
+        ]
+        df = spark.createDataFrame(rows, "id string, t string, u string, n int, a double, b double, c double, d double, resultado_numerico double").repartition(4)
+        imputer, winsoriser = AdaptiveImputer(exclude=["id"]), IQRWinsoriser(exclude=["id"])
+        fills = imputer.fit(df)
+        bounds = winsoriser.fit(fills.transform(df))
+        got_fills, got_bounds = fit_together(df, imputer, winsoriser)
+        assert got_fills.fill_values() == fills.fill_values()
+        for p in ("strategies", "stats", "total"):
+            assert got_fills.getOrDefault(p) == fills.getOrDefault(p)
+        assert got_bounds.get_bounds() == bounds.get_bounds()
+    empty = df.limit(0)
+    assert fit_together(empty, imputer, winsoriser)[1].get_bounds() == {}
