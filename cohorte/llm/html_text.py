@@ -5,11 +5,17 @@ never article text (scripts, menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments) are marked by tag, role, class or id. Every
 other paragraph passes points for its length and commas to its ancestors, less
 the farther they are; an element's points shrink with its share of link text.
-The best element, or the article around it, and its siblings that read like
-text give the blocks.
+The best element, or the article around it, gives the blocks; without an article
+also what stands beside it: headings, paragraphs, lists, tables and quotations that
+aren't made of links, and anything of that kind between them.
+
+A class or id marks an element by its whole name (``cookie-notice``), not by a word in
+it (``related-work``), and never a heading.
 
 Null and empty pages give an empty text; a page without paragraphs gives all its
-unmarked text. Broken markup never fails. Repeated rows are alike.
+unmarked text. Broken markup never fails, and very long pages and attributes cost
+their length. Repeated rows are alike. Other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,8 +61,18 @@ UNLESS_ARTICLE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar side rail aside widget widgets pagination pager toolbar login search skip alert alerts form meta tags byline".split()
 )
 
+#: Words that say no more of an element than its place or shape; a name that
+#: holds any other word besides marking ones is a name of its own (``related-work``).
+PLAIN_WORDS = frozenset(
+    "area bar block box btn button bottom center col cols column container content cta desktop elem element entry fixed float grid group holder icon icons id info inner item items js layer layout left link links list main media mobile module outer overlay page panel post posts article articles right row section site slot small sticky tab tabs text title top unit view wide wrap wrapper zone the by".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Blocks that belong to the text beside the best element, however short.
+BESIDE = HEADINGS | frozenset("p pre blockquote ul ol dl table figure figcaption address".split())
+
+# a quote opens a value only after "=", as in the standard; so no start of a tag is read over twice
 _TAG = re.compile(
-    r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]{0,2048}+\"|'[^']{0,2048}+'|[\"'])*+)>|[!?/][^>]*>)",
+    r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|[!?/][^>]*>)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -66,7 +82,7 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "marked", "text", "linked", "points", "article")
+    __slots__ = ("tag", "parent", "items", "marked", "text", "linked", "points", "article", "inside")
 
     def __init__(self, tag: str, parent: Node | None, marked: str = "") -> None:
         self.tag, self.parent, self.marked = tag, parent, marked
@@ -74,6 +90,10 @@ class Node:
         self.text = self.linked = 0
         self.points = 0.0
         self.article = tag in ("article", "main")
+        #: Stands in an article: what has no mark of its own belongs to it.
+        self.inside = tag == "article" or (parent is not None and parent.inside)
+        if tag == "header" and self.inside:
+            self.marked = ""
 
 
 def mark(tag: str, attributes: str) -> str:
@@ -91,10 +111,18 @@ def mark(tag: str, attributes: str) -> str:
         return "always"
     if re.search(r"(?:^|\s)hidden(?=\s|$|/)", _ATTRIBUTE.sub(" ", attributes)) or "hidden" in values:
         return "always"
-    words = {w.lower() for w in _PART.findall(values.get("class", "") + " " + values.get("id", ""))}
-    if words & ALWAYS:
-        return "always"
-    return "soft" if words & UNLESS_ARTICLE and tag not in ("article", "main") else ""
+    if tag in HEADINGS:
+        return ""  # their names are slugs of what they say
+    out = ""
+    for name in (values.get("class", "") + " " + values.get("id", "")).split():
+        words = {w.lower() for w in _PART.findall(name) if len(w) > 1 and not w.isdigit()}
+        if words - ALWAYS - UNLESS_ARTICLE - PLAIN_WORDS:
+            continue  # a name of its own
+        if words & ALWAYS:
+            return "always"
+        if words & UNLESS_ARTICLE and tag not in ("article", "main"):
+            out = "soft"
+    return out
 
 
 def tree(page: str) -> Node:
@@ -176,7 +204,7 @@ def _measured(root: Node) -> list[Node]:
             n.parent.text += n.text
             n.parent.linked += n.linked
             anchors[id(n.parent)] = anchors.get(id(n.parent), 0) + own
-        if n.tag in ("ul", "ol", "div", "section", "p", "table", "dl") and own >= 3 and n.linked > 0.8 * n.text and not n.article:
+        if n.tag in ("ul", "ol", "div", "section", "p", "table", "dl") and own >= 3 and n.linked > 0.8 * n.text and not n.article and not n.inside:
             n.marked = "menu"  # nothing but links
     for n in stay:
         if n.parent is not None and n.parent.marked:
@@ -226,14 +254,11 @@ def _container(nodes: list[Node], root: Node) -> list[Node]:
     if best.tag in ("body", "html", "#root", "main") or best.parent is None:
         return [best]
     floor = 0.2 * worth(best)
-    out = []
-    for x in best.parent.items:
-        if not isinstance(x, Node) or x.marked:
-            continue
-        reads = x.tag == "p" and x.text > 80 and x.linked < 0.25 * x.text
-        if x is best or reads or (x.tag == best.tag and worth(x) >= floor):
-            out.append(x)
-    return out
+    beside = [x for x in best.parent.items if isinstance(x, Node) and not x.marked]
+    plain = lambda x: x.linked < 0.25 * x.text
+    kept = [x is best or (x.tag in BESIDE and plain(x)) or (x.tag == best.tag and worth(x) >= floor) for x in beside]
+    first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    return [x for i, x in enumerate(beside) if kept[i] or (first < i < last and plain(x))]
 
 
 def _blocks(nodes: list[Node]) -> Iterator[str]:
