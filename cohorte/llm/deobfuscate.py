@@ -41,18 +41,33 @@ _REFERENCE = re.compile(r"&#(?:0{0,3}(64|46)|[xX]0{0,3}(40|2[eE]));?")
 #: Letters that imitate digits, in a run with real ones or as a part after a dot.
 _LOOKALIKE = re.compile(r"(?<![A-Za-z0-9])(?:(?=[OolI]*[0-9])[0-9OolI]{1,32}|(?<=\.)[OolI]{1,3})(?![A-Za-z0-9])")
 _BESIDE = re.compile(r"[0-9][OolI]|[OolI][0-9]|[0-9.][OolI](?![A-Za-z])")
-#: name at host dot tld, in words; or only the dots are.
-_SPOKEN = re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+.-]{1,64}((?:\s{1,3}dot\s{1,3}[A-Za-z0-9_%+-]{1,64}){0,3})(\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}((?:\.[A-Za-z0-9-]{1,63}){0,4}(?:\s{1,3}dot\s{1,3}(?!dot(?!\w))[A-Za-z0-9-]{1,63}){1,5})(?![\w-])", re.I)
-_DOT_WORD = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
-_NUMBER_DOT = re.compile(r"(?<=[0-9])\s{1,3}(?:dot|point)\s{1,3}(?=[0-9])", re.I)
+def _spoken(at: str, dot: str) -> re.Pattern[str]:
+    """name at host dot tld, in words; or only the dots are."""
+    part = r"[A-Za-z0-9_%+-]{1,64}"
+    host = r"[A-Za-z0-9-]{1,63}"
+    return re.compile(
+        rf"(?<![\w.+-])[A-Za-z0-9_%+.-]{{1,64}}((?:\s{{1,3}}(?:{dot})\s{{1,3}}{part}){{0,3}})(\s{{1,3}}(?:{at})\s{{1,3}}|@){host}"
+        rf"((?:\.{host}){{0,4}}(?:\s{{1,3}}(?:{dot})\s{{1,3}}(?!(?:{dot})(?!\w)){host}){{1,5}})(?![\w-])",
+        re.I,
+    )
+
+
+#: "point" is a common word after "at", so it takes the French word for it.
+_SPOKEN = (_spoken("at|ät|arroba", "dot|punto|punkt"), _spoken("arobase", "point"))
+_DOTS = "dot|point|punto|punkt"
+_DOT_WORD = re.compile(rf"\s{{1,3}}(?:{_DOTS})\s{{1,3}}", re.I)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])\s{{1,3}}(?:{_DOTS})\s{{1,3}}(?=[0-9])", re.I)
 _DIGITS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: At least six digit words or numbers in a row.
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]{{1,3}})?(?:(?:{_DIGITS}|[0-9]+)(?:[\s,./()-]{{1,3}}|(?!\w))){{6,40}}", re.I)
-_DIGIT_WORD = re.compile(rf"(?<!\w)(?:{_DIGITS}|plus|[0-9]+)(?!\w)", re.I)
-_POINTS = re.compile(r"(?<!\w)(?:dot|point)(?!\w)")
+#: Digit words, numbers and dots in a row, of any length.
+_RUN = re.compile(rf"(?<!\w)(?:plus[\s,-]{{1,3}})?(?:(?:{_DIGITS}|{_DOTS}|[0-9]+)(?:[\s,./()-]{{1,3}}|(?!\w)))++", re.I)
+_DIGIT_WORD = re.compile(rf"(?<!\w)(?:{_DIGITS}|{_DOTS}|plus|[0-9]+)(?!\w)", re.I)
+_DOT = frozenset(_DOTS.split("|"))
+_POINTS = re.compile(rf"(?<!\w)(?:{_DOTS})(?!\w)")
 JOINTS = ",./()-"
-#: Digit words and different digits that a spelled number has at least ("un un un" is none).
-LEAST_WORDS, LEAST_DIGITS = 6, 2
+#: Digits of the shortest identifier without dots (a phone), dots of one with them (an address), and different digits ("un un un" is none).
+LEAST_NUMBER, LEAST_DOTS, LEAST_DIGITS = 9, 3, 2
+#: Digit words from which a spelled phone needs no leading plus.
+LEAST_WORDS = 6
 
 
 @dataclass
@@ -94,27 +109,43 @@ def plain(c: str) -> str:
 
 
 def _spelled(text: str) -> bool:
-    """Whether enough different digit words occur at all."""
+    """Whether digit words occur that could stand beside other digits or digit words."""
     for joint in JOINTS:
         if joint in text:
             text = text.replace(joint, " ")
-    words = DIGIT_WORDS.keys() & set(text.split())
-    return len({DIGIT_WORDS[w] for w in words}) >= LEAST_DIGITS
+    found = {DIGIT_WORDS[w] for w in DIGIT_WORDS.keys() & set(text.split())}
+    return len(found) >= LEAST_DIGITS or (len(found) == 1 and _DIGIT.search(text) is not None)
+
+
+_DIGIT = re.compile("[0-9]")
 
 
 def _numbers(tape: Tape) -> list[tuple[int, int, str]]:
-    """Spelled numbers as digits, a space between two of them."""
+    """Numbers that are spelled, wholly or in part, as digits. What they make up is left to the
+    patterns and checks of the identifiers: digits with a space between two of them, or, if
+    dots are spoken as well, digits without one between the dots."""
     out: list[tuple[int, int, str]] = []
-    for m in _SPELLED.finditer(tape.text):
+    for m in _RUN.finditer(tape.text):
         words = list(_DIGIT_WORD.finditer(tape.text, *m.span()))
-        digits = [DIGIT_WORDS.get(w[0].lower(), "+" if w[0].lower() == "plus" else w[0]) for w in words]
-        spelled = [d for d, w in zip(digits, words, strict=True) if not w[0].isdigit() and d != "+"]
-        if len(spelled) < LEAST_WORDS or len(set(spelled)) < LEAST_DIGITS:
+        said = [w[0].lower() for w in words]
+        while said and said[-1] in _DOT:
+            words.pop()
+            said.pop()
+        while said and said[0] in _DOT:
+            words.pop(0)
+            said.pop(0)
+        digits = ["." if s in _DOT else "+" if s == "plus" else DIGIT_WORDS.get(s, s) for s in said]
+        numbers = "".join(d for d in digits if d not in ".+")
+        dots = digits.count(".")
+        if not any(s in DIGIT_WORDS for s in said) or len(set(numbers)) < LEAST_DIGITS or (len(numbers) < LEAST_NUMBER and dots < LEAST_DOTS):
             continue
         for i, (w, d) in enumerate(zip(words, digits, strict=True)):
             if i and words[i - 1].end() < w.start():
-                out.append((words[i - 1].end(), w.start(), "" if digits[i - 1] == "+" else " "))
-            out.append((*w.span(), d))
+                tight = digits[i - 1] in "+." or d == "." or (dots and (said[i] in DIGIT_WORDS or said[i - 1] in DIGIT_WORDS))
+                gap = tape.text[words[i - 1].end() : w.start()]
+                out.append((words[i - 1].end(), w.start(), "." if dots and gap.strip() == "." else "" if tight else " "))
+            if d != said[i]:
+                out.append((*w.span(), d))
     return out
 
 
@@ -123,7 +154,7 @@ def normalised(text: str) -> Tape | None:
     odd = () if text.isascii() else [c for c in set(text) if not c.isascii() and plain(c) != c]
     low = text.lower()
     bracketed = _BRACKET.search(text)
-    spoken = ("dot" in low or "point" in low) and _POINTS.search(low)
+    spoken = any(w in low for w in _DOT) and _POINTS.search(low)
     spelled = _spelled(low)
     linked = "_dot_" in low and "_at_" in low
     reference = "&#" in text
@@ -143,13 +174,15 @@ def normalised(text: str) -> Tape | None:
     if odd or bracketed:
         tape = tape.replaced([(m.start(), m.end(), "@" if m[1].lower() in _AT else ".") for m in _BRACKETED.finditer(tape.text)])
     if odd or spoken:
-        signs: list[tuple[int, int, str]] = []
-        for m in _SPOKEN.finditer(tape.text):
-            signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(1))]
-            signs.append((*m.span(2), "@"))
-            signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(3))]
-        tape = tape.replaced(signs)
-        tape = tape.replaced([(*m.span(), ".") for m in _NUMBER_DOT.finditer(tape.text)])
-    if odd or spelled:
+        for form in _SPOKEN:
+            signs: list[tuple[int, int, str]] = []
+            for m in form.finditer(tape.text):
+                signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(1))]
+                signs.append((*m.span(2), "@"))
+                signs += [(*d.span(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span(3))]
+            tape = tape.replaced(signs)
+    if odd or spelled:  # with their dots, so before those between digits
         tape = tape.replaced(_numbers(tape))
+    if odd or spoken:
+        tape = tape.replaced([(*m.span(), ".") for m in _NUMBER_DOT.finditer(tape.text)])
     return tape if tape.text != text else None

@@ -39,6 +39,15 @@ def test_disguises_map_back_to_the_source():
         "x john&#64;example&#46;com y": ("email", "john&#64;example&#46;com"),
         "host 192.168.O.l up": ("ip", "192.168.O.l"),
         "pay 4111 1111 1111 111l now": ("card", "4111 1111 1111 111l"),
+        "pay 4111 1111 1111 one one one one now": ("card", "4111 1111 1111 one one one one"),
+        "pay 4111-1111-one one one one-1111, please": ("card", "4111-1111-one one one one-1111"),
+        "call +44 20 seven nine four six 0018 now": ("phone", "+44 20 seven nine four six 0018"),
+        "host one nine two dot one six eight dot one dot seven up": ("ip", "one nine two dot one six eight dot one dot seven"),
+        "host 10 dot zero dot 0 dot 1 up": ("ip", "10 dot zero dot 0 dot 1"),
+        "a juan arroba ejemplo punto com b": ("email", "juan arroba ejemplo punto com"),
+        "a jean arobase exemple point fr b": ("email", "jean arobase exemple point fr"),
+        "a max at beispiel punkt de b": ("email", "max at beispiel punkt de"),
+        "plus vier neun drei null eins zwei drei vier fünf sechs": ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
         "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨": ("phone", "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨"),
     }
     for text, (kind, span) in cases.items():
@@ -47,14 +56,14 @@ def test_disguises_map_back_to_the_source():
 
 
 def test_clean_texts_have_no_disguise():
-    for text in ("we met at noon dot dot dot", "un un un un un un un un un", "one two three", "the dot at the point", "created_at_utc.time", "I1 and O2 or l3, 10l", "été à noël"):
+    for text in ("we met at noon dot dot dot", "un un un un un un un un un", "one two three", "the dot at the point", "created_at_utc.time", "I1 and O2 or l3, 10l", "été à noël", "we met at that point in time", "one of 4 or two of 5", "one dot two", "look at this point we 1 one", "un 2 un 3 un 4 un", "4111 1111 1111 one one one two"):
         assert disguised(text, []) == []
     assert normalised("plain words") is None
 
 
 def test_long_hostile_texts_are_fast():
     began = time.time()
-    for text in ("a" * 200_000, "1" * 200_000, "1 " * 100_000, "one " * 50_000, "+1" + " " * 200_000, "@" * 200_000, "a@" * 100_000, "(" * 200_000, "1." * 100_000):
+    for text in ("a" * 200_000, "1" * 200_000, "1 " * 100_000, "one " * 50_000, "+1" + " " * 200_000, "@" * 200_000, "a@" * 100_000, "(" * 200_000, "1." * 100_000, "one 2 dot " * 50_000, "one,2." * 50_000):
         disguised(text, identifiers(text))
     assert time.time() - began < 20
 
