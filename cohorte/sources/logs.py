@@ -85,7 +85,7 @@ def _batches(spark: SparkSession, path: str, done: dict) -> list[str]:
     return [n[len(BATCH) :] for n in list_names(spark, path) if n.startswith(BATCH) and n[len(BATCH) :] not in gone]
 
 
-def _lines(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+def _lines(spark: SparkSession, root: str, names: list[str], prefix: str = BATCH) -> DataFrame:
     """Rows of some batch folders, malformed ones flagged; all there is in ``root`` if no names are given."""
     reader = (
         spark.read.schema(T.StructType(PREDICTION_LOG.fields + [T.StructField(CORRUPT, T.StringType(), True)]))
@@ -95,7 +95,7 @@ def _lines(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     )
     if not names:
         return reader.json(root)
-    return reader.option("basePath", root).json([os.path.join(root, BATCH + n) for n in names]).drop(BATCH[:-1])
+    return reader.option("basePath", root).json([os.path.join(root, prefix + n) for n in names]).drop("lote", "batch")
 
 
 def read_log(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
@@ -103,9 +103,14 @@ def read_log(spark: SparkSession, path: str, keep_corrupt: bool = False) -> Data
     ones are dropped (``keep_corrupt=True`` returns them flagged). A folder
     that holds no batches is read as JSON lines as it stands."""
     done = _compacted(spark, path)
-    parts = [(os.path.join(path, COMPACT), done["carpetas"]), (path, _batches(spark, path, done))]
-    frames = [_lines(spark, root, names) for root, names in parts if names] or [_lines(spark, path, [])]
-    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    top = list_names(spark, path)
+    parts = [(os.path.join(path, COMPACT), done["carpetas"], BATCH), (path, _batches(spark, path, done), BATCH)]
+    # logs written before there were batches, and those of streams then
+    parts += [(path, [n[len(old) :] for n in top if n.startswith(old)], old) for old in ("fecha=", "batch=")]
+    frames = [_lines(spark, root, names, prefix) for root, names, prefix in parts if names] or [_lines(spark, path, [])]
+    df = frames[0]
+    for f in frames[1:]:
+        df = df.unionByName(f)
     if keep_corrupt:
         return df
     return df.where(F.col(CORRUPT).isNull() & F.col("timestamp").isNotNull()).drop(CORRUPT)

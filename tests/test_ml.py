@@ -70,6 +70,7 @@ def test_train_register_score_log(spark, scratch):
     assert all(r["prediction"] in (0, 1) and 0.0 <= r["probability"] <= 1.0 for r in good)
     log = os.path.join(scratch, "log")
     append_log(rows, log)
+    os.makedirs(os.path.join(log, "fecha=2024-03-01"))  # a day as logs without batches have it
     with open(os.path.join(log, "fecha=2024-03-01", "zz-malformed.json"), "w") as fh:
         fh.write("{not json\n\n")
     back = read_log(spark, log)
