@@ -15,7 +15,8 @@ NAMES = [
     "c3_normalisation_report", "c7_missing_report", "c10_outlier_report", "q5_clean_laboratorio",
     "q6_ingest_stats", "i6_quarantine", "m2_encoded_features", "m3_split", "a16_a17_baseline_metrics",
     "x11_time_to_treatment", "x17_feature_drift", "x19_harmonisation_map", "x19_harmonised_patients",
-    "x20_rule_quality", "s5_feature_csv", "s7_log_tail", "t3_stream_windows",
+    "x11_visits_with_last_lab", "x18_served_versions", "x19_variant_map", "i1_inferred_formats", "i1_inferred_dates", "t3_windows_and_late", "t3_sessions",
+    "x20_stream_quality", "x20_rule_quality", "s5_feature_csv", "s7_log_tail", "t3_stream_windows",
 ]
 
 
