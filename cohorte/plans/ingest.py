@@ -149,7 +149,6 @@ def ingest(
 
 #: Value of ``formats``: infer them.
 INFER = "inferir"
-STAGED = "_preparado"
 ERRORS = "_errores"
 STATS_SCHEMA = "tabla string, insertados long, actualizados long, errores long"
 
@@ -205,7 +204,7 @@ def deliver(
     if stream and now.streams.get(stream[0], -1) >= stream[1]:
         return _replayed(spark, now)
     run = uuid.uuid4().hex[:12]
-    folder = os.path.join(root, STAGED, run)
+    folder = os.path.join(root, store.STAGED, run)
     parsed, rows, found = {}, {}, {}
     for name in names:
         raw = sheets[name] if order_col in sheets[name].columns else sheets[name].withColumn(order_col, F.monotonically_increasing_id())

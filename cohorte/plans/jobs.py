@@ -132,6 +132,7 @@ def main(argv: list[str] | None = None) -> None:
         ap.add_argument(opt)
     ap.add_argument("--kind", default="xgboost")
     ap.add_argument("--infer-dates", action="store_true")
+    ap.add_argument("--summaries", action="store_true", help="keep patient summaries up from now on")
     ap.add_argument("--keep", type=int, default=2)
     ap.add_argument("--min-age-hours", type=float, default=24.0)
     ap.add_argument("--format", default="csv")
@@ -140,7 +141,7 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = get_session()
     if a.job == "ingest":
-        out = ingest_job(spark, a.sheets, a.store, a.format, infer_dates=a.infer_dates)
+        out = ingest_job(spark, a.sheets, a.store, a.format, summaries=a.summaries or None, infer_dates=a.infer_dates)
     elif a.job == "clean":
         out = clean_job(spark, a.store)
     elif a.job == "features":

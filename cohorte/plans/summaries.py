@@ -117,7 +117,7 @@ def summary_changes(
     first = DAYS not in at.tables
     if delta is None and not first:
         return Work([])
-    scratch = os.path.join(root, "_preparado", f"resumen-{uuid.uuid4().hex[:12]}")
+    scratch = os.path.join(root, store.STAGED, f"resumen-{uuid.uuid4().hex[:12]}")
     if delta is not None:
         # many rows of a delivery fall on few days: grouped before they are written and dealt
         grouped = grouped_kept(delta)

@@ -41,7 +41,7 @@ from cohorte.operators.upsert import upsert
 
 VERSION_WIDTH = 20
 CELL = "_celda"
-COMMITS, DATA = "_commits", "datos"
+COMMITS, DATA, STAGED = "_commits", "datos", "_preparado"
 #: Cells of a new table. On a cluster: about the table's bytes / 128 MB.
 DEFAULT_CELLS = 64
 #: Attempts of a transaction whose cells keep changing under it.
@@ -401,7 +401,7 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2, min_age_hours: float =
     used = {(name, w) for v in kept for name, t in snapshot(spark, root, v).tables.items() for w, _ in t.cells.values()}
     horizon = (time.time() - min_age_hours * 3600) * 1000
     fs, _, jvm = _fs(spark, root)
-    removed = {"versiones": 0, "escrituras": 0}
+    removed = {"versiones": 0, "escrituras": 0, "restos": 0}
     for v in everything[: len(everything) - len(kept)]:
         removed["versiones"] += bool(fs.delete(jvm.org.apache.hadoop.fs.Path(os.path.join(root, COMMITS, f"{version_id(v)}.json")), False))
     for name in list_names(spark, os.path.join(root, DATA)):
@@ -409,4 +409,10 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2, min_age_hours: float =
         for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)):
             if (name, st.getPath().getName()) not in used and st.getModificationTime() < horizon:
                 removed["escrituras"] += bool(fs.delete(st.getPath(), True))
+    # what jobs that died left behind
+    for folder, prefix in ((STAGED, ""), (COMMITS, "_borrador-")):
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(root, folder))
+        for st in fs.listStatus(p) if fs.exists(p) else []:
+            if st.getPath().getName().startswith(prefix) and st.getModificationTime() < horizon:
+                removed["restos"] += bool(fs.delete(st.getPath(), True))
     return removed

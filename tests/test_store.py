@@ -149,6 +149,7 @@ def test_crash_between_tables_leaves_all_three(spark, scratch, monkeypatch):
     deliver(spark, scratch, sheets, n_cells=4)
     before = {n: sorted(map(tuple, t.collect())) for n, t in read_all(spark, scratch).items()}
     real = S.merge
+    staged = len(S.list_names(spark, os.path.join(scratch, "_preparado")))
 
     def dies(batch, root, name, *args, **kwargs):
         if name == "consulta":
@@ -162,6 +163,8 @@ def test_crash_between_tables_leaves_all_three(spark, scratch, monkeypatch):
     assert {n: sorted(map(tuple, t.collect())) for n, t in read_all(spark, scratch).items()} == before
     deliver(spark, scratch, {**sheets, "paciente": patients(spark, 5).withColumn("edad", F.lit("50"))}, n_cells=4)
     assert read_latest(spark, scratch, "paciente").where("edad = 50").count() == 5
+    assert staged == 0 and S.vacuum(spark, scratch, min_age_hours=-1)["restos"] == 1  # the killed delivery's
+    assert read_latest(spark, scratch, "paciente").where("edad = 50").count() == 5
     assert list_versions(spark, scratch, "paciente") == [S.version_id(1), S.version_id(2)]
 
 
