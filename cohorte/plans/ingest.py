@@ -227,13 +227,12 @@ def deliver(
                 if cells is not None:
                     reads["paciente"] = reads.get("paciente", set()) | cells
             good = _staged(dedupe_last(good, spec.key, order_col).select(*spec.columns), attempt, name)
-            bad = _staged(bad.select("tabla", "clave", "mensaje"), attempt, f"errores-{name}")
             good_rows[name] = (good, rows[name])
             n_good = good.count()
-            stats[name] = {"insertados": 0, "actualizados": 0, "errores": bad.count()}
-            errors.append(bad)
+            stats[name] = {"insertados": 0, "actualizados": 0, "errores": 0}
+            errors.append(bad.select("tabla", "clave", "mensaje"))
             if n_good or name not in at.tables:
-                change = store.merge(good, root, name, at, (spec.key,), rows[name], n_cells)
+                change = store.merge(good, root, name, at, (spec.key,), rows[name], n_cells, n_good)
                 changes.append(change)
                 stats[name] |= {"insertados": change.inserted, "actualizados": change.updated}
         out = Work(changes, reads, {"estadisticas": stats, "formatos": {c: [f.state, *f.formats, *("|".join(p) for p in f.undecided)] for c, f in found.items()}})
@@ -246,7 +245,10 @@ def deliver(
         for e in errors[1:]:
             all_errors = all_errors.unionByName(e)
         out.info["errores"] = os.path.join(ERRORS, *(names if len(names) == 1 else ()), f"batch={uuid.uuid4().hex[:12]}")
-        all_errors.write.parquet(os.path.join(root, out.info["errores"]))
+        path = os.path.join(root, out.info["errores"])
+        all_errors.write.parquet(path)
+        for r in spark.read.schema(all_errors.schema).parquet(path).groupBy("tabla").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per sheet
+            stats[r["tabla"]]["errores"] = r["n"]
         return out
 
     at, done = store.transact(spark, root, work, stream)

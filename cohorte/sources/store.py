@@ -330,6 +330,7 @@ def merge(
     key: tuple[str, ...],
     n_keys: int | None = None,
     n_cells: int = DEFAULT_CELLS,
+    n_rows: int | None = None,
 ) -> Change:
     """Upsert ``batch`` (one row per key, not recomputed by each use) into a table.
 
@@ -349,7 +350,7 @@ def merge(
     _, new = write_cells(merged, root, name, key, old.n_cells, grouped=False)
     before = sum(old.cells[c][1] for c in cells if c in old.cells)
     inserted = sum(n for _, n in new.values()) - before
-    total = batch.count()
+    total = batch.count() if n_rows is None else n_rows
     return Change(name, Table(key, old.n_cells, old.schema, new), inserted=inserted, updated=total - inserted)
 
 
