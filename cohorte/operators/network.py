@@ -13,7 +13,9 @@ aren't exchanged per step: a barrier stage's ``allGather``, the only exchange th
 needs no port of its own, is slow: 50 epochs of 30 steps weren't done after 20
 minutes when tried.
 
-A task holds one Arrow batch of rows. Initial weights, the deal of the rows, their
+The rows are dealt and sorted once, into the shared checkpoint folder: an epoch reads
+its tasks' rows in order, without a shuffle. A task holds one Arrow batch of rows, its
+features as one matrix over the batch's own memory. Initial weights, the deal of the rows, their
 order and the dropout follow from the seed.
 """
 
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,6 +47,9 @@ EPOCHS, BATCH, RATE, VALIDATION = 50, 32, 0.001, 0.2
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-7
 
 PART = "parte int, n long, n_validacion long, pasos long, perdida double, perdida_validacion double, aciertos long, estado binary"
+PART_ARROW = pa.schema(
+    [("parte", pa.int32()), ("n", pa.int64()), ("n_validacion", pa.int64()), ("pasos", pa.int64()), ("perdida", pa.float64()), ("perdida_validacion", pa.float64()), ("aciertos", pa.int64()), ("estado", pa.binary())]
+)
 
 
 @dataclass
@@ -104,34 +110,59 @@ def cross_entropy(logit: np.ndarray, y: np.ndarray) -> float:
     return float(np.sum(np.maximum(logit, 0) - logit * y + np.log1p(np.exp(-np.abs(logit)))))
 
 
-def gradient(x: np.ndarray, y: np.ndarray, flat: np.ndarray, layers: list[int], dropout: list[float], rng: np.random.Generator | None) -> tuple[np.ndarray, float]:
-    """Gradient of the summed loss, and the loss; dropout scales what it keeps."""
-    pairs, grad = matrices(flat, layers), np.zeros_like(flat)
-    grads = matrices(grad, layers)
+def views_of(flat: np.ndarray, layers: list[int]):
+    """The weights' and a gradient's vectors and their views by layer: a task makes them once for all its steps."""
+    grad = np.empty_like(flat)
+    return grad, matrices(flat, layers), matrices(grad, layers)
+
+
+def gradient(
+    x: np.ndarray, y: np.ndarray, flat: np.ndarray, layers: list[int], dropout: list[float], rng: np.random.Generator | None, views: tuple | None = None
+) -> tuple[np.ndarray, float]:
+    """Gradient of the summed loss, and the loss; dropout scales what it keeps. With
+    ``views`` (of ``flat``) the gradient is theirs, and the next step overwrites it."""
+    grad, pairs, grads = views or views_of(flat, layers)
     inputs, masks = [x], []
     for i, (w, b) in enumerate(pairs[:-1]):
-        h = np.maximum(inputs[-1] @ w + b, 0)
+        h = inputs[-1] @ w
+        h += b
+        np.maximum(h, 0, out=h)
         keep = 1 - dropout[i]
-        mask = (rng.random(h.shape) < keep) / keep if rng is not None and keep < 1 else np.ones((1, 1))
-        masks.append((h > 0) * mask)
-        inputs.append(h * mask)
+        scale = 1 / keep if rng is not None and keep < 1 else 1.0
+        if scale != 1:
+            h *= (rng.random(h.shape) < keep) * scale
+        masks.append((h > 0, scale))
+        inputs.append(h)
     w, b = pairs[-1]
     logit = (inputs[-1] @ w + b)[:, 0]
-    back = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y)[:, None]
+    back = (1 / (1 + np.exp(-np.minimum(np.maximum(logit, -60), 60))) - y)[:, None]
     for i in range(len(pairs) - 1, -1, -1):
-        grads[i][0][:] = inputs[i].T @ back
-        grads[i][1][:] = back.sum(axis=0)
+        np.matmul(inputs[i].T, back, out=grads[i][0])
+        back.sum(axis=0, out=grads[i][1])
         if i:
-            back = (back @ pairs[i][0].T) * masks[i - 1]
+            back = back @ pairs[i][0].T
+            on, scale = masks[i - 1]
+            back *= on
+            if scale != 1:
+                back *= scale
     return grad, cross_entropy(logit, y)
 
 
 def adam(state: State, grad: np.ndarray, rate: float) -> None:
     state.steps += 1
-    state.m += (1 - BETA1) * (grad - state.m)
-    state.v += (1 - BETA2) * (grad * grad - state.v)
+    change = grad - state.m
+    change *= 1 - BETA1
+    state.m += change
+    np.multiply(grad, grad, out=change)
+    change -= state.v
+    change *= 1 - BETA2
+    state.v += change
     m, v = state.m / (1 - BETA1**state.steps), state.v / (1 - BETA2**state.steps)
-    state.weights -= rate * m / (np.sqrt(v) + EPSILON)
+    np.sqrt(v, out=v)
+    v += EPSILON
+    m *= rate
+    m /= v
+    state.weights -= m
 
 
 def averaged(states: list[tuple[float, State]]) -> State:
@@ -144,14 +175,16 @@ def averaged(states: list[tuple[float, State]]) -> State:
 def _epoch(state: bytes, layers: list[int], dropout: list[float], epoch: int, batch: int, rate: float, seed: int, learn: bool = True):
     """One task's part of an epoch: measure the validation rows with the weights at its start, train on the others."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = TaskContext.get().partitionId()
         start, now = State.load(state), State.load(state)
         n = n_valid = right = steps = 0
         loss = valid = 0.0
-        for k, f in enumerate(frames):
-            x = np.array(f["x"].tolist(), np.float64).reshape(len(f), layers[0])
-            y, held = f["y"].to_numpy(np.float64), f["validacion"].to_numpy(bool)
+        views = views_of(now.weights, layers)
+        for k, f in enumerate(batches):
+            x, y, held = (f.column(c) for c in ("x", "y", "validacion"))
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(f), layers[0])
+            y, held = y.to_numpy(zero_copy_only=False), held.to_numpy(zero_copy_only=False).astype(bool)
             logit = forward(x[held], start.weights, layers)
             valid += cross_entropy(logit, y[held])
             right += int(np.sum((logit > 0) == (y[held] > 0.5)))
@@ -160,15 +193,16 @@ def _epoch(state: bytes, layers: list[int], dropout: list[float], epoch: int, ba
                 continue
             rng = np.random.default_rng([seed, epoch, me, k])
             rows = rng.permutation(np.flatnonzero(~held))
+            x, y = x[rows], y[rows]
             for at in range(0, len(rows), batch):
-                part = rows[at : at + batch]
-                g, lost = gradient(x[part], y[part], now.weights, layers, dropout, rng)
-                adam(now, g / len(part), rate)
+                part = slice(at, at + batch)
+                g, lost = gradient(x[part], y[part], now.weights, layers, dropout, rng, views)
+                g /= len(y[part])
+                adam(now, g, rate)
                 loss += lost
-                n, steps = n + len(part), steps + 1
-        yield pd.DataFrame(
-            {"parte": [me], "n": [n], "n_validacion": [n_valid], "pasos": [steps], "perdida": [loss], "perdida_validacion": [valid], "aciertos": [right], "estado": [now.dump() if n else None]}
-        )
+                n, steps = n + len(y[part]), steps + 1
+        out = {"parte": me, "n": n, "n_validacion": n_valid, "pasos": steps, "perdida": loss, "perdida_validacion": valid, "aciertos": right, "estado": now.dump() if n else None}
+        yield pa.RecordBatch.from_pylist([out], schema=PART_ARROW)
 
     return run
 
@@ -223,12 +257,13 @@ class MiniBatchNetwork(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             raise ValueError("sin filas de entrenamiento")
         layers = [first["n"], *g(self.hidden), 1]
         order = F.xxhash64("id")
-        dealt = rows.repartition(g(self.workers), order).sortWithinPartitions(order, "id").select("x", "y", "validacion")
+        # every epoch reads the dealt rows: without the checkpoint each would shuffle and sort them again
+        dealt = rows.repartition(g(self.workers), order).sortWithinPartitions(order, "id").select("x", "y", "validacion").checkpoint(eager=True)
         now, history = initial(layers, seed), []
         for epoch in range(g(self.epochs) + 1):
             learn = epoch < g(self.epochs)
             run = _epoch(now.dump(), layers, g(self.dropout), epoch, g(self.batchSize), g(self.rate), seed, learn)
-            parts = sorted(dealt.mapInPandas(run, PART).collect(), key=lambda r: r["parte"])  # one row per worker
+            parts = sorted(dealt.mapInArrow(run, PART).collect(), key=lambda r: r["parte"])  # one row per worker
             n, n_valid = sum(r["n"] for r in parts), sum(r["n_validacion"] for r in parts)
             if history and n_valid:
                 history[-1] |= {"perdida_validacion": sum(r["perdida_validacion"] for r in parts) / n_valid, "exactitud_validacion": sum(r["aciertos"] for r in parts) / n_valid}

@@ -92,3 +92,34 @@ def test_trained_saved_and_loaded(spark, scratch):
     model, _ = load_latest(spark, os.path.join(scratch, "m"), "neural_network")
     key = lambda m: sorted((r.id_paciente, r.probabilidad) for r in score(m, prepare(f)).collect())
     assert key(model) == key(res.model)
+
+
+def test_an_epoch_reads_the_dealt_rows_without_a_shuffle(spark, monkeypatch):
+    plans, plain = [], type(spark.range(1)).mapInArrow
+
+    def seen(self, *a, **b):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *a, **b)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", seen)
+    N.MiniBatchNetwork(idCol="id", hidden=[4], dropout=[0.0], epochs=2, workers=2).fit(rows(spark))
+    assert len(plans) == 3 and not any("Exchange" in p or "Sort" in p for p in plans)
+
+
+def test_a_step_on_kept_views_is_the_plain_step():
+    rng = np.random.default_rng(3)
+    layers, x, y = [3, 8, 4, 1], rng.normal(size=(40, 3)), rng.integers(0, 2, 40).astype(float)
+    a, b = N.initial(layers, 1), N.initial(layers, 1)
+    ra, rb, views = np.random.default_rng(9), np.random.default_rng(9), N.views_of(b.weights, layers)
+    for at in range(0, 40, 16):
+        part = slice(at, at + 16)
+        g, la = N.gradient(x[part], y[part], a.weights, layers, [0.3, 0.0], ra)
+        # Adam as it is written down
+        a.steps += 1
+        a.m = a.m + (1 - N.BETA1) * (g - a.m)
+        a.v = a.v + (1 - N.BETA2) * (g * g - a.v)
+        a.weights = a.weights - 0.01 * (a.m / (1 - N.BETA1**a.steps)) / (np.sqrt(a.v / (1 - N.BETA2**a.steps)) + N.EPSILON)
+        g, lb = N.gradient(x[part], y[part], b.weights, layers, [0.3, 0.0], rb, views)
+        N.adam(b, g, 0.01)
+        assert la == lb
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.m, b.m) and np.array_equal(a.v, b.v)
