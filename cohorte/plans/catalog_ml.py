@@ -19,7 +19,7 @@ from cohorte.operators.split import assign_exact_split, assign_split, train_test
 from cohorte.plans import queries as Q
 from cohorte.plans.registry import register
 from cohorte.plans.scoring import score_requests, validate_requests
-from cohorte.plans.training import KEY, LBFGS, MINIBATCH, TrainingResult, evaluate, prepare, score, train
+from cohorte.plans.training import KEY, LBFGS, MINIBATCH, TrainingResult, prepare, prepared, score, train_prepared
 from cohorte.schemas import CATEGORICAL_FEATURES, FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
 from cohorte.session import scratch_path
 from cohorte.sources.fixtures import AS_OF, clinical_tables
@@ -41,13 +41,22 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MODELS: dict[tuple[str, str, str, str], TrainingResult] = {}
+_PREPARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def prepared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared feature table, written once per (session, data) for all models."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREPARED:
+        _PREPARED[key] = prepared(feature_table(spark, sf_dir))
+    return _PREPARED[key]
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str, loop: str = LBFGS) -> TrainingResult:
     """Train once per (session, data, kind)."""
     key = (spark.sparkContext.applicationId, sf_dir, kind, loop)
     if key not in _MODELS:
-        _MODELS[key] = train(feature_table(spark, sf_dir), kind, loop=loop)
+        _MODELS[key] = train_prepared(prepared_table(spark, sf_dir), kind, loop=loop)
     return _MODELS[key]
 
 
@@ -105,7 +114,7 @@ def _i12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _test_scores(kind: str, loop: str = LBFGS):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         res = trained(spark, sf_dir, kind, loop)
-        _, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
+        _, test_df = train_test(prepared_table(spark, sf_dir), KEY, 0.2, 42)
         return score(res.model, test_df).select(KEY, "label", "probabilidad", "prediccion")
 
     return run
@@ -142,7 +151,7 @@ def _m6epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every patient of the test part once per model, with its label, a
     probability, and the prediction that follows from it."""
-    _, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
+    _, test_df = train_test(prepared_table(spark, sf_dir), KEY, 0.2, 42)
     out = None
     for name, (kind, loop) in MODELS.items():
         s = score(trained(spark, sf_dir, kind, loop).model, test_df)
@@ -159,7 +168,7 @@ def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _m7r(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reported test metrics against ones recomputed from written predictions
     by plain aggregates."""
-    _, test_df = train_test(prepare(feature_table(spark, sf_dir)), KEY, 0.2, 42)
+    _, test_df = train_test(prepared_table(spark, sf_dir), KEY, 0.2, 42)
     out = None
     for name, (kind, loop) in MODELS.items():
         res = trained(spark, sf_dir, kind, loop)

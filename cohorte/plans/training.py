@@ -15,6 +15,7 @@ reference by design.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -27,15 +28,19 @@ from pyspark.sql import functions as F
 
 from cohorte.functions.numeric import above_threshold
 from cohorte.operators.encode import LabelVocabulary
+from cohorte.operators.graph import stored
 from cohorte.operators.metrics import classification_metrics
 from cohorte.operators.network import MiniBatchNetwork
 from cohorte.operators.scale import PopulationScaler
-from cohorte.operators.split import train_test
+from cohorte.operators.split import assign_split, train_test
 from cohorte.schemas import CATEGORICAL_FEATURES, LABEL, MODEL_FEATURES, MODEL_TYPES, NUMERIC_FEATURES
 
 MIN_ROWS = 10
 KEY = "id_paciente"
 
+# Rows that make a task of a fit worth its start, and rows that a task holds at most.
+LEAST_ROWS, MOST_ROWS = 20_000, 500_000
+
 # Hyper-parameters of the two model kinds.
 GBT_PARAMS = dict(maxIter=100, maxDepth=6, stepSize=0.1, seed=42, minInstancesPerNode=20)
 MLP_HIDDEN = [64, 32, 16]
@@ -115,28 +120,51 @@ class TrainingResult:
         }
 
 
+def metrics_of(scored: DataFrame) -> DataFrame:
+    return classification_metrics(scored, label="label", score="probabilidad", prediction="prediccion")
+
+
 def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return classification_metrics(score(model, df), label="label", score="probabilidad", prediction="prediccion")
+    return metrics_of(score(model, df))
+
+
+def fit_tasks(rows: int, cores: int) -> int:
+    """Tasks of one pass over the rows: one a core, fewer for few rows, more where a task would hold too many."""
+    return max(1, min(cores, math.ceil(rows / LEAST_ROWS)), math.ceil(rows / MOST_ROWS))
+
+
+def prepared(features: DataFrame) -> DataFrame:
+    """The prepared rows, computed once and dealt evenly over the cores, in the shared checkpoint folder.
+
+    Fitting makes hundreds of passes, each as long as its largest task: the parts that
+    the feature table's joins leave are few and uneven. A lost executor re-reads its
+    part instead of computing the joins again."""
+    rows = stored(prepare(features), "preparado")
+    tasks = fit_tasks(rows.count(), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, F.col(KEY)).sortWithinPartitions(KEY).checkpoint(eager=True)
 
 
 def train(features: DataFrame, model_type: str, test_fraction: float = 0.2, seed: int = 42, loop: str = LBFGS) -> TrainingResult:
     """M5/M6/M7/M8: fit on the hash-split train part, evaluate both parts."""
-    # materialise the prepared rows once in the shared checkpoint folder:
-    # fitting makes several passes, and a lost executor then re-reads the
-    # checkpoint instead of recomputing the feature table's joins
-    data = prepare(features).checkpoint(eager=True)
+    return train_prepared(prepared(features), model_type, test_fraction, seed, loop)
+
+
+def train_prepared(data: DataFrame, model_type: str, test_fraction: float = 0.2, seed: int = 42, loop: str = LBFGS) -> TrainingResult:
+    """:func:`train` on the rows of :func:`prepared`, which several models may share."""
     if data.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"Dataset muy pequeño para entrenar (mínimo {MIN_ROWS} registros)")
     # the vocabulary is that of all rows (a category may be absent from the train part)
     start = time.time()
     enc, *rest = build_pipeline(model_type, loop).getStages()
     encoder = enc.fit(data)
-    train_df, test_df = train_test(data, KEY, test_fraction, seed)
+    train_df, _ = train_test(data, KEY, test_fraction, seed)
     fitted = Pipeline(stages=rest).fit(encoder.transform(train_df))
     model = PipelineModel(stages=[encoder, *fitted.stages])
     seconds = time.time() - start
-    m_train = evaluate(model, train_df).first().asDict()
-    m_test = evaluate(model, test_df).first().asDict()
+    # every row is scored once, for the counts and the AUC of both parts
+    scored = score(model, assign_split(data, KEY, test_fraction, seed)).select("conjunto", "label", "probabilidad", "prediccion")
+    scored = stored(scored, "evaluacion")
+    m_train, m_test = (metrics_of(scored.where(F.col("conjunto") == part)).first().asDict() for part in ("train", "test"))
     arch = dict(GBT_PARAMS) if model_type == "xgboost" else {"layers": [len(MODEL_FEATURES), *MLP_HIDDEN, 2], **MLP_PARAMS}
     history = []
     if model_type != "xgboost" and loop == MINIBATCH:

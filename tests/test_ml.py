@@ -108,3 +108,22 @@ def test_drift_against_log(spark):
     assert all(abs(v) < 1e-9 for v in psi.values())  # same population: no drift
     shifted = log.withColumn("input_features", F.col("input_features").withField("edad", F.col("input_features.edad") + 40))
     assert {r["campo"]: r["psi"] for r in drift_against_log(f, shifted, ["edad"]).collect()}["edad"] > 1.0
+
+
+def test_prepared_rows_lie_evenly_over_the_cores(spark):
+    from cohorte.plans import training as T
+
+    n = 3 * T.LEAST_ROWS
+    rows = spark.range(0, n, 1, 1).selectExpr(
+        "concat('P', id) AS id_paciente", "'F' AS sexo", "CAST(id % 80 AS INT) AS edad", "'urbana' AS zona_residencia", "'mama' AS tipo_cancer",
+        *[f"CAST(id % {i + 7} AS DOUBLE) AS {c}" for i, c in enumerate(T.NUMERIC_FEATURES) if c != "edad"], "CAST(id % 2 AS INT) AS adherencia_12m",
+    )
+    cores = spark.sparkContext.defaultParallelism
+    sizes = T.prepared(rows).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == min(cores, 3) and sizes.sum() == n and sizes.max() < 1.1 * n / len(sizes)
+
+
+def test_tasks_of_a_fit_grow_with_the_rows():
+    from cohorte.plans.training import LEAST_ROWS, MOST_ROWS, fit_tasks
+
+    assert [fit_tasks(n, 12) for n in (0, 5, LEAST_ROWS + 1, 900_000, 12 * MOST_ROWS, 120 * MOST_ROWS)] == [1, 1, 2, 12, 12, 120]
