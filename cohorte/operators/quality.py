@@ -53,6 +53,10 @@ def _parser_sql(f: T.StructField, formats: Formats, compat: bool, source: T.Data
     return required_text_sql(f.name, compat)
 
 
+#: Prefix of a parsed cell beside the raw one.
+PARSED = "_leido_"
+
+
 def parse_sheet(
     raw: DataFrame,
     spec: TableSpec,
@@ -63,12 +67,16 @@ def parse_sheet(
     reasons a row cannot be stored (unparseable value, missing required
     value) in an array column. Nothing fails; nothing is dropped.
 
-    Built as SQL expression text and sent in one ``selectExpr``."""
+    Built as SQL expression text and sent in two ``selectExpr``: a cell is parsed
+    once, its reason looks at what came out."""
     cols, reasons = [], []
+    kept = [q(c) for c in raw.columns]
     source_types = {f.name: f.dataType for f in raw.schema.fields}
     for f in spec.schema.fields:
         parsed = _parser_sql(f, formats, compat, source_types.get(f.name))
-        cols.append(f"{parsed} AS {q(f.name)}")
+        out = q(PARSED + f.name)
+        kept.append(f"{parsed} AS {out}")
+        cols.append(f"{out} AS {q(f.name)}")
         if f.name not in raw.columns:
             continue
         src = f"CAST({q(f.name)} AS STRING)"
@@ -80,13 +88,13 @@ def parse_sheet(
         if not f.nullable:
             reasons.append(
                 f"CASE WHEN NOT {present} THEN {lit_sql(f.name + ': valor requerido ausente')} "
-                f"WHEN ({parsed}) IS NULL THEN {invalid} END"
+                f"WHEN {out} IS NULL THEN {invalid} END"
             )
         elif not isinstance(f.dataType, T.StringType):
-            reasons.append(f"CASE WHEN {present} AND ({parsed}) IS NULL THEN {invalid} END")
+            reasons.append(f"CASE WHEN {present} AND {out} IS NULL THEN {invalid} END")
     extra = [q(c) for c in raw.columns if c not in spec.columns]
     arr = f"array_compact(array({', '.join(reasons)}))" if reasons else "CAST(array() AS ARRAY<STRING>)"
-    return raw.selectExpr(*cols, *extra, f"{arr} AS {REASONS}")
+    return raw.selectExpr(*kept).selectExpr(*cols, *extra, f"{arr} AS {REASONS}")
 
 
 def sheet_formats(raw: DataFrame, spec: TableSpec, month_first: bool = False) -> dict[str, ColumnFormats]:

@@ -171,6 +171,12 @@ class Delivery:
         return self.spark.read.schema("tabla string, clave string, mensaje string").parquet(self.errors_path)
 
 
+def _dealt(raw: DataFrame) -> DataFrame:
+    """A sheet over all cores: a small file of many rows would be parsed by one task."""
+    cores = raw.sparkSession.sparkContext.defaultParallelism
+    return raw if raw.rdd.getNumPartitions() >= cores else raw.repartition(cores)
+
+
 def _staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = os.path.join(folder, name)
     df.write.parquet(path)
@@ -195,7 +201,8 @@ def deliver(
     into. Good rows are merged into the cells of their keys; the tables, the
     patient summaries and the quarantined rows become visible together. The
     summaries are kept up if the store has them (None), or from now on (True). A
-    stream's batch that was committed before changes nothing.
+    stream's batch that was committed before changes nothing. ``n_cells`` is the least
+    number of cells of a new table; one that begins large has more.
 
     ``formats=INFER`` takes the date format of each column from the whole column
     (:mod:`cohorte.functions.dates`); what was found is in the delivery."""
@@ -212,7 +219,7 @@ def deliver(
         if formats == INFER:
             own = sheet_formats(raw, TABLES[name])
             found |= {f"{name}.{c}": f for c, f in own.items()}
-        parsed[name] = _staged(parse_sheet(raw, TABLES[name], own, compat), folder, name)
+        parsed[name] = _staged(parse_sheet(_dealt(raw), TABLES[name], own, compat), folder, name)
         rows[name] = parsed[name].count()  # bounds the keys and parent keys
 
     def work(at: Snapshot) -> Work:
@@ -232,12 +239,12 @@ def deliver(
             stats[name] = {"insertados": 0, "actualizados": 0, "errores": 0}
             errors.append(bad.select("tabla", "clave", "mensaje"))
             if n_good or name not in at.tables:
-                change = store.merge(good, root, name, at, (spec.key,), rows[name], n_cells, n_good)
+                change = store.merge(good, root, name, at, (spec.key,), rows[name], store.cells_for(n_good, n_cells), n_good)
                 changes.append(change)
                 stats[name] |= {"insertados": change.inserted, "actualizados": change.updated}
         out = Work(changes, reads, {"estadisticas": stats, "formatos": {c: [f.state, *f.formats, *("|".join(p) for p in f.undecided)] for c, f in found.items()}})
         if summaries or (summaries is None and PATIENTS in at.tables):
-            more = summary_changes(spark, root, at, good_rows, n_cells)
+            more = summary_changes(spark, root, at, good_rows, store.cells_for(max((n for _, n in good_rows.values()), default=0), n_cells))
             out.changes += more.changes
             for name, cells in more.reads.items():
                 out.reads[name] = None if cells is None or out.reads.get(name, set()) is None else out.reads.get(name, set()) | cells

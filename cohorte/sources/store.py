@@ -37,13 +37,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorte.operators.upsert import upsert
+from cohorte.operators.upsert import BROADCAST_KEYS, upsert
 
 VERSION_WIDTH = 20
 CELL = "_celda"
 COMMITS, DATA, STAGED = "_commits", "datos", "_preparado"
 #: Cells of a new table. On a cluster: about the table's bytes / 128 MB.
 DEFAULT_CELLS = 64
+#: A cell is written by one task: rows that it should hold at most.
+CELL_ROWS = 250_000
 #: Attempts of a transaction whose cells keep changing under it.
 ATTEMPTS = 20
 
@@ -317,6 +319,14 @@ def replace(df: DataFrame, root: str, name: str, key: tuple[str, ...], n_cells:
     return Change(name, Table(key, n_cells, df.schema, cells), whole=True, inserted=sum(n for _, n in cells.values()))
 
 
+def cells_for(rows: int, least: int) -> int:
+    """Cells of a table of so many rows: ``least``, doubled until a cell holds no more than ``CELL_ROWS``."""
+    n = least
+    while n * CELL_ROWS < rows:
+        n *= 2
+    return n
+
+
 def touched_cells(df: DataFrame, columns: list[str], n_cells: int) -> set[int]:
     """Cells that the keys in ``columns`` fall into (at most ``n_cells`` numbers to the driver)."""
     return {r[0] for r in df.select(cell_of(columns, n_cells)).distinct().collect()}
@@ -344,10 +354,14 @@ def merge(
     cells = touched_cells(batch, list(key), old.n_cells)
     columns = batch.columns
     base = read(spark, root, name, at, cells, old.schema).select(*columns)
-    # kept rows lie together by cell already; only the batch is dealt by cell
-    dealt = batch.withColumn(CELL, cell_of(key, old.n_cells)).repartition(F.col(CELL)).drop(CELL)
-    merged = upsert(base, dealt, list(key), n_keys)
-    _, new = write_cells(merged, root, name, key, old.n_cells, grouped=False)
+    if n_keys is not None and n_keys <= BROADCAST_KEYS:
+        # kept rows lie together by cell already; only the batch is dealt by cell
+        dealt = batch.withColumn(CELL, cell_of(key, old.n_cells)).repartition(F.col(CELL)).drop(CELL)
+        merged = upsert(base, dealt, list(key), n_keys)
+        _, new = write_cells(merged, root, name, key, old.n_cells, grouped=False)
+    else:
+        # the join deals the kept rows by key: as they are, every task would write a file in every cell
+        _, new = write_cells(upsert(base, batch, list(key), n_keys), root, name, key, old.n_cells)
     before = sum(old.cells[c][1] for c in cells if c in old.cells)
     inserted = sum(n for _, n in new.values()) - before
     total = batch.count() if n_rows is None else n_rows
@@ -373,8 +387,6 @@ def add(rows: DataFrame, root: str, name: str, at: Snapshot, key: tuple[str, ...
 
 def delta(at: Snapshot, root: str, batch: DataFrame, name: str, key: str, n_keys: int | None = None) -> DataFrame:
     """The rows of a table that a merge of ``batch`` would replace."""
-    from cohorte.operators.upsert import BROADCAST_KEYS
-
     spark = batch.sparkSession
     old = at.tables[name]
     base = read(spark, root, name, at, touched_cells(batch, [key], old.n_cells), old.schema)

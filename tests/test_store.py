@@ -188,3 +188,34 @@ def test_vacuum_and_rebucket(spark, scratch):
     assert content(spark, scratch) == want and S.versions(spark, scratch) == [6]
     put(spark, scratch, [("new", 1)])
     assert content(spark, scratch) == want | {"new": 1}
+
+
+def test_a_large_merge_writes_one_file_a_cell(spark, scratch):
+    put(spark, scratch, [(f"k{i}", i) for i in range(400)], n_cells=4)
+    rows = spark.createDataFrame([(f"k{i}", -i) for i in range(200, 600)], "k string, v long").repartition(8)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        S.transact(spark, scratch, lambda at: S.Work([S.merge(rows, scratch, "t", at, ("k",), 10**9, 4)]))
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    t = S.latest(spark, scratch).tables["t"]
+    files = [f for c, (w, _) in t.cells.items() for f in os.listdir(os.path.join(scratch, S.DATA, "t", w, f"{S.CELL}={c}")) if f.endswith(".parquet")]
+    assert len(files) == len(t.cells) == 4
+    assert {(r[0], r[1]) for r in S.read(spark, scratch, "t", S.latest(spark, scratch)).collect()} == {(f"k{i}", i if i < 200 else -i) for i in range(600)}
+
+
+def test_cells_grow_with_the_first_rows():
+    assert [S.cells_for(n, 8) for n in (0, 8 * S.CELL_ROWS, 8 * S.CELL_ROWS + 1, 100 * S.CELL_ROWS)] == [8, 8, 16, 128]
+
+
+def test_a_sheet_of_one_part_is_parsed_by_all_cores(spark):
+    from cohorte.plans.ingest import _dealt
+
+    cores = spark.sparkContext.defaultParallelism
+    assert _dealt(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    wide = spark.range(0, 100, 1, cores + 3)
+    assert _dealt(wide) is wide
