@@ -1,24 +1,30 @@
 """Nearest neighbours by cosine: a block matrix join of int8 tiles.
 
 Vectors are scaled to length 1 and rounded to int8 with a scale of their own.
-Candidates are dealt into blocks of about BLOCK rows, queries of ASKED; each
-pair of blocks is one tile, and a tile's cosines are one integer matrix product (exact
-in float32) with a bound on its error. With q the query and c the candidate,
-both of length 1, and their rounded forms off by vectors of length e_q and e_c,
+Candidates are dealt into shares, one a task and each about as many rows; the
+queries go to every share. A task holds its candidates in blocks of BLOCK rows
+and takes the queries by ASKED; each pair of blocks is one tile, and a tile's
+cosines are one matrix product of the rounded forms with a bound on its error.
+With q the query and c the candidate, both of length 1, and their rounded forms
+off by vectors of length e_q and e_c,
 
     |q.c - q'.c'| <= e_q |c'| + e_c
 
 so in each tile only candidates whose upper bound reaches the query's K-th best
-lower bound can matter. Those are computed again in double precision from the
-original vectors. Heaps keep a query's best over the tiles of a task, a window
-with a limit of K over the tasks. The result is exact.
-
-A tile is bounded by the block sizes, whatever the number of vectors, and a
-frequent vector is spread over blocks by its id. Vectors that are null, empty,
-zero, or hold null or non-finite components take no part; vectors of different
-length are not compared; neither are rows without ``vec_id``. Repeated rows of
-an id are one vector; with several vectors under one id, the result holds the
-nearest. An empty table gives an empty result.
+lower bound, or its K-th best cosine of the tiles before, can matter. Those are
+computed again in double precision from the original vectors. Heaps keep a
+query's best over the tiles of a task, a window with a limit of K over the
+tasks. The result is exact.
+
+What moves is every candidate once and a query once a share. Nothing goes to
+the driver but two totals. A task holds its share of the candidates and one
+block of queries: there are SHARES shares, more if a share went beyond HELD
+bytes, so a task is bounded whatever the number of vectors. A frequent vector
+or id is spread over the shares. Vectors that are null, empty, zero, or hold
+null or non-finite components take no part; vectors of different length are not
+compared; neither are rows without ``vec_id``. Repeated rows of an id are one
+vector; with several vectors under one id, the result holds the nearest. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,30 +39,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorte.llm.common import written
-
 K = 5
-#: Candidates and queries of a block, about.
+#: Candidates and queries of a block, at most.
 BLOCK, ASKED = 4096, 512
 #: Queries are the rows whose id this divides.
 EVERY = 50
+#: Shares of the candidates, and about the bytes of one in a task (12 a component at most).
+SHARES, HELD = 64, 256 << 20
+#: Components of vectors that are handled at once in double precision.
+AT_ONCE = 1 << 21
+#: Classes of a block's columns whose maxima stand for them when a query's first bound is sought.
+RUNS = 256
 
-_PACKED = "dim int, block int, ids binary, vectors binary, codes binary, scale binary, slack binary, norm binary"
+_USABLE = "vec_id long, dim int, v binary"
+_FOUND = "query_id long, vec_id long, score double"
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as little-endian doubles."""
+    """Usable vectors as little-endian floats (of four bytes if they came so), equal rows of a batch once."""
     for batch in batches:
-        ids, vectors, sizes = [], [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if i is None or not v.is_valid or v.values.null_count or not len(v.values):
-                continue
-            x = v.values.to_numpy().astype(np.float64)
-            if np.isfinite(x).all() and x.any():
-                ids.append(i)
-                vectors.append(x.tobytes())
-                sizes.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.binary())], names=["vec_id", "dim", "v"])
+        if not batch.num_rows:
+            continue
+        ids, lists = batch.columns
+        kind = np.dtype("<f4" if pa.types.is_float32(lists.type.value_type) else "<f8")
+        x = lists.values.to_numpy(zero_copy_only=False).astype(kind)  # null components become NaN
+        at = lists.offsets.to_numpy().astype(np.int64)
+        unfit, used = (np.concatenate([[0], np.cumsum(flags)])[at] for flags in (~np.isfinite(x), x != 0))
+        good = pa.array((np.diff(unfit) == 0) & (np.diff(used) > 0) & ids.is_valid().to_numpy(False) & lists.is_valid().to_numpy(False))
+        v = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((at * kind.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        rows = pa.table({"vec_id": ids, "dim": pa.array(np.diff(at), pa.int32()), "v": v}).filter(good)
+        yield from rows.group_by(["vec_id", "dim", "v"], use_threads=False).aggregate([]).to_batches()
 
 
 def norms(v: np.ndarray) -> np.ndarray:
@@ -69,7 +81,8 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     """One block: ids and vectors, and the int8 form with its scale and error."""
     rows = rows.sort_values(["vec_id"], kind="stable")
     dim = int(rows["dim"].iloc[0])
-    v = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(-1, dim)
+    joined = b"".join(rows["v"])
+    v = np.frombuffer(joined, _kind(joined, len(rows), dim)).reshape(-1, dim).astype(np.float64)
     norm = norms(v)
     unit = v / norm[:, None]
     scale = np.abs(unit).max(axis=1) / 127
@@ -78,9 +91,8 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "dim": [dim],
-            "block": [int(rows["block"].iloc[0])],
             "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()],
-            "vectors": [v.tobytes()],
+            "vectors": [joined],
             "codes": [codes.tobytes()],
             "scale": [scale.tobytes()],
             "slack": [slack.tobytes()],
@@ -89,38 +101,74 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _kind(vectors: bytes, rows: int, dim: int) -> str:
+    return "<f4" if len(vectors) == 4 * rows * dim else "<f8"
+
+
 class Block:
     def __init__(self, row: dict) -> None:
         dim = row["dim"]
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-        self.codes = np.frombuffer(row["codes"], np.int8).reshape(-1, dim)
+        self.vectors = np.frombuffer(row["vectors"], _kind(row["vectors"], len(self.ids), dim)).reshape(-1, dim)
         #: Vectors under one id, at most.
         self.most = int(np.unique(self.ids, return_counts=True)[1].max())
         self.scale, self.slack, self.norm = (np.frombuffer(row[c], np.float64) for c in ("scale", "slack", "norm"))
+        #: The rounded vectors, and a column for what a tile adds to its products.
+        self.wide = np.zeros((len(self.ids), dim + 1), np.float32)
+        self.wide[:, :dim] = np.frombuffer(row["codes"], np.int8).reshape(-1, dim)
+        self.wide[:, :dim] *= self.scale[:, None].astype(np.float32)
 
 
-def tile(q: Block, c: Block, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """Each query's ``k`` nearest of one tile, as (-cosine, id), nearest first."""
-    product = q.codes.astype(np.float32) @ c.codes.astype(np.float32).T  # whole numbers below 2**24 for up to 1040 dimensions
-    rough = product.astype(np.float64) * q.scale[:, None] * c.scale[None, :]
-    if q.codes.shape[1] > 1024:
-        rough = (q.codes.astype(np.float64) * q.scale[:, None]) @ (c.codes * c.scale[:, None]).T
-    error = q.slack[:, None] * (1 + c.slack)[None, :] + c.slack[None, :] + 1e-9
-    rough[q.ids[:, None] == c.ids[None, :]] = -np.inf
-    low, high = rough - error, rough + error
-    for i in range(len(q.ids)):
-        usable = int(np.isfinite(rough[i]).sum())
-        if not usable:
-            continue
-        n = min(k * c.most, usable)
-        floor = np.partition(low[i], len(low[i]) - n)[len(low[i]) - n]
-        near = np.flatnonzero(high[i] >= floor)
-        v = c.vectors[near]
+def _least(high: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
+    """For each row of ``high - off`` a number that at least ``n`` entries reach, close to the ``n``-th largest."""
+    if len(off) >= 2 * RUNS and n <= RUNS // 8:
+        whole = len(off) // RUNS * RUNS
+        high, off = high[:, :whole].reshape(len(high), -1, RUNS).max(axis=1), off[:whole].reshape(-1, RUNS).max(axis=0)
+    if len(off) <= n:
+        return np.full(len(high), -np.inf)
+    return np.partition(high - off, len(off) - n, axis=1)[:, len(off) - n].astype(np.float64)
+
+
+def tile(q: Block, c: Block, k: int, floor: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """Each query's ``k`` nearest of one tile, as (-cosine, id), nearest first.
+
+    ``floor``: a cosine for each query's row below which none matters; -inf if there is none yet.
+    """
+    dim = q.vectors.shape[1]
+    floor = np.full(len(q.ids), -np.inf) if floor is None else floor.copy()
+    reach = 1 + q.slack.max()
+    # products of single precision: an error in each of dim + 1 terms, and of their factors
+    noise = (dim + 8) * 2.0**-23 * reach * (1 + 2 * c.slack.max())
+    lift = np.nextafter((c.slack * reach).astype(np.float32), np.float32(np.inf))
+    c.wide[:, -1] = lift
+    asking = q.wide.copy()
+    asking[:, -1] = 1
+    high = asking @ c.wide.T  # upper bounds, but for the query's slack and the noise
+    first, last = (np.searchsorted(c.ids, q.ids, side) for side in ("left", "right"))
+    for i in np.flatnonzero(last > first):  # of its own id
+        high[i, first[i] : last[i]] = -np.inf
+    n = k * c.most
+    begun = np.isneginf(floor)
+    if begun.any():
+        floor[begun] = _least(high if begun.all() else high[begun], 2 * lift, n) - q.slack[begun] - 2 * noise
+    cut = np.nextafter((floor - q.slack - noise).astype(np.float32), np.float32(-np.inf))
+    i, j = np.divmod(np.flatnonzero(high >= cut[:, None]), len(c.ids))
+    other = q.ids[i] != c.ids[j]
+    i, j = i[other], j[other]
+    score = np.empty(len(i))
+    step = max(1, AT_ONCE // dim)
+    for at in range(0, len(i), step):
+        x, y = i[at : at + step], j[at : at + step]
         # row by row, so equal vectors get equal scores
-        score = (v / c.norm[near, None] * (q.vectors[i] / q.norm[i])[None, :]).sum(axis=1)
-        best = np.lexsort((c.ids[near], -score))[:n]
-        yield int(q.ids[i]), merged(k, [(-float(score[b]), int(c.ids[near[b]])) for b in best], [])
+        score[at : at + step] = (c.vectors[y] / c.norm[y, None] * (q.vectors[x] / q.norm[x, None])).sum(axis=1)
+    near = score >= floor[i]
+    i, j, score = i[near], j[near], score[near]
+    order = np.lexsort((c.ids[j], -score, i))
+    ends = np.searchsorted(i[order], np.arange(len(q.ids) + 1))
+    for x in np.flatnonzero(np.diff(ends)):
+        best = order[ends[x] : min(ends[x] + n, ends[x + 1])]
+        found = list(zip((-score[best]).tolist(), c.ids[j[best]].tolist(), strict=True))
+        yield int(q.ids[x]), found if c.most == 1 else merged(k, found, [])
 
 
 def merged(k: int, a: list[tuple[float, int]], b: list[tuple[float, int]]) -> list[tuple[float, int]]:
@@ -136,42 +184,72 @@ def merged(k: int, a: list[tuple[float, int]], b: list[tuple[float, int]]) -> li
     return out
 
 
-def _tiles(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
+def _pieces(batches: Iterator[pa.RecordBatch], block: int, asked: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Sorted rows as ((share, dim, query), rows of a block at most)."""
+    key, rest = None, None
+    for batch in batches:
+        for now, rows in batch.to_pandas().groupby(["share", "dim", "query"]):
+            if key is not None and now != key:
+                yield key, rest
+                rest = None
+            key, rest = now, rows if rest is None else pd.concat([rest, rows])
+            most = max(1, min(asked if key[2] else block, AT_ONCE // key[1]))
+            while len(rest) > most:
+                yield key, rest.iloc[:most]
+                rest = rest.iloc[most:]
+    if key is not None:
+        yield key, rest
+
+
+def _distinct(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Each row once, and of equal vectors the ``k + 1`` smallest ids.
+
+    They tie for every query, so ``k`` of those ids come before any other.
+    """
+    rows = rows.drop_duplicates(["vec_id", "v"]).sort_values("vec_id")
+    return rows[rows.groupby("v").cumcount() <= k]
 
-        def out() -> pa.RecordBatch:
-            rows = [(q, i, -s) for q, found in best.items() for s, i in found]
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                q = Block({n: row[f"q_{n}"] for n in ("ids", "vectors", "codes", "scale", "slack", "norm")} | {"dim": row["dim"]})
-                for query, found in tile(q, Block(row), k):
-                    best[query] = merged(k, best.get(query, []), found)
-            if len(best) > 200_000:  # bounded memory
-                yield out()
-        yield out()
+def _tiles(k: int, block: int, asked: int):
+    def block_of(rows: pd.DataFrame) -> Block:
+        return Block(_pack(rows).to_dict("records")[0])
+
+    def best_of(q: Block, held: list[Block]) -> pa.RecordBatch:
+        best: dict[int, list[tuple[float, int]]] = {}
+        floor = np.full(len(q.ids), -np.inf)
+        for c in held:
+            for query, found in tile(q, c, k, floor):
+                best[query] = merged(k, best[query], found) if query in best else found
+            floor = np.array([-best[i][-1][0] if len(best.get(i, ())) == k else -np.inf for i in q.ids.tolist()])
+        rows = [(i, c, -s) for i, found in best.items() for s, c in found]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for (share, dim, query), rows in _pieces(batches, block, asked):
+            if here != (share, dim):
+                here, held = (share, dim), []
+            if not query:
+                held.append(block_of(_distinct(rows, k)))
+            elif held:
+                yield best_of(block_of(rows.drop_duplicates(["vec_id", "v"])), held)
 
     return run
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest of every query (``vec_id`` divisible by ``every``)."""
-    usable = written(vectors.select("vec_id", "embedding").mapInArrow(_prepared, "vec_id long, dim int, v binary").distinct(), "vectors")
-    count = usable.count()
-    n_blocks = max(1, math.ceil(count / block))
-    n_query = max(1, math.ceil(count / every / asked))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    everyone = usable.withColumn("block", dealt(n_blocks))
-    queries = usable.filter(F.col("vec_id") % every == 0).withColumn("block", dealt(n_query))
-    packed = written(everyone.groupBy("dim", "block").applyInPandas(_pack, _PACKED), "blocks")
-    ask = written(queries.groupBy("dim", "block").applyInPandas(_pack, _PACKED), "queries")
-    left = packed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    right = ask.select("dim", F.col("block").alias("tile"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes", "scale", "slack", "norm")))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    found = left.join(right, ["dim", "block", "tile"]).mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
+    count, components = rows.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size("embedding"), F.lit(0)))).first()
+    shares = max(1, min(math.ceil(count / block), SHARES), math.ceil(12 * (components or 0) / HELD))
+    usable = rows.mapInArrow(_prepared, _USABLE)
+    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_prepared, _USABLE)
+    own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shares)).cast("int")
+    candidates = usable.select(own.alias("share"), "dim", F.lit(False).alias("query"), "vec_id", "v")
+    asking = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "dim", F.lit(True).alias("query"), "vec_id", "v")
+    # a share is a partition; its candidates come before the queries
+    dealt = candidates.unionByName(asking).repartitionById(shares, F.col("share")).sortWithinPartitions("share", "dim", "query")
+    found = dealt.mapInArrow(_tiles(k, block, asked), _FOUND)
     per_id = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return per_id.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from cohorte.llm.neighbours import Block, _pack, merged, nearest, tile
+from cohorte.llm.neighbours import RUNS, Block, _least, _pack, merged, nearest, tile
 import pandas as pd
 
 
@@ -54,3 +54,54 @@ def test_rows_against_brute_force(spark):
     assert got == brute([(i, v) for i, v, _ in rows])
     assert 550 in got and 600 not in got  # no candidate of its length
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_no_block_goes_through_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 8)).astype(np.float32))]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), block=64, asked=4)
+    assert as_found(found.collect()) == brute(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # it held every query once a block of candidates
+
+
+def test_near_copies_and_copies_over_many_blocks(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(3, 12))
+    v = centres[rng.integers(0, 3, 900)] + 3e-3 * rng.normal(size=(900, 12))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(i, rows[100][1]) for i in range(900, 1300)]  # copies with ids of their own
+    rows += [(151, rows[i][1]) for i in range(200, 260)]  # an id with many vectors
+    rows += [(7, rows[7][1])] * 200 + [(None, rows[3][1])]  # a row that comes again
+    rows += [(-50, rows[1][1]), (-7, rows[100][1])]
+    for kind in ("float", "double"):
+        cut = [(i, np.array(x, np.float32).tolist() if kind == "float" else x) for i, x in rows]
+        table = spark.createDataFrame(cut, f"vec_id long, embedding array<{kind}>").repartition(3)
+        assert as_found(nearest(table, block=100, asked=7).collect()) == brute(list({(i, tuple(x)): (i, x) for i, x in cut}.values()))
+
+
+def test_floor_of_earlier_tiles():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 16))
+    pack = lambda a, b: Block(_pack(pd.DataFrame({"vec_id": np.arange(a, b), "dim": 16, "v": [x.tobytes() for x in v[a:b]]})).to_dict("records")[0])
+    q, first, then = pack(0, 40), pack(0, 1500), pack(1500, 3000)
+    best = dict(tile(q, first, 5))
+    floor = np.array([-best[i][-1][0] for i in range(40)])
+    for i, found in tile(q, then, 5, floor):
+        assert all(-s >= floor[i] for s, _ in found)
+        best[i] = merged(5, best[i], found)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for i in range(40):
+        s = unit @ unit[i]
+        s[i] = -2
+        assert [c for _, c in best[i]] == np.argsort(-s, kind="stable")[:5].tolist()
+
+
+def test_first_bound_is_reached_by_enough_entries():
+    rng = np.random.default_rng(8)
+    for columns in (1, 9, 300, 2 * RUNS, 5 * RUNS + 17):
+        high, off = rng.normal(size=(6, columns)).astype(np.float32), rng.random(columns).astype(np.float32)
+        high[2, 5:] = -np.inf
+        for n in (1, 5, 40, 700):
+            least = _least(high, off, n)
+            assert ((high - off >= least[:, None]).sum(axis=1) >= min(n, columns)).all()
