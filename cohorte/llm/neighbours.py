@@ -12,9 +12,9 @@ off by vectors of length e_q and e_c,
 
 so in each tile only candidates whose upper bound reaches the query's K-th best
 lower bound, or its K-th best cosine of the tiles before, can matter. Those are
-computed again in double precision from the original vectors. Heaps keep a
-query's best over the tiles of a task, a window with a limit of K over the
-tasks. The result is exact.
+computed again in double precision from the original vectors. A query's best are
+merged over the tiles of a task, by a window with a limit of K over the tasks.
+The result is exact.
 
 What moves is every candidate once and a query once a share. Nothing goes to
 the driver but two totals. A task holds its share of the candidates and one
@@ -29,7 +29,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -46,8 +45,8 @@ BLOCK, ASKED = 4096, 512
 EVERY = 50
 #: Shares of the candidates, and about the bytes of one in a task (12 a component at most).
 SHARES, HELD = 64, 256 << 20
-#: Components of vectors that are handled at once in double precision.
-AT_ONCE = 1 << 21
+#: Components of a block at most, and of the pairs that are computed again at once (they stay in the cache).
+COMPONENTS, AT_ONCE = 1 << 21, 1 << 17
 #: Classes of a block's columns whose maxima stand for them when a query's first bound is sought.
 RUNS = 256
 
@@ -129,6 +128,16 @@ def _least(high: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     return np.partition(high - off, len(off) - n, axis=1)[:, len(off) - n].astype(np.float64)
 
 
+def _places(flags: np.ndarray) -> np.ndarray:
+    """Places of the true ones, of which there are few: whole words first."""
+    flags = flags.reshape(-1)
+    if len(flags) % 8:
+        return np.flatnonzero(flags)
+    word = np.flatnonzero(flags.view(np.uint64))
+    at = np.flatnonzero(flags.reshape(-1, 8)[word])
+    return word[at >> 3] * 8 + (at & 7)
+
+
 def tile(q: Block, c: Block, k: int, floor: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """Each query's ``k`` nearest of one tile, as (-cosine, id), nearest first.
 
@@ -152,30 +161,32 @@ def tile(q: Block, c: Block, k: int, floor: np.ndarray | None = None) -> Iterato
     if begun.any():
         floor[begun] = _least(high if begun.all() else high[begun], 2 * lift, n) - q.slack[begun] - 2 * noise
     cut = np.nextafter((floor - q.slack - noise).astype(np.float32), np.float32(-np.inf))
-    i, j = np.divmod(np.flatnonzero(high >= cut[:, None]), len(c.ids))
+    i, j = np.divmod(_places(high >= cut[:, None]), len(c.ids))
     other = q.ids[i] != c.ids[j]
     i, j = i[other], j[other]
+    unit = q.vectors / q.norm[:, None]
     score = np.empty(len(i))
     step = max(1, AT_ONCE // dim)
     for at in range(0, len(i), step):
         x, y = i[at : at + step], j[at : at + step]
         # row by row, so equal vectors get equal scores
-        score[at : at + step] = (c.vectors[y] / c.norm[y, None] * (q.vectors[x] / q.norm[x, None])).sum(axis=1)
+        score[at : at + step] = (c.vectors[y] / c.norm[y, None] * unit[x]).sum(axis=1)
     near = score >= floor[i]
     i, j, score = i[near], j[near], score[near]
     order = np.lexsort((c.ids[j], -score, i))
-    ends = np.searchsorted(i[order], np.arange(len(q.ids) + 1))
-    for x in np.flatnonzero(np.diff(ends)):
-        best = order[ends[x] : min(ends[x] + n, ends[x + 1])]
-        found = list(zip((-score[best]).tolist(), c.ids[j[best]].tolist(), strict=True))
-        yield int(q.ids[x]), found if c.most == 1 else merged(k, found, [])
+    far, ids = (-score[order]).tolist(), c.ids[j[order]].tolist()
+    ends = np.searchsorted(i[order], np.arange(len(q.ids) + 1)).tolist()
+    for query, at, end in zip(q.ids.tolist(), ends, ends[1:]):
+        if at < end:
+            found = list(zip(far[at : min(at + n, end)], ids[at:end]))
+            yield query, found if c.most == 1 else merged(k, found, [])
 
 
 def merged(k: int, a: list[tuple[float, int]], b: list[tuple[float, int]]) -> list[tuple[float, int]]:
     """The ``k`` first of two sorted lists, an id only once."""
     out: list[tuple[float, int]] = []
     seen: set[int] = set()
-    for x in heapq.merge(a, b):
+    for x in sorted(a + b):
         if x[1] not in seen:
             seen.add(x[1])
             out.append(x)
@@ -193,7 +204,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], block: int, asked: int) -> Iterat
                 yield key, rest
                 rest = None
             key, rest = now, rows if rest is None else pd.concat([rest, rows])
-            most = max(1, min(asked if key[2] else block, AT_ONCE // key[1]))
+            most = max(1, min(asked if key[2] else block, COMPONENTS // key[1]))
             while len(rest) > most:
                 yield key, rest.iloc[:most]
                 rest = rest.iloc[most:]

@@ -1,6 +1,6 @@
 import numpy as np
 
-from cohorte.llm.neighbours import RUNS, Block, _least, _pack, merged, nearest, tile
+from cohorte.llm.neighbours import RUNS, Block, _least, _pack, _places, merged, nearest, tile
 import pandas as pd
 
 
@@ -105,3 +105,11 @@ def test_first_bound_is_reached_by_enough_entries():
         for n in (1, 5, 40, 700):
             least = _least(high, off, n)
             assert ((high - off >= least[:, None]).sum(axis=1) >= min(n, columns)).all()
+
+
+def test_places_of_flags():
+    rng = np.random.default_rng(9)
+    for shape in ((3, 5), (4, 8), (50, 64), (7, 200)):
+        for share in (0, 0.01, 0.5, 1):
+            flags = rng.random(shape) < share
+            assert _places(flags).tolist() == np.flatnonzero(flags).tolist()
